@@ -14,12 +14,51 @@ def _tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .winnow import judge
+
+    found = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", F.col("n_words").cast("bigint").alias("n_words"), "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_digest
 
     return pack_digest(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    documents = table(spark, sf_dir, "documents")
+    found = score(documents.select("doc_id", "text"), fit(documents, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "toxicity.*")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, held_out, score
+
+    documents = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"))
+    model = fit(documents, table(spark, sf_dir, "labels"), ~out)
+    found = score(documents.select("doc_id", "text"), model).withColumn("held_out", out)
+    return found.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.expr("aggregate(repeats.removed, 0L, (n, x) -> n + x.e - x.s)")
+    return found.select(
+        "doc_id", "repeats.n_bytes", removed.alias("n_removed"), F.size("repeats.removed").cast("bigint").alias("n_spans"),
+        F.sha2("repeats.kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -46,4 +85,12 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), outcomes, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op6_simhash, op7_url_filters)}
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import edited_likeness
+
+    found = edited_likeness(table(spark, sf_dir, "documents"))
+    edited = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+    return found.select("doc_id", "n_chars", edited, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_toxicity, op4_quality, op5_suffix_dedup, op6_simhash, op7_url_filters, op8_fingerprints)}
