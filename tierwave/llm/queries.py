@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -27,7 +27,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_digest
 
-    return pack_digest(table(spark, sf_dir, "documents"), _tokenizer())
+    return pack_digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,12 +166,17 @@ def repeated_spans(documents: DataFrame, depth: int = 200, block: int = 64) -> D
     return materialize(spans.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "suffix-spans")
 
 
-def remove_repeats(documents: DataFrame, depth: int = 200, block: int = 64, name: str = "repeats") -> DataFrame:
-    """documents with the struct `name`: n_bytes, removed (array of disjoint maximal byte ranges), kept (binary)."""
+def remove_repeats(documents: DataFrame, depth: int = 200, block: int = 64, name: str = "repeats", as_text: bool = False) -> DataFrame:
+    """documents with the struct `name`: n_bytes, removed (array of disjoint maximal byte ranges), kept (binary).
+
+    as_text: kept is text instead, without characters of which a cut took a part.
+    """
     spans = repeated_spans(documents, depth, block)
     free_shuffles(documents.sparkSession)
     placed = with_key(documents, "_key").join(spans.select(F.col("key").alias("_key"), F.col("spans").alias("_spans")), "_key", "left")
 
+    give = (lambda kept: kept.decode("utf-8", "ignore")) if as_text else bytes
+
     def run(parts):
         import pandas as pd
 
@@ -179,7 +184,7 @@ def remove_repeats(documents: DataFrame, depth: int = 200, block: int = 64, name
             out = []
             for raw, found in zip(raws, some, strict=True):
                 if found is None or not len(found):
-                    out.append((len(raw), [], raw))
+                    out.append((len(raw), [], give(raw)))
                     continue
                 at = np.array([(r["s"], r["e"]) for r in found], np.int64)
                 edge = np.zeros(len(raw) + 1, np.int64)
@@ -188,19 +193,18 @@ def remove_repeats(documents: DataFrame, depth: int = 200, block: int = 64, name
                 gone = np.cumsum(edge)[:-1] > 0
                 turn = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 removed = [{"s": int(a), "e": int(b)} for a, b in turn.reshape(-1, 2)]
-                out.append((len(raw), removed, np.frombuffer(raw, np.uint8)[~gone].tobytes()))
+                out.append((len(raw), removed, give(np.frombuffer(raw, np.uint8)[~gone].tobytes())))
             yield pd.DataFrame(out, columns=["n_bytes", "removed", "kept"])
 
     import pandas as pd
 
     run.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-    cut = F.pandas_udf(run, "n_bytes long, removed array<struct<s:int,e:int>>, kept binary")
+    cut = F.pandas_udf(run, f"n_bytes long, removed array<struct<s:int,e:int>>, kept {'string' if as_text else 'binary'}")
     return placed.withColumn(name, cut(_bytes(), F.col("_spans"))).drop("_key", "_spans")
 
 
 def drop_repeats(documents: DataFrame, depth: int = 200, block: int = 64) -> DataFrame:
     """documents with the repeated bytes taken out of text; broken characters at the edges of a cut go as well."""
-    cut = remove_repeats(documents, depth, block, "_cut")
-    # Bytes of a character whose other bytes were removed can't be decoded; they become U+FFFD and are taken out.
-    text = F.when(F.size("_cut.removed") == 0, F.col("text")).otherwise(F.replace(F.decode(F.col("_cut.kept"), "UTF-8"), F.lit("\ufffd"), F.lit("")))
+    cut = remove_repeats(documents, depth, block, "_cut", as_text=True)
+    text = F.when(F.size("_cut.removed") == 0, F.col("text")).otherwise(F.col("_cut.kept"))
     return cut.withColumn("text", text).drop("_cut").select(*documents.columns)
