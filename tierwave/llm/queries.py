@@ -93,10 +93,16 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", edited, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_layout import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "page.title", "page.text")
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .katz import by_remainder, score
 
     return score(table(spark, sf_dir, "documents"), by_remainder(F.col("doc_id")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_toxicity, op4_quality, op5_suffix_dedup, op6_simhash, op7_url_filters, op8_fingerprints, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_toxicity, op4_quality, op5_suffix_dedup, op6_simhash, op7_url_filters, op8_fingerprints, op9_html_extraction, op10_lm_scoring)}

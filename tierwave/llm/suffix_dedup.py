@@ -5,11 +5,13 @@ and a group of one suffix is left out of the next pass; groups that are left aft
 windows of `depth` bytes that occur more than once. Digits are blocks of bytes, named by their hash.
 
 So that the first pass need not deal out every suffix, its digit is the block of `block` bytes with the least hash
-inside the window (the rightmost of equals): neighbouring suffixes share it, so one row stands for a run of them.
-  Pass 1: runs by that block. A block that occurs once in the corpus ends all suffixes of its run.
-  Pass 2: runs by all bytes that their suffixes see. Equal runs are repeated as a whole.
-  Pass 3: runs that share the block with a different run only. One run of each kind is dealt out suffix by suffix, by
-          the hash of all its `depth` bytes (two 64-bit hashes of overlapping halves, mixed).
+inside the window (the rightmost of equals): neighbouring suffixes share it, so one row stands for a run of them. A row
+has two digits: the bytes that all its suffixes have in common, and all bytes that its suffixes see. If the first
+occurs once in the corpus, so do all suffixes of the row; if the second occurs twice, so do all of them. One row of each
+kind between the two goes on to the next pass, in which its suffixes are dealt out more finely.
+  Pass 1: runs by their block.
+  Pass 2: cells of `cell` suffixes.
+  Pass 3: single suffixes, by the hash of all their bytes.
 Every pass counts with map-side aggregation and joins the counts back, so a block that a third of all rows share is
 neither gathered in one task nor paired with itself.
 
@@ -25,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, free_shuffles, materialize
+from .common import bound_batches, discard, free_shuffles, materialize
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SHIFT = np.uint64(29)
@@ -63,7 +65,7 @@ def window_hashes(raw: np.ndarray, depth: int) -> np.ndarray:
 
 
 def runs(raw: np.ndarray, depth: int, block: int) -> tuple[np.ndarray, ...]:
-    """Runs of suffixes of the text's bytes that share their block: first, count, hash of block, hash of all they see."""
+    """Runs of suffixes of the text's bytes that share their block: first, count, place of block, core, seen."""
     h = block_hashes(raw, block)
     width = depth - block + 1  # blocks inside a window
     n = len(raw) - depth + 1
@@ -77,37 +79,71 @@ def runs(raw: np.ndarray, depth: int, block: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
     count = np.diff(np.append(first, n))
     place = (mask - (low[first] & mask)).astype(np.int64)
-    # All bytes from the first suffix on to the end of the last one: depth + count - 1, under 2 * depth.
-    size = depth + count - 1
-    power = _power(depth)
-    hp = block_hashes(raw, power, h, block)
+    return first, count, place, h[place].view(np.int64), _seen(block_hashes(raw, _power(depth), h, block), first, count, place, depth)
+
+
+def _seen(hp: np.ndarray, first: np.ndarray, count: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
+    """Hash of all bytes that `count` suffixes from `first` on see (under 2 * depth), and of where their block is."""
+    power, size = _power(depth), depth + count - 1
     end = first + size - power
     seen = hp[first]
     for k in range(1, 4):
         seen = _mix(seen, hp[np.minimum(first + k * power, end)])
-    seen = _mix(seen, (size.astype(np.uint64) << np.uint64(32)) | (place - first).astype(np.uint64))
-    return first, count, h[place].view(np.int64), seen.view(np.int64)
+    return _mix(seen, (size.astype(np.uint64) << np.uint64(32)) | (place - first).astype(np.uint64)).view(np.int64)
+
+
+def cells(raw: np.ndarray, some: list, depth: int, cell: int) -> tuple[np.ndarray, ...]:
+    """Cells of runs (first, count, place), counted from the block's place back: first, count, place, core, seen."""
+    first, count, place = (np.array([r[k] for r in some], np.int64) for k in ("first", "count", "place"))
+    low, high = (place - first - count + 1) // cell, (place - first) // cell  # numbers of the cells of each run
+    n = high - low + 1
+    run = np.repeat(np.arange(len(n)), n)
+    number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[run]
+    place = place[run]
+    start = np.maximum(first[run], place - (number + 1) * cell + 1)
+    stop = np.minimum(first[run] + count[run] - 1, place - number * cell)
+    hp = block_hashes(raw, _power(depth))
+    # What all suffixes of a whole cell have in common, whether the run has them all or not.
+    a, b = place - number * cell, place - (number + 1) * cell + 1 + depth
+    core = _mix(_mix(hp[a], hp[b - _power(depth)]), number.astype(np.uint64)).view(np.int64)
+    return start, stop - start + 1, place, core, _seen(hp, start, stop - start + 1, place, depth)
 
 
-def _runs_of(documents: DataFrame, depth: int, block: int) -> DataFrame:
-    """key, first, count, block, seen of each run."""
+ROWS = "key long, first int, count int, place int, core long, seen long"
+
+
+def _rows_of(texts: DataFrame, rows) -> DataFrame:
+    """The rows that rows(raw, ...) gives for each text: key, raw, ..."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            keys, cols = batch.column(0).to_pylist(), [[], [], [], [], []]
-            for key, raw in zip(keys, batch.column(1).to_pylist(), strict=True):
-                raw = np.frombuffer(raw, np.uint8)
-                if len(raw) < depth:
-                    continue
-                first, count, blocks, seen = runs(raw, depth, block)
-                for c, x in zip(cols, (np.full(len(first), key), first.astype(np.int32), count.astype(np.int32), blocks, seen), strict=True):
+            cols = [[], [], [], [], [], []]
+            for key, raw, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = rows(np.frombuffer(raw, np.uint8), *more)
+                for c, x in zip(cols, (np.full(len(found[0]), key), *(f.astype(np.int32) for f in found[:3]), *found[3:]), strict=True):
                     c.append(x)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "first", "count", "block", "seen"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "first", "count", "place", "core", "seen"])
 
-    return documents.mapInArrow(run, "key long, first int, count int, block long, seen long")
+    return texts.mapInArrow(run, ROWS)
+
+
+def _pass(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """What is repeated as a whole (key, first, count), and what goes on (key, some: a row of each kind)."""
+    rows = materialize(rows, f"suffix-{name}")
+    counts = rows.groupBy("core").agg(F.count("*").alias("n"), F.min("seen").alias("least"), F.max("seen").alias("most"))
+    several = counts.where("n > 1").select("core", (F.col("least") != F.col("most")).alias("mixed"))
+    left = materialize(rows.join(several, "core"), f"suffix-{name}-left")
+    discard(rows)
+    free_shuffles(rows.sparkSession)
+    mixed = left.where("mixed")
+    kinds = mixed.groupBy("core", "seen").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "count", "place")).alias("run"))
+    kinds = materialize(kinds, f"suffix-{name}-kinds")
+    twice = kinds.where("n > 1").select("core", "seen")
+    whole = left.where("not mixed").select("key", "first", "count").union(mixed.join(twice, ["core", "seen"]).select("key", "first", "count"))
+    return whole, kinds.groupBy("run.key").agg(F.collect_list(F.struct("run.first", "run.count", "run.place")).alias("some"))
 
 
 def _suffixes_of(picked: DataFrame, depth: int) -> DataFrame:
@@ -138,31 +174,22 @@ def with_key(documents: DataFrame, name: str = "key") -> DataFrame:
     return documents.withColumn(name, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
 
 
-def repeated_spans(documents: DataFrame, depth: int = 200, block: int = 64) -> DataFrame:
+def repeated_spans(documents: DataFrame, depth: int = 200, block: int = 64, cell: int = 16) -> DataFrame:
     """key, spans: byte ranges struct(s, e) that repeated windows cover, of each text that has any; they may overlap.
 
     documents: doc_id, text. block: a power of two, at most the largest one up to depth.
+    cell: at most depth - that power + 1.
     """
     spark = documents.sparkSession
     bound_batches(spark)
     texts = with_key(documents.select("doc_id", "text")).select("key", _bytes().alias("raw")).where(F.length("raw") >= depth)
-    found = materialize(_runs_of(texts, depth, block), "suffix-runs")
-    counts = found.groupBy("block").agg(F.count("*").alias("n"), F.min("seen").alias("least"), F.max("seen").alias("most"))
-    several = materialize(counts.where("n > 1").select("block", (F.col("least") != F.col("most")).alias("mixed")), "suffix-blocks")
-    free_shuffles(spark)
-    left = materialize(found.join(several, "block"), "suffix-left")
-    free_shuffles(spark)
-    mixed = left.where("mixed")
-    kinds = materialize(mixed.groupBy("block", "seen").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "count")).alias("run")), "suffix-kinds")
-    whole = left.where("not mixed").select("key", "first", "count").union(mixed.join(kinds.where("n > 1").select("block", "seen"), ["block", "seen"]).select("key", "first", "count"))
-
-    picked = kinds.groupBy("run.key").agg(F.collect_list(F.struct("run.first", "run.count")).alias("some"))
+    whole, picked = _pass(_rows_of(texts, lambda raw: runs(raw, depth, block)), "runs")
+    more, picked = _pass(_rows_of(texts.join(picked, "key"), lambda raw, some: cells(raw, some, depth, cell)), "cells")
     suffixes = materialize(_suffixes_of(texts.join(picked, "key"), depth), "suffix-hashes")
     free_shuffles(spark)
     twice = suffixes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    single = suffixes.join(twice, "hash").select("key", F.col("place").alias("s"), (F.col("place") + depth).alias("e"))
-
-    spans = whole.select("key", F.col("first").alias("s"), (F.col("first") + F.col("count") + depth - 1).alias("e")).union(single)
+    single = suffixes.join(twice, "hash").select("key", F.col("place").alias("first"), F.lit(1).alias("count"))
+    spans = whole.union(more).union(single).select("key", F.col("first").alias("s"), (F.col("first") + F.col("count") + depth - 1).alias("e"))
     return materialize(spans.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "suffix-spans")
 
 
@@ -171,7 +198,7 @@ def remove_repeats(documents: DataFrame, depth: int = 200, block: int = 64, name
 
     as_text: kept is text instead, without characters of which a cut took a part.
     """
-    spans = repeated_spans(documents, depth, block)
+    spans = repeated_spans(documents, depth, block, min(16, depth - _power(depth) + 1))
     free_shuffles(documents.sparkSession)
     placed = with_key(documents, "_key").join(spans.select(F.col("key").alias("_key"), F.col("spans").alias("_spans")), "_key", "left")
 
