@@ -62,17 +62,18 @@ def likeness(a: Column | str, b: Column | str, bins: int = 128) -> Column:
     return F.greatest(F.lit(0.0), (same / bins - chance) / (1 - chance))
 
 
-def with_next(documents: DataFrame, carry: list[str], per_bucket: int = 2_000) -> DataFrame:
+def with_next(documents: DataFrame, carry: list[str], per_bucket: int = 1_000, buckets: int = 4_096) -> DataFrame:
     """documents (doc_id, ...) with next: struct of the columns `carry` of the next row by descending doc_id.
 
     After the last row comes the first again. Rows of equal doc_id go by the hash of their text; null doc_ids are last.
-    The order is cut into buckets of about per_bucket rows at quantiles of doc_id, a window runs in each bucket, and
+    The order is cut at quantiles of doc_id into buckets of about per_bucket rows (more where the number of buckets has
+    reached its bound, so that the cuts stay small), a window runs in each bucket, and
     the first row of every bucket is sent to the bucket before it as well.
     """
     n = documents.count()
     cuts = []
     if n > per_bucket:
-        k = n // per_bucket
+        k = min(n // per_bucket, buckets)
         cuts = documents.agg(F.percentile_approx("doc_id", [i / (k + 1) for i in range(1, k + 1)], 10 * k)).first()[0] or []
     bounds = F.from_json(F.lit(json.dumps(sorted(set(cuts)))), "array<bigint>")
     tie = F.xxhash64("text")
