@@ -1,8 +1,9 @@
 import itertools
+import random
 
 import xxhash
 
-from tierwave.llm.simhash import components, keep_one, near_duplicates, simhash
+from tierwave.llm.simhash import bucket_links, components, keep_one, near_duplicates, simhash
 
 
 def slow(text):
@@ -44,3 +45,54 @@ def test_keep_one(make):
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
     assert {(r.node, r.root) for r in components(edges).collect()} == {*((i, 0) for i in range(201)), (1000, 1000), (1001, 1000)}
+
+
+def test_bucket_links_connect_the_same(spark):
+    rng = random.Random(7)
+    nodes = {0, 1, 2**63}
+    for _ in range(12):
+        center = rng.getrandbits(64)
+        for _ in range(40):
+            x = center
+            for _ in range(rng.randrange(7)):
+                x ^= 1 << rng.randrange(64)
+            nodes.add(x)
+    nodes |= {rng.getrandbits(64) for _ in range(300)}
+    nodes = sorted(nodes)
+    root = {x: x for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(nodes, 2):
+        if (a ^ b).bit_count() <= 7:
+            root[find(a)] = find(b)
+    want = {}
+    for x in nodes:
+        want.setdefault(find(x), set()).add(x)
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    df = spark.createDataFrame([(signed(x),) for x in nodes], "fp long")
+    found = {}
+    for r in components(bucket_links(df)).collect():
+        found.setdefault(r.root, set()).add(r.node % 2**64)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
+def test_keep_one_takes_edited_copies(make):
+    rng = random.Random(1)
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows, groups = [], {}
+    for g in range(30):
+        base = say(150)
+        for k in range(4):
+            words = list(base)
+            for _ in range(min(k, 3)):
+                words[rng.randrange(150)] = f"x{rng.randrange(5000)}"
+            groups[len(rows)] = g
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows) + k, " ".join(say(150))) for k in range(60)]
+    kept = [r.doc_id for r in keep_one(make(rows)).collect()]
+    # Three of 150 words differ at most; the fingerprints are random, so a few such copies may stay.
+    assert len(kept) == len(set(kept)) <= 93 and {groups[i] for i in kept if i in groups} == set(range(30)) and len([i for i in kept if i not in groups]) == 60
