@@ -19,13 +19,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each SimHash component.
-
-    Shingles are of five words. Fingerprints within 3 of 64 bits stand for texts of similarity well over 0.8.
-    """
+    """Keeps the document of the smallest doc_id of each SimHash component (sets of words, 7 of 64 bits)."""
     from tierwave.llm.simhash import keep_one
 
-    return keep_one(docs, words=5)
+    return keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
