@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, materialize
 
 #: Unicode white space, at the start of whose runs the tokenizer's own splitting always cuts.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Chunks whose ids a worker remembers at most; others are encoded whenever they occur.
 CACHED = 400_000
