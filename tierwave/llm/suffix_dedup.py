@@ -134,7 +134,9 @@ def _pass(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """What is repeated as a whole (key, first, count), and what goes on (key, some: a row of each kind)."""
     rows = materialize(rows, f"suffix-{name}")
     counts = rows.groupBy("core").agg(F.count("*").alias("n"), F.min("seen").alias("least"), F.max("seen").alias("most"))
-    several = counts.where("n > 1").select("core", (F.col("least") != F.col("most")).alias("mixed"))
+    # Written first, so that both sides of the join are plain exchanges, of which Spark can split a hot core's rows.
+    several = materialize(counts.where("n > 1").select("core", (F.col("least") != F.col("most")).alias("mixed")), f"suffix-{name}-cores")
+    free_shuffles(rows.sparkSession)
     left = materialize(rows.join(several, "core"), f"suffix-{name}-left")
     discard(rows)
     free_shuffles(rows.sparkSession)
