@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from .common import bound_batches, materialize
 
 #: Unicode white space, at the start of whose runs the tokenizer's own splitting always cuts.
 SPACE = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+WHITE = frozenset([*map(chr, range(9, 14)), *SPACE[3:], ""])
 _CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Chunks whose ids a worker remembers at most; others are encoded whenever they occur.
 CACHED = 400_000
@@ -38,15 +40,27 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [_CHUNK.findall(t) for t in texts]
         known, new = self.known, list(set().union(*split) - self.known.keys())
         fresh = {}
+        # A blank and a word: a line break between two such chunks is a token of its own, so many are encoded as one text.
+        plain = [c for c in new if c[0] == " " and c[1:2] not in WHITE] if len(self.line) == 1 else []
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, f"<u{self.width}")
+            cut = np.flatnonzero(ids == self.line[0])
+            if len(cut) == len(part) - 1:
+                raw, at = ids.tobytes(), self.width
+                starts, ends = [0, *((cut + 1) * at).tolist()], [*(cut * at).tolist(), len(raw)]
+                fresh.update(zip(part, map(raw.__getitem__, map(slice, starts, ends)), strict=True))
+        new = [c for c in new if c not in fresh] if fresh else new
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                fresh[chunk] = b"".join(x.to_bytes(self.width, "little") for x in e.ids)
+                fresh[chunk] = np.array(e.ids, f"<u{self.width}").tobytes()
         if len(known) + len(fresh) <= CACHED:
             known.update(fresh)
             get = known.__getitem__
@@ -113,7 +127,6 @@ def _cut(documents: DataFrame, tokenizer: str, length: int, end_id: int, digest:
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
