@@ -86,10 +86,12 @@ def _beginning(n):
 
 
 def labelled(documents: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """doc (an id of the row), text, toxic of at most `sample` labelled documents."""
+    """doc, text, toxic of at most `sample` labelled documents (of a repeated doc_id the least text)."""
     said = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    one = documents.select("doc_id", "text").join(said, "doc_id")
-    return one.select(F.col("doc_id").alias("doc"), "text", "toxic").orderBy(F.xxhash64("doc"), F.xxhash64("text")).limit(sample)
+    # The sample is drawn from the labels, so that its few ids, and not the texts, are dealt out.
+    chosen = said.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    one = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return one.groupBy(F.col("doc_id").alias("doc"), "toxic").agg(F.min("text").alias("text"))
 
 
 def fit(documents: DataFrame, labels: DataFrame, grades: int = 3, sample: int = 6_000, features: int = 1_000, penalty: float = 3e-4, rounds: int = 400) -> SeverityModel:
