@@ -78,8 +78,9 @@ class StrengthModel:
 
 def _sample(documents: DataFrame, labels: DataFrame, training: Column, sample: int):
     said = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & training).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    # A bounded sample: the rows of least hash go to the driver as numbers.
-    chosen = documents.select("doc_id", "text").join(said, "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample)
+    # A bounded sample, drawn from the labels, so that its few ids, and not the texts, are dealt out.
+    few = said.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = documents.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy("doc_id")
 
     def run(texts: Iterator) -> Iterator:
         import pandas as pd
