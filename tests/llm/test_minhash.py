@@ -46,3 +46,21 @@ def test_equal_texts_equal_fingerprints(make):
     df = with_fingerprint(make([(1, "x y z"), (2, "x y z"), (3, None), (4, ""), (5, "x  y\tz")]), "text", "f").collect()
     f = {r.doc_id: r.f for r in df}
     assert f[1] == f[2] == f[5] != f[3] == f[4] and all(len(x) == 256 for x in f.values())
+
+
+def test_full_bins_meet_the_same_bins(spark):
+    rng, rows, truth = random.Random(5), [], []
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for i in range(60):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(400, 900))]
+        b = a[: len(a) * 8 // 10]
+        rows.append((i, " ".join(a), " ".join(b)))
+        truth.append(len(grams(b)) / len(grams(a)))
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    for name in "ab":
+        hashes = f"transform(split({name}, ' '), w -> xxhash64(w))"
+        df = df.withColumn("h" + name, F.expr(hashes)).withColumn("n" + name, F.expr(f"size(array_distinct(transform(sequence(1, size(h{name}) - 4), i -> shiftrightunsigned(xxhash64(slice(h{name}, i, 5)), 57))))"))
+    df = with_fingerprint(with_fingerprint(df, "a", "fa"), "b", "fb").select("i", "na", "nb", likeness("fa", "fb").alias("s"))
+    got = df.collect()
+    assert sum((r.na == 128) != (r.nb == 128) and min(r.na, r.nb) >= 126 for r in got) >= 5
+    assert max(abs(r.s - truth[r.i]) for r in got) < 0.2

@@ -44,8 +44,10 @@ def with_fingerprint(df: DataFrame, text: str, name: str, words: int = 5, bins:
     df = df.withColumn("_f", F.expr(f"filter(_h, (h, i) -> i = 0 or shiftrightunsigned(h, {64 - top}) != shiftrightunsigned(_h[i - 1], {64 - top}))"))
     df = df.withColumn("_b", F.expr(f"transform(_f, h -> cast(shiftrightunsigned(h, {64 - top}) as int))"))
     df = df.withColumn("_v", F.expr(f"transform(_f, h -> cast(h & {(1 << BITS) - 1} as int))"))
-    dense = f"transform(sequence(0, {bins - 1}), j -> _v[cast(array_position(_b, j) as int) - 1])"
-    df = df.withColumn("_d", F.expr(f"if(size(_b) = {bins}, _v, {dense.replace('_v[cast(array_position(_b, j) as int) - 1]', 'get(_v, cast(array_position(_b, j) as int) - 1)')})"))
+    # Hashes are sorted as signed numbers, so that the upper half of the bins comes first; position j of _d is bin j.
+    full = f"concat(slice(_v, {bins // 2 + 1}, {bins // 2}), slice(_v, 1, {bins // 2}))"
+    dense = f"transform(sequence(0, {bins - 1}), j -> get(_v, cast(array_position(_b, j) as int) - 1))"
+    df = df.withColumn("_d", F.expr(f"if(size(_b) = {bins}, {full}, {dense})"))
     df = df.withColumn("_o", F.when(F.size("_b") < bins, _orders(bins)))
     fill = "transform(_d, (v, j) -> coalesce(v, get(_d, filter(_o[j], b -> get(_d, b) is not null)[0])))"
     df = df.withColumn("_d", F.expr(f"if(size(_b) = {bins}, _d, {fill})"))
