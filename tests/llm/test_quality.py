@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from tierwave.llm.quality import WIDTH, features, fit, held_out, score
+from tierwave.llm.quality import KINDS, WIDTH, features, fit, held_out, score
 
 
 def test_held_out_accuracy(spark, make, odd):
@@ -40,3 +40,11 @@ def test_without_classes(spark, make):
 
 def test_features_have_one_width():
     assert {len(features(t)) for t in (None, "", " ", "a", "\x00", "é" * 1000, "\ud800")} == {WIDTH}
+
+
+def test_commonest_word_is_counted_over_all_words():
+    top = 2 * len(KINDS) + 2
+    lines = "\n".join(" ".join(f"w{k}" for k in range(10)) for _ in range(2_000))
+    assert features(lines)[top] == 0.1
+    rare = ["x" if i % 7 == 3 else f"w{i}" for i in range(14_000)]
+    assert features(" ".join(rare))[top] == 1 / 7
