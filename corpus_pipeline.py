@@ -19,7 +19,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each SimHash component (sets of words, 7 of 64 bits)."""
+    """Keeps the document of the smallest doc_id of each component of near-duplicates.
+
+    Candidates are within 7 of 64 bits of SimHash on sets of words; a link needs 0.8 of the five-word shingles.
+    """
     from tierwave.llm.simhash import keep_one
 
     return keep_one(docs)

@@ -3,7 +3,7 @@ import random
 
 import xxhash
 
-from tierwave.llm.simhash import bucket_links, components, keep_one, near_duplicates, simhash
+from tierwave.llm.simhash import bucket_links, components, keep_one, near_duplicates, similar, simhash
 
 
 def slow(text):
@@ -96,3 +96,36 @@ def test_keep_one_takes_edited_copies(make):
     kept = [r.doc_id for r in keep_one(make(rows)).collect()]
     # Three of 150 words differ at most; the fingerprints are random, so a few such copies may stay.
     assert len(kept) == len(set(kept)) <= 93 and {groups[i] for i in kept if i in groups} == set(range(30)) and len([i for i in kept if i not in groups]) == 60
+
+
+def test_under_the_similarity_all_stay(make):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(rng.sample(words, 120))) for i in range(8)]
+    rows += [(20, rows[0][1] + " end"), (21, rows[5][1].upper())]
+    assert len({simhash(t, 0) for _, t in rows[:8]}) == 1
+    assert sorted(r.doc_id for r in keep_one(make(rows)).collect()) == list(range(8))
+
+
+def test_similar_against_pairs(make):
+    rng, rows = random.Random(9), []
+    for _ in range(6):
+        base = [f"w{rng.randrange(400)}" for _ in range(150)]
+        for _ in range(12):
+            text = list(base)
+            for _ in range(rng.randrange(9)):
+                text[rng.randrange(150)] = f"x{rng.randrange(400)}"
+            rows.append((len(rows), " ".join(text)))
+    grams = [{tuple(t.split()[i : i + 5]) for i in range(146)} for _, t in rows]
+    prints = [simhash(t, 0) % 2**64 for _, t in rows]
+    least, changed = list(range(len(rows))), True
+    links = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if (prints[a] ^ prints[b]).bit_count() <= 7 and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    while changed:
+        changed = False
+        for a, b in links:
+            if least[a] != least[b]:
+                least[a] = least[b] = min(least[a], least[b])
+                changed = True
+    assert 6 < len(set(least)) < len(rows) - 6
+    for chunk in (4, 1_000):
+        assert {r.doc_id: r.component_id for r in similar(make(rows), chunk=chunk).collect()} == dict(enumerate(least))
