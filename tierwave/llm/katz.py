@@ -1,16 +1,19 @@
-"""Language-model scoring: a Katz backoff bigram model with Good-Turing discounts.
+"""Language-model scoring: a Katz backoff model of any order with Good-Turing discounts.
 
-P(w | h) is d(c) * c / (c(h) + 1) where the pair (h, w) has training count c, and alpha(h) * P(w) where it has none;
-P(w) is d(c) * c / (N + 1) for known words, and all that is left for the unknown word. d() are Katz's Good-Turing
-discounts up to a count of `most` and 1 above; alpha(h) makes P(. | h) sum to one over the known words and the unknown
-one. (The 1 in the denominators keeps some backoff mass for histories whose pairs are all frequent.)
+P(w | h) of a history h of n words is d(c) * c / c(h) where the n-gram (h, w) has training count c, and
+alpha(h) * P(w | h without its first word) where it has none; of no history it is d(c) * c / N, and all that is left for
+the unknown word. d() are Katz's Good-Turing discounts up to a count of `most` and 1 above. alpha(h) makes P(. | h) sum
+to one over the known words and the unknown one. Where no n-gram of a history is discounted, nothing would be left for
+the others: there, and for unigrams, the denominator is one more.
 
-Texts are tokenized once into chunks of documents: a list of the distinct tokens' 64-bit hashes and, for each token,
-its place in that list. A chunk asks for the counts of its distinct tokens and pairs, once each, whatever their number
-of occurrences, so that a frequent token is one entry for each chunk. Requests are packed arrays, dealt out by a hash
-of the key to buckets whose number grows with the corpus; answers are packed arrays in the order of the request.
-Backoff weights take a second round: the chunk that a pair is assigned to adds it to the sums of its history. Both
-rounds leave their tables (counts, weights) as Parquet, partitioned by bucket, in the shared folder.
+Tables (Parquet in the shared folder, dealt out by a hash of their key):
+  words  word (hash), id, c        the vocabulary of the training texts; an id is a number, small for frequent words
+  n      w1..wn, c, total, weight  count of each n-gram, and as a history: the denominator and alpha (null for none)
+Everything in them comes from joins and sums with map-side aggregation; none gathers a word or a history in one task.
+
+Texts are tokenized once into chunks of documents. To count, a chunk gives each of its n-grams once. To score, it asks
+for each of its n-grams once, whatever the number of occurrences: packed arrays of ids go to buckets of the table, and
+counts and weights come back in the same order. The recursion then runs for each n-gram of a chunk, from short to long.
 
 Cases: null and empty texts are the end token alone; without training documents every token has probability one, as the
 unknown word is all there is; repeated rows count each; null doc_ids are training documents; an empty table gives no
@@ -19,27 +22,35 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, free_shuffles, materialize
+from .common import bound_batches, discard, materialize
 
 END, START = b" ", b"\n"  # no word holds these bytes
+START_ID, UNKNOWN_ID = -1, -2
 CHUNK_BYTES = 12_000_000
-BUCKET_KEYS = 400_000
+BUCKET_KEYS = 200_000
+#: The bucket of an n-gram: the sum over its ids of their remainders by MODULUS, times a factor each, by the number of buckets.
+MODULUS, FACTORS = 1_000_003, (1, 31_337, 611_953, 104_729, 15_331, 999_331, 7_919)
 
 
 def _pack(x: np.ndarray) -> bytes:
+    """Compressed, the first byte of every number before the second ones."""
     import zstandard
 
-    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x).tobytes())
+    x = np.ascontiguousarray(x)
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
 
 
 def _unpack(raw: bytes, kind: str) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def chunks_of(documents: DataFrame, held_out: Column, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -85,231 +96,279 @@ def chunks_of(documents: DataFrame, held_out: Column, chunk_bytes: int = CHUNK_B
     return rows.mapInArrow(run, f"chunk long, docs array<{kind}>, held array<boolean>, sizes array<long>, vocab binary, tokens binary")
 
 
-class Chunk:
-    """A chunk's arrays. pairs: distinct (history, token) codes; of: the pair of each token."""
-
-    def __init__(self, row, buckets: int):
-        self.sizes = np.array(row["sizes"], np.int64)
-        self.held = np.array(row["held"], bool)
-        self.vocab = np.frombuffer(row["vocab"], "<u8")
-        self.tokens = _unpack(row["tokens"], "<u4").astype(np.int64)
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[np.concatenate([[0], np.cumsum(self.sizes)[:-1]])] = 1
-        self.pairs, self.of = np.unique(before * len(self.vocab) + self.tokens, return_inverse=True)
-        self.history, self.word = np.divmod(self.pairs, len(self.vocab))
-        a, b = self.vocab[self.history], self.vocab[self.word]
-        x = a * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
-        x = (x + b) * np.uint64(0xC2B2AE3D27D4EB4F)
-        self.keys = {0: self.vocab, 1: x ^ (x >> np.uint64(32))}
-        self.order, self.cuts = {}, {}
-        for k, keys in self.keys.items():
-            bucket = (keys >> np.uint64(7)) % np.uint64(buckets)
-            self.order[k] = np.argsort(bucket, kind="stable")
-            self.cuts[k] = np.searchsorted(bucket[self.order[k]], np.arange(buckets + 1, dtype=np.uint64))
-
-    def trained(self) -> dict[int, np.ndarray]:
-        """Training counts of the words (0) and pairs (1)."""
-        train = ~self.held[self.doc]
-        return {0: np.bincount(self.tokens[train], minlength=len(self.vocab)), 1: np.bincount(self.of[train], minlength=len(self.pairs))}
-
-    def parts(self, kind: int):
-        """For each bucket the places of its keys."""
-        cuts = self.cuts[kind]
-        for b in range(len(cuts) - 1):
-            if cuts[b] < cuts[b + 1]:
-                yield b, self.order[kind][cuts[b] : cuts[b + 1]]
-
-
-def _requests(chunks: DataFrame, buckets: int) -> DataFrame:
+def word_counts(chunks: DataFrame) -> DataFrame:
+    """chunk, i (place in its vocabulary), word (hash), c (training count) of each word of a chunk but the start."""
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for row in batch.to_pylist():
-                c = Chunk(row, buckets)
-                counts = c.trained()
-                out = [(b, row["chunk"], k, c.keys[k][at].tobytes(), _pack(counts[k][at].astype("<u4"))) for k in (0, 1) for b, at in c.parts(k)]
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "chunk", "kind", "keys", "counts"])
+                vocab = np.frombuffer(row["vocab"], "<i8")
+                train = np.repeat(~np.array(row["held"], bool), row["sizes"])
+                c = np.bincount(_unpack(row["tokens"], "<u4")[train], minlength=len(vocab))
+                i = np.delete(np.arange(len(vocab)), 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), row["chunk"])), pa.array(i.astype(np.int32)), pa.array(vocab[i]), pa.array(c[i])], names=["chunk", "i", "word", "c"])
 
-    return chunks.mapInArrow(run, "bucket int, chunk long, kind int, keys binary, counts binary")
+    return chunks.select("chunk", "held", "sizes", "vocab", "tokens").mapInArrow(run, "chunk long, i int, word long, c long")
 
 
-def _answer_counts(requests: DataFrame, most: int) -> DataFrame:
-    """chunk, bucket, kind, total (corpus counts), own (whether a pair is assigned to this chunk); chunk null: stats."""
+def encode(chunks: DataFrame, found: DataFrame, words: DataFrame) -> DataFrame:
+    """chunks with the ids of their words in place of hashes: at, ids (arrays; words that aren't in `words` are left out)."""
+    pair = F.sort_array(F.collect_list(F.struct("i", "id")))
+    ids = found.select("chunk", "i", "word").join(words.select("word", "id"), "word").groupBy("chunk").agg(pair.alias("p")).select("chunk", F.col("p.i").alias("at"), F.col("p.id").alias("ids"))
+    return chunks.withColumn("width", (F.octet_length("vocab") / 8).cast("int")).drop("vocab").join(ids, "chunk", "left")
 
-    def run(rows):
-        import pandas as pd
 
-        out = []
-        for kind, some in rows.groupby("kind"):
-            some = some.sort_values("chunk")
-            keys = [np.frombuffer(k, "<u8") for k in some["keys"]]
-            uniq, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-            total = np.bincount(inverse, weights=np.concatenate([_unpack(c, "<u4") for c in some["counts"]]), minlength=len(uniq)).astype(np.int64)
-            own = np.zeros(len(inverse), bool)
-            own[first] = True
-            at = 0
-            for chunk, k in zip(some["chunk"], keys, strict=True):
-                mine = slice(at, at + len(k))
-                out.append((chunk, rows["bucket"].iloc[0], kind, _pack(total[inverse[mine]].astype("<u8")), _pack(np.packbits(own[mine])), None))
-                at += len(k)
-            out.append((None, rows["bucket"].iloc[0], kind, None, None, [int(total.sum()), int((total > 0).sum()), *np.bincount(total[(total > 0) & (total <= most + 1)], minlength=most + 2)[1:].tolist()]))
-        frame = pd.DataFrame(out, columns=["chunk", "bucket", "kind", "total", "own", "stats"])
-        return frame.astype({"chunk": "Int64"})
-
-    return requests.groupBy("bucket").applyInPandas(run, "chunk long, bucket int, kind int, total binary, own binary, stats array<long>")
-
-
-def discounts(counts_of_counts: list[int], most: int) -> np.ndarray:
-    """Katz's discounts d(0..most) from n(1..most+1); where those aren't between 0 and 1, (r - 0.5) / r."""
-    n = [0, *counts_of_counts]
-    out = np.ones(most + 1)
-    tail = (most + 1) * n[most + 1] / n[1] if n[1] else 1.0
-    for r in range(1, most + 1):
-        d = ((r + 1) * n[r + 1] / (r * n[r]) - tail) / (1 - tail) if n[r] and tail < 1 else 0.0
-        out[r] = d if 0 < d < 1 else (r - 0.5) / r
-    return out
+@dataclass
+class Grams:
+    """The distinct n-grams of a chunk. ids: a column for each word; of: the n-gram that ends at each position.
+
+    history, suffix: the numbers, among those one word shorter, of the n-gram without its last and its first word.
+    """
 
+    ids: list[np.ndarray]
+    of: np.ndarray
+    history: np.ndarray
+    suffix: np.ndarray
 
-class Model:
-    """Totals and discounts: all that isn't in the tables."""
+    def asked(self, buckets: int):
+        """For each bucket the n-grams in it. Those with an unknown word are in no table."""
+        some = np.flatnonzero(np.logical_and.reduce([x != UNKNOWN_ID for x in self.ids]))
+        bucket = sum(x[some] % MODULUS * f for x, f in zip(self.ids, FACTORS, strict=False)) % buckets
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            yield b, some[order[cuts[b] : cuts[b + 1]]]
 
-    def __init__(self, words: list[int], pairs: list[int], most: int):
-        self.n, self.v, self.most = words[0], words[1], most
-        self.d = {0: discounts(words[2:], most), 1: discounts(pairs[2:], most)}
-        mass = sum((self.d[0][r] - 1) * r * words[1 + r] for r in range(1, most + 1)) + self.n
-        self.unknown = 1 - mass / (self.n + 1)
 
-    def discounted(self, kind: int, c: np.ndarray) -> np.ndarray:
-        return np.where(c > self.most, 1.0, self.d[kind][np.minimum(c, self.most)]) * c
+class Chunk:
+    """A chunk's texts, each after order - 1 start tokens, and their n-grams of 1 to `order` words."""
+
+    def __init__(self, row, order: int):
+        sizes, held = np.array(row["sizes"], np.int64), np.array(row["held"], bool)
+        pad, v = order - 1, int(row["width"])
+        self.docs, self.sizes, self.held = row.get("docs"), sizes, held
+        self.doc = np.repeat(np.arange(len(sizes)), sizes + pad)
+        at = np.arange(len(self.doc)) - (np.cumsum(sizes + pad) - sizes - pad)[self.doc]
+        self.real = at >= pad
+        self.train = self.real & ~held[self.doc]
+        x = np.ones(len(self.doc), np.int64)
+        x[self.real] = _unpack(row["tokens"], "<u4")
+        ids = np.full(v, UNKNOWN_ID, np.int64)
+        ids[1] = START_ID
+        if row["at"] is not None and len(row["at"]):
+            ids[np.array(row["at"])] = row["ids"]
+        none = np.zeros(0, np.int64)
+        self.grams = [Grams([ids], x, none, none)]
+        for n in range(2, order + 1):
+            last = self.grams[-1]
+            places = np.flatnonzero(at >= n - 1)
+            codes, first, inverse = np.unique(last.of[places - 1] * v + x[places], return_index=True, return_inverse=True)
+            history, word = np.divmod(codes, v)
+            of = np.full(len(x), -1)
+            of[places] = inverse
+            self.grams.append(Grams([*(c[history] for c in last.ids), ids[word]], of, history, last.of[places[first]]))
+
+
+def _names(n: int, first: int = 1) -> list[str]:
+    return [f"w{k}" for k in range(first, first + n)]
+
+
+def _columns(batch):
+    """Rows of an Arrow batch as dictionaries whose lists are numpy arrays."""
+    import pyarrow as pa
+
+    lists = [pa.types.is_list(f.type) for f in batch.schema]
+    for j in range(batch.num_rows):
+        yield {f.name: (c[j].values.to_numpy(zero_copy_only=False) if c[j].is_valid else None) if wide and f.name != "docs" else c[j].as_py() for f, c, wide in zip(batch.schema, batch.columns, lists, strict=True)}
+
+
+def ngram_counts(encoded: DataFrame, n: int) -> DataFrame:
+    """w1..wn, c of each n-gram (n of 2 or more) of the training texts."""
 
-    def unigram(self, c: np.ndarray) -> np.ndarray:
-        return np.where(c > 0, self.discounted(0, c) / (self.n + 1), self.unknown)
+    def run(batches):
+        import pyarrow as pa
 
+        for batch in batches:
+            for row in _columns(batch):
+                chunk = Chunk(row, n)
+                g = chunk.grams[-1]
+                c = np.bincount(g.of[chunk.train], minlength=len(g.history))
+                some = np.flatnonzero(c)
+                for i in range(0, len(some), 100_000):
+                    at = some[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in g.ids), pa.array(c[at])], names=[*_names(n), "c"])
 
-def _gather(c: Chunk, answers, kind: int, column: str, dtype) -> np.ndarray:
-    """Answers of a kind, put back in the order of the chunk's keys."""
-    some = answers[answers["kind"] == kind].set_index("bucket")
-    out = np.zeros(len(c.keys[kind]), dtype)
-    for b, at in c.parts(kind):
-        raw = some.at[b, column]
-        out[at] = np.unpackbits(_unpack(raw, "u1"), count=len(at)) if column == "own" else _unpack(raw, "<u8")
-    return out
+    rows = encoded.drop("docs").mapInArrow(run, ", ".join(f"{c} long" for c in [*_names(n), "c"]))
+    return rows.groupBy(*_names(n)).agg(F.sum("c").alias("c"))
 
 
-def _as_history(c: Chunk, words: np.ndarray) -> np.ndarray:
-    """Counts as histories: the start has that of the end."""
-    out = words.copy()
-    out[1] = words[0]
+def discounts(counts_of_counts: list[int], most: int) -> list[float]:
+    """Katz's discounts d(0..most) from n(1..most+1); where those aren't between 0 and 1, (r - 0.5) / r."""
+    n = [0, *counts_of_counts]
+    out = [1.0] * (most + 1)
+    tail = (most + 1) * n[most + 1] / n[1] if n[1] else 1.0
+    for r in range(1, most + 1):
+        d = ((r + 1) * n[r + 1] / (r * n[r]) - tail) / (1 - tail) if n[r] and tail < 1 else 0.0
+        out[r] = d if 0 < d < 1 else (r - 0.5) / r
     return out
 
 
-def _sums(chunks: DataFrame, answers: DataFrame, model: Model, buckets: int) -> DataFrame:
-    """Per chunk and bucket: keys of histories with their sums over the pairs assigned here (ask 0), or wanted (ask 1)."""
+@dataclass
+class Model:
+    """words and tables[n - 1]: the tables. n, v: training tokens, distinct ones. d: discounts of each order."""
+
+    words: DataFrame
+    tables: list[DataFrame]
+    sizes: list[int]
+    n: int
+    v: int
+    d: list[list[float]]
+    unknown: float
+
+    def discounted(self, order: int, c: np.ndarray) -> np.ndarray:
+        d = np.array(self.d[order - 1])
+        return np.where(c < len(d), d[np.minimum(c, len(d) - 1)], 1.0) * c
+
+    def without_tables(self) -> Model:
+        return Model(None, [], self.sizes, self.n, self.v, self.d, self.unknown)
+
+
+def _discounted(d: list[float]) -> Column:
+    c = F.col("c")
+    return F.when(c < len(d), F.get(F.array(*map(F.lit, d)), c.cast("int"))).otherwise(1.0) * c
+
+
+def _figures(table: DataFrame, most: int) -> tuple[int, int, list[float]]:
+    """Rows, tokens and discounts of a table of counts."""
+    each = [F.count(F.when(F.col("c") == r, 1)) for r in range(1, most + 2)]
+    size, tokens, *few = table.agg(F.count("*"), F.sum("c"), *each).first()
+    return size, tokens or 0, discounts(few, most)
+
+
+def fit(encoded: DataFrame, words: DataFrame, order: int = 2, most: int = 5) -> Model:
+    """The model of the chunks' training texts, up to n-grams of `order` words."""
+    level = words.select(F.col("id").alias("w1"), "c")
+    v, n, d = _figures(level, most)
+    found, sizes, tables = [d], [v], []
+    kept = level.agg(F.sum(_discounted(d))).first()[0] or 0.0
+    level = level.withColumn("p", _discounted(d) / (n + 1))
+    for k in range(2, order + 1):
+        rows = materialize(ngram_counts(encoded, k), f"katz-{k}-grams")
+        size, _, d = _figures(rows, most)
+        low = level.select(*(F.col(a).alias(b) for a, b in zip(_names(k - 1), _names(k - 1, 2), strict=True)), "p")
+        stats = rows.join(low, _names(k - 1, 2)).groupBy(*_names(k - 1)).agg(F.sum("c").alias("total"), F.sum(_discounted(d)).alias("kept"), F.sum("p").alias("low"))
+        total = F.when(F.col("kept") < F.col("total") * (1 - 1e-12), F.col("total")).otherwise(F.col("total") + 1)
+        weight = (1 - F.col("kept") / F.col("total")) / F.greatest(1 - F.col("low"), F.lit(1e-300))
+        stats = materialize(stats.withColumn("total", total).select(*_names(k - 1), "total", weight.alias("weight")), f"katz-{k}-histories")
+        tables.append(materialize(level.drop("p").join(stats, _names(k - 1), "full").withColumn("c", F.coalesce("c", F.lit(0).cast("bigint"))), f"katz-{k - 1}"))
+        level = rows if k == order else rows.join(stats, _names(k - 1)).select(*_names(k), "c", (_discounted(d) / F.col("total")).alias("p"))
+        found.append(d)
+        sizes.append(size)
+    none = F.lit(None)
+    tables.append(level.select(*_names(order), "c", none.cast("bigint").alias("total"), none.cast("double").alias("weight")))
+    return Model(words, tables, sizes, n, v, found, 1 - kept / (n + 1))
+
+
+def _answers(encoded: DataFrame, table: DataFrame, n: int, order: int, buckets: int) -> DataFrame:
+    """chunk, n, bucket; c, total, weight (packed): of the n-grams that a chunk asks for, in its order."""
+
+    def ask(batches):
+        import pyarrow as pa
 
-    def run(row, found):
-        import pandas as pd
+        for batch in batches:
+            for row in _columns(batch):
+                g = Chunk(row, order).grams[n - 1]
+                for b, at in g.asked(buckets):
+                    keys = [[_pack(x[at]) for x in g.ids]]
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([row["chunk"]], pa.int64()), pa.array(keys, pa.list_(pa.binary()))], names=["bucket", "chunk", "keys"])
 
-        if not len(row):
-            return pd.DataFrame([], columns=["bucket", "chunk", "ask", "keys", "seen", "low"])
-        c = Chunk(row.iloc[0], buckets)
-        words, pairs, own = _gather(c, found, 0, "total", np.int64), _gather(c, found, 1, "total", np.int64), _gather(c, found, 1, "own", bool)
-        hist, v = _as_history(c, words), len(c.vocab)
-        mine = own & (pairs > 0)
-        seen = np.bincount(c.history[mine], weights=model.discounted(1, pairs[mine]), minlength=v) / (hist + 1)
-        low = np.bincount(c.history[mine], weights=model.unigram(words[c.word[mine]]), minlength=v)
-        wanted = np.zeros(v, bool)
-        wanted[c.history[pairs == 0]] = True
-        wanted &= hist > 0
-        out = []
-        for b, at in c.parts(0):
-            give, ask = at[low[at] > 0], at[wanted[at]]
-            if len(give):
-                out.append((b, row["chunk"].iloc[0], 0, c.vocab[give].tobytes(), _pack(seen[give]), _pack(low[give])))
-            if len(ask):
-                out.append((b, row["chunk"].iloc[0], 1, c.vocab[ask].tobytes(), None, None))
-        return pd.DataFrame(out, columns=["bucket", "chunk", "ask", "keys", "seen", "low"])
-
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, "bucket int, chunk long, ask int, keys binary, seen binary, low binary")
-
-
-def _answer_weights(sums: DataFrame) -> DataFrame:
-    """chunk, bucket, weight: the backoff weights of the histories that the chunk wants."""
-
-    def run(rows):
+    def answer(asked, known):
         import pandas as pd
 
-        give, ask = rows[rows["ask"] == 0], rows[rows["ask"] == 1]
-        keys = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(k, "<u8") for k in give["keys"])])
-        uniq, inverse = np.unique(keys, return_inverse=True)
-        total = [np.bincount(inverse, weights=np.concatenate([np.zeros(0), *(_unpack(x, "<f8") for x in give[name])]), minlength=len(uniq)) for name in ("seen", "low")]
-        weight = (1 - total[0]) / np.maximum(1 - total[1], 1e-300)
-        out = []
-        for chunk, k in zip(ask["chunk"], ask["keys"], strict=True):
-            out.append((chunk, rows["bucket"].iloc[0], weight[np.searchsorted(uniq, np.frombuffer(k, "<u8"))].tobytes()))
-        return pd.DataFrame(out, columns=["chunk", "bucket", "weight"])
-
-    return sums.groupBy("bucket").applyInPandas(run, "chunk long, bucket int, weight binary")
-
-
-def _scores(chunks: DataFrame, answers: DataFrame, model: Model, buckets: int, kind: str) -> DataFrame:
-    def run(row, found):
+        keys = [[_unpack(k, "<i8") for k in row] for row in asked["keys"]]
+        if not keys:
+            return pd.DataFrame([], columns=["chunk", "n", "bucket", "c", "total", "weight"])
+        every = pd.DataFrame({name: np.concatenate([k[j] for k in keys]) for j, name in enumerate(_names(n))})
+        got = every.merge(known.drop(columns="bucket"), how="left", on=_names(n), validate="many_to_one")
+        c, total, weight = (got[x].fillna(0).to_numpy(kind) for x, kind in (("c", np.int64), ("total", np.int64), ("weight", np.float64)))
+        out, at = [], 0
+        for chunk, k in zip(asked["chunk"], keys, strict=True):
+            mine = slice(at, at + len(k[0]))
+            more = (_pack(total[mine]), _pack(weight[mine])) if n < order else (None, None)
+            out.append((chunk, n, asked["bucket"].iloc[0], _pack(c[mine]), *more))
+            at += len(k[0])
+        return pd.DataFrame(out, columns=["chunk", "n", "bucket", "c", "total", "weight"])
+
+    asked = encoded.drop("docs").mapInArrow(ask, "bucket int, chunk long, keys array<binary>")
+    mixed = "+".join(f"pmod({c}, {MODULUS}) * {f}L" for c, f in zip(_names(n), FACTORS, strict=False))
+    known = table.withColumn("bucket", F.expr(f"cast(pmod({mixed}, {buckets}L) as int)"))
+    return asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(answer, "chunk long, n int, bucket int, c binary, total binary, weight binary")
+
+
+def probabilities(encoded: DataFrame, model: Model, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document of the chunks."""
+    spark, order, kind = encoded.sparkSession, len(model.tables), encoded.schema["docs"].dataType.elementType.simpleString()
+    buckets = [max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-s // bucket_keys)) for s in model.sizes]
+    found = None
+    for n in range(1, order + 1):
+        some = materialize(_answers(encoded, model.tables[n - 1], n, order, buckets[n - 1]), f"katz-answers-{n}")
+        found = some if found is None else found.unionByName(some)
+    model = model.without_tables()
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+
+    def gather(g, answers, n):
+        """Counts, totals and weights in the order of the chunk's n-grams; 0, 0 and 1 of what is in no table."""
+        c, total, weight = np.zeros(len(g.ids[0]), np.int64), np.zeros(len(g.ids[0]), np.int64), np.ones(len(g.ids[0]))
+        mine = answers[answers["n"] == n].set_index("bucket")
+        for b, at in g.asked(buckets[n - 1]):
+            row = mine.loc[b]
+            c[at] = _unpack(row["c"], "<i8")
+            if n < order:
+                total[at], weight[at] = _unpack(row["total"], "<i8"), _unpack(row["weight"], "<f8")
+        return c, total, np.where(total > 0, weight, 1.0)
+
+    def run(rows, answers):
         import pandas as pd
 
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-        if not len(row):
+        if not len(rows):
             return pd.DataFrame([], columns=names)
-        c = Chunk(row.iloc[0], buckets)
-        words, pairs = _gather(c, found, 0, "total", np.int64), _gather(c, found, 1, "total", np.int64)
-        hist, low = _as_history(c, words), model.unigram(words)
-        wanted = np.zeros(len(c.vocab), bool)
-        wanted[c.history[pairs == 0]] = True
-        wanted &= hist > 0
-        weight = np.ones(len(c.vocab))
-        answered = found[found["kind"] == 2].set_index("bucket")
-        for b, at in c.parts(0):
-            ask = at[wanted[at]]
-            if len(ask):
-                weight[ask] = np.frombuffer(answered.at[b, "own"], "<f8")
-        p = np.where(pairs > 0, model.discounted(1, pairs) / (hist[c.history] + 1), weight[c.history] * low[c.word])
-        n = len(c.sizes)
+        chunk, before = Chunk(rows.iloc[0], order), None
+        for n, g in enumerate(chunk.grams, 1):
+            c, total, weight = gather(g, answers, n)
+            if n == 1:
+                words, p = c, np.where(c > 0, model.discounted(1, c) / (model.n + 1), model.unknown)
+            else:
+                p = np.where(c > 0, model.discounted(n, c) / np.maximum(before[0][g.history], 1), before[1][g.history] * p[g.suffix])
+            before = total, weight
+        of, doc, size = chunk.grams[-1].of[chunk.real], chunk.doc[chunk.real], len(chunk.sizes)
+        word = chunk.grams[0].of[chunk.real]
+        total = lambda x: np.bincount(doc, weights=x, minlength=size)
         base = np.log10((words + 1) / (model.n + model.v + 1))
+        with np.errstate(divide="ignore"):
+            logs = np.log10(p)
         return pd.DataFrame({
-            "doc_id": pd.Series(list(row.iloc[0]["docs"]), dtype=object), "held_out": c.held, "n_tokens": c.sizes,
-            "n_known": np.bincount(c.doc, weights=words[c.tokens] > 0, minlength=n).astype(np.int64),
-            "base_score": np.bincount(c.doc, weights=base[c.tokens], minlength=n), "score": np.bincount(c.doc, weights=np.log10(p)[c.of], minlength=n),
+            "doc_id": pd.Series(list(chunk.docs), dtype=object), "held_out": chunk.held, "n_tokens": chunk.sizes, "n_known": total(words[word] > 0).astype(np.int64),
+            "base_score": total(base[word]), "score": total(logs[of]),
         })
 
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = encoded.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.withColumn("train_tokens", F.lit(model.n).cast("bigint"))
 
 
-def score(documents: DataFrame, held_out: Column, most: int = 5, chunk_bytes: int = CHUNK_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+def score(documents: DataFrame, held_out: Column, order: int = 2, most: int = 5, chunk_bytes: int = CHUNK_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score (log10 probability).
 
     held_out: which documents (by their columns) the model doesn't learn from.
     """
-    spark = documents.sparkSession
-    kind = documents.schema["doc_id"].dataType.simpleString()
     chunks = materialize(chunks_of(documents, held_out, chunk_bytes), "katz-chunks")
-    tokens = chunks.agg(F.sum(F.expr("aggregate(sizes, 0L, (n, x) -> n + x)"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // bucket_keys))
-    counts = materialize(_answer_counts(_requests(chunks, buckets), most), "katz-counts")
-    free_shuffles(spark)
-    stats = counts.where("chunk is null").select("kind", F.posexplode("stats").alias("i", "n")).groupBy("kind", "i").agg(F.sum("n").alias("n"))
-    totals = {0: [0] * (most + 3), 1: [0] * (most + 3)}
-    for r in stats.collect():  # (most + 3) figures of each kind
-        totals[r["kind"]][r["i"]] = r["n"]
-    model = Model(totals[0], totals[1], most)
-    counts = counts.where("chunk is not null").select("chunk", "bucket", "kind", "total", "own")
-    weights = materialize(_answer_weights(_sums(chunks, counts, model, buckets)), "katz-weights")
-    free_shuffles(spark)
-    answers = counts.unionByName(weights.select("chunk", "bucket", F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("total"), F.col("weight").alias("own")))
-    found = _scores(chunks, answers, model, buckets, kind)
-    return found.withColumn("train_tokens", F.lit(model.n).cast("bigint"))
+    found = materialize(word_counts(chunks), "katz-chunk-words")
+    known = found.where("c > 0").groupBy("word").agg(F.sum("c").alias("c"))
+    words = materialize(known.sortWithinPartitions(F.desc("c")).withColumn("id", F.monotonically_increasing_id()), "katz-words")
+    encoded = materialize(encode(chunks, found, words), "katz-encoded")
+    discard(chunks, found)
+    return probabilities(encoded, fit(encoded, words, order, most), bucket_keys)
 
 
 def by_remainder(doc_id: Column, folds: int = 7, remainder: int = 2) -> Column:
