@@ -4,10 +4,9 @@ import zlib
 from collections import Counter
 
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tierwave.llm.katz import by_remainder, chunks_of, discounts, encode, fit, probabilities, score, word_counts
+from tierwave.llm.katz import by_remainder, chunks_of, discounts, encode, fit, probabilities, score, vocabulary
 from tierwave.llm.queries import op10_lm_scoring
 
 
@@ -87,12 +86,11 @@ def test_tables_score_other_texts(make):
     train, other = [(i, f"a b {'c' * (i % 3 + 1)} d e{i % 4}") for i in range(40)], [(1, "a b x d"), (2, "zz"), (3, "a b c d e1")]
     train = [(i, t) for i, t in train if zlib.crc32(str(i).encode()) % 7 != 2]
     chunks = chunks_of(make(train), F.lit(False))
-    found = word_counts(chunks)
-    words = found.groupBy("word").agg(F.sum("c").alias("c")).withColumn("id", F.row_number().over(Window.orderBy("word")).cast("bigint"))
-    model = fit(encode(chunks, found, words), words, 2)
+    words = vocabulary(chunks, 5)
+    model = fit(encode(chunks, words, 5), words, 2)
     asked = chunks_of(make(other), F.lit(True))
-    got = {r.doc_id: r.score for r in probabilities(encode(asked, word_counts(asked), words), model).collect()}
-    # 1000 + i stand for doc_ids of the other texts that are held out.
+    got = {r.doc_id: r.score for r in probabilities(encode(asked, words, 5), model).collect()}
+    # These stand for doc_ids of the other texts that are held out.
     held = [i for i in range(1000, 9000) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
     want = {r[0]: r[6] for r in slow(train + [(h, t) for h, (_, t) in zip(held, other, strict=True)], 2)}
     for (i, _), h in zip(other, held, strict=True):

@@ -7,13 +7,12 @@ to one over the known words and the unknown one. Where no n-gram of a history is
 the others: there, and for unigrams, the denominator is one more.
 
 Tables (Parquet in the shared folder, dealt out by a hash of their key):
-  words  word (hash), id, c        the vocabulary of the training texts; an id is a number, small for frequent words
-  n      w1..wn, c, total, weight  count of each n-gram, and as a history: the denominator and alpha (null for none)
-Everything in them comes from joins and sums with map-side aggregation; none gathers a word or a history in one task.
-
-Texts are tokenized once into chunks of documents. To count, a chunk gives each of its n-grams once. To score, it asks
-for each of its n-grams once, whatever the number of occurrences: packed arrays of ids go to buckets of the table, and
-counts and weights come back in the same order. The recursion then runs for each n-gram of a chunk, from short to long.
+  words  bucket, word (hash), id, c  the vocabulary of the training texts; an id is a number, small for frequent words
+  n      w1..wn, c, total, weight    count of each n-gram, and as a history: the denominator and alpha (null for none)
+Texts are tokenized once into chunks of documents. A chunk gives each of its n-grams once to be counted, and asks once
+for its figures, whatever the number of occurrences, as packed arrays of ids for the n-gram's bucket. A frequent n-gram
+is one entry for each chunk, and the n-grams of a frequent history lie in many buckets; sums over a history are
+aggregated map-side. Figures come back in the order of the request. The recursion then runs for each n-gram of a chunk, from short to long.
 
 Cases: null and empty texts are the end token alone; without training documents every token has probability one, as the
 unknown word is all there is; repeated rows count each; null doc_ids are training documents; an empty table gives no
@@ -32,7 +31,7 @@ from .common import bound_batches, discard, materialize
 
 END, START = b" ", b"\n"  # no word holds these bytes
 START_ID, UNKNOWN_ID = -1, -2
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 8_000_000
 BUCKET_KEYS = 200_000
 #: The bucket of an n-gram: the sum over its ids of their remainders by MODULUS, times a factor each, by the number of buckets.
 MODULUS, FACTORS = 1_000_003, (1, 31_337, 611_953, 104_729, 15_331, 999_331, 7_919)
@@ -54,7 +53,7 @@ def _unpack(raw: bytes, kind: str) -> np.ndarray:
 
 
 def chunks_of(documents: DataFrame, held_out: Column, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """chunk, docs (doc_ids), held, sizes (tokens of each), vocab (hashes; the end and the start come first), tokens."""
+    """chunk, docs (doc_ids), held, sizes (tokens of each), width, vocab (`width` hashes; the end and the start first), tokens."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     bound_batches(documents.sparkSession)
 
@@ -69,8 +68,8 @@ def chunks_of(documents: DataFrame, held_out: Column, chunk_bytes: int = CHUNK_B
             vocab = np.array([xxh(w) for w in known], "<u8")
             return pa.RecordBatch.from_arrays(
                 [pa.array([(part << 32) + number], pa.int64()), pa.array([docs], pa.list_(id_type)), pa.array([held], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int64())),
-                 pa.array([vocab.tobytes()], pa.binary()), pa.array([_pack(np.concatenate(tokens))], pa.binary())],
-                names=["chunk", "docs", "held", "sizes", "vocab", "tokens"],
+                 pa.array([len(vocab)], pa.int64()), pa.array([vocab.tobytes()], pa.binary()), pa.array([_pack(np.concatenate(tokens))], pa.binary())],
+                names=["chunk", "docs", "held", "sizes", "width", "vocab", "tokens"],
             )
 
         docs, held, sizes, tokens, known, full = [], [], [], [], {END: 0, START: 1}, 0
@@ -93,31 +92,72 @@ def chunks_of(documents: DataFrame, held_out: Column, chunk_bytes: int = CHUNK_B
             yield flush()
 
     rows = documents.select("doc_id", "text", held_out.alias("held"))
-    return rows.mapInArrow(run, f"chunk long, docs array<{kind}>, held array<boolean>, sizes array<long>, vocab binary, tokens binary")
+    return rows.mapInArrow(run, f"chunk long, docs array<{kind}>, held array<boolean>, sizes array<long>, width long, vocab binary, tokens binary")
+
+
+def _spread(bucket: np.ndarray, buckets: int):
+    """Each bucket that has rows, with their places."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+        yield b, order[cuts[b] : cuts[b + 1]]
 
 
-def word_counts(chunks: DataFrame) -> DataFrame:
-    """chunk, i (place in its vocabulary), word (hash), c (training count) of each word of a chunk but the start."""
+def _words_by_bucket(chunks: DataFrame, buckets: int) -> DataFrame:
+    """bucket, chunk; at (places in its vocabulary), words, c (training counts), packed. The start isn't a word."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for row in batch.to_pylist():
-                vocab = np.frombuffer(row["vocab"], "<i8")
-                train = np.repeat(~np.array(row["held"], bool), row["sizes"])
+            for row in _columns(batch):
+                vocab = np.frombuffer(row["vocab"], "<u8")
+                train = np.repeat(~row["held"].astype(bool), row["sizes"])
                 c = np.bincount(_unpack(row["tokens"], "<u4")[train], minlength=len(vocab))
-                i = np.delete(np.arange(len(vocab)), 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), row["chunk"])), pa.array(i.astype(np.int32)), pa.array(vocab[i]), pa.array(c[i])], names=["chunk", "i", "word", "c"])
+                place = np.delete(np.arange(len(vocab), dtype=np.int32), 1)
+                parts = [(b, row["chunk"], _pack(at), _pack(vocab[at]), _pack(c[at])) for b, at in ((b, place[i]) for b, i in _spread((vocab[place] % np.uint64(buckets)).astype(np.int64), buckets))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "chunk", "at", "words", "c"])
+
+    return chunks.drop("docs").mapInArrow(run, "bucket int, chunk long, at binary, words binary, c binary")
+
+
+def word_buckets(chunks: DataFrame, bucket_keys: int = BUCKET_KEYS) -> int:
+    most = chunks.agg(F.sum("width")).first()[0] or 0
+    return max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-most // bucket_keys // 4))
+
+
+def vocabulary(chunks: DataFrame, buckets: int) -> DataFrame:
+    """bucket, word (hash), id, c of every training word."""
+
+    def run(rows):
+        import pandas as pd
 
-    return chunks.select("chunk", "held", "sizes", "vocab", "tokens").mapInArrow(run, "chunk long, i int, word long, c long")
+        word, at = np.unique(np.concatenate([_unpack(x, "<u8") for x in rows["words"]]), return_inverse=True)
+        c = np.bincount(at, weights=np.concatenate([_unpack(x, "<i8") for x in rows["c"]])).astype(np.int64)
+        order = np.argsort(-c, kind="stable")[: np.count_nonzero(c)]
+        b = int(rows["bucket"].iloc[0])
+        return pd.DataFrame({"bucket": b, "word": word[order].view(np.int64), "id": np.arange(len(order), dtype=np.int64) * buckets + b, "c": c[order]})
 
+    return _words_by_bucket(chunks, buckets).select("bucket", "words", "c").groupBy("bucket").applyInPandas(run, "bucket int, word long, id long, c long")
 
-def encode(chunks: DataFrame, found: DataFrame, words: DataFrame) -> DataFrame:
-    """chunks with the ids of their words in place of hashes: at, ids (arrays; words that aren't in `words` are left out)."""
-    pair = F.sort_array(F.collect_list(F.struct("i", "id")))
-    ids = found.select("chunk", "i", "word").join(words.select("word", "id"), "word").groupBy("chunk").agg(pair.alias("p")).select("chunk", F.col("p.i").alias("at"), F.col("p.id").alias("ids"))
-    return chunks.withColumn("width", (F.octet_length("vocab") / 8).cast("int")).drop("vocab").join(ids, "chunk", "left")
+
+def encode(chunks: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
+    """chunks with `known` in place of vocab: places and ids (packed) of the words that are in `words`."""
+
+    def run(asked, known):
+        import pandas as pd
+
+        ids = pd.Series(known["id"].to_numpy(), index=known["word"].to_numpy())
+        out = []
+        for chunk, at, word in zip(asked["chunk"], asked["at"], asked["words"], strict=True):
+            found = ids.index.get_indexer(_unpack(word, "<i8"))
+            some = found >= 0
+            out.append((chunk, _pack(_unpack(at, "<i4")[some]), _pack(ids.to_numpy()[found[some]])))
+        return pd.DataFrame(out, columns=["chunk", "at", "ids"])
+
+    asked = _words_by_bucket(chunks, buckets).select("bucket", "chunk", "at", "words")
+    found = asked.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInPandas(run, "chunk long, at binary, ids binary")
+    return chunks.drop("vocab").join(found.groupBy("chunk").agg(F.collect_list(F.struct("at", "ids")).alias("known")), "chunk", "left")
 
 
 @dataclass
@@ -132,41 +172,39 @@ class Grams:
     history: np.ndarray
     suffix: np.ndarray
 
-    def asked(self, buckets: int):
+    def asked(self, buckets: int, some: np.ndarray | None = None):
         """For each bucket the n-grams in it. Those with an unknown word are in no table."""
-        some = np.flatnonzero(np.logical_and.reduce([x != UNKNOWN_ID for x in self.ids]))
+        some = np.flatnonzero(np.logical_and.reduce([x != UNKNOWN_ID for x in self.ids])) if some is None else some
         bucket = sum(x[some] % MODULUS * f for x, f in zip(self.ids, FACTORS, strict=False)) % buckets
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-            yield b, some[order[cuts[b] : cuts[b + 1]]]
+        for b, at in _spread(bucket, buckets):
+            yield b, some[at]
 
 
 class Chunk:
-    """A chunk's texts, each after order - 1 start tokens, and their n-grams of 1 to `order` words."""
+    """A chunk's texts, each after order - 1 start tokens, and their n-grams of 1 to `most` words."""
 
-    def __init__(self, row, order: int):
+    def __init__(self, row, order: int, most: int | None = None):
         sizes, held = np.array(row["sizes"], np.int64), np.array(row["held"], bool)
         pad, v = order - 1, int(row["width"])
         self.docs, self.sizes, self.held = row.get("docs"), sizes, held
-        self.doc = np.repeat(np.arange(len(sizes)), sizes + pad)
-        at = np.arange(len(self.doc)) - (np.cumsum(sizes + pad) - sizes - pad)[self.doc]
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + pad)
+        at = np.arange(len(self.doc), dtype=np.int32) - (np.cumsum(sizes + pad) - sizes - pad).astype(np.int32)[self.doc]
         self.real = at >= pad
         self.train = self.real & ~held[self.doc]
-        x = np.ones(len(self.doc), np.int64)
+        x = np.ones(len(self.doc), np.int32)
         x[self.real] = _unpack(row["tokens"], "<u4")
         ids = np.full(v, UNKNOWN_ID, np.int64)
         ids[1] = START_ID
-        if row["at"] is not None and len(row["at"]):
-            ids[np.array(row["at"])] = row["ids"]
+        for part in row["known"] if row["known"] is not None else ():
+            ids[_unpack(part["at"], "<i4")] = _unpack(part["ids"], "<i8")
         none = np.zeros(0, np.int64)
         self.grams = [Grams([ids], x, none, none)]
-        for n in range(2, order + 1):
+        for n in range(2, (most or order) + 1):
             last = self.grams[-1]
             places = np.flatnonzero(at >= n - 1)
-            codes, first, inverse = np.unique(last.of[places - 1] * v + x[places], return_index=True, return_inverse=True)
+            codes, first, inverse = np.unique(last.of[places - 1].astype(np.int64) * v + x[places], return_index=True, return_inverse=True)
             history, word = np.divmod(codes, v)
-            of = np.full(len(x), -1)
+            of = np.full(len(x), -1, np.int32)
             of[places] = inverse
             self.grams.append(Grams([*(c[history] for c in last.ids), ids[word]], of, history, last.of[places[first]]))
 
@@ -176,18 +214,16 @@ def _names(n: int, first: int = 1) -> list[str]:
 
 
 def _columns(batch):
-    """Rows of an Arrow batch as dictionaries whose lists are numpy arrays."""
-    import pyarrow as pa
-
-    lists = [pa.types.is_list(f.type) for f in batch.schema]
+    """Rows of an Arrow batch as dictionaries whose lists of numbers are numpy arrays."""
+    plain = ("sizes", "held")
     for j in range(batch.num_rows):
-        yield {f.name: (c[j].values.to_numpy(zero_copy_only=False) if c[j].is_valid else None) if wide and f.name != "docs" else c[j].as_py() for f, c, wide in zip(batch.schema, batch.columns, lists, strict=True)}
+        yield {f.name: c[j].values.to_numpy(zero_copy_only=False) if f.name in plain else c[j].as_py() for f, c in zip(batch.schema, batch.columns, strict=True)}
 
 
-def ngram_counts(encoded: DataFrame, n: int) -> DataFrame:
+def ngram_counts(encoded: DataFrame, n: int, buckets: int) -> DataFrame:
     """w1..wn, c of each n-gram (n of 2 or more) of the training texts."""
 
-    def run(batches):
+    def give(batches):
         import pyarrow as pa
 
         for batch in batches:
@@ -195,13 +231,18 @@ def ngram_counts(encoded: DataFrame, n: int) -> DataFrame:
                 chunk = Chunk(row, n)
                 g = chunk.grams[-1]
                 c = np.bincount(g.of[chunk.train], minlength=len(g.history))
-                some = np.flatnonzero(c)
-                for i in range(0, len(some), 100_000):
-                    at = some[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in g.ids), pa.array(c[at])], names=[*_names(n), "c"])
+                for b, at in g.asked(buckets, np.flatnonzero(c)):
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([[_pack(x[at]) for x in g.ids]], pa.list_(pa.binary())), pa.array([_pack(c[at])], pa.binary())], names=["bucket", "keys", "c"])
+
+    def add(rows):
+        import pandas as pd
+
+        keys = {w: np.concatenate([_unpack(k[j], "<i8") for k in rows["keys"]]) for j, w in enumerate(_names(n))}
+        every = pd.DataFrame(keys | {"c": np.concatenate([_unpack(c, "<i8") for c in rows["c"]])})
+        return every.groupby(_names(n), sort=True, as_index=False)["c"].sum()
 
-    rows = encoded.drop("docs").mapInArrow(run, ", ".join(f"{c} long" for c in [*_names(n), "c"]))
-    return rows.groupBy(*_names(n)).agg(F.sum("c").alias("c"))
+    rows = encoded.drop("docs").mapInArrow(give, "bucket int, keys array<binary>, c binary")
+    return rows.groupBy("bucket").applyInPandas(add, ", ".join(f"{c} long" for c in [*_names(n), "c"]))
 
 
 def discounts(counts_of_counts: list[int], most: int) -> list[float]:
@@ -221,7 +262,7 @@ class Model:
 
     words: DataFrame
     tables: list[DataFrame]
-    sizes: list[int]
+    buckets: list[int]
     n: int
     v: int
     d: list[list[float]]
@@ -232,7 +273,7 @@ class Model:
         return np.where(c < len(d), d[np.minimum(c, len(d) - 1)], 1.0) * c
 
     def without_tables(self) -> Model:
-        return Model(None, [], self.sizes, self.n, self.v, self.d, self.unknown)
+        return Model(None, [], self.buckets, self.n, self.v, self.d, self.unknown)
 
 
 def _discounted(d: list[float]) -> Column:
@@ -247,15 +288,16 @@ def _figures(table: DataFrame, most: int) -> tuple[int, int, list[float]]:
     return size, tokens or 0, discounts(few, most)
 
 
-def fit(encoded: DataFrame, words: DataFrame, order: int = 2, most: int = 5) -> Model:
+def fit(encoded: DataFrame, words: DataFrame, order: int = 2, most: int = 5, bucket_keys: int = BUCKET_KEYS) -> Model:
     """The model of the chunks' training texts, up to n-grams of `order` words."""
+    least = int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     level = words.select(F.col("id").alias("w1"), "c")
     v, n, d = _figures(level, most)
-    found, sizes, tables = [d], [v], []
+    found, buckets, tables = [d], [max(least, -(-v // bucket_keys))], []
     kept = level.agg(F.sum(_discounted(d))).first()[0] or 0.0
     level = level.withColumn("p", _discounted(d) / (n + 1))
     for k in range(2, order + 1):
-        rows = materialize(ngram_counts(encoded, k), f"katz-{k}-grams")
+        rows = materialize(ngram_counts(encoded, k, max(least, -(-n // bucket_keys // 4))), f"katz-{k}-grams")
         size, _, d = _figures(rows, most)
         low = level.select(*(F.col(a).alias(b) for a, b in zip(_names(k - 1), _names(k - 1, 2), strict=True)), "p")
         stats = rows.join(low, _names(k - 1, 2)).groupBy(*_names(k - 1)).agg(F.sum("c").alias("total"), F.sum(_discounted(d)).alias("kept"), F.sum("p").alias("low"))
@@ -265,10 +307,10 @@ def fit(encoded: DataFrame, words: DataFrame, order: int = 2, most: int = 5) ->
         tables.append(materialize(level.drop("p").join(stats, _names(k - 1), "full").withColumn("c", F.coalesce("c", F.lit(0).cast("bigint"))), f"katz-{k - 1}"))
         level = rows if k == order else rows.join(stats, _names(k - 1)).select(*_names(k), "c", (_discounted(d) / F.col("total")).alias("p"))
         found.append(d)
-        sizes.append(size)
+        buckets.append(max(least, -(-size // bucket_keys)))
     none = F.lit(None)
     tables.append(level.select(*_names(order), "c", none.cast("bigint").alias("total"), none.cast("double").alias("weight")))
-    return Model(words, tables, sizes, n, v, found, 1 - kept / (n + 1))
+    return Model(words, tables, buckets, n, v, found, 1 - kept / (n + 1))
 
 
 def _answers(encoded: DataFrame, table: DataFrame, n: int, order: int, buckets: int) -> DataFrame:
@@ -279,7 +321,7 @@ def _answers(encoded: DataFrame, table: DataFrame, n: int, order: int, buckets:
 
         for batch in batches:
             for row in _columns(batch):
-                g = Chunk(row, order).grams[n - 1]
+                g = Chunk(row, order, n).grams[n - 1]
                 for b, at in g.asked(buckets):
                     keys = [[_pack(x[at]) for x in g.ids]]
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([row["chunk"]], pa.int64()), pa.array(keys, pa.list_(pa.binary()))], names=["bucket", "chunk", "keys"])
@@ -307,10 +349,9 @@ def _answers(encoded: DataFrame, table: DataFrame, n: int, order: int, buckets:
     return asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(answer, "chunk long, n int, bucket int, c binary, total binary, weight binary")
 
 
-def probabilities(encoded: DataFrame, model: Model, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+def probabilities(encoded: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document of the chunks."""
-    spark, order, kind = encoded.sparkSession, len(model.tables), encoded.schema["docs"].dataType.elementType.simpleString()
-    buckets = [max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-s // bucket_keys)) for s in model.sizes]
+    order, kind, buckets = len(model.tables), encoded.schema["docs"].dataType.elementType.simpleString(), model.buckets
     found = None
     for n in range(1, order + 1):
         some = materialize(_answers(encoded, model.tables[n - 1], n, order, buckets[n - 1]), f"katz-answers-{n}")
@@ -363,12 +404,11 @@ def score(documents: DataFrame, held_out: Column, order: int = 2, most: int = 5,
     held_out: which documents (by their columns) the model doesn't learn from.
     """
     chunks = materialize(chunks_of(documents, held_out, chunk_bytes), "katz-chunks")
-    found = materialize(word_counts(chunks), "katz-chunk-words")
-    known = found.where("c > 0").groupBy("word").agg(F.sum("c").alias("c"))
-    words = materialize(known.sortWithinPartitions(F.desc("c")).withColumn("id", F.monotonically_increasing_id()), "katz-words")
-    encoded = materialize(encode(chunks, found, words), "katz-encoded")
-    discard(chunks, found)
-    return probabilities(encoded, fit(encoded, words, order, most), bucket_keys)
+    buckets = word_buckets(chunks, bucket_keys)
+    words = materialize(vocabulary(chunks, buckets), "katz-words")
+    encoded = materialize(encode(chunks, words, buckets), "katz-encoded")
+    discard(chunks)
+    return probabilities(encoded, fit(encoded, words, order, most, bucket_keys))
 
 
 def by_remainder(doc_id: Column, folds: int = 7, remainder: int = 2) -> Column:
