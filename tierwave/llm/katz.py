@@ -308,6 +308,8 @@ def fit(encoded: DataFrame, words: DataFrame, order: int = 2, most: int = 5, buc
         level = rows if k == order else rows.join(stats, _names(k - 1)).select(*_names(k), "c", (_discounted(d) / F.col("total")).alias("p"))
         found.append(d)
         buckets.append(max(least, -(-size // bucket_keys)))
+        if k == order:
+            discard(stats)
     none = F.lit(None)
     tables.append(level.select(*_names(order), "c", none.cast("bigint").alias("total"), none.cast("double").alias("weight")))
     return Model(words, tables, buckets, n, v, found, 1 - kept / (n + 1))
@@ -334,7 +336,7 @@ def _answers(encoded: DataFrame, table: DataFrame, n: int, order: int, buckets:
             return pd.DataFrame([], columns=["chunk", "n", "bucket", "c", "total", "weight"])
         every = pd.DataFrame({name: np.concatenate([k[j] for k in keys]) for j, name in enumerate(_names(n))})
         got = every.merge(known.drop(columns="bucket"), how="left", on=_names(n), validate="many_to_one")
-        c, total, weight = (got[x].fillna(0).to_numpy(kind) for x, kind in (("c", np.int64), ("total", np.int64), ("weight", np.float64)))
+        c, total, weight = (got[x].fillna(0).to_numpy(kind) if x in got else None for x, kind in (("c", np.int64), ("total", np.int64), ("weight", np.float64)))
         out, at = [], 0
         for chunk, k in zip(asked["chunk"], keys, strict=True):
             mine = slice(at, at + len(k[0]))
@@ -345,7 +347,7 @@ def _answers(encoded: DataFrame, table: DataFrame, n: int, order: int, buckets:
 
     asked = encoded.drop("docs").mapInArrow(ask, "bucket int, chunk long, keys array<binary>")
     mixed = "+".join(f"pmod({c}, {MODULUS}) * {f}L" for c, f in zip(_names(n), FACTORS, strict=False))
-    known = table.withColumn("bucket", F.expr(f"cast(pmod({mixed}, {buckets}L) as int)"))
+    known = table.select(*_names(n), "c", *(("total", "weight") if n < order else ())).withColumn("bucket", F.expr(f"cast(pmod({mixed}, {buckets}L) as int)"))
     return asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(answer, "chunk long, n int, bucket int, c binary, total binary, weight binary")
 
 
@@ -408,7 +410,10 @@ def score(documents: DataFrame, held_out: Column, order: int = 2, most: int = 5,
     words = materialize(vocabulary(chunks, buckets), "katz-words")
     encoded = materialize(encode(chunks, words, buckets), "katz-encoded")
     discard(chunks)
-    return probabilities(encoded, fit(encoded, words, order, most, bucket_keys))
+    model = fit(encoded, words, order, most, bucket_keys)
+    if order > 1:  # else the words are the table
+        discard(words)
+    return probabilities(encoded, model)
 
 
 def by_remainder(doc_id: Column, folds: int = 7, remainder: int = 2) -> Column:
