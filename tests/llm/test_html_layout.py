@@ -47,12 +47,72 @@ def test_broken():
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from(["<p>", "</p>", "<ul>", "<li>", "</ul>", "<table>", "<tr>", "<td>", "</td>", "</table>", "<b>", "</b>", "<div>", "</div>", "<br>", "<pre>", "</pre>", "<ol>", "w1", " w2 ", "\n"])))
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<form>", "</form>", "<tbody>", "<th>", "<caption>", "</tr>", "<dl>", "<dd>", "<ul>", "<li>", "</ul>", "<table>", "<tr>", "<td>", "</td>", "</table>", "<b>", "</b>", "<div>", "</div>", "<br>", "<pre>", "</pre>", "<ol>", "w1", " w2 ", "\n"])))
 def test_all_text_is_kept(parts):
     found = text("".join(parts))
     assert found.count("w1") == parts.count("w1") and found.count("w2") == parts.count(" w2 ")
 
 
+def test_outside_cells():
+    assert text("<table><tr>w1<td>x") == "w1\n\nx"
+    assert text("<table><thead><th>Name<th>Age<tbody><td>a<td>1</table>") == "Name  Age\na     1"
+    assert text("<table><tr><form><td>a</form><td>b</table>c") == "a  b\n\nc"
+    assert text("a<table><tbody><div>b<td>c</div><td>d</table>").split() == ["a", "b", "c", "d"]
+    assert text("<div>x<table></div><tr><td>y</table>z</div>").split() == ["x", "y", "z"]
+    assert text("<table><tr><td>a<table><tr>b<td>c</table>d</table>").split() == ["ab", "c", "d"]
+    assert text("<table><table><td>a</table>").split() == ["a"]
+    assert text("<ul><li><table><tr><td><li>a<td>b</table><li>c</ul>").split() == ["-", "-", "a", "b", "-", "c"]
+    assert text("<table hidden><tr>a<td>b</table>") == "a"
+
+
+def test_spans():
+    row = lambda n: "<tr>" + "<td>x" * n
+    assert text(f"<table><tr><td colspan=150>long<td>z{row(151)}</table>").split("\n")[0].endswith("  z")
+    assert len(text(f"<table><tr><td rowspan=200>a<td>b{row(1) * 199}</table>").split("\n")) == 200
+    assert text("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d</table>") == "a  b\n   c\nd"
+
+
+def test_sheets():
+    page = "<style>{}</style><p class=nav>a<p>b"
+    for hides in (".nav{display:none}", "@media screen{.nav{display:none}}", "@import 'x'; .nav , i{display:none}", "@media print{p{display:none}} .nav{display:none}", "@supports (x:y){@media all{.nav{display:none}}}"):
+        assert text(page.format(hides)) == "b", hides
+    for shows in ("@media print{.nav{display:none}}", "@media (max-width: 9px){.nav{display:none}}", "@media print{@media all{.nav{display:none}}}", "@keyframes k{from{display:none}}", ".nav{color:red}"):
+        assert text(page.format(shows)) == "a\n\nb", shows
+
+
+TREE = st.recursive(
+    st.sampled_from(["w", "hidden", "br"]),
+    lambda inner: st.tuples(st.sampled_from(["div", "p", "span", "b", "ul", "ol", "table", "section", "hide", "display", "dl", "pre"]), st.lists(inner, max_size=4)),
+    max_leaves=25,
+)
+
+
+def written(tree, seen, words):
+    """The tree as a page; words gets what a reader sees, in the order of the source."""
+    if isinstance(tree, str):
+        if tree == "br":
+            return "<br>"
+        word = f"q{len(words[0])}q"
+        words[0].append(word)
+        if tree == "w" and seen:
+            words[1].append(word)
+        return word + " " if tree == "w" else f"<i hidden>{word}</i>"
+    tag, inner = tree
+    if tag in ("hide", "display"):
+        return f"<div {'hidden' if tag == 'hide' else 'style=display:none'}>" + "".join(written(t, False, words) for t in inner) + "</div>"
+    wrap = {"ul": "<li>{}</li>", "ol": "<li>{}", "table": "<tr><td>{}</td></tr>", "dl": "<dt>{}<dd>"}.get(tag, "{}")
+    tag = "div" if tag == "p" and any(isinstance(t, tuple) for t in inner) else tag
+    return f"<{tag}>" + "".join(wrap.format(written(t, seen, words)) for t in inner) + f"</{tag}>"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(TREE, max_size=4), st.sampled_from([0, 160, 700]))
+def test_what_a_reader_sees(trees, deeper):
+    words = [], []
+    page = "<div>" * deeper + "".join(written(t, True, words) for t in trees) + "</div>" * deeper
+    assert [w for w in text(page).split() if w.startswith("q")] == words[1]
+
+
 def test_query(spark):
     pages = spark.createDataFrame([(1, "<p>a", "t"), (1, "<p>a", "t"), (None, None, None)], "page_id long, html string, text string")
     got = extract_text(pages).collect()

@@ -1,20 +1,22 @@
 """HTML extraction: a layout-aware rendering of a page's visible text.
 
-A small tree builder reads tags and text, supplies the end tags that HTML lets authors omit, and ignores stray ones.
-The renderer then walks the tree: it leaves out what a browser doesn't show (head, scripts, `hidden`, display:none,
-visibility:hidden, also by simple selectors of the page's own style sheets, closed details and dialogs), collapses
+A small tree builder reads tags and text, supplies the tags that HTML lets authors omit (ends, and rows around cells),
+ignores stray ones, and puts what stands in a table outside its cells before the table. The renderer then walks the tree: it leaves out what a browser doesn't show (head, scripts, `hidden`, display:none,
+visibility:hidden, also by simple selectors of the page's own style sheets for screens of any size, closed details and
+dialogs), collapses
 white space outside pre, separates paragraphs, lists, tables and headings by empty lines and other blocks by line ends,
 marks and indents list items, and sets table cells in aligned columns (colspan and rowspan are kept to the grid).
 
 Cases: null and empty pages have empty text; text without tags is one paragraph; unclosed tags and comments run to the
-end; elements nested deeper than DEPTH are placed in the one at that depth; repeated rows are rendered each; an empty
-table gives no rows; other columns are ignored.
+end; elements may be nested to any depth; a cell spans at most 1,000 columns and 65,534 rows, as in HTML; repeated rows
+are rendered each; an empty table gives no rows; an existing column of the result's name is replaced, others stay.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import sys
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -22,8 +24,6 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches
 
-DEPTH = 150
-
 #: Elements by their part in parsing and layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -33,8 +33,14 @@ SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr"
 BLOCK = SPACED | frozenset("html body div section article header footer nav aside main address form fieldset li dt dd figcaption details summary dialog center legend caption tr thead tbody tfoot td th menu hgroup search option optgroup".split())
 #: The end tags that a start tag implies, and the elements at which the search for them stops.
 LISTS, CELLS, TABLE = ("ul", "ol", "menu"), ("td", "th", "caption"), ("table",)
+SECTIONS = ("thead", "tbody", "tfoot")
+#: What stays in a table where it stands outside cells.
+IN_TABLE = frozenset([*SECTIONS, "tr", *CELLS, "colgroup", "col", "script", "style", "template"])
+#: Where the part of a table goes: the open elements above these end.
+CONTEXT = {"td": ("tr", *SECTIONS, *TABLE), "th": ("tr", *SECTIONS, *TABLE), "tr": (*SECTIONS, *TABLE), **dict.fromkeys((*SECTIONS, "caption", "colgroup"), TABLE)}
+INNER = (*CELLS, *TABLE)
 IMPLIED = {
-    "li": (("li",), LISTS), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)), "optgroup": (("option", "optgroup"), ("select",)),
+    "li": (("li",), (*LISTS, *INNER)), "dt": (("dt", "dd"), ("dl", *INNER)), "dd": (("dt", "dd"), ("dl", *INNER)), "option": (("option",), ("select", *INNER)), "optgroup": (("option", "optgroup"), ("select", *INNER)),
     "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr", "caption", "colgroup"), TABLE),
     "thead": (("thead", "tbody", "tfoot", "caption", "colgroup"), TABLE), "tbody": (("thead", "tbody", "tfoot", "caption", "colgroup"), TABLE), "tfoot": (("thead", "tbody", "tfoot", "caption", "colgroup"), TABLE),
 }
@@ -42,7 +48,7 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog div
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s]+))?")
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_PART = re.compile(r"([^{}]*)([{}])")
 _HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
@@ -61,10 +67,10 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def parse(page: str) -> Node:
-    """The page's tree. Text is a str among the children."""
+def parse(page: str) -> tuple[Node, int]:
+    """The page's tree and its depth. Text is a str among the children."""
     root = Node("html", {})
-    stack, at = [root], 0
+    stack, at, depth = [root], 0, 1
 
     def close(tags, stops=()) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -74,11 +80,21 @@ def parse(page: str) -> Node:
             if stack[i].tag in stops:
                 return
 
+    def put(node: Node | str):
+        """Into the open element; what may not stand there in a table goes before the table."""
+        if stack[-1].tag in ("table", *SECTIONS, "tr") and (node.strip() if isinstance(node, str) else node.tag not in IN_TABLE):
+            i = max((i for i, n in enumerate(stack) if n.tag == "table"), default=0)
+            if not i:
+                return stack[-1].children.append(node)
+            stack[i - 1].children.insert(_place(stack[i - 1].children, stack[i]), node)
+        else:
+            stack[-1].children.append(node)
+
     def say(text: str) -> None:
         if text:
             if stack[-1].tag == "head" and text.strip():
                 close(("head",))
-            stack[-1].children.append(html.unescape(text))
+            put(html.unescape(text))
 
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -92,9 +108,9 @@ def parse(page: str) -> Node:
         tag = m[2].lower()
         if m[1]:
             if tag == "br":
-                stack[-1].children.append(Node("br", {}))
+                put(Node("br", {}))
             elif tag not in ("html", "body"):
-                close((tag,), () if tag in ("table", *TABLE) else ("table",) if tag in ("tr", "td", "th", "thead", "tbody", "tfoot") else CELLS)
+                close((tag,), () if tag == "table" else TABLE if tag in ("tr", "td", "th", *SECTIONS) else INNER)
             continue
         if tag in ("html", "body"):
             close(("head",))
@@ -105,18 +121,35 @@ def parse(page: str) -> Node:
         if tag in IMPLIED:
             close(*IMPLIED[tag])
         if tag in CLOSES_P:
-            close(("p",), (*CELLS, "button", "table"))
+            close(("p",), (*INNER, "button"))
+        if tag in CONTEXT:
+            # Ends what is open inside the table but outside cells; outside tables the tag stands where it is.
+            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in (*CONTEXT[tag], *CELLS)), 0)
+            if i and stack[i].tag not in CELLS:
+                del stack[i + 1 :]
+                if tag in ("td", "th") and stack[i].tag != "tr":
+                    stack[i].children.append(Node("tr", {}))
+                    stack.append(stack[i].children[-1])
+        while tag == "table" and stack[-1].tag in ("table", *SECTIONS, "tr") and any(n.tag == "table" for n in stack):
+            close(TABLE)
+        if tag == "form" and stack[-1].tag in ("table", *SECTIONS, "tr"):
+            continue
         node = Node(tag, _attributes(m[3]))
-        stack[-1].children.append(node)
+        put(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             text = page[at : end.start() if end else len(page)]
             node.children.append(html.unescape(text) if tag in ("textarea", "title") else text)
             at = end.end() if end else len(page)
         elif tag not in VOID and not m[3].rstrip().endswith("/") or tag not in VOID and tag in BLOCK:
-            if len(stack) < DEPTH:
-                stack.append(node)
-    return root
+            stack.append(node)
+            depth = max(depth, len(stack))
+    return root, depth
+
+
+def _place(children: list, table: Node) -> int:
+    """Where the table stands: the last place, or one near it."""
+    return next(i for i in range(len(children) - 1, -1, -1) if children[i] is table)
 
 
 def _walk(node: Node) -> Iterator[Node]:
@@ -127,14 +160,30 @@ def _walk(node: Node) -> Iterator[Node]:
         todo += [c for c in reversed(n.children) if isinstance(c, Node)]
 
 
+def _for_screens(rule: str) -> bool:
+    """Whether a grouping rule holds on any screen: media by type alone, and supports or layers."""
+    name, _, media = rule.strip().lower().partition(" ")
+    if not name.startswith("@media"):
+        return name.startswith(("@supports", "@layer"))
+    kinds = [" ".join(k.split()) for k in (name[6:] + " " + media).split(",")]
+    return any(k in ("", "all", "screen", "only screen", "only all", "not print", "not speech") for k in kinds)
+
+
 def _hidden_by_sheets(root: Node) -> frozenset[str]:
     """Simple selectors (element, .class, #id) that the page's style sheets hide."""
     found = set()
     for n in _walk(root):
-        if n.tag == "style" and n.children:
-            for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", n.children[0], flags=re.S)):
-                if _HIDES.search(body):
-                    found |= {s.strip() for s in selectors.split(",") if re.fullmatch(r"[.#]?[\w-]+", s.strip())}
+        if n.tag != "style" or not n.children or "media" in n.attributes and not _for_screens("@media " + n.attributes["media"]):
+            continue
+        holds, head = [True], ""
+        for text, mark in _PART.findall(re.sub(r"/\*.*?\*/", "", n.children[0], flags=re.S)):
+            if mark == "{":
+                head = text.rpartition(";")[2].strip()
+                holds.append(holds[-1] and (not head.startswith("@") or _for_screens(head)))
+            else:
+                if len(holds) > 1 and holds.pop() and not head.startswith("@") and _HIDES.search(text):
+                    found |= {x.strip() for x in head.split(",") if re.fullmatch(r"[.#]?[\w-]+", x.strip())}
+                head = "@"  # what ends next is a group
     return frozenset(found)
 
 
@@ -256,28 +305,31 @@ class Renderer:
             out.put(((mark if i == 0 else indent) + line).rstrip(" "))
         out.block(gap)
 
-    def rows(self, n: Node) -> Iterator[Node]:
-        for c in n.children:
-            if isinstance(c, Node) and not self.hidden(c):
-                if c.tag == "tr":
-                    yield c
-                elif c.tag in ("thead", "tbody", "tfoot"):
-                    yield from self.rows(c)
+    def rows(self, n: Node) -> Iterator[tuple[Node, int]]:
+        """Rows, each with the number of rows to the end of its section."""
+        own = [c for c in n.children if isinstance(c, Node) and not self.hidden(c)]
+        left = sum(c.tag == "tr" for c in own)
+        for c in own:
+            if c.tag == "tr":
+                yield c, left
+                left -= 1
+            elif c.tag in SECTIONS:
+                yield from self.rows(c)
 
     def table(self, n: Node) -> list[str]:
-        """Cells in columns two spaces apart; what stands in a table outside its cells comes before it."""
+        """Cells in columns two spaces apart, after the caption."""
         before = Node("div", {})
-        before.children = [c for c in n.children if isinstance(c, str) or c.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col")]
+        before.children = [c for c in n.children if isinstance(c, Node) and c.tag == "caption"]
         out, grid, busy = self.render(before), [], {}
-        for r, row in enumerate(self.rows(n)):
+        for r, (row, left) in enumerate(self.rows(n)):
             line, col = {}, 0
             for cell in row.children:
                 if not isinstance(cell, Node) or cell.tag not in ("td", "th") or self.hidden(cell):
                     continue
                 while busy.get(col, 0) > r:
                     col += 1
-                span = lambda k, c=cell: min(max(int(c.attributes[k]), 1), 100) if re.fullmatch(r"\d{1,4}", c.attributes.get(k, "")) else 1
-                wide, tall = span("colspan"), span("rowspan")
+                span = lambda k, c=cell: int(c.attributes[k][-6:]) if re.fullmatch(r"0*\d{1,6}", c.attributes.get(k, "")) else 1
+                wide, tall = min(span("colspan") or 1, 1_000), min(span("rowspan") or left, 65_534)
                 line[col] = (wide, self.render(cell))
                 for k in range(col, col + wide):
                     busy[k] = r + tall
@@ -309,10 +361,17 @@ class Renderer:
 
 def extract(page: str | None) -> tuple[str, str]:
     """Title and visible text."""
-    root = parse(page or "")
+    root, depth = parse(page or "")
     title = next((_SPACES.sub(" ", "".join(c for c in n.children if isinstance(c, str))).strip() for n in _walk(root) if n.tag == "title"), "")
-    r = Renderer(root)
-    return title, "" if r.hidden(root) else "\n".join(line.rstrip(" ") for line in r.render(root)).strip("\n")
+    r, limit = Renderer(root), sys.getrecursionlimit()
+    if r.hidden(root):
+        return title, ""
+    # The renderer calls itself a few times for each level.
+    sys.setrecursionlimit(max(limit, 8 * depth + 1_000))
+    try:
+        return title, "\n".join(line.rstrip(" ") for line in r.render(root)).strip("\n")
+    finally:
+        sys.setrecursionlimit(limit)
 
 
 def extract_text(pages: DataFrame, column: str = "html", name: str = "page") -> DataFrame:
