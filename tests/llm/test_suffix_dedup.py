@@ -55,3 +55,6 @@ def test_texts_stay_valid(make):
     out = {r.doc_id: r.text for r in got.collect()}
     assert out[3] is None and "�" not in out[1] + out[2] and out[1].endswith("tail") and "漢字漢字" not in out[1] + out[2]
     assert drop_repeats(make([])).count() == 0
+    clash = make([(1, "ab" * 30)]).withColumnsRenamed({"ids": "_key", "part": "_spans", "n": "_cut", "fp": "key"})
+    (row,) = drop_repeats(clash, 20, 8).collect()
+    assert (row["_key"], row["_spans"], row["_cut"], row.key, row.text) == (1, None, None, "x", "")

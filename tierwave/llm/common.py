@@ -53,11 +53,6 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of jobs whose results are already materialized."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def bound_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of at most `rows` rows, so that a Python worker holds few long texts at a time."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -65,6 +60,13 @@ def bound_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, str(rows))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(col, UPPER, LOWER)

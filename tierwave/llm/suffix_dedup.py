@@ -1,17 +1,19 @@
-"""Exact substring deduplication: depth-limited radix sort of suffixes, most significant digit first.
+"""Exact substring deduplication: passes that split suffixes into finer groups, by their first `depth` bytes only.
 
-Only the first `depth` bytes of a suffix count. Suffixes are put into groups by one digit of those bytes after another,
-and a group of one suffix is left out of the next pass; groups that are left after the last digit are exactly the
-windows of `depth` bytes that occur more than once. Digits are blocks of bytes, named by their hash.
+As in a depth-limited radix sort a suffix that is alone in its group leaves before the next pass, and groups that are
+left after the last one are exactly the windows of `depth` bytes that occur more than once. But groups aren't made by
+the digits of those bytes from the left, in order: dealing out every suffix of a text by its first digit takes more disk
+than the text several times over. Groups are made by equal blocks of bytes, chosen by content and named by hashes.
 
-So that the first pass need not deal out every suffix, its digit is the block of `block` bytes with the least hash
-inside the window (the rightmost of equals): neighbouring suffixes share it, so one row stands for a run of them. A row
-has two digits: the bytes that all its suffixes have in common, and all bytes that its suffixes see. If the first
+The first pass takes the block of `block` bytes with the least hash inside the window (the rightmost of equals):
+neighbouring suffixes share it, so one row stands for a run of them. A row has two names: of the bytes that all its
+suffixes have in common (64 bits; if two blocks share a name, rows go on for nothing), and of all bytes that its
+suffixes see (128 bits, which settle what is equal). If the first
 occurs once in the corpus, so do all suffixes of the row; if the second occurs twice, so do all of them. One row of each
 kind between the two goes on to the next pass, in which its suffixes are dealt out more finely.
   Pass 1: runs by their block.
   Pass 2: cells of `cell` suffixes.
-  Pass 3: single suffixes, by the hash of all their bytes.
+  Pass 3: single suffixes, by the hashes of all their bytes.
 Every pass counts with map-side aggregation and joins the counts back, so a block that a third of all rows share is
 neither gathered in one task nor paired with itself.
 
@@ -27,28 +29,29 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, free_shuffles, materialize
+from .common import bound_batches, discard, free_name, materialize
 
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Two hash functions: odd factors, and a number for each byte.
+_FACTORS = [(np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)), (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))]
+_BYTES = [np.random.default_rng(seed).integers(1, 1 << 63, 256).astype(np.uint64) for seed in (2_024, 2_025)]
 _SHIFT = np.uint64(29)
-_BYTE = np.random.default_rng(2_024).integers(1, 1 << 63, 256).astype(np.uint64)
 
 
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hash of two hashes, for arrays."""
-    x = a * _M1
+def _mix(a: np.ndarray, b: np.ndarray, f: int = 0) -> np.ndarray:
+    """Hash of two hashes, for arrays; f: which function."""
+    x = a * _FACTORS[f][0]
     x ^= x >> _SHIFT
     x += b
-    x *= _M2
+    x *= _FACTORS[f][1]
     x ^= x >> _SHIFT
     return x
 
 
-def block_hashes(raw: np.ndarray, size: int, h: np.ndarray | None = None, reach: int = 1) -> np.ndarray:
+def block_hashes(raw: np.ndarray, size: int, h: np.ndarray | None = None, reach: int = 1, f: int = 0) -> np.ndarray:
     """Hash of the `size` bytes from each place on; size: a power of two. h: hashes of `reach` bytes, if there are."""
-    h = _BYTE[raw] if h is None else h
+    h = _BYTES[f][raw] if h is None else h
     while reach < size:
-        h = _mix(h[:-reach], h[reach:])
+        h = _mix(h[:-reach], h[reach:], f)
         reach *= 2
     return h
 
@@ -57,15 +60,15 @@ def _power(depth: int) -> int:
     return 1 << (depth.bit_length() - 1)
 
 
-def window_hashes(raw: np.ndarray, depth: int) -> np.ndarray:
+def window_hashes(raw: np.ndarray, depth: int, f: int) -> np.ndarray:
     """Hash of the `depth` bytes from each place on."""
     size = _power(depth)
-    h = block_hashes(raw, size)
-    return _mix(h[: len(h) - (depth - size)], h[depth - size :])
+    h = block_hashes(raw, size, f=f)
+    return _mix(h[: len(h) - (depth - size)], h[depth - size :], f)
 
 
 def runs(raw: np.ndarray, depth: int, block: int) -> tuple[np.ndarray, ...]:
-    """Runs of suffixes of the text's bytes that share their block: first, count, place of block, core, seen."""
+    """Runs of suffixes of the text's bytes that share their block: first, count, place of block, core, seen, seen2."""
     h = block_hashes(raw, block)
     width = depth - block + 1  # blocks inside a window
     n = len(raw) - depth + 1
@@ -79,21 +82,22 @@ def runs(raw: np.ndarray, depth: int, block: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
     count = np.diff(np.append(first, n))
     place = (mask - (low[first] & mask)).astype(np.int64)
-    return first, count, place, h[place].view(np.int64), _seen(block_hashes(raw, _power(depth), h, block), first, count, place, depth)
+    both = block_hashes(raw, _power(depth), h, block), block_hashes(raw, _power(depth), f=1)
+    return first, count, place, h[place].view(np.int64), *(_seen(hp, first, count, place, depth, f) for f, hp in enumerate(both))
 
 
-def _seen(hp: np.ndarray, first: np.ndarray, count: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
+def _seen(hp: np.ndarray, first: np.ndarray, count: np.ndarray, place: np.ndarray, depth: int, f: int) -> np.ndarray:
     """Hash of all bytes that `count` suffixes from `first` on see (under 2 * depth), and of where their block is."""
     power, size = _power(depth), depth + count - 1
     end = first + size - power
     seen = hp[first]
     for k in range(1, 4):
-        seen = _mix(seen, hp[np.minimum(first + k * power, end)])
-    return _mix(seen, (size.astype(np.uint64) << np.uint64(32)) | (place - first).astype(np.uint64)).view(np.int64)
+        seen = _mix(seen, hp[np.minimum(first + k * power, end)], f)
+    return _mix(seen, (size.astype(np.uint64) << np.uint64(32)) | (place - first).astype(np.uint64), f).view(np.int64)
 
 
 def cells(raw: np.ndarray, some: list, depth: int, cell: int) -> tuple[np.ndarray, ...]:
-    """Cells of runs (first, count, place), counted from the block's place back: first, count, place, core, seen."""
+    """Cells of runs (first, count, place), counted from the block's place back: first, count, place, core, seen, seen2."""
     first, count, place = (np.array([r[k] for r in some], np.int64) for k in ("first", "count", "place"))
     low, high = (place - first - count + 1) // cell, (place - first) // cell  # numbers of the cells of each run
     n = high - low + 1
@@ -102,14 +106,14 @@ def cells(raw: np.ndarray, some: list, depth: int, cell: int) -> tuple[np.ndarra
     place = place[run]
     start = np.maximum(first[run], place - (number + 1) * cell + 1)
     stop = np.minimum(first[run] + count[run] - 1, place - number * cell)
-    hp = block_hashes(raw, _power(depth))
+    hp, other = (block_hashes(raw, _power(depth), f=f) for f in (0, 1))
     # What all suffixes of a whole cell have in common, whether the run has them all or not.
     a, b = place - number * cell, place - (number + 1) * cell + 1 + depth
     core = _mix(_mix(hp[a], hp[b - _power(depth)]), number.astype(np.uint64)).view(np.int64)
-    return start, stop - start + 1, place, core, _seen(hp, start, stop - start + 1, place, depth)
+    return start, stop - start + 1, place, core, *(_seen(h, start, stop - start + 1, place, depth, f) for f, h in enumerate((hp, other)))
 
 
-ROWS = "key long, first int, count int, place int, core long, seen long"
+ROWS = "key long, first int, count int, place int, core long, seen long, seen2 long"
 
 
 def _rows_of(texts: DataFrame, rows) -> DataFrame:
@@ -119,13 +123,13 @@ def _rows_of(texts: DataFrame, rows) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            cols = [[], [], [], [], [], []]
+            cols = [[] for _ in range(7)]
             for key, raw, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = rows(np.frombuffer(raw, np.uint8), *more)
                 for c, x in zip(cols, (np.full(len(found[0]), key), *(f.astype(np.int32) for f in found[:3]), *found[3:]), strict=True):
                     c.append(x)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "first", "count", "place", "core", "seen"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "first", "count", "place", "core", "seen", "seen2"])
 
     return texts.mapInArrow(run, ROWS)
 
@@ -133,38 +137,36 @@ def _rows_of(texts: DataFrame, rows) -> DataFrame:
 def _pass(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """What is repeated as a whole (key, first, count), and what goes on (key, some: a row of each kind)."""
     rows = materialize(rows, f"suffix-{name}")
-    counts = rows.groupBy("core").agg(F.count("*").alias("n"), F.min("seen").alias("least"), F.max("seen").alias("most"))
+    counts = rows.groupBy("core").agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("seen", "seen2") for f in (F.min, F.max)))
     # Written first, so that both sides of the join are plain exchanges, of which Spark can split a hot core's rows.
-    several = materialize(counts.where("n > 1").select("core", (F.col("least") != F.col("most")).alias("mixed")), f"suffix-{name}-cores")
-    free_shuffles(rows.sparkSession)
+    several = materialize(counts.where("n > 1").select("core", F.expr("min_seen != max_seen or min_seen2 != max_seen2").alias("mixed")), f"suffix-{name}-cores")
     left = materialize(rows.join(several, "core"), f"suffix-{name}-left")
     discard(rows)
-    free_shuffles(rows.sparkSession)
     mixed = left.where("mixed")
-    kinds = mixed.groupBy("core", "seen").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "count", "place")).alias("run"))
+    kinds = mixed.groupBy("core", "seen", "seen2").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "count", "place")).alias("run"))
     kinds = materialize(kinds, f"suffix-{name}-kinds")
-    twice = kinds.where("n > 1").select("core", "seen")
-    whole = left.where("not mixed").select("key", "first", "count").union(mixed.join(twice, ["core", "seen"]).select("key", "first", "count"))
+    twice = kinds.where("n > 1").select("core", "seen", "seen2")
+    whole = left.where("not mixed").select("key", "first", "count").union(mixed.join(twice, ["core", "seen", "seen2"]).select("key", "first", "count"))
     return whole, kinds.groupBy("run.key").agg(F.collect_list(F.struct("run.first", "run.count", "run.place")).alias("some"))
 
 
 def _suffixes_of(picked: DataFrame, depth: int) -> DataFrame:
-    """picked: key, raw, list of runs (first, count). Gives key, place, hash for each suffix of those runs."""
+    """picked: key, raw, list of runs (first, count). Gives key, place, hash, hash2 for each suffix of those runs."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            cols = [[], [], []]
+            cols = [[], [], [], []]
             for key, raw, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                h = window_hashes(np.frombuffer(raw, np.uint8), depth).view(np.int64)
+                h, h2 = (window_hashes(np.frombuffer(raw, np.uint8), depth, f).view(np.int64) for f in (0, 1))
                 place = np.concatenate([np.arange(r["first"], r["first"] + r["count"]) for r in some])
-                for c, x in zip(cols, (np.full(len(place), key), place.astype(np.int32), h[place]), strict=True):
+                for c, x in zip(cols, (np.full(len(place), key), place.astype(np.int32), h[place], h2[place]), strict=True):
                     c.append(x)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "place", "hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "place", "hash", "hash2"])
 
-    return picked.mapInArrow(run, "key long, place int, hash long")
+    return picked.mapInArrow(run, "key long, place int, hash long, hash2 long")
 
 
 def _bytes() -> Column:
@@ -188,9 +190,9 @@ def repeated_spans(documents: DataFrame, depth: int = 200, block: int = 64, cell
     whole, picked = _pass(_rows_of(texts, lambda raw: runs(raw, depth, block)), "runs")
     more, picked = _pass(_rows_of(texts.join(picked, "key"), lambda raw, some: cells(raw, some, depth, cell)), "cells")
     suffixes = materialize(_suffixes_of(texts.join(picked, "key"), depth), "suffix-hashes")
-    free_shuffles(spark)
-    twice = suffixes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    single = suffixes.join(twice, "hash").select("key", F.col("place").alias("first"), F.lit(1).alias("count"))
+    # Written first, as in the passes: a window that a third of all texts have is one row here and many there.
+    twice = materialize(suffixes.groupBy("hash", "hash2").agg(F.count("*").alias("n")).where("n > 1").select("hash", "hash2"), "suffix-twice")
+    single = suffixes.join(twice, ["hash", "hash2"]).select("key", F.col("place").alias("first"), F.lit(1).alias("count"))
     spans = whole.union(more).union(single).select("key", F.col("first").alias("s"), (F.col("first") + F.col("count") + depth - 1).alias("e"))
     return materialize(spans.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "suffix-spans")
 
@@ -201,8 +203,8 @@ def remove_repeats(documents: DataFrame, depth: int = 200, block: int = 64, name
     as_text: kept is text instead, without characters of which a cut took a part.
     """
     spans = repeated_spans(documents, depth, block, min(16, depth - _power(depth) + 1))
-    free_shuffles(documents.sparkSession)
-    placed = with_key(documents, "_key").join(spans.select(F.col("key").alias("_key"), F.col("spans").alias("_spans")), "_key", "left")
+    key, found = free_name(documents, "_key"), free_name(documents, "_spans")
+    placed = with_key(documents, key).join(spans.select(F.col("key").alias(key), F.col("spans").alias(found)), key, "left")
 
     give = (lambda kept: kept.decode("utf-8", "ignore")) if as_text else bytes
 
@@ -229,11 +231,12 @@ def remove_repeats(documents: DataFrame, depth: int = 200, block: int = 64, name
 
     run.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
     cut = F.pandas_udf(run, f"n_bytes long, removed array<struct<s:int,e:int>>, kept {'string' if as_text else 'binary'}")
-    return placed.withColumn(name, cut(_bytes(), F.col("_spans"))).drop("_key", "_spans")
+    return placed.withColumn(name, cut(_bytes(), F.col(found))).drop(key, found)
 
 
 def drop_repeats(documents: DataFrame, depth: int = 200, block: int = 64) -> DataFrame:
     """documents with the repeated bytes taken out of text; broken characters at the edges of a cut go as well."""
-    cut = remove_repeats(documents, depth, block, "_cut", as_text=True)
-    text = F.when(F.size("_cut.removed") == 0, F.col("text")).otherwise(F.col("_cut.kept"))
-    return cut.withColumn("text", text).drop("_cut").select(*documents.columns)
+    name = free_name(documents, "_cut")
+    cut = remove_repeats(documents, depth, block, name, as_text=True)
+    text = F.when(F.size(f"{name}.removed") == 0, F.col("text")).otherwise(F.col(f"{name}.kept"))
+    return cut.withColumn("text", text).drop(name).select(*documents.columns)
