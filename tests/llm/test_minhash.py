@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tierwave.llm.minhash import edited_likeness, likeness, with_fingerprint, with_next
+from tierwave.llm.minhash import at_or_after, edited_likeness, likeness, quantiles, with_fingerprint, with_next
 
 
 def test_next_and_edited(make, odd):
@@ -12,6 +12,11 @@ def test_next_and_edited(make, odd):
     for per in (3, 2_000):
         got = with_next(make(rows), ["text"], per).collect()
         assert {r.doc_id: r.next.text or "" for r in got} == after and len(got) == len(rows)
+    bounds = quantiles(make([(i % 37, "") for i in range(900)]), 9, 4)
+    assert bounds == sorted(set(bounds)) and 6 <= len(bounds) <= 12
+    for some in ([], [4], bounds):
+        got = make([(i, "") for i in range(-2, 40)]).select("doc_id", at_or_after(some, F.col("doc_id")).alias("k")).collect()
+        assert all(r.k == sum(b < r.doc_id for b in some) for r in got)
     text = {i: t or "" for i, t in rows}
     for r in edited_likeness(make(rows)).collect():
         t = text[r.doc_id]

@@ -64,23 +64,36 @@ def likeness(a: Column | str, b: Column | str, bins: int = 128) -> Column:
     return F.greatest(F.lit(0.0), (same / bins - chance) / (1 - chance))
 
 
-def with_next(documents: DataFrame, carry: list[str], per_bucket: int = 1_000, buckets: int = 4_096) -> DataFrame:
+def quantiles(documents: DataFrame, k: int, pieces: int = 200) -> list[int]:
+    """About k - 1 doc_ids that cut the table into equal parts: ids are range-partitioned, and each part is cut by itself."""
+    parts = min(k, pieces)
+    each = -(-k // parts)
+    ids = documents.where("doc_id is not null").select("doc_id").repartitionByRange(parts, "doc_id").withColumn("_part", F.spark_partition_id())
+    cuts = ids.groupBy("_part").agg(F.percentile_approx("doc_id", [i / each for i in range(each)], 100 * each).alias("c"))
+    return sorted({x for r in cuts.collect() for x in r["c"]})[1:]
+
+
+def at_or_after(bounds: list[int], value: Column) -> Column:
+    """How many of the sorted bounds are under the value, by bisection."""
+    every = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(max(1, len(bounds).bit_length())))))
+    fits = lambda n: (n <= len(bounds)) & (F.get(every, n - 1) < value)
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(fits(n + step), n + step).otherwise(n))
+
+
+def with_next(documents: DataFrame, carry: list[str], per_bucket: int = 2_000) -> DataFrame:
     """documents (doc_id, ...) with next: struct of the columns `carry` of the next row by descending doc_id.
 
     After the last row comes the first again. Rows of equal doc_id go by the hash of their text; null doc_ids are last.
-    The order is cut at quantiles of doc_id into buckets of about per_bucket rows (more where the number of buckets has
-    reached its bound, so that the cuts stay small), a window runs in each bucket, and
-    the first row of every bucket is sent to the bucket before it as well.
+    The order is cut at quantiles of doc_id into buckets of about per_bucket rows, however many these are; the cuts, a
+    number for each bucket, are all that reaches the driver. A window runs in each bucket, and the first row of every
+    bucket is sent to the bucket before it as well.
     """
     n = documents.count()
-    cuts = []
-    if n > per_bucket:
-        k = min(n // per_bucket, buckets)
-        cuts = documents.agg(F.percentile_approx("doc_id", [i / (k + 1) for i in range(1, k + 1)], 10 * k)).first()[0] or []
-    bounds = F.from_json(F.lit(json.dumps(sorted(set(cuts)))), "array<bigint>")
+    bounds = quantiles(documents, n // per_bucket) if n >= 2 * per_bucket else []
     tie = F.xxhash64("text")
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.bitwise_not("doc_id").alias("o"), tie.alias("t"))
-    bucket = F.coalesce(-F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))), F.lit(0))
+    bucket = F.coalesce(-at_or_after(bounds, F.col("doc_id")), F.lit(0))
     placed = documents.withColumn("_order", order).withColumn("_bucket", F.when(F.col("doc_id").isNull(), 1).otherwise(bucket))
     firsts = materialize(placed.groupBy("_bucket").agg(F.min("_order").alias("_order")), "order-firsts")
     # A row for each bucket; the bucket before the first is the last.
