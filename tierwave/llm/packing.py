@@ -7,7 +7,7 @@ of the whole corpus can be short. A document that crosses a boundary gives a pie
 
 Cases: null and empty texts are the end id alone; documents of any length are cut into as many pieces as needed;
 repeated rows (and null doc_ids) are packed as often as they occur; an empty table gives no pieces; other columns are
-ignored. Strings of special tokens in a text are ordinary text.
+ignored. A string of an added token in a text becomes that token, as the tokenizer has it.
 """
 
 from __future__ import annotations
@@ -37,13 +37,15 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_CHUNK.findall(t) for t in texts]
+        # A text with an added token in it is encoded as it is.
+        whole = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        split = [[] if i in whole else _CHUNK.findall(t) for i, t in enumerate(texts)]
         known, new = self.known, list(set().union(*split) - self.known.keys())
         fresh = {}
         # A blank and a word: a line break between two such chunks is a token of its own, so many are encoded as one text.
@@ -66,7 +68,7 @@ class ChunkEncoder:
             get = known.__getitem__
         else:
             get = {**known, **fresh}.__getitem__ if len(fresh) > len(known) else lambda c: known.get(c) or fresh[c]
-        return [b"".join(map(get, chunks)) for chunks in split]
+        return [np.array(whole[i], f"<u{self.width}").tobytes() if i in whole else b"".join(map(get, chunks)) for i, chunks in enumerate(split)]
 
 
 def encoder(path: str) -> ChunkEncoder:
