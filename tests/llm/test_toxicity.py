@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tierwave.llm.toxicity import SeverityModel, drop_toxic, fit, fit_cumulative_link, score
+from tierwave.llm.toxicity import SeverityModel, _features, drop_toxic, fit, fit_cumulative_link, score, words_of
 
 BAD = ["vilest", "rotten", "wretch", "blight", "foulness"]
 
@@ -44,6 +44,13 @@ def test_without_classes(spark, make):
     assert fit(make([]), labels.limit(0)) == SeverityModel()
 
 
+def test_one_word_splitter(make):
+    """Fitting and scoring have the same words of a text, whatever its white space and letters."""
+    texts = ["a\u00a0b\u3000c", "\u0130x \u1e9e (word)", None, " ", "tab\x1cfield"]
+    for r in _features(make([(1, t) for t in texts]).selectExpr("doc_id doc", "text", "1 toxic", "text t")).groupBy("doc").agg({"feature": "collect_set"}).collect():
+        assert {f for f in r[1] if not f.endswith("*")} == set().union(*map(words_of, texts)) - {""}
+
+
 def test_gradient_recovers_order():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2, (4000, 6))

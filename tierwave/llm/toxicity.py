@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize
+from .common import bound_batches, free_name, materialize
 
 #: Lengths of the word beginnings that are features besides whole words.
 BEGINNINGS = (4, 5, 6)
@@ -70,11 +70,16 @@ def words_of(text: str | None) -> set[str]:
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """doc, toxic, feature: the distinct features of each labelled document."""
-    words = F.array_distinct(F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: F.btrim(w, F.lit(EDGES))))
+    """doc, toxic, feature: the distinct features of each labelled document, of the words that scoring has."""
+    import pandas as pd
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted(words_of(t)))
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     begun = [F.transform(F.filter("words", _longer(n)), _beginning(n)) for n in BEGINNINGS]
     every = F.array_distinct(F.concat("words", *begun))
-    return docs.withColumn("words", words).select("doc", "toxic", F.explode(every).alias("feature")).where("feature != ''")
+    return docs.withColumn("words", F.pandas_udf(run, "array<string>")("text")).select("doc", "toxic", F.explode(every).alias("feature")).where("feature != ''")
 
 
 def _longer(n):
@@ -169,4 +174,5 @@ def score(documents: DataFrame, model: SeverityModel, reject: float = 0.5, name:
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, reject: float = 0.5) -> DataFrame:
     """documents less the rejected ones."""
-    return score(documents, fit(documents, labels), reject, "_toxicity").where("not _toxicity.rejected").drop("_toxicity")
+    name = free_name(documents, "_toxicity")
+    return score(documents, fit(documents, labels), reject, name).where(f"not {name}.rejected").drop(name)
