@@ -51,6 +51,13 @@ def test_against_all_windows(spark, make, odd):
     assert kept == sorted((r[0] is None, r[0] or 0) for r in want if not r[4])
 
 
+def test_clashing_columns(spark, make):
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    docs = make([(1, "x alpha beta gamma"), (2, "clean"), (2, None)]).withColumnsRenamed({"ids": "key", "part": "key_", "n": "item"})
+    got = drop_contaminated(docs, bench)
+    assert got.columns == docs.columns and sorted((r.doc_id, r.key, r.text or "") for r in got.collect()) == [(2, 1, ""), (2, 1, "clean")]
+
+
 def test_empty(spark, make):
     none = spark.createDataFrame([], "item_id long, text string")
     assert judge(make([]), none).count() == 0

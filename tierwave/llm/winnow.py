@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, free_name, materialize
 
 #: What the contract calls a word, after lower-casing.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -130,9 +130,9 @@ def find_hits(documents: DataFrame, items: DataFrame, span: int = 13, gram: int
     )
 
 
-def keyed(documents: DataFrame) -> DataFrame:
+def keyed(documents: DataFrame, name: str = "key") -> DataFrame:
     """documents with a unique key where doc_id alone may repeat or be null: doc_id and a hash of the text."""
-    return documents.withColumn("key", F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash")))
+    return documents.withColumn(name, F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash")))
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words") -> Column:
@@ -148,4 +148,5 @@ def judge(documents: DataFrame, items: DataFrame, span: int = 13) -> DataFrame:
 def drop_contaminated(documents: DataFrame, items: DataFrame, span: int = 13) -> DataFrame:
     """documents less the contaminated ones."""
     bad = find_hits(keyed(documents.select("doc_id", "text")), items, span).where(contaminated()).select("key").distinct()
-    return keyed(documents).join(bad, "key", "left_anti").drop("key")
+    name = free_name(documents, "key")
+    return keyed(documents, name).join(bad.withColumnRenamed("key", name), name, "left_anti").drop(name)
