@@ -2,13 +2,18 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. run() applies them to
 the table documents and writes what each stage but the last returns as Parquet to the shared folder.
+
+Cases: null and empty texts stay (a text of no words is a near-duplicate of another one, so one of them stays) and are
+packed as an end id; repeated rows are near-duplicates, of which one row stays; rows of null doc_id aren't dropped as
+near-duplicates; of equal candidates the smallest doc_id stays, and of one doc_id on several texts of a group the text
+of least hash; an empty table gives no pieces; columns of any other names stay as they are up to packing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierwave.llm.common import free_shuffles, materialize, table
+from tierwave.llm.common import materialize, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,5 +71,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        free_shuffles(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

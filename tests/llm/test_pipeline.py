@@ -84,3 +84,23 @@ def test_stages(spark, folder):
 def test_run(spark, folder):
     again = corpus_pipeline.run(spark, folder)
     assert again.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and again.count() > 50
+
+
+def test_cases(spark, tmp_path):
+    """Nulls, repeats, one doc_id on several texts, clashing columns and empty tables through all stages."""
+    schema = "doc_id long, text string, key string, _cut string, fp long"
+    rows = [(1, None, "k", None, 1), (2, "", "k", "c", 2), (3, "one small text", None, "c", 3), (3, "one small text", None, "c", 3), (3, "some other words here", "k", "c", 3), (None, None, None, None, None)]
+    for name, data in (("full", rows), ("empty", [])):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(data, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        docs = spark.read.parquet(f"{at}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            docs = stage(spark, docs, at)
+            docs.write.parquet(f"{at}/{k}.parquet")
+            docs = spark.read.parquet(f"{at}/{k}.parquet")
+            assert docs.columns == ["doc_id", "text", "key", "_cut", "fp"]
+        kept = sorted(((r.doc_id, r.text, r.key, r["_cut"], r.fp) for r in docs.collect()), key=str)
+        assert kept == ([] if name == "empty" else sorted([rows[0], rows[2], rows[4], rows[5]], key=str))
+        assert corpus_pipeline.run(spark, at).count() == len(kept)

@@ -107,6 +107,15 @@ def test_under_the_similarity_all_stay(make):
     assert sorted(r.doc_id for r in keep_one(make(rows)).collect()) == list(range(8))
 
 
+def test_one_doc_id_on_several_texts(make):
+    a, b = "one two three four five six", "another text that is nothing like it at all"
+    got = sorted((r.doc_id, r.text) for r in keep_one(make([(2, a), (5, a), (5, b), (5, b), (7, b)])).collect())
+    assert got == [(2, a), (5, b)]
+    assert keep_one(make([])).count() == 0
+    clash = keep_one(make([(1, a), (1, a), (None, a), (None, a)]).withColumnsRenamed({"ids": "_key", "part": "text_hash", "n": "node"}))
+    assert clash.columns == ["doc_id", "text", "_key", "text_hash", "fp", "node"] and sorted(str(r.doc_id) for r in clash.collect()) == ["1", "None", "None"]
+
+
 def test_similar_against_pairs(make):
     rng, rows = random.Random(9), []
     for _ in range(6):

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize
+from .common import bound_batches, free_name, materialize
 
 SEED = 42
 
@@ -258,7 +258,7 @@ def verified_links(members: DataFrame, distance: int = 7, similarity: float = 0.
 
 
 def similar(documents: DataFrame, words: int = 0, distance: int = 7, similarity: float = 0.8, shingle: int = 5, chunk: int = 1_000) -> DataFrame:
-    """doc_id, node (hash of the text's words), component_id (the smallest doc_id that verified links reach) for every row."""
+    """doc_id, text_hash, node (hash of the text's words), component_id (the smallest doc_id that verified links reach) for every row."""
     bound_batches(documents.sparkSession)
     of = documents.schema["doc_id"].dataType.simpleString()
 
@@ -270,7 +270,7 @@ def similar(documents: DataFrame, words: int = 0, distance: int = 7, similarity:
             parts = [_parts(t) for t in texts]
             columns = [[simhash(t, words) for t in texts], [_name(p) for p in parts]]
             sizes = pa.array([len(shingles(p, shingle)) for p in parts], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns), sizes], names=["doc_id", "fp", "node", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.int64()) for c in columns), sizes], names=["doc_id", "text_hash", "fp", "node", "size"])
 
     def named(batches):
         import pyarrow as pa
@@ -278,7 +278,7 @@ def similar(documents: DataFrame, words: int = 0, distance: int = 7, similarity:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([_name(_parts(t)) for t in b.column(0).to_pylist()], pa.int64()), b.column(0)], names=["node", "text"])
 
-    prints = materialize(documents.select("doc_id", "text").mapInArrow(sketch, f"doc_id {of}, fp long, node long, size int"), "simhash")
+    prints = materialize(documents.select("doc_id", "text", F.xxhash64("text")).mapInArrow(sketch, f"doc_id {of}, text_hash long, fp long, node long, size int"), "simhash")
     nodes = materialize(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("doc_id").alias("first")), "simhash-nodes")
     groups = components(bucket_links(nodes.select("fp", "node", "size"), distance, similarity=similarity))
     texts = documents.select("text").mapInArrow(named, "node long, text string").join(groups, "node").groupBy("node", "root").agg(F.min("text").alias("text"))
@@ -286,12 +286,18 @@ def similar(documents: DataFrame, words: int = 0, distance: int = 7, similarity:
     root = components(verified_links(members, distance, similarity, shingle, chunk))
     placed = nodes.join(root, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(placed.join(least, "root").select("node", "component_id"), "node").select("doc_id", "node", "component_id")
+    return prints.join(placed.join(least, "root").select("node", "component_id"), "node").select("doc_id", "text_hash", "node", "component_id")
 
 
 def keep_one(documents: DataFrame, words: int = 0, distance: int = 7, similarity: float = 0.8) -> DataFrame:
-    """documents less the near-duplicates: of each component of similar() one row of its smallest doc_id. Rows of null doc_id stay."""
-    found = similar(documents, words, distance, similarity)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    once = documents.join(keep, documents.doc_id == keep.kept_id, "left_semi").dropDuplicates(["doc_id"])
+    """documents less the near-duplicates: of each component of similar() one row of its smallest doc_id.
+
+    Where that doc_id stands on several texts of the component, the text of least hash stays; a text of the same doc_id
+    in another component stays for that one. Of rows equal in doc_id and text one stays. Rows of null doc_id stay.
+    """
+    found = similar(documents, words, distance, similarity).where("doc_id is not null")
+    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k")
+    name = free_name(documents, "_key")
+    named = documents.withColumn(name, F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
+    once = named.where("doc_id is not null").join(kept.withColumnRenamed("k", name), name, "left_semi").dropDuplicates([name]).drop(name)
     return once.unionByName(documents.where("doc_id is null"))
