@@ -258,7 +258,7 @@ def verified_links(members: DataFrame, distance: int = 7, similarity: float = 0.
 
 
 def similar(documents: DataFrame, words: int = 0, distance: int = 7, similarity: float = 0.8, shingle: int = 5, chunk: int = 1_000) -> DataFrame:
-    """doc_id, text_hash, node (hash of the text's words), component_id (the smallest doc_id that verified links reach) for every row."""
+    """doc_id, text_hash, node (hash of the text's words), root (of its component), component_id (the smallest doc_id that verified links reach) for every row."""
     bound_batches(documents.sparkSession)
     of = documents.schema["doc_id"].dataType.simpleString()
 
@@ -286,7 +286,7 @@ def similar(documents: DataFrame, words: int = 0, distance: int = 7, similarity:
     root = components(verified_links(members, distance, similarity, shingle, chunk))
     placed = nodes.join(root, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(placed.join(least, "root").select("node", "component_id"), "node").select("doc_id", "text_hash", "node", "component_id")
+    return prints.join(placed.join(least, "root").select("node", "root", "component_id"), "node").select("doc_id", "text_hash", "node", "root", "component_id")
 
 
 def keep_one(documents: DataFrame, words: int = 0, distance: int = 7, similarity: float = 0.8) -> DataFrame:
@@ -296,7 +296,7 @@ def keep_one(documents: DataFrame, words: int = 0, distance: int = 7, similarity
     in another component stays for that one. Of rows equal in doc_id and text one stays. Rows of null doc_id stay.
     """
     found = similar(documents, words, distance, similarity).where("doc_id is not null")
-    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k")
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k")
     name = free_name(documents, "_key")
     named = documents.withColumn(name, F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
     once = named.where("doc_id is not null").join(kept.withColumnRenamed("k", name), name, "left_semi").dropDuplicates([name]).drop(name)
