@@ -211,6 +211,19 @@ def test_store_round_trip(spark, tmp_path):
     store.write(levels.where("window = 100"), path, "moments")
     assert store.read(spark, path, sm="all", seq=["s"], window=10, start=25, end=60).select("tile").distinct().count() == 4
     assert store.read(spark, path).count() == 11
+    # Another sample, and tiles of a stored slice: nothing else changes.
+    more = levels.where("tile in (3, 4)").withColumn("sum", F.lit(-1.0))
+    store.write(levels.withColumn("sm", F.lit("b")), path, "moments")
+    store.write(more.where("window = 10").unionByName(levels.where("window = 10").limit(1).withColumn("tile", F.lit(77).cast("bigint"))), path, "moments")
+    got = store.read(spark, path)
+    assert got.count() == 23 and got.where("sm = 'b'").count() == 11 and sorted(r.tile for r in got.where("sum = -1").collect()) == [3, 4] and got.where("tile = 77").count() == 1
+    assert sorted(r.tile for r in store.read(spark, path, sm="b", window=10, start=30, end=50).collect()) == [3, 4]
+    described = store.attributes(got.withColumn("feature", F.lit("moments")), length, 10)
+    store.write_attributes(described.where("sm = 'a'"), path + "-catalog")
+    store.write_attributes(described, path + "-catalog")
+    every = store.catalogs(spark, {"x": path + "-catalog", "y": path + "-catalog"})
+    assert every.count() == 8 and every.select("window_root", "len", "window_branch").distinct().collect() == [(100, 100, 10)]
+    assert sorted(map(tuple, store.store_of(every).collect())) == [("a", "x"), ("b", "x")]
     cat = store.catalog(spark.read.parquet(path))
     (w,) = store.windows_by_sequence(cat).collect()
     assert w["windows"] == [10, 100] and w.uniform
@@ -239,7 +252,7 @@ def test_compare(spark):
 def test_filters(spark):
     rng = np.random.default_rng(5)
     y = np.concatenate([np.zeros(10), 50 + np.arange(200) * 0.3 + rng.normal(0, 5, 200), np.zeros(14)])
-    flat = filters.poly_detrend(y, 0.5, 0.0)
+    flat = filters.poly_detrend(y, 0.5)
     assert np.all(flat[:10] == 0) and math.isclose(flat[10:210].max(), y[10:210].max()) and abs(np.polyfit(np.arange(200), flat[10:210], 1)[0]) < abs(np.polyfit(np.arange(200), y[10:210], 1)[0])
     assert np.allclose(filters.haar_denoise(y, 1.0), y) and np.abs(np.diff(filters.haar_denoise(y, 0.0))).sum() < np.abs(np.diff(y)).sum()
     got = filters.filter_signal(signal(spark, y), KEYS, "haar", 1.0, 64, 16).collect()
@@ -272,3 +285,11 @@ def test_streams(spark, tmp_path):
     for r in spark.table("m").collect():
         assert close(r, exact([v for t, v in rows if t.hour == r.start.hour]))
     assert {(r.start.hour, r.bin): r.cnt for r in spark.table("h").collect()} == {(0, 0): 9, (1, 1): 9, (2, 1): 9}
+
+
+def test_upsert_keeps_what_it_does_not_replace(spark, tmp_path):
+    write = windows.upsert(str(tmp_path / "t"), ["day"], ["day", "k"])
+    make = lambda rows: spark.createDataFrame(rows, "day int, k int, v int")
+    for i, rows in enumerate(([(1, 1, 1), (1, 2, 1)], [(1, 2, 2), (2, 1, 2)], [(2, 3, 3)])):
+        write(make(rows), i)
+    assert sorted((r.day, r.k, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(1, 1, 1), (1, 2, 2), (2, 1, 2), (2, 3, 3)]

@@ -29,6 +29,11 @@ def _root(c: str, k: int) -> Column:
     return F.round(F.signum(c) * F.pow(F.abs(c), F.lit(1.0 / k)), 4)
 
 
+def _above_ties(c: Column, digits: int) -> Column:
+    """Rounded with the border a little under the tie, so that sums of fractions that are ties don't hang on the last bit."""
+    return F.floor(c * 10**digits + 0.5001) / 10**digits
+
+
 def _shown(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, "n", F.round("sum", 4).alias("sum"), "min", "max", F.round("m1", 10).alias("m1"), *(_root(f"m{k}", k).alias(f"m{k}r") for k in (2, 3, 4)))
 
@@ -252,7 +257,35 @@ def gc_rd_md_tracks(spark: SparkSession, sf: str) -> DataFrame:
     rd = 2 * (1 + F.col("primary")) * (1 + F.col("gc")) / (1 + F.col("total"))
     mean = tracks.mean_with_prior(F.col("mapq"), F.col("total"))
     md = rd * F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean / 60))
-    return at.select("seq", "pos", F.round("gc", 6).alias("gc"), F.round(rd, 6).alias("rd"), F.round(md, 6).alias("md"))
+    return at.select("seq", "pos", _above_ties(F.col("gc"), 6).alias("gc"), _above_ties(rd, 6).alias("rd"), _above_ties(md, 6).alias("md"))
+
+
+@query
+def dinucleotide_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of the sixteen pairs of bases, summed over the reads at a position."""
+    names = [f"{p[0]}_{p[1]}" for p in tracks.DINUCLEOTIDES]
+    at = raster.positions(tracks.interval_tracks(_reads_with_bases(spark, sf), ["seq"], names, has_bases=True), ["seq"], names)
+    return at.select("seq", "pos", *(_above_ties(F.col(n), 5).alias(n.lower()) for n in names))
+
+
+def _reads_with_cigars(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads whose CIGAR is made of the numbers of a line item: ends clipped, an operation between two matches."""
+    item = views.table(spark, sf, "lineitem")
+    step = lambda op, n: F.struct(op.cast("int").alias("op"), n.cast("int").alias("len"))
+    lit, q = F.lit, F.col("l_quantity")
+    front, back, between = F.col("l_suppkey") % 45, F.col("l_partkey") % 45, F.col("l_orderkey") % 50
+    ops = F.array(step(lit(tracks.S), front), step(lit(tracks.M), q), step(F.get(F.array(*map(lit, (tracks.I, tracks.D, tracks.N, tracks.X))), F.col("l_linenumber") % 4), between), step(lit(tracks.EQ), q), step(lit(tracks.H), back))
+    cigar = F.filter(ops, lambda x: x.len > 0)
+    days = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("bigint")
+    flag = F.when(F.col("l_linenumber") == 7, 0x400).otherwise(0)
+    return item.select(F.concat("l_returnflag", "l_linestatus").alias("seq"), days.alias("pos"), (days + 1).alias("ref_end"), flag.alias("flag"), cigar.alias("cigar"))
+
+
+@query
+def cigar_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each track of operations: its segments, and the positions they have together."""
+    found = tracks.cigar_segments(_reads_with_cigars(spark, sf), ["seq"])
+    return found.groupBy("seq", "track").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("bases"), F.sum("start").alias("starts"))
 
 
 @query
@@ -292,7 +325,7 @@ def overlap_join(spark: SparkSession, sf: str) -> DataFrame:
 def gene_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Coordinates of genes, widened by half their width and kept inside the sequence."""
     genes = views.genes(spark, sf)
-    found = lod.lookup(genes.where("gene like 'A%' or gene like 'B%' or gene like '%1'").select("gene"), genes).join(views.lengths(views.reads(spark, sf)), "seq")
+    found = lod.lookup(genes.select("gene"), genes).join(views.lengths(views.reads(spark, sf)), "seq")
     low, high = lod.flank(F.col("start"), F.col("end"), 0.5, F.col("len"))
     return found.select("gene", "seq", low.alias("start"), high.alias("end"))
 
@@ -313,7 +346,7 @@ def _ranges(spark: SparkSession, sf: str) -> DataFrame:
     """Ranges on the line of events, from parts: start and width."""
     length = views.event_lengths(spark, sf)
     start = F.col("p_partkey") * 7919 % F.col("len")
-    wide = views.table(spark, sf, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("range_id"), F.lit("events").alias("seq"), (F.col("p_partkey") * F.col("p_size") * 13).alias("_w"))
+    wide = views.table(spark, sf, "part").select(F.col("p_partkey").alias("range_id"), F.lit("events").alias("seq"), (F.col("p_partkey") * F.col("p_size") * 13).alias("_w"))
     end = F.least(F.col("len"), start + 100 + F.col("_w") % F.col("len"))
     return wide.join(length, "seq").withColumn("p_partkey", F.col("range_id")).select("range_id", "seq", start.alias("start"), end.alias("end"))
 
@@ -333,6 +366,37 @@ def range_query(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("range_id", "window", "tile", "n", F.round("sum", 4).alias("sum"), "min", "max", F.round("m1", 6).alias("m1"))
 
 
+def _stored(spark: SparkSession, sf: str) -> str:
+    """A store of the pyramid, written in three parts: a sample, a second one, and again some tiles of the first."""
+    path, levels = store.scratch(spark), _pyramid(spark, sf, BRANCH)
+    old = levels.where("tile < 7").withColumn("sum", F.col("sum") - 1)
+    store.write(old.unionByName(levels.where("tile >= 50")), path, "moments")
+    store.write(levels.withColumn("sm", F.lit("t")), path, "moments")
+    store.write(levels.where("tile < 50"), path, "moments")
+    return path
+
+
+@query
+def store_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown(store.read(spark, _stored(spark, sf)), "sm", "window", "tile")
+
+
+@query
+def store_range_read(spark: SparkSession, sf: str) -> DataFrame:
+    """Tiles of one sample and window in a range of positions, read from the store."""
+    return _shown(store.read(spark, _stored(spark, sf), sm="t", window=[100], start=1234, end=8765), "tile")
+
+
+@query
+def store_attributes(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored catalog of a store, written in two parts."""
+    path = store.scratch(spark)
+    rows = store.attributes(spark.read.parquet(_stored(spark, sf)), views.event_lengths(spark, sf), BRANCH)
+    store.write_attributes(rows.where("sm = 's'"), path)
+    store.write_attributes(rows, path)
+    return spark.read.parquet(path).select("sm", "rg", "seq", "track", "feature", "window", "first_tile", "tiles", "window_root", "len", "window_branch")
+
+
 @query
 def catalog_query(spark: SparkSession, sf: str) -> DataFrame:
     """Keys of a store of read coverage, filtered."""
@@ -496,7 +560,7 @@ def json_export(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def poly_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return filters.filter_signal(views.event_signal(spark, sf), KEYS, "poly", 0.5, 500, 50, 0.1).select("pos", F.round("value", 6).alias("value"))
+    return filters.filter_signal(views.event_signal(spark, sf), KEYS, "poly", 0.5, 500, 50, 0.9).select("pos", F.round("value", 6).alias("value"))
 
 
 @query

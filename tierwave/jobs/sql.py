@@ -97,7 +97,22 @@ SQL["gc_rd_md_tracks"] = """with r as (select l_returnflag || l_linestatus seq,
 left(translate(md5(l_orderkey || '/' || l_linenumber), '0123456789abcdef', 'ACGTACGTACGTACGT'), l_quantity::integer) s from lineitem where l_linenumber <> 7),
 pp as (select seq, unnest(range(pos, pos + length(s))) p, mapq, secondary, length(regexp_replace(s, '[^GC]', '', 'g')) / length(s) gc from r),
 g as (select seq, p pos, count(*) n, sum(mapq) q, count(*) filter (where not secondary) pri, sum(gc) gc from pp group by all),
-o as (select *, 2 * (1 + pri) * (1 + gc) / (1 + n) rd from g) select seq, pos, round(gc, 6) gc, round(rd, 6) rd, round(rd * greatest(0, least(1, ((1 + q) / (1 + n) - 1) / 60)), 6) md from o"""
+o as (select *, 2 * (1 + pri) * (1 + gc) / (1 + n) rd from g) select seq, pos, floor(gc * 1e6 + 0.5001) / 1e6 gc, floor(rd * 1e6 + 0.5001) / 1e6 rd, floor(rd * greatest(0, least(1, ((1 + q) / (1 + n) - 1) / 60)) * 1e6 + 0.5001) / 1e6 md from o"""
+_reads_bases = """r as (select l_returnflag || l_linestatus seq, date_diff('day', date '1995-01-01', l_shipdate::date) pos,
+left(translate(md5(l_orderkey || '/' || l_linenumber), '0123456789abcdef', 'ACGTACGTACGTACGT'), l_quantity::integer) s from lineitem where l_linenumber <> 7)"""
+_two = [a + b for a in "ACGT" for b in "ACGT"]
+SQL["dinucleotide_tracks"] = f"""with {_reads_bases}, c as (select *, {", ".join(f"(length(s) - length(replace(s, '{p}', ''))) / 2 / length(s) as {p[0]}_{p[1]}" for p in _two)} from r),
+pp as (select *, unnest(range(pos, pos + length(s))) p from c) select seq, p pos, {", ".join(f"floor(sum({p[0]}_{p[1]}) * 1e5 + 0.5001) / 1e5 {p[0].lower()}_{p[1].lower()}" for p in _two)} from pp group by all"""
+SQL["cigar_tracks"] = """with r as (select l_returnflag || l_linestatus seq, date_diff('day', date '1995-01-01', l_shipdate::date) pos, l_quantity::bigint q, l_suppkey % 45 f, l_partkey % 45 b, l_orderkey % 50 m,
+['I', 'D', 'N', 'X'][(l_linenumber % 4 + 1)::integer] o from lineitem where l_linenumber <> 7),
+e as (select *, case when o = 'I' then 0 else m end w from r),
+s as (select seq, 'clipped' track, pos a, pos + f z from e where f >= 18 union all select seq, 'right_anchor', pos, pos + f from e where f >= 36 and b = 0
+union all select seq, 'left_anchor', pos + f + 2 * q + w, pos + f + 2 * q + w + b from e where b >= 36 and f = 0 union all select seq, 'left_clipped', pos, pos + f from e where f >= 18
+union all select seq, 'clipped', pos + f + 2 * q + w, pos + f + 2 * q + w + b from e where b >= 18 union all select seq, 'right_clipped', pos + f + 2 * q + w, pos + f + 2 * q + w + b from e where b >= 18
+union all select seq, 'insertion', pos + f + q - 1, pos + f + q from e where o = 'I' and m > 0 union all select seq, 'deletion', pos + f + q, pos + f + q + m from e where o = 'D' and m > 0
+union all select seq, 'big_del', pos + f + q, pos + f + q + m from e where o = 'D' and m >= 36 union all select seq, 'splice', pos + f + q, pos + f + q + m from e where o = 'N' and m > 0
+union all select seq, 'substitution', pos + f + q, pos + f + q + m from e where o = 'X' and m > 0)
+select seq, track, count(*) n, sum(z - a)::bigint bases, sum(a)::bigint starts from s group by all"""
 _pair = lambda p: f"round((length(t) - length(replace(t, '{p}', ''))) / 2 / length(t), 8) as \"{p.lower()}\""
 SQL["dinucleotide_fraction"] = f"with d as (select doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') t from documents where length(text) > 0) select doc_id, {', '.join(map(_pair, ('EN', 'TI', 'OU', 'ES')))} from d"
 SQL["read_group_merge"] = f"with {READS} select seq, string_agg(distinct sm, '-' order by sm) sm, string_agg(distinct rg, '-' order by rg) rgs, count(*) n from reads group by seq"
@@ -108,14 +123,18 @@ OVER = "reads r join genes g on r.seq = g.seq and r.pos < g.e and r.ref_end > g.
 SQL["overlap_join"] = f"with {READS}, {GENES} select gene, count(*) n, sum(least(r.ref_end, g.e) - greatest(r.pos, g.s))::bigint bases from {OVER} group by gene"
 SQL["missing_keys"] = f"""with {READS}, {GENES} select gene, seq, s as "start", e as "end" from genes where gene not in (select gene from {OVER} where r.mapq = 56 and r.rlen < 4)"""
 SQL["gene_lookup"] = f"""with {READS}, {GENES}, len as (select seq, max(l_end) len from (select l_returnflag || l_linestatus seq, date_diff('day', date '1995-01-01', l_shipdate::date) + l_quantity::integer l_end from lineitem) group by seq)
-select gene, seq, greatest(0, s - greatest(0, round_even((e - s) * 0.5, 0)::bigint)) as "start", least(e + greatest(0, round_even((e - s) * 0.5, 0)::bigint), len) as "end" from genes join len using (seq)
-where gene like 'A%' or gene like 'B%' or gene like '%1'"""
+select gene, seq, greatest(0, s - greatest(0, round_even((e - s) * 0.5, 0)::bigint)) as "start", least(e + greatest(0, round_even((e - s) * 0.5, 0)::bigint), len) as "end" from genes join len using (seq)"""
 SQL["gene_search"] = f"""with {GENES} select gene, seq, s as "start", e as "end" from genes where contains(upper(gene), '1A') or contains(upper(gene), '7')"""
 SQL["coord_parse"] = f"""with {GENES} select gene, case when s % 5 = 0 then gene else seq end seq, case when s % 5 <> 0 then s end as "start", case when s % 5 <> 0 then e end as "end" from genes"""
 
-RANGES = """len as (select max(event_id) + 1 len from events), ranges as (select p_partkey range_id, p_partkey * 7919 % len s, least(len, p_partkey * 7919 % len + 100 + p_partkey * p_size * 13 % len) e from part, len where p_partkey % 10 = 0)"""
+RANGES = """len as (select max(event_id) + 1 len from events), ranges as (select p_partkey range_id, p_partkey * 7919 % len s, least(len, p_partkey * 7919 % len + 100 + p_partkey * p_size * 13 % len) e from part, len)"""
 CHOICE = """rated as (select range_id, s, e, "window" w, (e - s) / "window" n from ranges, levels), chosen as (select range_id, s, e, w from rated
 qualify row_number() over (partition by range_id order by case when n <= 16 then 0 else 1 end, case when n <= 16 then abs(n - 8) else n end, w) = 1)"""
+SQL["store_round_trip"] = f"with {_pyramid(10)} select sm, \"window\", tile, {FIELDS} from pyr, (select unnest(['s', 't']) sm)"
+SQL["store_range_read"] = f"with {EV}, {_moments('ev', 'tile')} select tile, {FIELDS} from mom where tile >= 12 and tile < 88"
+SQL["store_attributes"] = f"""with {_pyramid(10)} select sm, 'all' rg, 'events' seq, 'value' track, 'moments' feature, "window", min(tile) first_tile, count(*) tiles, (select max("window") from levels) window_root,
+(select max(event_id) + 1 from events) len, 10 window_branch from pyr, (select unnest(['s', 't']) sm) group by sm, "window\""""
+SQL["json_export"] = f"""with {EV}, s as (select tile, count(*)::double n, min(v) as min, max(v) as max from ev group by tile) select to_json({{'seq': 'events', 'track': 'value', 'tile': tile, 'n': n, 'min': min, 'max': max}})::varchar as json from s"""
 SQL["lod_select"] = f"""with {RANGES}, {_pyramid(10)}, {CHOICE} select range_id, s as "start", e as "end", w as "window" from chosen"""
 SQL["range_query"] = f"""with {RANGES}, {_pyramid(10)}, {CHOICE} select range_id, "window", tile, n, round(sum, 4) sum, min, max, round(m1, 6) m1 from chosen join pyr on "window" = w and tile >= s // w and tile < ceil(e / w)"""
 SQL["catalog_query"] = f"""with {READS} select distinct sm, rg, seq, 'total' track, 'moments' feature, 100 as "window" from reads where sm in ('s0', 's1')"""
@@ -133,7 +152,7 @@ SQL["clean_end"] = f"""with size as (select max(event_id) + 1 len from events),
 w as (select mom.*, (len - 1) // 100 - tile back, case when tile = (len - 1) // 100 then len - tile * 100 else 100 end::double width from mom, size),
 g as (select coalesce(min(back), 10) good from w where back < 10 and n >= width), f as (select w.*, n < width and back < good bad from w, g),
 o as (select tile, case when bad then width else n end n, case when bad then 0 else sum end sum, case when bad then 0 else min end as min, case when bad then 0 else max end as max, case when bad then 0 else m1 end m1,
-case when bad then 0 else m2 end m2, case when bad then 0 else m3 end m3, case when bad then -3 else m4 end m4 from f) select tile, {FIELDS} from o"""
+case when bad then 0 else m2 end m2, case when bad then 0 else m3 end m3, case when bad then 0 else m4 end m4 from f) select tile, {FIELDS} from o"""
 SQL["check"] = f"""with {_T}, m as (select tile, count(*) n from b group by tile), s as (select tile, count(bin) s from b group by tile), i as (select tile, count(*) t from st where (pos + 1) // 100 = tile group by tile)
 select 'events' seq, 'value' track, bool_and(n = 100) moments_ok, bool_and(s = 100) spectrum_ok, bool_and(coalesce(t, 0) = 99) transitions_ok from m join s using (tile) left join i using (tile)"""
 SQL["top_k_coverage"] = f"with {READS} select sm, rg, sum(rlen)::bigint bases, count(*) n from reads group by all order by bases desc, sm, rg limit 10 offset 2"

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def poly_detrend(y: np.ndarray, value: float, mix: float, degree: int = 4) -> np.ndarray:
-    """Subtracts a fitted polynomial between the block's outer zeros, rescales to y's range and mixes y in again."""
+def poly_detrend(y: np.ndarray, value: float, mix: float = 1.0, degree: int = 4) -> np.ndarray:
+    """Subtracts a fitted polynomial between the block's outer zeros and rescales to y's range; mix: its share in the result."""
     some = np.flatnonzero(y)
     if y.sum() <= 0 or len(some) < degree + 2:
         return y
@@ -19,16 +19,16 @@ def poly_detrend(y: np.ndarray, value: float, mix: float, degree: int = 4) -> np
     x = np.linspace(-1, 1, len(part))
     mean, std = part.mean(), part.std()
     fit = np.clip(np.polyval(np.polyfit(x, part - std * value, degree), x), 0, mean + 5 * std * (1 - value))
-    flat = part - fit
+    flat = np.clip(part - fit, 0, fit.max() - fit.min())
     spread = flat.max() - flat.min()
     scaled = part.min() + (flat - flat.min()) * ((part.max() - part.min()) / spread) if spread > 0 else part
     out = y.astype(float).copy()
-    out[a:b] = (1 - mix) * scaled + mix * part
+    out[a:b] = mix * scaled + (1 - mix) * part
     return out
 
 
 def haar_denoise(y: np.ndarray, value: float) -> np.ndarray:
-    """Soft-thresholds the Haar details of a block, level by level, by mean * (1 - value) of the level's largest."""
+    """Soft-thresholds the Haar details of a block, at each level by its largest one times (1 + the block's mean) * (1 - value)."""
     if y.sum() <= 0 or len(y) < 2:
         return y
     n = 1 << (len(y) - 1).bit_length()
@@ -37,8 +37,7 @@ def haar_denoise(y: np.ndarray, value: float) -> np.ndarray:
         details.append((low[0::2] - low[1::2]) / np.sqrt(2))
         low = (low[0::2] + low[1::2]) / np.sqrt(2)
     for d in reversed(details):
-        top = np.abs(d).max()
-        cut = np.abs(d).mean() * (1 - value) if top > 0 else 0
+        cut = (1 + y.mean()) * (1 - value) * max(d.max(), 0)
         d = np.sign(d) * np.maximum(np.abs(d) - cut, 0)
         out = np.empty(2 * len(low))
         out[0::2], out[1::2] = (low + d) / np.sqrt(2), (low - d) / np.sqrt(2)
@@ -46,10 +45,10 @@ def haar_denoise(y: np.ndarray, value: float) -> np.ndarray:
     return low[: len(y)]
 
 
-def filter_signal(signal: DataFrame, keys: Sequence[str], kind: str, value: float, width: int, over: int = 0, mix: float = 0.0) -> DataFrame:
+def filter_signal(signal: DataFrame, keys: Sequence[str], kind: str, value: float, width: int, over: int = 0, mix: float = 1.0) -> DataFrame:
     """keys, pos, value of a signal (all positions present) filtered in blocks of `width` that overlap by `over`.
 
-    kind: 'poly' or 'haar'. A position in two blocks has the value of the later one.
+    kind: 'poly' or 'haar'; mix: the share of the filtered signal in the result. A position in two blocks has the value of the later one.
     """
     step = width - over
     first = F.greatest(F.lit(0), F.ceil((F.col("pos") - width + 1) / step))
@@ -59,7 +58,7 @@ def filter_signal(signal: DataFrame, keys: Sequence[str], kind: str, value: floa
     def run(part):
         part = part.sort_values("pos")
         y = part["value"].to_numpy(float)
-        return part.assign(value=poly_detrend(y, value, mix) if kind == "poly" else (1 - mix) * haar_denoise(y, value) + mix * y)
+        return part.assign(value=poly_detrend(y, value, mix) if kind == "poly" else mix * haar_denoise(y, value) + (1 - mix) * y)
 
     done = blocks.groupBy(*keys, "_block").applyInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), f"pos {types['pos']}", "value double", "_block long"]))
     return done.groupBy(*keys, "pos").agg(F.max_by("value", "_block").alias("value")) if over else done.drop("_block")

@@ -17,22 +17,30 @@ def tile_moments(signal: DataFrame, keys: Sequence[str], window: int, lengths: D
     """keys, tile, FIELDS of each window [tile * window, (tile + 1) * window) that has a row.
 
     signal: keys, pos, value. lengths: seq, len (for the width of the last window); without it every row's position is
-    taken as present, and n counts rows. One shuffle: mean and sums use the same partitioning.
+    taken as present, and n counts rows. One shuffle, of central moments aggregated map-side.
     """
-    tiled = signal.select(*keys, "value", F.floor(F.col("pos") / window).alias("tile"))
     group = [*keys, "tile"]
+    tiled = signal.select(*keys, F.col("value").cast("double").alias("value"), F.floor(F.col("pos") / window).alias("tile"))
+    r, m2 = F.col("_rows"), F.col("_var") * F.col("_rows")
+    parts = tiled.groupBy(*group).agg(
+        F.count("*").cast("double").alias("_rows"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.avg("value").alias("_mean"), F.var_pop("value").alias("_var"), F.skewness("value").alias("_skew"), F.kurtosis("value").alias("_kurt"),
+    )
+    parts = parts.withColumns({"_m2": m2, "_m3": F.coalesce(F.col("_skew"), F.lit(0.0)) * F.pow(m2, F.lit(1.5)) / F.sqrt(r), "_m4": F.coalesce(F.col("_kurt") + 3, F.lit(0.0)) * m2 * m2 / r})
     if lengths is None:
-        width = F.count("*").over(Window.partitionBy(*group))
+        parts = parts.withColumn("n", F.col("_rows"))
     else:
-        tiled = tiled.join(lengths.select("seq", "len"), "seq")
         width = F.least(F.lit(window).cast("bigint"), F.col("len") - F.col("tile") * window)
-    over = Window.partitionBy(*group)
-    with_mean = tiled.withColumn("n", width).withColumn("m1", F.sum("value").over(over) / F.col("n")).withColumn("_d", F.col("value") - F.col("m1"))
-    first = lambda c: F.first(c).alias(c)
-    out = with_mean.groupBy(*group).agg(first("n"), F.count("*").alias("_rows"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"), first("m1"), *(F.sum(F.pow("_d", F.lit(k))).alias(f"m{k}") for k in (2, 3, 4)))
-    absent = F.col("n") - F.col("_rows")
+        parts = parts.join(lengths.select("seq", "len"), "seq").withColumn("n", width.cast("double"))
+    # The absent positions are a second part, all zeros.
+    absent, m1 = F.col("n") - r, F.col("sum") / F.col("n")
+    d = F.col("_mean") - m1
     zero = lambda f, c: F.when(absent > 0, f(F.col(c), F.lit(0.0))).otherwise(F.col(c)).alias(c)
-    return out.select(*group, F.col("n").cast("double").alias("n"), "sum", zero(F.least, "min"), zero(F.greatest, "max"), "m1", *((F.col(f"m{k}") + absent * F.pow(-F.col("m1"), F.lit(k))).alias(f"m{k}") for k in (2, 3, 4)))
+    tail = lambda k: r * F.pow(d, F.lit(k)) + absent * F.pow(-m1, F.lit(k))
+    return parts.select(
+        *group, "n", "sum", zero(F.least, "min"), zero(F.greatest, "max"), m1.alias("m1"), (F.col("_m2") + tail(2)).alias("m2"),
+        (F.col("_m3") + 3 * d * F.col("_m2") + tail(3)).alias("m3"), (F.col("_m4") + 4 * d * F.col("_m3") + 6 * d * d * F.col("_m2") + tail(4)).alias("m4"),
+    )
 
 
 def run_moments(runs: DataFrame, keys: Sequence[str], window: int, lengths: DataFrame) -> DataFrame:
@@ -50,9 +58,22 @@ def run_moments(runs: DataFrame, keys: Sequence[str], window: int, lengths: Data
 
 
 def merge(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Moments of the union of the windows of each key: parts have keys and FIELDS. Sums only, so exact in any order."""
+    """Moments of the union of the windows of each key: parts have keys and FIELDS. Sums only, so exact in any order.
+
+    The mean of a key is joined back, and all sums are aggregated map-side: a key may have any number of windows.
+    """
+    mean = parts.groupBy(*keys).agg((F.sum(F.col("n") * F.col("m1")) / F.sum("n")).alias("_m"))
+    return _merged(parts.join(mean, list(keys)), keys)
+
+
+def _merge_few(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """merge() for keys of few windows each: the mean and the sums use one shuffle."""
     over = Window.partitionBy(*keys)
-    p = parts.withColumn("_m", F.sum(F.col("n") * F.col("m1")).over(over) / F.sum("n").over(over)).withColumn("_d", F.col("m1") - F.col("_m"))
+    return _merged(parts.withColumn("_m", F.sum(F.col("n") * F.col("m1")).over(over) / F.sum("n").over(over)), keys)
+
+
+def _merged(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    p = parts.withColumn("_d", F.col("m1") - F.col("_m"))
     n, d, m2, m3 = (F.col(c) for c in ("n", "_d", "m2", "m3"))
     return p.groupBy(*keys).agg(
         F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"), F.first("_m").alias("m1"),
@@ -63,7 +84,7 @@ def merge(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def merge_tiles(moments: DataFrame, keys: Sequence[str], branch: int) -> DataFrame:
     """One level up: every `branch` tiles make one, the last from what is left."""
-    return merge(moments.withColumn("tile", F.floor(F.col("tile") / branch)), [*keys, "tile"])
+    return _merge_few(moments.withColumn("tile", F.floor(F.col("tile") / branch)), [*keys, "tile"])
 
 
 def merge_overlapping(moments: DataFrame, keys: Sequence[str], span: int, step: int = 1) -> DataFrame:
@@ -72,7 +93,7 @@ def merge_overlapping(moments: DataFrame, keys: Sequence[str], span: int, step:
     copies = moments.withColumn("_start", at)
     full = F.count("*").over(Window.partitionBy(*keys, "_start"))
     copies = copies.withColumn("_full", full).where(F.col("_full") == span).drop("tile", "_full").withColumnRenamed("_start", "tile")
-    return merge(copies, [*keys, "tile"])
+    return _merge_few(copies, [*keys, "tile"])
 
 
 def standardized(n: str = "n") -> list[Column]:
@@ -119,5 +140,5 @@ def clean_end(moments: DataFrame, keys: Sequence[str], window: int, lengths: Dat
     good = placed.where((F.col("_back") < most) & ~F.col("_bad")).groupBy(*keys).agg(F.min("_back").alias("_good"))
     placed = placed.join(good, list(keys), "left")
     fix = F.col("_bad") & (F.col("_back") < F.coalesce("_good", F.lit(most)))
-    empty = {"sum": 0.0, "min": 0.0, "max": 0.0, "m1": 0.0, "m2": 0.0, "m3": 0.0, "m4": -3.0}
+    empty = {"sum": 0.0, "min": 0.0, "max": 0.0, "m1": 0.0, "m2": 0.0, "m3": 0.0, "m4": 0.0}
     return placed.select(*keys, "tile", F.when(fix, F.col("_width")).otherwise(F.col("n")).alias("n"), *(F.when(fix, v).otherwise(F.col(c)).alias(c) for c, v in empty.items()))

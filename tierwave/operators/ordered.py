@@ -29,6 +29,18 @@ def in_block(keys: Sequence[str], pos: str = "pos") -> WindowSpec:
     return Window.partitionBy(*keys, "_block").orderBy(pos)
 
 
+def with_following(df: DataFrame, keys: Sequence[str], name: str, block: int = BLOCK, pos: str = "pos") -> DataFrame:
+    """df with `name`, the next position within keys (null at the end); pos is unique within keys.
+
+    The one after a block's last position is the first of a later block that has any: a table of one row a block.
+    """
+    df = df.withColumn("_block", F.floor(F.col(pos) / block))
+    firsts = df.groupBy(*keys, "_block").agg(F.min(pos).alias("_first"))
+    later = firsts.select(*keys, "_block", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_block")).alias("_later"))
+    ahead = F.coalesce(F.lead(pos).over(in_block(keys, pos)), F.col("_later"))
+    return df.join(later, [*keys, "_block"]).withColumn(name, ahead).drop("_block", "_later")
+
+
 def running_sums(df: DataFrame, keys: Sequence[str], columns: Sequence[str], block: int = BLOCK, pos: str = "pos") -> DataFrame:
     """df with each of `columns` replaced by its running sum over pos within keys; pos is unique within keys."""
     df = df.withColumn("_block", F.floor(F.col(pos) / block))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import in_block, running_sums
+from .ordered import running_sums, with_following
 
 
 def coverage_runs(intervals: DataFrame, keys: Sequence[str], values: Sequence[str], block: int = 1 << 16) -> DataFrame:
@@ -20,12 +20,7 @@ def coverage_runs(intervals: DataFrame, keys: Sequence[str], values: Sequence[st
     ends = events.select(*keys, F.col("end").alias("pos"), *((-F.col(v)).alias(v) for v in values), F.lit(-1).cast("bigint").alias("_n"))
     net = starts.unionByName(ends).groupBy(*keys, "pos").agg(*(F.sum(v).alias(v) for v in [*values, "_n"]))
     levels = running_sums(net, keys, [*values, "_n"], block)
-    # The next change of a block's last one is the first change of a later block; blocks without changes are passed over.
-    levels = levels.withColumn("_block", F.floor(F.col("pos") / block))
-    firsts = levels.groupBy(*keys, "_block").agg(F.min("pos").alias("_first"))
-    later = firsts.select(*keys, "_block", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_block")).alias("_later"))
-    ahead = F.coalesce(F.lead("pos").over(in_block(keys)), F.col("_later"))
-    runs = levels.join(later, [*keys, "_block"]).withColumn("end", ahead)
+    runs = with_following(levels, keys, "end", block)
     return runs.where("_n > 0").select(*keys, F.col("pos").alias("start"), "end", *values)
 
 

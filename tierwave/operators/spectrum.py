@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bins import bin_index
-from .ordered import in_block, own, running_sums, with_halo
+from .ordered import in_block, own, running_sums, with_following, with_halo
 
 
 def tile_spectrum(signal: DataFrame, keys: Sequence[str], window: int, edges: Sequence[float]) -> DataFrame:
@@ -55,6 +55,5 @@ def sliding_counts(rows: DataFrame, keys: Sequence[str], bins: Sequence[str], wi
     leave = rows.select(*keys, *bins, (F.col("pos") + 1).alias("pos"), F.lit(-1).cast("bigint").alias("cnt"))
     net = enter.unionByName(leave).groupBy(*keys, *bins, "pos").agg(F.sum("cnt").alias("cnt")).where("cnt != 0")
     level = running_sums(net, [*keys, *bins], ["cnt"])
-    ahead = F.lead("pos").over(Window.partitionBy(*keys, *bins).orderBy("pos"))
-    held = level.withColumn("_to", F.least(F.coalesce(ahead, F.lit(length)), F.lit(length - window + 1))).where("cnt > 0 and pos < _to")
+    held = with_following(level, [*keys, *bins], "_to").withColumn("_to", F.least(F.coalesce("_to", F.lit(length)), F.lit(length - window + 1))).where("cnt > 0 and pos < _to")
     return held.select(*keys, *bins, F.explode(F.expr("sequence(pos, _to - 1)")).alias("pos"), "cnt")

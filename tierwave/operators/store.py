@@ -1,34 +1,106 @@
-"""A Parquet store of features, partitioned by feature, window, seq and track, and its catalog."""
+"""A Parquet store of features that can be added to, its attributes and its catalog.
+
+Rows lie in partitions by feature, sample, read group, window, sequence, track and slice of tiles. Writing replaces rows
+of equal keys and keeps all others, those of the same partition as well.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PARTITIONS = ("feature", "window", "seq", "track")
+PARTITIONS = ("feature", "sm", "rg", "window", "seq", "track", "slice")
 LEVELS = ("sm", "rg", "seq", "track", "feature", "window")
+#: Tiles in a slice: what is read and written again when a tile of it changes.
+SLICE = 1_000_000
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in that of spark.checkpoint.dir; where that is unset and Spark runs on this machine alone, a local one."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-tierwave-")
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
 
-def write(df: DataFrame, path: str, feature: str) -> None:
-    """Writes (or replaces) the partitions that df has rows for. df: sm, rg, seq, track, window, tile and the fields.
 
-    Rows are dealt out by partition and a slice of tiles, so that a long sequence is many files, each sorted by tile.
+def merge_into(df: DataFrame, path: str, partitions: Sequence[str], keys: Sequence[str], sort: Sequence[str] = ()) -> None:
+    """Writes df into a partitioned table: rows of equal keys are replaced, all others stay.
+
+    keys include the partitions. Only partitions that df has rows for are read and written; what stays of them is put
+    aside first, so that nothing is read where it is being replaced, and a failed write can be done again.
+    """
+    spark = df.sparkSession
+    new = df
+    if exists(spark, path):
+        aside = scratch(spark)
+        df.write.parquet(f"{aside}/new")
+        new = spark.read.schema(df.schema).parquet(f"{aside}/new")
+        old = spark.read.schema(df.schema).parquet(path)
+        touched = F.broadcast(new.select(*partitions).distinct()) if new.select(*partitions).distinct().count() <= 100_000 else new.select(*partitions).distinct()
+        stays = old.join(touched, list(partitions), "left_semi").join(new.select(*keys).distinct(), list(keys), "left_anti")
+        stays.select(*df.columns).write.parquet(f"{aside}/old")
+        new = new.unionByName(spark.read.schema(df.schema).parquet(f"{aside}/old"))
+    spread = new.repartition(*partitions).sortWithinPartitions(*partitions, *sort)
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*partitions).parquet(path)
+
+
+def write(df: DataFrame, path: str, feature: str, bins: Sequence[str] = ()) -> None:
+    """Adds rows to the store. df: sm, rg, seq, track, window, tile, `bins` (for counts: bin, or from_bin, to_bin) and fields.
+
+    A long sequence is many slices, each a file sorted by tile.
     """
-    spread = df.withColumn("feature", F.lit(feature)).repartition(*PARTITIONS, F.floor(F.col("tile") / 1_000_000)).sortWithinPartitions(*PARTITIONS, "tile")
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*PARTITIONS).parquet(path)
+    sliced = df.withColumn("feature", F.lit(feature)).withColumn("slice", F.floor(F.col("tile") / SLICE).cast("bigint"))
+    merge_into(sliced, path, PARTITIONS, [*PARTITIONS, "tile", *bins], ["tile"])
 
 
 def read(spark: SparkSession, path: str, **wanted) -> DataFrame:
-    """Rows by keys (a value, a list, or None for all) and by start and end positions; both prune the scan."""
+    """Rows by keys (a value, a list, or None for all) and by start and end positions; all prune the partitions read."""
     start, end = wanted.pop("start", None), wanted.pop("end", None)
     df = query(spark.read.parquet(path), **wanted)
+    width = F.col("window") * SLICE
     if start is not None:
-        df = df.where(F.col("tile") >= F.floor(F.lit(start) / F.col("window")))
+        df = df.where((F.col("slice") >= F.floor(F.lit(start) / width)) & (F.col("tile") >= F.floor(F.lit(start) / F.col("window"))))
     if end is not None:
-        df = df.where(F.col("tile") < F.ceil(F.lit(end) / F.col("window")))
-    return df
+        df = df.where((F.col("slice") < F.ceil(F.lit(end) / width)) & (F.col("tile") < F.ceil(F.lit(end) / F.col("window"))))
+    return df.drop("slice")
+
+
+def attributes(features: DataFrame, lengths: DataFrame, branch: int) -> DataFrame:
+    """What describes each stored dataset: its keys, len, window_branch, window_root (the coarsest), first tile and tiles."""
+    each = features.groupBy(*LEVELS).agg(F.min("tile").alias("first_tile"), F.count_distinct("tile").alias("tiles"))
+    root = features.groupBy("sm", "rg", "seq", "track", "feature").agg(F.max("window").alias("window_root"))
+    return each.join(root, ["sm", "rg", "seq", "track", "feature"]).join(lengths.select("seq", "len"), "seq").withColumn("window_branch", F.lit(branch))
+
+
+def write_attributes(rows: DataFrame, path: str) -> None:
+    """Adds or replaces descriptions in the stored catalog; `path` is a table of its own."""
+    merge_into(rows, path, ["feature"], list(LEVELS))
+
+
+def catalogs(spark: SparkSession, stores: dict[str, str]) -> DataFrame:
+    """The stored catalogs of several stores (name to path of the catalog), with the column store."""
+    out = None
+    for name, path in stores.items():
+        one = spark.read.parquet(path).withColumn("store", F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def store_of(catalog_: DataFrame) -> DataFrame:
+    """sm, and the first store (by name) that has it."""
+    return catalog_.groupBy("sm").agg(F.min("store").alias("store"))
 
 
 def query(df: DataFrame, **wanted: object) -> DataFrame:

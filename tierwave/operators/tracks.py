@@ -14,6 +14,8 @@ PROPER, UNMAPPED_MATE, REVERSE, MATE_REVERSE, SECONDARY, QC_FAIL, DUPLICATE, SUP
 #: Operation codes of a CIGAR.
 M, I, D, N, S, H, P, EQ, X = range(9)
 MIN_CLIP, MIN_ANCHOR, BIG_DEL = 18, 36, 36
+#: Shares are summed as whole numbers of this part, so that what a read adds goes without a rest where it ends.
+FIXED = 1 << 40
 DINUCLEOTIDES = tuple(a + b for a in "ACGT" for b in "ACGT")
 
 
@@ -47,8 +49,9 @@ def read_classes(has_bases: bool = False) -> dict[str, Column]:
     }
     if has_bases:
         bases, n = F.upper("bases"), F.length("bases")
-        found["gc"] = F.length(F.regexp_replace(bases, "[^GC]", "")) / n
-        found |= {f"{p[0]}_{p[1]}": non_overlapping_count(bases, p) / n for p in DINUCLEOTIDES}
+        share = lambda k: F.when(n > 0, F.round(k / n * FIXED).cast("bigint")).otherwise(0)
+        found["gc"] = share(F.length(F.regexp_replace(bases, "[^GC]", "")))
+        found |= {f"{p[0]}_{p[1]}": share(non_overlapping_count(bases, p)) for p in DINUCLEOTIDES}
     return found
 
 
@@ -61,7 +64,9 @@ def interval_tracks(reads: DataFrame, keys: Sequence[str], names: Sequence[str],
     """keys, start, end, names: sums over reads of what they add, as runs. Only the tracks asked for are computed."""
     classes = read_classes(has_bases)
     rows = admitted(reads).select(*keys, F.col("pos").alias("start"), (F.col("pos") + F.col("rlen")).alias("end"), *(classes[n].alias(n) for n in names))
-    return coverage_runs(rows, keys, names)
+    runs = coverage_runs(rows, keys, names)
+    shares = {"gc", *(f"{p[0]}_{p[1]}" for p in DINUCLEOTIDES)}
+    return runs.select(*keys, "start", "end", *(F.round(F.col(n) / FIXED, 11).alias(n) if n in shares else F.col(n) for n in names))
 
 
 def projected_tracks(reads: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bins import bin_index
+from ..operators.store import merge_into
 
 
 def stream_moments(events: DataFrame, every: str, late: str, by: Sequence[str] = (), slide: str | None = None, center: float = 0.0) -> DataFrame:
@@ -29,10 +30,10 @@ def stream_spectrum(events: DataFrame, every: str, late: str, edges: Sequence[fl
     return binned.groupBy(F.window("ts", every), *by, "bin").agg(F.count("*").alias("cnt")).select(F.col("window.start").alias("start"), *by, "bin", "cnt")
 
 
-def upsert(path: str, partitions: Sequence[str]):
-    """For foreachBatch: replaces the partitions that a batch has rows for."""
+def upsert(path: str, partitions: Sequence[str], keys: Sequence[str]):
+    """For foreachBatch: a batch's rows replace those of equal keys (partitions among them); all others stay."""
 
     def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+        merge_into(batch, path, partitions, keys)
 
     return write
