@@ -21,7 +21,9 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -72,22 +74,27 @@ def chunks_of(documents: DataFrame, held_out: Column, chunk_bytes: int = CHUNK_B
                 names=["chunk", "docs", "held", "sizes", "width", "vocab", "tokens"],
             )
 
-        docs, held, sizes, tokens, known, full = [], [], [], [], {END: 0, START: 1}, 0
+        def numbered():
+            """Numbers for words, in the order in which they come."""
+            out = defaultdict(count(2).__next__)
+            out.update({END: 0, START: 1})
+            return out
+
+        docs, held, sizes, tokens, known, full = [], [], [], [], numbered(), 0
         for batch in batches:
             id_type = batch.column(0).type
             for doc, text, out in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = (text or "").encode().lower()
-                put = known.setdefault
-                ids = [put(w, len(known)) for w in raw.split()]
-                ids.append(0)
+                words = raw.split()
+                words.append(END)
                 docs.append(doc)
                 held.append(out)
-                sizes.append(len(ids))
-                tokens.append(np.array(ids, "<u4"))
+                sizes.append(len(words))
+                tokens.append(np.fromiter(map(known.__getitem__, words), "<u4", len(words)))
                 full += len(raw)
                 if full >= chunk_bytes:
                     yield flush()
-                    docs, held, sizes, tokens, known, full, number = [], [], [], [], {END: 0, START: 1}, 0, number + 1
+                    docs, held, sizes, tokens, known, full, number = [], [], [], [], numbered(), 0, number + 1
         if docs:
             yield flush()
 
@@ -97,6 +104,8 @@ def chunks_of(documents: DataFrame, held_out: Column, chunk_bytes: int = CHUNK_B
 
 def _spread(bucket: np.ndarray, buckets: int):
     """Each bucket that has rows, with their places."""
+    if buckets <= 1 << 16:  # numbers of two bytes are sorted by their bytes
+        bucket = bucket.astype(np.uint16)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
@@ -160,17 +169,29 @@ def encode(chunks: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
     return chunks.drop("vocab").join(found.groupBy("chunk").agg(F.collect_list(F.struct("at", "ids")).alias("known")), "chunk", "left")
 
 
+def _codes(columns: list[np.ndarray]) -> np.ndarray:
+    """A number for each row: equal, and in the same order, as the rows are."""
+    code = columns[0]
+    for x in columns[1:]:
+        if len(x):
+            if (int(code.max()) - int(code.min()) + 1) * (int(x.max()) - int(x.min()) + 1) >= 1 << 62:
+                code, x = (np.unique(y, return_inverse=True)[1] for y in (code, x))
+            code = (code - code.min()) * (x.max() - x.min() + 1) + (x - x.min())
+    return code
+
+
 @dataclass
 class Grams:
     """The distinct n-grams of a chunk. ids: a column for each word; of: the n-gram that ends at each position.
 
     history, suffix: the numbers, among those one word shorter, of the n-gram without its last and its first word.
+    Of the longest n-grams of a chunk that isn't to be scored, `of` and `suffix` are None.
     """
 
     ids: list[np.ndarray]
-    of: np.ndarray
+    of: np.ndarray | None
     history: np.ndarray
-    suffix: np.ndarray
+    suffix: np.ndarray | None
 
     def asked(self, buckets: int, some: np.ndarray | None = None):
         """For each bucket the n-grams in it. Those with an unknown word are in no table."""
@@ -183,7 +204,8 @@ class Grams:
 class Chunk:
     """A chunk's texts, each after order - 1 start tokens, and their n-grams of 1 to `most` words."""
 
-    def __init__(self, row, order: int, most: int | None = None):
+    def __init__(self, row, order: int, most: int | None = None, use: str = "score"):
+        """use: "ask" has only the distinct n-grams of `most` words, "count" those of the training texts and their `counts`."""
         sizes, held = np.array(row["sizes"], np.int64), np.array(row["held"], bool)
         pad, v = order - 1, int(row["width"])
         self.docs, self.sizes, self.held = row.get("docs"), sizes, held
@@ -199,14 +221,22 @@ class Chunk:
             ids[_unpack(part["at"], "<i4")] = _unpack(part["ids"], "<i8")
         none = np.zeros(0, np.int64)
         self.grams = [Grams([ids], x, none, none)]
-        for n in range(2, (most or order) + 1):
+        most = most or order
+        for n in range(2, most + 1):
             last = self.grams[-1]
-            places = np.flatnonzero(at >= n - 1)
-            codes, first, inverse = np.unique(last.of[places - 1].astype(np.int64) * v + x[places], return_index=True, return_inverse=True)
+            places = np.flatnonzero((at >= n - 1) & self.train if n == most and use == "count" else at >= n - 1)
+            codes = last.of[places - 1].astype(np.int64) * v + x[places]
+            of = suffix = None
+            if n < most or use == "score":
+                codes, inverse = np.unique(codes, return_inverse=True)
+                of = np.full(len(x), -1, np.int32)
+                of[places] = inverse
+                suffix = np.empty(len(codes), np.int32)
+                suffix[inverse] = last.of[places]
+            else:
+                codes, self.counts = np.unique(codes, return_counts=True)
             history, word = np.divmod(codes, v)
-            of = np.full(len(x), -1, np.int32)
-            of[places] = inverse
-            self.grams.append(Grams([*(c[history] for c in last.ids), ids[word]], of, history, last.of[places[first]]))
+            self.grams.append(Grams([*(c[history] for c in last.ids), ids[word]], of, history, suffix))
 
 
 def _names(n: int, first: int = 1) -> list[str]:
@@ -228,18 +258,21 @@ def ngram_counts(encoded: DataFrame, n: int, buckets: int) -> DataFrame:
 
         for batch in batches:
             for row in _columns(batch):
-                chunk = Chunk(row, n)
-                g = chunk.grams[-1]
-                c = np.bincount(g.of[chunk.train], minlength=len(g.history))
-                for b, at in g.asked(buckets, np.flatnonzero(c)):
+                chunk = Chunk(row, n, use="count")
+                g, c = chunk.grams[-1], chunk.counts
+                for b, at in g.asked(buckets, np.arange(len(c))):
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([[_pack(x[at]) for x in g.ids]], pa.list_(pa.binary())), pa.array([_pack(c[at])], pa.binary())], names=["bucket", "keys", "c"])
 
     def add(rows):
         import pandas as pd
 
-        keys = {w: np.concatenate([_unpack(k[j], "<i8") for k in rows["keys"]]) for j, w in enumerate(_names(n))}
-        every = pd.DataFrame(keys | {"c": np.concatenate([_unpack(c, "<i8") for c in rows["c"]])})
-        return every.groupby(_names(n), sort=True, as_index=False)["c"].sum()
+        keys = [np.concatenate([_unpack(k[j], "<i8") for k in rows["keys"]]) for j in range(n)]
+        code = _codes(keys)
+        order = np.argsort(code)
+        code = code[order]
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        c = np.add.reduceat(np.concatenate([_unpack(c, "<i8") for c in rows["c"]])[order], first)
+        return pd.DataFrame({w: k[order[first]] for w, k in zip(_names(n), keys, strict=True)} | {"c": c})
 
     rows = encoded.drop("docs").mapInArrow(give, "bucket int, keys array<binary>, c binary")
     return rows.groupBy("bucket").applyInPandas(add, ", ".join(f"{c} long" for c in [*_names(n), "c"]))
@@ -323,7 +356,7 @@ def _answers(encoded: DataFrame, table: DataFrame, n: int, order: int, buckets:
 
         for batch in batches:
             for row in _columns(batch):
-                g = Chunk(row, order, n).grams[n - 1]
+                g = Chunk(row, order, n, use="ask").grams[n - 1]
                 for b, at in g.asked(buckets):
                     keys = [[_pack(x[at]) for x in g.ids]]
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([row["chunk"]], pa.int64()), pa.array(keys, pa.list_(pa.binary()))], names=["bucket", "chunk", "keys"])
@@ -334,9 +367,17 @@ def _answers(encoded: DataFrame, table: DataFrame, n: int, order: int, buckets:
         keys = [[_unpack(k, "<i8") for k in row] for row in asked["keys"]]
         if not keys:
             return pd.DataFrame([], columns=["chunk", "n", "bucket", "c", "total", "weight"])
-        every = pd.DataFrame({name: np.concatenate([k[j] for k in keys]) for j, name in enumerate(_names(n))})
-        got = every.merge(known.drop(columns="bucket"), how="left", on=_names(n), validate="many_to_one")
-        c, total, weight = (got[x].fillna(0).to_numpy(kind) if x in got else None for x, kind in (("c", np.int64), ("total", np.int64), ("weight", np.float64)))
+        code = _codes([np.concatenate([known[w].to_numpy(np.int64), *(k[j] for k in keys)]) for j, w in enumerate(_names(n))])
+        place = pd.Index(code[: len(known)]).get_indexer(code[len(known) :])
+        found = place >= 0
+
+        def figures(name, kind):
+            out = np.zeros(len(place), kind)
+            if len(known):
+                out[found] = known[name].fillna(0).to_numpy(kind)[place[found]]
+            return out
+
+        c, (total, weight) = figures("c", np.int64), (figures("total", np.int64), figures("weight", np.float64)) if n < order else (None, None)
         out, at = [], 0
         for chunk, k in zip(asked["chunk"], keys, strict=True):
             mine = slice(at, at + len(k[0]))
