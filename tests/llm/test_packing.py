@@ -1,18 +1,21 @@
+import json
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tierwave.llm.packing import encoder, pack, pack_digest
+from tierwave.llm.packing import encoder, pack, pack_digest, quick_encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+PLAIN = Tokenizer.from_file(PATH)
 
 
 def ids_of(text):
-    t = Tokenizer.from_file(PATH)
-    return [*t.encode(text or "", add_special_tokens=False).ids, 0]
+    return [*PLAIN.encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def test_pieces_are_the_ids(make, odd):
@@ -50,7 +53,29 @@ def test_empty(make):
     assert pack(make([]), PATH).count() == 0
 
 
-def test_chunks_equal_whole_texts():
-    texts = ["a\t\n foo  bar\n\nbaz ", "x\x1c y\x85 z\xa0\xa0w", "don't  stop\r\n\r\n 1234 %%%  <|endoftext|> é", "   ", "\u2028a\u3000 b"]
-    got = [np.frombuffer(x, "<u2").tolist() for x in encoder(PATH).encode(texts)]
-    assert got == [ids_of(t)[:-1] for t in texts]
+def test_quick_ids_are_the_tokenizers():
+    texts = ["a\t\n foo  bar\n\nbaz ", "x\x1c y\x85 z\xa0\xa0w", "don't  stop\r\n\r\n 1234 %%%  <|endoftext|> é", "   ", "\u2028a\u3000 b", "", "aaaaaaa" * 99, "x" + " " * 1_000_001 + "y"]
+    assert encoder(PATH).quick is not None
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder(PATH).encode(texts)] == [ids_of(t)[:-1] for t in texts]
+
+
+def test_quick_ids_of_every_code_point():
+    enc, points = encoder(PATH), [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 64):
+        text = "|".join(f"a{chr(c)}1{chr(c)}. {chr(c)} x  {chr(c)}\n" for c in points[i : i + 64])
+        assert enc.quick.encode_ordinary(text) == enc.tokenizer.encode(text, add_special_tokens=False).ids, points[i]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \t\n\r\x85\xa0'stredmvl019.,-"), st.characters(exclude_categories=["Cs"])), max_size=60))
+def test_quick_ids_of_any_text(text):
+    assert encoder(PATH).ids(text) == ids_of(text)[:-1]
+
+
+def test_other_vocabularies_have_no_quick_encoder():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc = encoder(path)
+    assert enc.quick is None and enc.ids("Some words, <|endoftext|>") == Tokenizer.from_file(path).encode("Some words, <|endoftext|>", add_special_tokens=False).ids
+    spec = json.loads(encoder(PATH).tokenizer.to_str())
+    spec["model"]["merges"].reverse()
+    assert quick_encoder(spec) is None

@@ -12,6 +12,7 @@ ignored. A string of an added token in a text becomes that token, as the tokeniz
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -21,62 +22,73 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, materialize
 
-#: Unicode white space, at the start of whose runs the tokenizer's own splitting always cuts.
-SPACE = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-WHITE = frozenset([*map(chr, range(9, 14)), *SPACE[3:], ""])
-_CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Chunks whose ids a worker remembers at most; others are encoded whenever they occur.
-CACHED = 400_000
+#: Fixed value: where byte-level BPE cuts a text into pieces.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of white space that the quick encoder's splitter has no stack for (it fails at a million, not at 100,000).
+LONG, _RUN = 10_000, re.compile(r"\s{10000}")
 _encoders: dict = {}
 
 
-class ChunkEncoder:
-    """Ids of texts as little-endian bytes, joined from remembered ids of their white-space chunks."""
+def _byte_names() -> dict[str, int]:
+    """Byte-level BPE's names of bytes: printable Latin-1 stands for itself, the others follow from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def quick_encoder(spec: dict):
+    """The same vocabulary as merge ranks, or None where the two would not be the same by construction.
+
+    Ids that ascend with the merges are ranks, and what two tokens join to is then always joined by its own merge, as the
+    bytes between two cuts are merged alike whatever stands around them.
+    """
+    model, cut = spec["model"], spec["pre_tokenizer"] or {}
+    whole = model["type"] == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    cuts = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    if not (whole and cuts) or any(spec.get(x) for x in ("normalizer", "truncation", "padding")):
+        return None
+    names, vocab = _byte_names(), {k: v for k, v in model["vocab"].items() if k not in {t["content"] for t in spec["added_tokens"]}}
+    merged = [vocab.get(m.replace(" ", "") if isinstance(m, str) else "".join(m)) for m in model["merges"]]
+    if None in merged or merged != sorted(set(merged)) or len(vocab) != 256 + len(merged) or not names.keys() <= vocab.keys() or max(map(vocab.get, names)) > min(merged):
+        return None
+    try:
+        import tiktoken
+    except ImportError:
+        return None
+    return tiktoken.Encoding("pieces", pat_str=PIECES, mergeable_ranks={bytes(map(names.get, k)): v for k, v in vocab.items()}, special_tokens={})
+
+
+class Encoder:
+    """Ids of texts as little-endian bytes, as the tokenizer gives them.
+
+    Most texts go through quick_encoder(); texts with an added token or a very long run of white space, and all texts
+    where the vocabulary has no quick encoder, through the tokenizer itself.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
-        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.width = int(self.kind[-1])
+        self.quick = quick_encoder(json.loads(self.tokenizer.to_str()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # A text with an added token in it is encoded as it is.
-        whole = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        split = [[] if i in whole else _CHUNK.findall(t) for i, t in enumerate(texts)]
-        known, new = self.known, list(set().union(*split) - self.known.keys())
-        fresh = {}
-        # A blank and a word: a line break between two such chunks is a token of its own, so many are encoded as one text.
-        plain = [c for c in new if c[0] == " " and c[1:2] not in WHITE] if len(self.line) == 1 else []
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, f"<u{self.width}")
-            cut = np.flatnonzero(ids == self.line[0])
-            if len(cut) == len(part) - 1:
-                raw, at = ids.tobytes(), self.width
-                starts, ends = [0, *((cut + 1) * at).tolist()], [*(cut * at).tolist(), len(raw)]
-                fresh.update(zip(part, map(raw.__getitem__, map(slice, starts, ends)), strict=True))
-        new = [c for c in new if c not in fresh] if fresh else new
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                fresh[chunk] = np.array(e.ids, f"<u{self.width}").tobytes()
-        if len(known) + len(fresh) <= CACHED:
-            known.update(fresh)
-            get = known.__getitem__
-        else:
-            get = {**known, **fresh}.__getitem__ if len(fresh) > len(known) else lambda c: known.get(c) or fresh[c]
-        return [np.array(whole[i], f"<u{self.width}").tobytes() if i in whole else b"".join(map(get, chunks)) for i, chunks in enumerate(split)]
-
-
-def encoder(path: str) -> ChunkEncoder:
+        return [np.array(self.ids(t), self.kind).tobytes() for t in texts]
+
+    def ids(self, text: str) -> list[int]:
+        if self.quick is None or any(s in text for s in self.special) or (len(text) >= LONG and _RUN.search(text)):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.quick.encode_ordinary(text)
+
+
+def encoder(path: str) -> Encoder:
     if path not in _encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
@@ -109,8 +121,7 @@ def tokenize(documents: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame
 
 def pack(documents: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0) -> DataFrame:
     """Pieces: doc_id, start (the document's ids before it), length, ids (array), doc_tokens, sequence_id, offset."""
-    pieces = _cut(documents, tokenizer, length, end_id, digest=False)
-    return pieces
+    return _cut(documents, tokenizer, length, end_id, digest=False)
 
 
 def pack_digest(documents: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0) -> DataFrame:
