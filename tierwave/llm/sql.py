@@ -35,3 +35,13 @@ select page_id, host, path, rule, case when rule in ('com/', 'www.example.com/en
     when upper < 0.5 then 'block' else 'allow' end as verdict from judged
 """
 )
+
+SQL["op13_line_dedup"] = r"""
+with split as (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
+lines as (select doc_id, unnest(range(len(ls))) pos, unnest(ls) line from split),
+keyed as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') k from lines),
+firsts as (select k, min(doc_id) f from keyed where length(k) >= 10 group by k having count(distinct doc_id) > 1)
+select doc_id, count(*) n_lines, count(*) filter (f is not null and doc_id <> f) n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) order by pos) filter (f is null or doc_id = f), '')) kept_sha256
+from keyed left join firsts using (k) group by doc_id
+"""
