@@ -45,3 +45,22 @@ select doc_id, count(*) n_lines, count(*) filter (f is not null and doc_id <> f)
     sha256(coalesce(string_agg(line, chr(10) order by pos) filter (f is null or doc_id = f), '')) kept_sha256
 from keyed left join firsts using (k) group by doc_id
 """
+
+SQL["op12_phrases"] = r"""
+with low as (select coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+pieces as (select lang, unnest(string_split_regex(t, '[.,;:!?\n\x0b\x0c\r]')) p from low),
+worded as (select lang, list_filter(string_split_regex(p, '[ \t]+'), lambda x: x <> '') ws from pieces),
+starts as (select lang, ws, unnest(range(1, len(ws) + 1)) i from worded),
+counts as (select lang, k, array_to_string(ws[i:i + k - 1], ' ') phrase, count(*) f from starts, (values (1), (2), (3), (4)) t(k) where i + k - 1 <= len(ws) group by all),
+totals as (select lang, sum(f)::bigint n from counts where k = 1 group by lang),
+cand as (select lang, k, phrase, string_split(phrase, ' ') ws, f a from counts where k > 1 and f >= 30),
+cuts as (select lang, phrase, a, c, array_to_string(ws[1:c], ' ') lp, array_to_string(ws[c + 1:], ' ') rp from (select *, unnest(range(1, k)) c from cand)),
+scored as (select cuts.lang, cuts.phrase, a, c, x.f l, y.f r, ((2000000::hugeint * a) // (x.f::hugeint + y.f))::bigint score from cuts
+    join counts x on x.lang = cuts.lang and x.phrase = lp join counts y on y.lang = cuts.lang and y.phrase = rp),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+inner_ as (select lang, a, array_to_string(ws[i:i + m - 1], ' ') phrase from (select *, unnest(range(1, k - m + 2)) i from (select *, unnest(range(2, k)) m from cand))),
+around as (select lang, phrase, max(a) most from inner_ group by all),
+stay as (select lowest.* from lowest left join around using (lang, phrase) where most is null or 100 * most::hugeint < 80 * a::hugeint)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from stay join totals using (lang)
+qualify rank <= 2000
+"""
