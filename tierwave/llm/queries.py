@@ -105,6 +105,14 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), by_remainder(F.col("doc_id")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    found = whiten(table(spark, sf_dir, "embeddings"))
+    each = found.select("vec_id", "n", "deviation", "identity_error", "explained", F.posexplode("whitened").alias("_k", "whitened"))
+    return each.select("vec_id", (F.col("_k") + 1).alias("component"), "n", "deviation", "whitened", F.get("explained", "_k").alias("explained"), "identity_error")
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .phrases import collocations
 
@@ -118,4 +126,4 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(F.col("lines.kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_toxicity, op4_quality, op5_suffix_dedup, op6_simhash, op7_url_filters, op8_fingerprints, op9_html_extraction, op10_lm_scoring, op12_phrases, op13_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_toxicity, op4_quality, op5_suffix_dedup, op6_simhash, op7_url_filters, op8_fingerprints, op9_html_extraction, op10_lm_scoring, op11_whitening, op12_phrases, op13_line_dedup)}
