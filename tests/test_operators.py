@@ -224,7 +224,7 @@ def test_store_round_trip(spark, tmp_path):
     every = store.catalogs(spark, {"x": path + "-catalog", "y": path + "-catalog"})
     assert every.count() == 8 and every.select("window_root", "len", "window_branch").distinct().collect() == [(100, 100, 10)]
     assert sorted(map(tuple, store.store_of(every).collect())) == [("a", "x"), ("b", "x")]
-    cat = store.catalog(spark.read.parquet(path))
+    cat = store.catalog(store.read_table(spark, path))
     (w,) = store.windows_by_sequence(cat).collect()
     assert w["windows"] == [10, 100] and w.uniform
     assert store.base_window(cat).first()["window"] == 10

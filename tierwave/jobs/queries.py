@@ -391,10 +391,37 @@ def store_range_read(spark: SparkSession, sf: str) -> DataFrame:
 def store_attributes(spark: SparkSession, sf: str) -> DataFrame:
     """The stored catalog of a store, written in two parts."""
     path = store.scratch(spark)
-    rows = store.attributes(spark.read.parquet(_stored(spark, sf)), views.event_lengths(spark, sf), BRANCH)
+    rows = store.attributes(store.read_table(spark, _stored(spark, sf)), views.event_lengths(spark, sf), BRANCH)
     store.write_attributes(rows.where("sm = 's'"), path)
     store.write_attributes(rows, path)
-    return spark.read.parquet(path).select("sm", "rg", "seq", "track", "feature", "window", "first_tile", "tiles", "window_root", "len", "window_branch")
+    return store.read_table(spark, path, ["feature"]).select("sm", "rg", "seq", "track", "feature", "window", "first_tile", "tiles", "window_root", "len", "window_branch")
+
+
+@query
+def store_odd_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples and groups that are null, empty or look like numbers: written in two parts, the second in folders of the first."""
+    path, tiles = store.scratch(spark), _tiles(spark, sf).withColumn("window", F.lit(WINDOW).cast("bigint"))
+    sample, group = F.array(F.lit(None).cast("string"), *map(F.lit, ("", "0012", "7", "~0"))), F.array(F.lit(None).cast("string"), F.lit("1"))
+    rows = tiles.drop("sm", "rg").withColumn("sm", F.explode(sample)).withColumn("rg", F.explode(group))
+    store.write(rows.where("tile % 3 < 2").withColumn("sum", F.col("sum") + 1), path, "moments")
+    store.write(rows.where("tile % 3 > 0"), path, "moments")
+    return store.read(spark, path).select(F.coalesce("sm", F.lit("none")).alias("sm"), F.coalesce("rg", F.lit("none")).alias("rg"), "tile", "n", F.round("sum", 4).alias("sum"))
+
+
+@query
+def catalog_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """The keys of a store from its list of files, with the windows of each sequence."""
+    return store.stored_catalog(spark, _stored(spark, sf)).select("sm", "rg", "seq", "track", "feature", "window", "slices")
+
+
+@query
+def base_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """The finest window of each sequence of read coverage, from the list of files."""
+    path, reads = store.scratch(spark), tracks.admitted(views.reads(spark, sf))
+    runs = tracks.interval_tracks(reads, ["sm", "seq"], ["total"]).withColumnRenamed("total", "value")
+    base = moments.run_moments(runs, ["sm", "seq"], WINDOW, views.lengths(reads)).withColumns({"rg": F.lit("all"), "track": F.lit("total"), "window": F.lit(WINDOW).cast("bigint")})
+    store.write(base, path, "moments")
+    return store.base_window(store.stored_catalog(spark, path))
 
 
 @query

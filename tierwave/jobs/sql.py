@@ -134,6 +134,10 @@ SQL["store_round_trip"] = f"with {_pyramid(10)} select sm, \"window\", tile, {FI
 SQL["store_range_read"] = f"with {EV}, {_moments('ev', 'tile')} select tile, {FIELDS} from mom where tile >= 12 and tile < 88"
 SQL["store_attributes"] = f"""with {_pyramid(10)} select sm, 'all' rg, 'events' seq, 'value' track, 'moments' feature, "window", min(tile) first_tile, count(*) tiles, (select max("window") from levels) window_root,
 (select max(event_id) + 1 from events) len, 10 window_branch from pyr, (select unnest(['s', 't']) sm) group by sm, "window\""""
+SQL["store_odd_keys"] = f"""with {EV}, {_moments('ev', 'tile')} select sm, rg, tile, n, round(case when tile % 3 = 0 then sum + 1 else sum end, 4) sum
+from mom, (select unnest(['none', '', '0012', '7', '~0']) sm), (select unnest(['none', '1']) rg)"""
+SQL["catalog_listing"] = f"""with {_pyramid(10)} select sm, 'all' rg, 'events' seq, 'value' track, 'moments' feature, "window", count(distinct tile // 1000000) slices from pyr, (select unnest(['s', 't']) sm) group by sm, "window\""""
+SQL["base_windows"] = """select distinct l_returnflag || l_linestatus seq, 100 as "window" from lineitem where l_partkey % 101 <> 0 and l_linenumber <> 7"""
 SQL["json_export"] = f"""with {EV}, s as (select tile, count(*)::double n, min(v) as min, max(v) as max from ev group by tile) select to_json({{'seq': 'events', 'track': 'value', 'tile': tile, 'n': n, 'min': min, 'max': max}})::varchar as json from s"""
 SQL["lod_select"] = f"""with {RANGES}, {_pyramid(10)}, {CHOICE} select range_id, s as "start", e as "end", w as "window" from chosen"""
 SQL["range_query"] = f"""with {RANGES}, {_pyramid(10)}, {CHOICE} select range_id, "window", tile, n, round(sum, 4) sum, min, max, round(m1, 6) m1 from chosen join pyr on "window" = w and tile >= s // w and tile < ceil(e / w)"""
