@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.bins import bin_index, default_edges
 from ..operators import compare, filters, intervals, lod, moments, ordered, raster, sliding, spectrum, store, tracks
-from ..sources import views
+from ..sources import alignments, bam, views
 from ..sources.views import KEYS
 from ..streaming.windows import stream_moments
 
@@ -268,7 +268,7 @@ def dinucleotide_tracks(spark: SparkSession, sf: str) -> DataFrame:
     return at.select("seq", "pos", *(_above_ties(F.col(n), 5).alias(n.lower()) for n in names))
 
 
-def _reads_with_cigars(spark: SparkSession, sf: str) -> DataFrame:
+def _reads_with_cigars(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     """Reads whose CIGAR is made of the numbers of a line item: ends clipped, an operation between two matches."""
     item = views.table(spark, sf, "lineitem")
     step = lambda op, n: F.struct(op.cast("int").alias("op"), n.cast("int").alias("len"))
@@ -278,7 +278,7 @@ def _reads_with_cigars(spark: SparkSession, sf: str) -> DataFrame:
     cigar = F.filter(ops, lambda x: x.len > 0)
     days = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("bigint")
     flag = F.when(F.col("l_linenumber") == 7, 0x400).otherwise(0)
-    return item.select(F.concat("l_returnflag", "l_linestatus").alias("seq"), days.alias("pos"), (days + 1).alias("ref_end"), flag.alias("flag"), cigar.alias("cigar"))
+    return item.select(F.concat("l_returnflag", "l_linestatus").alias("seq"), days.alias("pos"), (days + 1).alias("ref_end"), flag.alias("flag"), cigar.alias("cigar"), *more)
 
 
 @query
@@ -288,6 +288,38 @@ def cigar_tracks(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("seq", "track").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("bases"), F.sum("start").alias("starts"))
 
 
+def _bam(spark: SparkSession, sf: str) -> str:
+    """A folder of BAM files with the reads of line items, CIGARs, bases and groups among them."""
+    item, path = _reads_with_cigars(spark, sf, "l_orderkey", "l_linenumber", "l_tax"), store.scratch(spark)
+    size = F.aggregate("cigar", F.lit(0), lambda n, c: n + F.when(c.op.isin(tracks.M, tracks.I, tracks.S, tracks.EQ, tracks.X), c.len).otherwise(0))
+    bases = F.translate(F.repeat(F.md5(F.concat_ws("/", "l_orderkey", "l_linenumber")), 7), "0123456789abcdef", "ACGTACGTACGTACGN")
+    reads = item.select(
+        F.concat_ws("/", "l_orderkey", "l_linenumber").alias("name"), "seq", "pos", "flag", "cigar", F.lit("=").alias("mate_seq"), F.col("pos").alias("mate_pos"), (F.col("l_orderkey") % 401 - 200).alias("tlen"),
+        (7 * F.round(F.col("l_tax") * 100).cast("int")).alias("mapq"), F.substr(bases, F.lit(1), size).alias("bases"), F.when(F.col("l_linenumber") != 3, F.concat(F.lit("rg"), "l_linenumber")).alias("rg"),
+    )
+    lengths = [(r["seq"], r["n"]) for r in item.groupBy("seq").agg((F.max("pos") + 1000).alias("n")).orderBy("seq").collect()]  # a row for each sequence
+    bam.write_bam(reads, path, bam.header_text(lengths, [(f"rg{k}", f"s{k % 2}") for k in range(1, 8)]))
+    return path
+
+
+@query
+def bam_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """What a folder of BAM files holds, as it was written."""
+    reads = bam.bam(spark, _bam(spark, sf))
+    said = F.array_join(F.transform("cigar", lambda c: F.concat(c.len.cast("string"), F.substr(F.lit("MIDNSHP=X"), c.op + 1, F.lit(1)))), "")
+    return reads.select("name", "seq", "pos", "ref_end", "flag", "mapq", "mate_seq", "mate_pos", "tlen", said.alias("cigar"), "bases", F.coalesce("rg", F.lit("none")).alias("rg"), "rlen")
+
+
+@query
+def bam_region(spark: SparkSession, sf: str) -> DataFrame:
+    """Depth of each sample over [500, 900) of one sequence, from the chunks that the index names for it."""
+    path = _bam(spark, sf)
+    groups = alignments.read_groups(bam.header_lines(spark, path))
+    reads = tracks.admitted(bam.bam(spark, path).where("seq = 'NO' and pos < 900 and ref_end > 500")).join(F.broadcast(groups), "rg")
+    start, end = intervals.clip("pos", "ref_end", 500, 900)
+    return raster.coverage_runs(reads.select("sm", start.alias("start"), end.alias("end"), F.lit(1).cast("bigint").alias("depth")), ["sm"], ["depth"])
+
+
 @query
 def dinucleotide_fraction(spark: SparkSession, sf: str) -> DataFrame:
     """Of each text: shares of two letters that stand for dinucleotides."""

@@ -113,6 +113,15 @@ union all select seq, 'insertion', pos + f + q - 1, pos + f + q from e where o =
 union all select seq, 'big_del', pos + f + q, pos + f + q + m from e where o = 'D' and m >= 36 union all select seq, 'splice', pos + f + q, pos + f + q + m from e where o = 'N' and m > 0
 union all select seq, 'substitution', pos + f + q, pos + f + q + m from e where o = 'X' and m > 0)
 select seq, track, count(*) n, sum(z - a)::bigint bases, sum(a)::bigint starts from s group by all"""
+_BAM = """r as (select l_orderkey || '/' || l_linenumber as name, l_returnflag || l_linestatus seq, date_diff('day', date '1995-01-01', l_shipdate::date) pos, l_quantity::bigint q, l_suppkey % 45 f, l_partkey % 45 b,
+l_orderkey % 50 m, ['I', 'D', 'N', 'X'][(l_linenumber % 4 + 1)::integer] o, l_linenumber k, l_orderkey, l_tax, case when l_linenumber = 7 then 1024 else 0 end flag from lineitem),
+c as (select *, case when f > 0 then f || 'S' else '' end || q || 'M' || case when m > 0 then m || o else '' end || q || '=' || case when b > 0 then b || 'H' else '' end cigar,
+pos + 2 * q + case when o = 'I' then 0 else m end ref_end, f + 2 * q + case when o in ('I', 'X') then m else 0 end rlen from r)"""
+SQL["bam_reads"] = f"""with {_BAM} select name, seq, pos, ref_end, flag, 7 * round(l_tax * 100)::integer mapq, seq mate_seq, pos mate_pos, l_orderkey % 401 - 200 tlen, cigar,
+left(translate(repeat(md5(name), 7), '0123456789abcdef', 'ACGTACGTACGTACGN'), rlen) bases, case when k = 3 then 'none' else 'rg' || k end rg, rlen from c"""
+SQL["bam_region"] = f"""with {_BAM}, i as (select 's' || (k % 2) sm, greatest(pos, 500) s, least(ref_end, 900) e from c where seq = 'NO' and pos < 900 and ref_end > 500 and k not in (3, 7)),
+e as (select sm, s p, 1 d from i union all select sm, e, -1 from i), n as (select sm, p, sum(d) d from e group by all),
+t as (select sm, p as "start", lead(p) over w as "end", (sum(d) over w)::bigint as depth from n window w as (partition by sm order by p)) select * from t where depth > 0"""
 _pair = lambda p: f"round((length(t) - length(replace(t, '{p}', ''))) / 2 / length(t), 8) as \"{p.lower()}\""
 SQL["dinucleotide_fraction"] = f"with d as (select doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') t from documents where length(text) > 0) select doc_id, {', '.join(map(_pair, ('EN', 'TI', 'OU', 'ES')))} from d"
 SQL["read_group_merge"] = f"with {READS} select seq, string_agg(distinct sm, '-' order by sm) sm, string_agg(distinct rg, '-' order by rg) rgs, count(*) n from reads group by seq"

@@ -38,9 +38,10 @@ def groups_of_samples(groups: DataFrame) -> DataFrame:
 
 def sam_reads(lines: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Reads in the canonical schema. ref_end is null for unmapped ones; a read without a group has rg null."""
-    f = [F.get(F.split("value", "\t"), k) for k in range(10)]
+    f = [F.get(F.split("value", "\t"), k) for k in range(11)]
     cigar = cigar_ops(f[5])
     body = lines.where(~F.col("value").startswith("@") & (F.col("value") != "")).select(
+        f[0].alias("name"), (f[7].try_cast("bigint") - 1).alias("mate_pos"), f[10].alias("qual"),
         F.regexp_extract("value", r"\tRG:Z:([^\t]+)", 1).alias("rg"), f[2].alias("seq"), (f[3].try_cast("bigint") - 1).alias("pos"), f[1].try_cast("int").alias("flag"), f[4].try_cast("int").alias("mapq"),
         F.when(f[6] == "=", f[2]).otherwise(f[6]).alias("mate_seq"), f[8].try_cast("bigint").alias("tlen"), cigar.alias("cigar"), f[9].alias("bases"),
     ).withColumn("rg", F.when(F.col("rg") != "", F.col("rg")))
