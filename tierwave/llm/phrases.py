@@ -5,12 +5,12 @@ padded with nulls at the end). ROLLUP(language, w1, .., w4) over these windows s
 each word starts exactly one window, the count of a prefix is the phrase's count, and that of no word is the number of
 words. No phrase of fewer words is ever made.
 
-Windows are padded earlier where it can't change a result: after a word whose pair with the next one occurs fewer than
-`least` times, since no phrase over that pair is a candidate (nor a part of one). Which pairs those are is told by a
-table of counts of fixed size, indexed by a hash of the pair, over all words: a slot under `least` has no frequent pair,
-a slot over it may have some, and the counts that matter come from ROLLUP. Its size grows with the text up to 2**27
-slots (16 MB as bits, the only thing broadcast); beyond that fewer windows are shortened. Equal windows of a chunk of
-texts are counted before they are shuffled.
+Windows are padded earlier where it can't change a result: before a word that would make a phrase of fewer than `least`
+occurrences, as no candidate nor a part of one begins so. Which phrases those are is told by tables of counts of fixed
+size, one for each length, indexed by a hash of the phrase, over all texts: a slot under `least` has no frequent phrase,
+a slot over it may have some, and the counts that matter come from ROLLUP. A table grows with the text up to 2**27 slots
+(16 MB as bits; the four of them are the only thing broadcast); beyond that fewer windows are shortened. Equal windows of
+a chunk of texts are counted before they are shuffled.
 
 Parts of candidates, and the phrases around them, are joined by equality with salted keys; the first `top` of a language
 are taken in two steps, so that no task sorts a whole language.
@@ -30,7 +30,7 @@ from .common import bound_batches, materialize
 
 #: Fixed value: the characters that end a piece.
 ENDS = b".,;:!?\n\x0b\x0c\r"
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 8_000_000
 SLICES, SALTS = 256, 16
 _CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + ENDS, b"abcdefghijklmnopqrstuvwxyz " + b"." * len(ENDS))
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -48,10 +48,10 @@ def _texts(batches, chunk_bytes: int):
             yield lang, raw[start:]
 
 
-def _chunks(batches, chunk_bytes: int):
-    """lang, words (bytes, the first is `.`), tokens: places in words, 0 between pieces and at the end."""
-    from itertools import count
+def _chunks(batches, chunk_bytes: int, most: int):
+    """lang, words (bytes, the first is `.`), tokens: places in words, 0 between pieces and `most` times at the end."""
     from collections import defaultdict
+    from itertools import count
 
     def numbered():
         out = defaultdict(count(1).__next__)
@@ -60,14 +60,14 @@ def _chunks(batches, chunk_bytes: int):
 
     def flush():
         for lang, tokens in held.items():
-            yield lang, list(known[lang]), np.concatenate(tokens)
+            yield lang, list(known[lang]), np.concatenate([*tokens, np.zeros(most, np.int32)])
 
     held, known, full = defaultdict(list), defaultdict(numbered), 0
     for lang, text in _texts(batches, chunk_bytes):
         tokens = text.replace(b".", b" . ").split(b" ")
         numbers = known[lang]
-        held[lang].append(np.fromiter((numbers[w] for w in tokens if w), np.int64))
-        held[lang].append(np.zeros(1, np.int64))
+        held[lang].append(np.fromiter((numbers[w] for w in tokens if w), np.int32))
+        held[lang].append(np.zeros(1, np.int32))
         full += len(text)
         if full >= chunk_bytes:
             yield from flush()
@@ -75,15 +75,25 @@ def _chunks(batches, chunk_bytes: int):
     yield from flush()
 
 
-def _slots(lang: str, words: list[bytes], size: int):
-    """Two functions of places: the slots of words, and of pairs of words."""
+def _grams(lang: str, words: list[bytes], tokens: np.ndarray, size: int, most: int, keep=None):
+    """For n up to `most`: n, where n-grams begin, their slots. keep(n, slots): which of them go on to longer ones."""
     from xxhash import xxh64_intdigest
 
-    seed = xxh64_intdigest(lang.encode())
+    seed, shift = xxh64_intdigest(lang.encode()), np.uint64(64 - (size - 1).bit_length())
     own = np.fromiter((xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
-    first, second = own * _FACTOR, np.bitwise_xor(own, own >> np.uint64(29))
-    shift = np.uint64(64 - (size - 1).bit_length())
-    return (lambda at: (first[at] >> shift).astype(np.int64)), (lambda a, b: ((first[a] + second[b]) * _FACTOR >> shift).astype(np.int64))
+    at = np.flatnonzero(tokens).astype(np.int32)
+    mixed = own[tokens[at]]
+    for n in range(1, most + 1):
+        if n > 1:
+            follow = tokens[at + (n - 1)]
+            goes_on = follow > 0
+            at = at[goes_on]
+            mixed = (mixed[goes_on] ^ mixed[goes_on] >> np.uint64(31)) * _FACTOR + own[follow[goes_on]]
+        slots = ((mixed * _FACTOR) >> shift).astype(np.int32)
+        if keep is not None:
+            some = keep(n, slots)
+            at, mixed, slots = at[some], mixed[some], slots[some]
+        yield n, at, slots
 
 
 def _fold(table: np.ndarray, slots: np.ndarray, least: int) -> None:
@@ -92,8 +102,8 @@ def _fold(table: np.ndarray, slots: np.ndarray, least: int) -> None:
     table[at] = np.minimum(table[at] + np.minimum(n, least), least).astype(table.dtype)
 
 
-def frequent_slots(documents: DataFrame, least: int, size: int, chunk_bytes: int = CHUNK_BYTES) -> tuple[bytes, bytes]:
-    """Bits of the slots that `least` occurrences of words, and of pairs, fall into; `size` slots each (a power of two from 2**11 on)."""
+def frequent_slots(documents: DataFrame, least: int, size: int, most: int, chunk_bytes: int = CHUNK_BYTES) -> list[bytes]:
+    """For n up to `most` the bits of the slots that n-grams fall into `least` times; `size` slots each (a power of two from 2**11 on)."""
     import zstandard
 
     part, kind = size // SLICES, np.min_scalar_type(least)
@@ -101,13 +111,10 @@ def frequent_slots(documents: DataFrame, least: int, size: int, chunk_bytes: int
     def count(batches):
         import pyarrow as pa
 
-        tables = [np.zeros(size, kind) for _ in range(2)]
-        for lang, words, tokens in _chunks(batches, chunk_bytes):
-            word, pair = _slots(lang, words, size)
-            a, b = tokens[:-1], tokens[1:]
-            _fold(tables[0], word(a[a > 0]), least)
-            both = (a > 0) & (b > 0)
-            _fold(tables[1], pair(a[both], b[both]), least)
+        tables = [np.zeros(size, kind) for _ in range(most)]
+        for lang, words, tokens in _chunks(batches, chunk_bytes, most):
+            for n, _, slots in _grams(lang, words, tokens, size, most):
+                _fold(tables[n - 1], slots, least)
         for k, table in enumerate(tables):
             some = [s for s in range(SLICES) if table[s * part : (s + 1) * part].any()]
             if some:
@@ -126,46 +133,40 @@ def frequent_slots(documents: DataFrame, least: int, size: int, chunk_bytes: int
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.packbits(n >= least).tobytes() for n in sums.values()], pa.binary())], names=["slice", "bits"])
 
     counted = documents.select("lang", "text").mapInArrow(count, "slice int, counts binary")
-    bits = dict(counted.repartition("slice").mapInArrow(add, "slice int, bits binary").collect())  # 2 * size bits
-    none = bytes(-(-part // 8))
-    return tuple(b"".join(bits.get(k * SLICES + s, none) for s in range(SLICES)) for k in range(2))
+    bits = dict(counted.repartition("slice").mapInArrow(add, "slice int, bits binary").collect())  # most * size bits
+    none = bytes(part // 8)
+    return [b"".join(bits.get(k * SLICES + s, none) for s in range(SLICES)) for k in range(most)]
 
 
 def longest_windows(documents: DataFrame, least: int, size: int, most: int = 4, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """lang, w1, .., w<most>, n: equal padded windows of a chunk counted together."""
-    sc = documents.sparkSession.sparkContext
-    told = sc.broadcast(frequent_slots(documents, least, size, chunk_bytes))
+    told = documents.sparkSession.sparkContext.broadcast(frequent_slots(documents, least, size, most, chunk_bytes))
     names = ["lang", *(f"w{k + 1}" for k in range(most)), "n"]
 
     def run(batches):
         import pyarrow as pa
 
-        some_words, some_pairs = (np.frombuffer(x, np.uint8) for x in told.value)
-        among = lambda bits, slots: (bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 > 0
-        for lang, words, tokens in _chunks(batches, chunk_bytes):
-            word, pair = _slots(lang, words, size)
-            spread = np.concatenate([tokens, np.zeros(most, np.int64)])
-            at = np.flatnonzero(tokens)
-            columns = [spread[at]]
-            goes_on = np.zeros(len(spread), bool)
-            both = at[spread[at + 1] > 0]
-            goes_on[both] = among(some_pairs, pair(spread[both], spread[both + 1]))
-            rare = ~among(some_words, word(np.arange(len(words))))
-            alive = ~rare[columns[0]]
-            for k in range(1, most):
-                alive = alive & goes_on[at + k - 1]
-                columns.append(np.where(alive, spread[at + k], 0))
-            columns[0] = np.where(rare[columns[0]], 0, columns[0])  # only in the number of all words; goes on nowhere
-            code, base = columns[0], len(words)
-            for x in columns[1:]:
+        bits = [np.frombuffer(x, np.uint8) for x in told.value]
+        keep = lambda n, slots: (bits[n - 1][slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 > 0
+        for lang, words, tokens in _chunks(batches, chunk_bytes, most):
+            columns = [np.zeros(len(tokens), np.int32) for _ in range(most)]
+            for n, at, _ in _grams(lang, words, tokens, size, most, keep):
+                columns[n - 1][at] = tokens[at + (n - 1)]
+            alone = np.bincount(columns[0][(tokens > 0) & (columns[1] == 0)] if most > 1 else columns[0][tokens > 0], minlength=len(words))  # at 0: rare words, which are in the number of all words only
+            long = np.flatnonzero(columns[1]) if most > 1 else np.empty(0, np.int64)
+            code, base = np.zeros(len(long), np.int64), len(words)
+            for x in columns:
                 if int(code.max(initial=0)) >= (1 << 62) // base:
                     code = np.unique(code, return_inverse=True)[1]
-                code = code * base + x
+                code = code * base + x[long]
             _, first, n = np.unique(code, return_index=True, return_counts=True)
+            single = np.flatnonzero(alone)
+            windows = [np.concatenate([single if k == 0 else np.zeros(len(single), np.int64), x[long[first]]]) for k, x in enumerate(columns)]
+            n = np.concatenate([alone[single], n])
             text = pa.array([w.decode() if k else None for k, w in enumerate(words)], pa.string())
-            for s in range(0, len(first), 200_000):
-                cut = first[s : s + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cut), pa.string()), *(text.take(pa.array(x[cut])) for x in columns), pa.array(n[s : s + 200_000], pa.int64())], names=names)
+            for s in range(0, len(n), 100_000):
+                cut = slice(s, s + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n[cut]), pa.string()), *(text.take(pa.array(x[cut])) for x in windows), pa.array(n[cut], pa.int64())], names=names)
 
     return documents.select(F.col("lang").cast("string"), "text").mapInArrow(run, ", ".join(f"{c} {'long' if c == 'n' else 'string'}" for c in names))
 
