@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tierwave.functions import text
 from tierwave.functions.bins import bin_index, default_edges
+from tierwave.sources.fasta import sliced
 from tierwave.operators import compare, filters, intervals, lod, moments, ordered, raster, sliding, spectrum, store, tracks
 from tierwave.sources import alignments
 from tierwave.streaming import windows
@@ -183,7 +184,7 @@ def test_alignment_text(spark, tmp_path):
     fasta = alignments.fasta(spark, str(tmp_path / "r.fa"))
     assert {(r.seq, len(r.bases)) for r in fasta.collect()} == {("c1", 202), ("c2", 2)}
     one = reads.where("tlen = 300")
-    assert sorted(r.pos for r in tracks.exact_substitutions(one, fasta, ["seq"]).collect()) == list(range(150, 200, 2))
+    assert sorted(r.pos for r in tracks.exact_substitutions(one, sliced(fasta, 16), ["seq"], 16).collect()) == list(range(150, 200, 2))
 
 
 def test_tables_of_cohorts(spark, tmp_path):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.bins import bin_index, default_edges
 from ..operators import compare, filters, intervals, lod, moments, ordered, raster, sliding, spectrum, store, tracks
-from ..sources import alignments, bam, views
+from ..sources import alignments, bam, fasta, views
 from ..sources.views import KEYS
 from ..streaming.windows import stream_moments
 
@@ -320,6 +320,35 @@ def bam_region(spark: SparkSession, sf: str) -> DataFrame:
     return raster.coverage_runs(reads.select("sm", start.alias("start"), end.alias("end"), F.lit(1).cast("bigint").alias("depth")), ["sm"], ["depth"])
 
 
+LETTERS = ("0123456789abcdef", "ACGTACGTACGTACGN")
+
+
+def _fasta(spark: SparkSession, sf: str) -> str:
+    """A folder of FASTA files with a sequence of made-up letters for each of the reads' sequences, 32 a line."""
+    last = views.reads(spark, sf).groupBy("seq").agg((F.max("pos") + 200).alias("last"))
+    rows = last.select("seq", F.explode(F.expr("sequence(-1L, last div 32)")).alias("line"))
+    text = F.when(F.col("line") < 0, F.concat(F.lit(">"), "seq", F.lit(" made up"))).otherwise(F.translate(F.md5(F.concat_ws("/", "seq", "line")), *LETTERS))
+    path = store.scratch(spark)
+    rows.repartitionByRange("seq").sortWithinPartitions("seq", "line").select(text.alias("value")).write.text(path)
+    return path
+
+
+@query
+def sliced_reference(spark: SparkSession, sf: str) -> DataFrame:
+    """Reference sequences in slices of 100 bases, from FASTA files cut into ranges of 1,000 bytes."""
+    return fasta.slices(spark, _fasta(spark, sf), 100, 1000, ending=".txt").select("seq", "slice", "start", "bases")
+
+
+@query
+def exact_substitutions(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads whose base isn't the reference's, position by position; only slices that reads lie over are read."""
+    size = F.aggregate("cigar", F.lit(0), lambda n, c: n + F.when(c.op.isin(tracks.M, tracks.I, tracks.S, tracks.EQ, tracks.X), c.len).otherwise(0))
+    bases = F.translate(F.repeat(F.md5(F.concat_ws("/", "l_orderkey", "l_linenumber")), 7), *LETTERS)
+    reads = _reads_with_cigars(spark, sf, "l_orderkey", "l_linenumber").withColumn("bases", F.substr(bases, F.lit(1), size))
+    line = fasta.slices(spark, _fasta(spark, sf), 64, 1000, tracks.aligned_slices(reads, 64), ".txt")
+    return tracks.exact_substitutions(reads, line, ["seq"], 64)
+
+
 @query
 def dinucleotide_fraction(spark: SparkSession, sf: str) -> DataFrame:
     """Of each text: shares of two letters that stand for dinucleotides."""

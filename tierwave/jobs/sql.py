@@ -122,6 +122,15 @@ left(translate(repeat(md5(name), 7), '0123456789abcdef', 'ACGTACGTACGTACGN'), rl
 SQL["bam_region"] = f"""with {_BAM}, i as (select 's' || (k % 2) sm, greatest(pos, 500) s, least(ref_end, 900) e from c where seq = 'NO' and pos < 900 and ref_end > 500 and k not in (3, 7)),
 e as (select sm, s p, 1 d from i union all select sm, e, -1 from i), n as (select sm, p, sum(d) d from e group by all),
 t as (select sm, p as "start", lead(p) over w as "end", (sum(d) over w)::bigint as depth from n window w as (partition by sm order by p)) select * from t where depth > 0"""
+_REF = """ref as (select seq, line, translate(md5(seq || '/' || line), '0123456789abcdef', 'ACGTACGTACGTACGN') t from (select seq, unnest(range(0, n // 32 + 1)) line from
+(select l_returnflag || l_linestatus seq, max(date_diff('day', date '1995-01-01', l_shipdate::date)) + 200 n from lineitem group by all)))"""
+SQL["sliced_reference"] = f"""with {_REF}, whole as (select seq, string_agg(t, '' order by line) b from ref group by seq)
+select seq, k slice, k * 100 as "start", substr(b, (k * 100 + 1)::bigint, 100) bases from (select *, unnest(range(0, (length(b) - 1) // 100 + 1)) k from whole)"""
+SQL["exact_substitutions"] = f"""with {_BAM}, {_REF}, line as (select seq, line * 32 + k pos, t[(k + 1)::bigint] x from (select *, unnest(range(0, 32)) k from ref)),
+d as (select *, translate(repeat(md5(name), 7), '0123456789abcdef', 'ACGTACGTACGTACGN') bases, case when o <> 'I' then m else 0 end w, case when o in ('I', 'X') then m else 0 end v from c where k <> 7),
+s as (select seq, pos a, f z, q n, bases from d union all select seq, pos + q, f + q, m, bases from d where o = 'X' union all select seq, pos + q + w, f + q + v, q, bases from d),
+b as (select seq, a + k pos, bases[(z + k + 1)::bigint] y from (select *, unnest(range(0, n)) k from s))
+select seq, pos, count(*) substitution from b join line using (seq, pos) where x <> y group by all"""
 _pair = lambda p: f"round((length(t) - length(replace(t, '{p}', ''))) / 2 / length(t), 8) as \"{p.lower()}\""
 SQL["dinucleotide_fraction"] = f"with d as (select doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') t from documents where length(text) > 0) select doc_id, {', '.join(map(_pair, ('EN', 'TI', 'OU', 'ES')))} from d"
 SQL["read_group_merge"] = f"with {READS} select seq, string_agg(distinct sm, '-' order by sm) sm, string_agg(distinct rg, '-' order by rg) rgs, count(*) n from reads group by seq"

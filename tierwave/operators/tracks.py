@@ -101,17 +101,38 @@ def cigar_segments(reads: DataFrame, keys: Sequence[str]) -> DataFrame:
     return found.select(*keys, "track", F.when(inserted, F.col("start") - 1).otherwise(F.col("start")).alias("start"), F.when(inserted, F.col("start")).otherwise(F.col("end")).alias("end"))
 
 
-def exact_substitutions(reads: DataFrame, reference: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, pos, substitution: reads whose base differs from the reference there, inside aligned spans.
-
-    reference: seq, bases. Bases are joined on sequence and position, both of them dealt out by it.
-    """
+def aligned_spans(reads: DataFrame, keys: Sequence[str], ops: Sequence[int] = (M, EQ, X)) -> DataFrame:
+    """keys, start, bases: of each operation among ops where it lies in the reference, and the read's bases there."""
     walked = admitted(reads).where(F.size("cigar") > 0).withColumn("_id", F.monotonically_increasing_id())
-    ops = walked.select(*keys, "_id", "pos", "bases", F.posexplode("cigar").alias("i", "c"))
+    each = walked.select(*keys, "_id", "pos", "bases", F.posexplode("cigar").alias("i", "c"))
     over = Window.partitionBy("_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     used = lambda ops_: F.coalesce(F.sum(F.when(F.col("c.op").isin(*ops_), F.col("c.len")).otherwise(0)).over(over), F.lit(0))
-    spans = ops.withColumn("_ref", F.col("pos") + used((M, D, N, EQ, X))).withColumn("_read", used((M, I, S, EQ, X))).where(F.col("c.op").isin(M, EQ, X))
-    bases = spans.select(*keys, F.col("_ref"), F.posexplode(F.split(F.substr("bases", F.col("_read") + 1, F.col("c.len")), "")).alias("k", "base")).where("base != ''")
-    placed = bases.select(*keys, (F.col("_ref") + F.col("k")).alias("pos"), F.upper("base").alias("base"))
-    line = reference.select("seq", F.posexplode(F.split(F.upper("bases"), "")).alias("p", "ref")).select("seq", F.col("p").cast("bigint").alias("pos"), "ref").where("ref != ''")
-    return placed.join(line, ["seq", "pos"]).where("base != ref").groupBy(*keys, "pos").agg(F.count("*").alias("substitution"))
+    spans = each.withColumn("start", F.col("pos") + used((M, D, N, EQ, X))).withColumn("_read", used((M, I, S, EQ, X))).where(F.col("c.op").isin(*ops))
+    return spans.select(*keys, "start", F.upper(F.substr("bases", (F.col("_read") + 1).cast("int"), F.col("c.len"))).alias("bases")).where("bases != ''")
+
+
+def over_slices(spans: DataFrame, width: int) -> DataFrame:
+    """Spans (start, bases) cut at the bounds of slices, with `slice`."""
+    end = F.col("start") + F.length("bases")
+    cut = spans.withColumn("slice", F.explode(F.sequence(F.expr(f"start div {width}"), F.floor((end - 1) / width))))
+    low, high = F.greatest(F.col("start"), F.col("slice") * width), F.least(end, (F.col("slice") + 1) * width)
+    return cut.withColumns({"start": low, "bases": F.substr("bases", (low - F.col("start") + 1).cast("int"), (high - low).cast("int"))})
+
+
+def exact_substitutions(reads: DataFrame, reference: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """keys (with seq), pos, substitution: reads whose base differs from the reference there, inside aligned spans.
+
+    reference: seq, slice, start, bases in slices of `width` bases. A span meets the slices that it lies over; only where
+    the two strings differ they are compared base by base.
+    """
+    cut = over_slices(aligned_spans(reads, keys), width)
+    line = reference.select("seq", "slice", F.col("start").alias("_from"), F.col("bases").alias("_line"))
+    there = F.substr("_line", (F.col("start") - F.col("_from") + 1).cast("int"), F.length("bases"))
+    met = cut.join(line, ["seq", "slice"]).withColumn("_line", there).where("substr(bases, 1, length(_line)) != _line")
+    differs = F.filter(F.sequence(F.lit(0), F.least(F.length("bases"), F.length("_line")) - 1), lambda k: F.substr("bases", k + 1, F.lit(1)) != F.substr("_line", k + 1, F.lit(1)))
+    return met.where("_line != ''").select(*keys, "start", F.explode(differs).alias("_k")).groupBy(*keys, (F.col("start") + F.col("_k")).alias("pos")).agg(F.count("*").alias("substitution"))
+
+
+def aligned_slices(reads: DataFrame, width: int) -> DataFrame:
+    """seq, slice: the slices that aligned bases lie over, for reading no others."""
+    return over_slices(aligned_spans(reads, ["seq"]), width).select("seq", "slice").distinct()

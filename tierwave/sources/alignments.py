@@ -51,9 +51,9 @@ def sam_reads(lines: DataFrame, groups: DataFrame | None = None) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """seq, bases. The file is split at its header lines, so a record is one row whatever its number of lines."""
-    records = spark.read.option("lineSep", ">").text(path).where("trim(value) != ''")
-    head, rest = F.substring_index("value", "\n", 1), F.expr("substring(value, instr(value, '\n') + 1)")
+    """seq, bases, a row for each sequence: for short ones (primers, contigs). fasta.slices() is for all others."""
+    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where("trim(value) != ''")
+    head, rest = F.substring_index("value", "\n", 1), F.expr("substring(value, instr(concat(value, '\n'), '\n') + 1)")
     return records.select(F.regexp_extract(head, r"^(\S+)", 1).alias("seq"), F.regexp_replace(rest, r"\s", "").alias("bases"))
 
 
