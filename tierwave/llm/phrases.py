@@ -10,7 +10,8 @@ occurrences, as no candidate nor a part of one begins so. Which phrases those ar
 size, one for each length, indexed by a hash of the phrase, over all texts: a slot under `least` has no frequent phrase,
 a slot over it may have some, and the counts that matter come from ROLLUP. A table grows with the text up to 2**27 slots
 (16 MB as bits; the four of them are the only thing broadcast); beyond that fewer windows are shortened. Equal windows of
-a chunk of texts are counted before they are shuffled.
+a chunk of texts are counted and packed, with the words that they use, before they are shuffled by a hash of the whole
+window: a frequent word or pair is in many buckets. Merged windows are rows of words, and these go to ROLLUP.
 
 Parts of candidates, and the phrases around them, are joined by equality with salted keys; the first `top` of a language
 are taken in two steps, so that no task sorts a whole language.
@@ -27,11 +28,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, materialize
+from .katz import _pack, _unpack
 
 #: Fixed value: the characters that end a piece.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 CHUNK_BYTES = 8_000_000
 SLICES, SALTS = 256, 16
+#: Slots of the tables, and with them words of text, for each bucket of windows.
+BUCKET_SLOTS = 1 << 19
 _CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + ENDS, b"abcdefghijklmnopqrstuvwxyz " + b"." * len(ENDS))
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -138,10 +142,20 @@ def frequent_slots(documents: DataFrame, least: int, size: int, most: int, chunk
     return [b"".join(bits.get(k * SLICES + s, none) for s in range(SLICES)) for k in range(most)]
 
 
-def longest_windows(documents: DataFrame, least: int, size: int, most: int = 4, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """lang, w1, .., w<most>, n: equal padded windows of a chunk counted together."""
+def _distinct(columns: list[np.ndarray], base: int) -> tuple[np.ndarray, np.ndarray]:
+    """A row of each kind, and the kind of every row; ids are under base."""
+    code = np.zeros(len(columns[0]), np.int64)
+    for x in columns:
+        if int(code.max(initial=0)) >= (1 << 62) // base:
+            code = np.unique(code, return_inverse=True)[1]
+        code = code * base + x
+    return np.unique(code, return_index=True, return_inverse=True)[1:]
+
+
+def chunk_windows(documents: DataFrame, least: int, size: int, most: int, buckets: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """bucket, lang, words (joined by blanks), ids (places in words from 1 on, 0 is padding; a column after another), n: the distinct windows of a chunk, dealt out by a hash of all their words."""
     told = documents.sparkSession.sparkContext.broadcast(frequent_slots(documents, least, size, most, chunk_bytes))
-    names = ["lang", *(f"w{k + 1}" for k in range(most)), "n"]
+    names, kinds = ["bucket", "lang", "words", "ids", "n"], "bucket int, lang string, words binary, ids binary, n binary"
 
     def run(batches):
         import pyarrow as pa
@@ -149,26 +163,54 @@ def longest_windows(documents: DataFrame, least: int, size: int, most: int = 4,
         bits = [np.frombuffer(x, np.uint8) for x in told.value]
         keep = lambda n, slots: (bits[n - 1][slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 > 0
         for lang, words, tokens in _chunks(batches, chunk_bytes, most):
-            columns = [np.zeros(len(tokens), np.int32) for _ in range(most)]
-            for n, at, _ in _grams(lang, words, tokens, size, most, keep):
+            columns, where = [np.zeros(len(tokens), np.int32) for _ in range(most)], np.zeros(len(tokens), np.int32)
+            for n, at, slots in _grams(lang, words, tokens, size, most, keep):
                 columns[n - 1][at] = tokens[at + (n - 1)]
-            alone = np.bincount(columns[0][(tokens > 0) & (columns[1] == 0)] if most > 1 else columns[0][tokens > 0], minlength=len(words))  # at 0: rare words, which are in the number of all words only
-            long = np.flatnonzero(columns[1]) if most > 1 else np.empty(0, np.int64)
-            code, base = np.zeros(len(long), np.int64), len(words)
-            for x in columns:
-                if int(code.max(initial=0)) >= (1 << 62) // base:
-                    code = np.unique(code, return_inverse=True)[1]
-                code = code * base + x[long]
-            _, first, n = np.unique(code, return_index=True, return_counts=True)
-            single = np.flatnonzero(alone)
-            windows = [np.concatenate([single if k == 0 else np.zeros(len(single), np.int64), x[long[first]]]) for k, x in enumerate(columns)]
-            n = np.concatenate([alone[single], n])
-            text = pa.array([w.decode() if k else None for k, w in enumerate(words)], pa.string())
-            for s in range(0, len(n), 100_000):
-                cut = slice(s, s + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n[cut]), pa.string()), *(text.take(pa.array(x[cut])) for x in windows), pa.array(n[cut], pa.int64())], names=names)
-
-    return documents.select(F.col("lang").cast("string"), "text").mapInArrow(run, ", ".join(f"{c} {'long' if c == 'n' else 'string'}" for c in names))
+                where[at] = slots
+            begins = tokens > 0  # windows of no word: rare words, which are in the number of all words only
+            columns = [x[begins] for x in columns]
+            one, kind = _distinct(columns, len(words))
+            n, bucket = np.bincount(kind), where[begins][one] % buckets
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows = []
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                some = order[cuts[k] : cuts[k + 1]]
+                ids = np.concatenate([x[one[some]] for x in columns])
+                used = np.unique(ids)
+                used = used[used > 0]
+                local = np.where(ids > 0, np.searchsorted(used, ids) + 1, 0).astype(np.uint32)
+                rows.append((k, lang, _pack(np.frombuffer(b" ".join(words[i] for i in used.tolist()), np.uint8)), _pack(local), _pack(n[some].astype(np.uint32))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=names)
+
+    return documents.select(F.col("lang").cast("string"), "text").mapInArrow(run, kinds)
+
+
+def longest_windows(documents: DataFrame, least: int, size: int, most: int = 4, chunk_bytes: int = CHUNK_BYTES, buckets: int | None = None) -> DataFrame:
+    """lang, w1, .., w<most>, n: the distinct padded windows of all texts."""
+    names = [f"w{k + 1}" for k in range(most)]
+    if buckets is None:
+        buckets = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_SLOTS))
+
+    def merge(key, parts):
+        import pandas as pd
+
+        places: dict[bytes, int] = {}
+        columns, counts = [[] for _ in range(most)], []
+        for words, ids, n in zip(parts["words"], parts["ids"], parts["n"], strict=True):
+            known = _unpack(words, "u1").tobytes()
+            here = np.array([0, *(places.setdefault(w, len(places) + 1) for w in (known.split(b" ") if known else ()))], np.int64)
+            for x, column in zip(here[_unpack(ids, "<u4")].reshape(most, -1), columns, strict=True):
+                column.append(x)
+            counts.append(_unpack(n, "<u4"))
+        columns = [np.concatenate(x) for x in columns]
+        one, kind = _distinct(columns, len(places) + 1)
+        text = np.array([None, *(w.decode() for w in places)], object)
+        return pd.DataFrame({"lang": key[1], **{c: text[x[one]] for c, x in zip(names, columns, strict=True)}, "n": np.bincount(kind, weights=np.concatenate(counts)).astype(np.int64)})
+
+    packed = chunk_windows(documents, least, size, most, buckets, chunk_bytes)
+    return packed.groupBy("bucket", "lang").applyInPandas(merge, "lang string, " + ", ".join(f"{c} string" for c in names) + ", n long")
 
 
 def phrase_counts(documents: DataFrame, least: int = 30, most: int = 4, size: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
