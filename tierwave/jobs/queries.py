@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.bins import bin_index, default_edges
-from ..operators import compare, filters, intervals, lod, moments, ordered, raster, sliding, spectrum, store, tracks
+from ..operators import compare, filters, intervals, lod, moments, ordered, raster, realign, sliding, spectrum, store, tracks
 from ..sources import alignments, bam, fasta, views
 from ..sources.views import KEYS
 from ..streaming.windows import stream_moments
@@ -349,6 +349,27 @@ def exact_substitutions(spark: SparkSession, sf: str) -> DataFrame:
     return tracks.exact_substitutions(reads, line, ["seq"], 64)
 
 
+@query
+def smap_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads of line items whose clipped ends lie elsewhere in a made-up reference: realigned, and the six tracks of where they went."""
+    letters = ("0123456789abcdef", "ACGTACGTACGTACGT")
+    line = lambda seq, k: F.translate(F.md5(F.concat_ws("/", seq, k)), *letters)
+    last = views.reads(spark, sf).groupBy("seq").agg((F.max("pos") + 200).alias("last"))
+    slices = last.select("seq", F.explode(F.expr("sequence(0L, last div 32)")).alias("slice")).select("seq", "slice", (F.col("slice") * 32).alias("start"), line("seq", F.col("slice")).alias("bases"))
+    item = views.table(spark, sf, "lineitem").withColumns({"seq": F.concat("l_returnflag", "l_linestatus"), "n": (20 + F.col("l_suppkey") % 13).cast("int"), "to": (F.col("l_orderkey") * 37 + F.col("l_partkey") * 11) % 2400})
+    piece = F.substr(F.concat(line("seq", F.expr("to div 32")), line("seq", F.expr("to div 32 + 1"))), (F.col("to") % 32 + 1).cast("int"), F.col("n"))
+    item = item.withColumn("piece", F.when(F.col("l_partkey") % 3 == 0, F.reverse(F.translate(piece, "ACGT", "TGCA"))).otherwise(piece))
+    step = lambda op, n: F.struct(F.lit(op).alias("op"), n.cast("int").alias("len"))
+    clip, rest, left = step(tracks.S, F.col("n")), step(tracks.M, F.col("l_quantity")), F.col("l_linenumber") % 2 == 1
+    days = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("bigint")
+    body = F.repeat(F.lit("N"), F.col("l_quantity").cast("int"))
+    reads = item.select(
+        "seq", days.alias("pos"), (days + F.col("l_quantity").cast("int")).alias("ref_end"), F.when(F.col("l_linenumber") == 7, 0x400).when(F.col("l_partkey") % 2 == 1, 0x10).otherwise(0).alias("flag"),
+        F.when(left, F.concat("piece", body)).otherwise(F.concat(body, "piece")).alias("bases"), F.when(left, F.array(clip, rest)).otherwise(F.array(rest, clip)).alias("cigar"),
+    )
+    return raster.positions(realign.smap_tracks(reads, slices, 32, ["seq"]), ["seq"], list(realign.TRACKS))
+
+
 @query
 def dinucleotide_fraction(spark: SparkSession, sf: str) -> DataFrame:
     """Of each text: shares of two letters that stand for dinucleotides."""

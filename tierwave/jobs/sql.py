@@ -131,6 +131,27 @@ d as (select *, translate(repeat(md5(name), 7), '0123456789abcdef', 'ACGTACGTACG
 s as (select seq, pos a, f z, q n, bases from d union all select seq, pos + q, f + q, m, bases from d where o = 'X' union all select seq, pos + q + w, f + q + v, q, bases from d),
 b as (select seq, a + k pos, bases[(z + k + 1)::bigint] y from (select *, unnest(range(0, n)) k from s))
 select seq, pos, count(*) substitution from b join line using (seq, pos) where x <> y group by all"""
+_ACGT = "'0123456789abcdef', 'ACGTACGTACGTACGT'"
+_smap = ", ".join(f"count(*) filter ({side} and {'same' if kind == 'same' else 'not same'}) {name}smap_{kind}" for name, side in (("left_", "side"), ("right_", "not side"), ("", "true")) for kind in ("same", "diff"))
+SQL["smap_tracks"] = f"""with ref as (select seq, string_agg(translate(md5(seq || '/' || line), {_ACGT}), '' order by line) b from (select seq, unnest(range(0, n // 32 + 1)) line from
+(select l_returnflag || l_linestatus seq, max(date_diff('day', date '1995-01-01', l_shipdate::date)) + 200 n from lineitem group by all)) group by seq),
+r as (select l_returnflag || l_linestatus seq, date_diff('day', date '1995-01-01', l_shipdate::date) pos, l_quantity::bigint q, 20 + l_suppkey % 13 n, (l_orderkey * 37 + l_partkey * 11) % 2400 t, l_partkey % 3 = 0 flip,
+l_linenumber % 2 = 1 side, case when l_partkey % 2 = 1 then -1 else 1 end strand from lineitem where l_linenumber <> 7),
+piece as (select r.*, substr(b, (t + 1)::bigint, n::bigint) p from r join ref using (seq)),
+clip as (select seq, side, strand, case when side then pos + n else pos + q end a, case when flip then reverse(translate(p, 'ACGT', 'TGCA')) else p end x from piece),
+frag as (select distinct seq, x from clip), two as (select seq, x, 1 s, x y from frag union all select seq, x, -1, reverse(translate(x, 'ACGT', 'TGCA')) from frag),
+words as (select seq, x, s, o, substr(y, (o + 1)::bigint, 12) w from (select *, unnest(range(0, length(y) - 11)) o from two)),
+idx as (select seq, p, substr(b, (p + 1)::bigint, 12) w from (select *, unnest(range(0, length(b) - 11, 4)) p from ref)),
+hit as (select words.*, p, p - o d from words join idx using (seq, w)),
+opened as (select *, case when d - lag(d) over (partition by seq, x, s order by d) <= 8 then 0 else 1 end fresh from hit),
+chained as (select *, sum(fresh) over (partition by seq, x, s order by d) c from opened),
+chain as (select seq, x, s, c, min(p) f, max(p) + 12 e, count(*) k from chained group by all),
+score as (select seq, x, s, c, count(distinct o + j) m from chained, range(0, 12) u(j) group by all),
+ranked as (select *, row_number() over w i, lead(m) over w m2 from chain join score using (seq, x, s, c) window w as (partition by seq, x order by m desc, s desc, f)),
+best as (select *, greatest(0, least(60, floor(40 * (1 - coalesce(m2, 0) / m) * least(1, k / 10) * ln(m)))) quality from ranked where i = 1),
+far as (select clip.seq, side, a, case when s < 0 then e else f end z, s = strand same from clip join best using (seq, x) where quality > 20 and abs(case when s < 0 then e else f end - a + 1) > m),
+spread as (select seq, side, same, unnest(range(least(a, z), greatest(a, z))) pos from far)
+select seq, pos, {_smap} from spread group by all"""
 _pair = lambda p: f"round((length(t) - length(replace(t, '{p}', ''))) / 2 / length(t), 8) as \"{p.lower()}\""
 SQL["dinucleotide_fraction"] = f"with d as (select doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') t from documents where length(text) > 0) select doc_id, {', '.join(map(_pair, ('EN', 'TI', 'OU', 'ES')))} from d"
 SQL["read_group_merge"] = f"with {READS} select seq, string_agg(distinct sm, '-' order by sm) sm, string_agg(distinct rg, '-' order by rg) rgs, count(*) n from reads group by seq"
