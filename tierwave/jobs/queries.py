@@ -398,9 +398,16 @@ def overlap_join(spark: SparkSession, sf: str) -> DataFrame:
     """Reads over each gene: their number and the bases they share with it."""
     genes = views.genes(spark, sf)
     reads = tracks.admitted(views.reads(spark, sf)).select("seq", F.col("pos").alias("start"), F.col("ref_end").alias("end"))
-    pair = intervals.overlap_join(reads, genes, "seq", 64)
-    shared = F.least("end", "r_end") - F.greatest("start", "r_start")
-    return pair.groupBy(F.col("r_gene").alias("gene")).agg(F.count("*").alias("n"), F.sum(shared).alias("bases"))
+    return intervals.overlap_counts(reads, genes, "seq").where("n > 0").select("gene", "n", "bases")
+
+
+@query
+def overlap_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of genes that overlap, among them one gene over the whole of each sequence."""
+    genes = views.genes(spark, sf).select("gene", "seq", "start", "end")
+    whole = genes.groupBy("seq").agg(F.max("end").alias("end")).select(F.concat(F.lit("all of "), "seq").alias("gene"), "seq", F.lit(0).cast("bigint").alias("start"), "end")
+    pair = intervals.overlap_join(genes.unionByName(whole), genes, "seq", 64)
+    return pair.select("gene", F.col("r_gene").alias("other"), F.greatest("start", "r_start").alias("start"), F.least("end", "r_end").alias("end"))
 
 
 @query

@@ -160,6 +160,8 @@ SQL["region_scan"] = f"""with {READS} select sm, rg, greatest(pos, 500) as "star
 GENES = "genes as (select p_name || '#' || p_partkey gene, ['AF', 'AO', 'NF', 'NO', 'RF', 'RO'][(p_partkey % 6 + 1)::integer] seq, p_partkey % 2400 s, p_partkey % 2400 + p_size e from part)"
 OVER = "reads r join genes g on r.seq = g.seq and r.pos < g.e and r.ref_end > g.s"
 SQL["overlap_join"] = f"with {READS}, {GENES} select gene, count(*) n, sum(least(r.ref_end, g.e) - greatest(r.pos, g.s))::bigint bases from {OVER} group by gene"
+SQL["overlap_pairs"] = f"""with {GENES}, every as (select * from genes union all select 'all of ' || seq, seq, 0, max(e) from genes group by seq)
+select a.gene, b.gene other, greatest(a.s, b.s) as "start", least(a.e, b.e) as "end" from every a join genes b on a.seq = b.seq and a.s < b.e and b.s < a.e where a.s < a.e and b.s < b.e"""
 SQL["missing_keys"] = f"""with {READS}, {GENES} select gene, seq, s as "start", e as "end" from genes where gene not in (select gene from {OVER} where r.mapq = 56 and r.rlen < 4)"""
 SQL["gene_lookup"] = f"""with {READS}, {GENES}, len as (select seq, max(l_end) len from (select l_returnflag || l_linestatus seq, date_diff('day', date '1995-01-01', l_shipdate::date) + l_quantity::integer l_end from lineitem) group by seq)
 select gene, seq, greatest(0, s - greatest(0, round_even((e - s) * 0.5, 0)::bigint)) as "start", least(e + greatest(0, round_even((e - s) * 0.5, 0)::bigint), len) as "end" from genes join len using (seq)"""
