@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.bins import bin_index, default_edges
-from ..operators import compare, filters, intervals, lod, moments, ordered, raster, realign, sliding, spectrum, store, tracks
+from ..operators import compare, duplicates, filters, intervals, lod, moments, ordered, raster, realign, sliding, spectrum, store, tracks
 from ..sources import alignments, bam, fasta, views
 from ..sources.views import KEYS
 from ..streaming.windows import stream_moments
@@ -349,6 +349,22 @@ def exact_substitutions(spark: SparkSession, sf: str) -> DataFrame:
     return tracks.exact_substitutions(reads, line, ["seq"], 64)
 
 
+@query
+def duplicate_marks(spark: SparkSession, sf: str) -> DataFrame:
+    """Templates of line items, two reads each but for every third line: which ones are copies, by place and base quality."""
+    days = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("bigint") + 50
+    clip, size, back = (F.col("l_partkey") % 4).cast("int"), F.col("l_quantity").cast("int"), F.col("l_suppkey") % 2 == 1
+    item = views.table(spark, sf, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("seq"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("name"), F.concat(F.lit("rg"), F.col("l_linenumber") % 2).alias("rg"), days.alias("at"), clip.alias("clip"), size.alias("size"), back.alias("back"), (F.col("l_orderkey") % 40).cast("int").alias("q"), "l_linenumber")
+    step = lambda op, n: F.struct(F.lit(op).alias("op"), n.alias("len"))
+    ops = F.filter(F.array(step(tracks.S, F.col("clip")), step(tracks.M, F.col("size"))), lambda x: x.len > 0)
+    qual = F.repeat(F.char(F.col("q") + 33), F.col("clip") + F.col("size"))
+    first = item.select("name", "rg", "seq", (F.col("at") + F.col("clip")).alias("pos"), F.lit(0).alias("flag"), ops.alias("cigar"), qual.alias("qual"), "size")
+    mate_ops = F.filter(F.array(step(tracks.M, F.col("size")), step(tracks.H, F.col("clip"))), lambda x: x.len > 0)
+    second = item.where("l_linenumber % 3 > 0").select("name", "rg", "seq", (F.col("at") + 200 - F.col("clip") - F.col("size")).alias("pos"), F.when(F.col("back"), 0x10).otherwise(0).alias("flag"), mate_ops.alias("cigar"), qual.alias("qual"), "size")
+    reads = first.unionByName(second).withColumn("ref_end", F.col("pos") + F.col("size"))
+    return duplicates.mark(reads).select("name", "rg", "seq", "pos", "flag")
+
+
 @query
 def smap_tracks(spark: SparkSession, sf: str) -> DataFrame:
     """Reads of line items whose clipped ends lie elsewhere in a made-up reference: realigned, and the six tracks of where they went."""

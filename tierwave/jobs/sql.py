@@ -131,6 +131,15 @@ d as (select *, translate(repeat(md5(name), 7), '0123456789abcdef', 'ACGTACGTACG
 s as (select seq, pos a, f z, q n, bases from d union all select seq, pos + q, f + q, m, bases from d where o = 'X' union all select seq, pos + q + w, f + q + v, q, bases from d),
 b as (select seq, a + k pos, bases[(z + k + 1)::bigint] y from (select *, unnest(range(0, n)) k from s))
 select seq, pos, count(*) substitution from b join line using (seq, pos) where x <> y group by all"""
+SQL["duplicate_marks"] = """with i as (select l_returnflag || l_linestatus seq, l_orderkey || '/' || l_linenumber as name, 'rg' || (l_linenumber % 2) rg, date_diff('day', date '1995-01-01', l_shipdate::date) + 50 d,
+l_partkey % 4 c, l_quantity::bigint n, l_suppkey % 2 = 1 back, l_orderkey % 40 q, l_linenumber k from lineitem),
+r as (select name, rg, seq, d + c pos, 0 flag, d five, false rev, case when q >= 15 then q * (c + n) else 0 end s from i union all
+select name, rg, seq, d + 200 - c - n, case when back then 16 else 0 end, case when back then d + 199 else d + 200 - c - n end, back, case when q >= 15 then q * (c + n) else 0 end from i where k % 3 > 0),
+t as (select rg, name, min((seq, five, rev)) a, max((seq, five, rev)) b, sum(s) s, count(*) n from r group by all),
+p as (select *, row_number() over (partition by rg, a, b order by s desc, name) i from t where n > 1), ends as (select rg, a from p union select rg, b from p),
+l as (select *, row_number() over (partition by rg, a order by s desc, name) i, (rg, a) in (select (rg, a) from ends) taken from t where n = 1),
+lost as (select rg, name from p where i > 1 union select rg, name from l where i > 1 or taken)
+select name, rg, seq, pos, flag + case when (rg, name) in (select (rg, name) from lost) then 1024 else 0 end flag from r"""
 _ACGT = "'0123456789abcdef', 'ACGTACGTACGTACGT'"
 _smap = ", ".join(f"count(*) filter ({side} and {'same' if kind == 'same' else 'not same'}) {name}smap_{kind}" for name, side in (("left_", "side"), ("right_", "not side"), ("", "true")) for kind in ("same", "diff"))
 SQL["smap_tracks"] = f"""with ref as (select seq, string_agg(translate(md5(seq || '/' || line), {_ACGT}), '' order by line) b from (select seq, unnest(range(0, n // 32 + 1)) line from
