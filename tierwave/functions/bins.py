@@ -24,3 +24,10 @@ def bin_index(value: Column | str, edges: Sequence[float]) -> Column:
     for j, edge in enumerate(edges[1:]):
         out = out.when(value < edge, F.lit(j))
     return out
+
+
+def parse_edges(spec: str | None) -> list[float]:
+    """Edges of `0,5,10,...`: distinct whole numbers in order. Without a specification 25 equal bins from 0 to 1."""
+    if spec is None:
+        return [k / 25 for k in range(26)]
+    return [float(x) for x in sorted({int(x) for x in spec.split(",")})]

@@ -189,6 +189,114 @@ def sliding_transitions(spark: SparkSession, sf: str) -> DataFrame:
     return spectrum.sliding_counts(steps, KEYS, ["from_bin", "to_bin"], WINDOW - 1, length - 1).select("pos", "from_bin", "to_bin", "cnt")
 
 
+@query
+def spectrum_pyramid(spark: SparkSession, sf: str) -> DataFrame:
+    """All levels of the windows' histograms."""
+    base, length = spectrum.tile_spectrum(views.event_signal(spark, sf), KEYS, WINDOW, EDGES), views.event_lengths(spark, sf).first()["len"] or 0
+    return spectrum.count_pyramid(base, KEYS, ["bin"], WINDOW, BRANCH, length).select("window", "tile", "bin", "cnt")
+
+
+@query
+def transition_pyramid(spark: SparkSession, sf: str) -> DataFrame:
+    base, length = spectrum.tile_transitions(views.event_signal(spark, sf), KEYS, WINDOW, EDGES), views.event_lengths(spark, sf).first()["len"] or 0
+    return spectrum.count_pyramid(base, KEYS, ["from_bin", "to_bin"], WINDOW, BRANCH, length).select("window", "tile", "from_bin", "to_bin", "cnt")
+
+
+@query
+def collapsed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Histogram and steps of each type of event over all windows."""
+    signal = views.event_type_signals(spark, sf)
+    one = spectrum.collapse_counts(spectrum.tile_spectrum(signal, KEYS, WINDOW, EDGES), ["track"], ["bin"]).select("track", F.lit(-1).alias("from_bin"), F.col("bin").alias("to_bin"), "cnt")
+    two = spectrum.collapse_counts(spectrum.tile_transitions(signal, KEYS, WINDOW, EDGES), ["track"], ["from_bin", "to_bin"])
+    return one.unionByName(two)
+
+
+def _cut(spark: SparkSession, sf: str) -> DataFrame:
+    """The signal without its last 250 positions."""
+    whole = views.event_lengths(spark, sf)
+    return views.event_signal(spark, sf).join(whole.withColumnRenamed("len", "_len"), "seq").where("pos < _len - 250").drop("_len")
+
+
+@query
+def clean_spectrum_end(spark: SparkSession, sf: str) -> DataFrame:
+    counts = spectrum.tile_spectrum(_cut(spark, sf), KEYS, WINDOW, EDGES)
+    return spectrum.clean_count_ends(counts, KEYS, ["bin"], WINDOW, views.event_lengths(spark, sf), 0).select("tile", "bin", "cnt")
+
+
+@query
+def clean_transition_end(spark: SparkSession, sf: str) -> DataFrame:
+    counts = spectrum.tile_transitions(_cut(spark, sf), KEYS, WINDOW, EDGES, within=True)
+    return spectrum.clean_count_ends(counts, KEYS, ["from_bin", "to_bin"], WINDOW, views.event_lengths(spark, sf), 0, steps=1).select("tile", "from_bin", "to_bin", "cnt")
+
+
+@query
+def dense_spectra(spark: SparkSession, sf: str) -> DataFrame:
+    """A window's histogram as an array with its zeros."""
+    dense = spectrum.dense_spectrum(spectrum.tile_spectrum(views.event_signal(spark, sf), KEYS, WINDOW, EDGES), KEYS, len(EDGES) - 1)
+    return dense.select("tile", F.array_join(F.transform("counts", lambda c: c.cast("bigint").cast("string")), ",").alias("counts"))
+
+
+@query
+def dense_matrices(spark: SparkSession, sf: str) -> DataFrame:
+    """A window's steps as a matrix, a row for each bin that they go to."""
+    dense = spectrum.dense_transitions(spectrum.tile_transitions(views.event_signal(spark, sf), KEYS, WINDOW, EDGES), KEYS, len(EDGES) - 1)
+    row = lambda r: F.array_join(F.transform(r, lambda c: c.cast("bigint").cast("string")), ",")
+    return dense.select("tile", F.array_join(F.transform("counts", row), ";").alias("counts"))
+
+
+@query
+def flat_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Flat arrays of ten windows, and of each chunk its third histogram and back to tall rows."""
+    size = len(EDGES) - 1
+    dense = spectrum.dense_spectrum(spectrum.tile_spectrum(views.event_signal(spark, sf), KEYS, WINDOW, EDGES), KEYS, size)
+    third = spectrum.flat_chunks(dense, KEYS, 10).where(F.size("flat") >= 3 * size).select("chunk", (F.col("first") + 2).alias("tile"), spectrum.nth_spectrum(F.col("flat"), 2, size).alias("counts"))
+    return spectrum.tall_spectrum(third, ["chunk"])
+
+
+@query
+def selected_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """Kurtosis, mean and mean again of each window."""
+    return _tiles(spark, sf).select("tile", F.transform(moments.selected_moments([4, 1, 1]), lambda x: F.round(x, 6)).alias("m")).select("tile", *(F.get("m", F.lit(k)).alias(n) for k, n in enumerate(("kurt", "mean", "again"))))
+
+
+@query
+def pan_zoom(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranges moved both ways and zoomed in and out."""
+    wide = _ranges(spark, sf).join(views.event_lengths(spark, sf), "seq")
+    start, end, window = F.col("start"), F.col("end"), F.lit(WINDOW)
+    tiles = F.ceil((end - start) / WINDOW)
+    moved = {"right": lod.pan(start, end, window, tiles, F.col("len"), True), "left": lod.pan(start, end, window, tiles, F.col("len"), False), "into": lod.zoom(start, end, True), "out_of": lod.zoom(start, end, False)}
+    return wide.select("range_id", *(x.cast("bigint").alias(f"{n}_{s}") for n, both in moved.items() for s, x in zip(("start", "end"), both, strict=True)))
+
+
+@query
+def default_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """The default filter of a projected track in blocks, and a track that has none."""
+    signal = views.event_signal(spark, sf).withColumn("track", F.when(F.col("pos") % 2 == 0, "tlen_dis_rd").otherwise("total")).withColumn("pos", F.expr("pos div 2"))
+    how = {t: f | {"width": 500} for t, f in filters.filters_for(["total", "tlen_dis_rd"]).items()}
+    return filters.filter_tracks(signal, KEYS, how).select("track", "pos", F.round("value", 6).alias("value"))
+
+
+@query
+def db4_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return filters.filter_signal(views.event_signal(spark, sf), KEYS, "db4", 0.5, 512).select("pos", F.round("value", 6).alias("value"))
+
+
+@query
+def dataset_attributes(spark: SparkSession, sf: str) -> DataFrame:
+    """All that describes the datasets of a store of moments and counts."""
+    path, signal = store.scratch(spark), views.event_signal(spark, sf)
+    window = F.lit(WINDOW).cast("bigint")
+    store.write(_tiles(spark, sf).withColumn("window", window), path, "moments")
+    store.write(spectrum.tile_spectrum(signal, KEYS, WINDOW, EDGES).withColumn("window", window), f"{path}-counts", "spectrum", ["bin"])
+    lengths = views.event_lengths(spark, sf)
+    one = store.attributes(store.read_table(spark, path), lengths, BRANCH, EDGES, 500)
+    two = store.attributes(store.read_table(spark, f"{path}-counts"), lengths, BRANCH, EDGES, 500)
+    both = one.unionByName(two, allowMissingColumns=True)
+    edges = F.array_join(F.transform("bins", lambda e: e.cast("bigint").cast("string")), ",")
+    return both.select("sm", "rg", "seq", "track", "feature", "window", "first_tile", "tiles", "tile", "window_root", "window_branch", "len", "max_depth", "total_n", F.round("total_sum", 2).alias("total_sum"), F.coalesce(edges, F.lit("none")).alias("bins"), F.coalesce("bin_count", F.lit(0)).alias("bin_count"))
+
+
 @query
 def coverage_total(spark: SparkSession, sf: str) -> DataFrame:
     runs = tracks.interval_tracks(views.reads(spark, sf), ["seq"], ["total"])
@@ -234,7 +342,7 @@ def mapq_tlen_tracks(spark: SparkSession, sf: str) -> DataFrame:
 def projected_tlen_tracks(spark: SparkSession, sf: str) -> DataFrame:
     names = ["tlen_pp_rd", "tlen_dis_rd", "orient_same_rd", "orient_out_rd"]
     reads = views.reads(spark, sf)
-    runs = tracks.projected_tracks(reads, ["seq"])
+    runs = tracks.projected_tracks(reads, ["seq"], views.lengths(reads))
     stretched = raster.positions(runs, ["seq"], names)
     plain = raster.positions(tracks.interval_tracks(reads, ["seq"], ["total", "proper_pair", "discordant"]), ["seq"], ["total", "proper_pair", "discordant"])
     both = stretched.join(plain, ["seq", "pos"], "left")

@@ -70,6 +70,31 @@ SQL["inner_transitions"] = f"with {_T} select tile, from_bin, to_bin, count(*) c
 SQL["merged_transitions"] = f"with {_T} select tile // 10 tile, from_bin, to_bin, count(*) cnt from st group by all"
 SQL["sliding_transitions"] = f"with {_T} select pos - k pos, from_bin, to_bin, count(*) cnt from st, range(0, 99) r(k) where pos - k >= 0 and pos - k + 99 <= (select max(pos) from b) group by all"
 
+_lev = """levels as (select (100 * power(10, k))::bigint as "window" from range(0, 12) t(k), (select max(event_id) + 1 len from events) where k = 0 or 100 * power(10, k) <= len)"""
+SQL["spectrum_pyramid"] = f"""with {_B}, {_lev} select "window", pos // "window" tile, bin, count(*) cnt from b, levels where bin is not null group by all"""
+SQL["transition_pyramid"] = f"""with {_T}, {_lev} select "window", pos // "window" tile, from_bin, to_bin, count(*) cnt from st, levels group by all"""
+_kinds = f"k as (select event_type track, event_id pos, {BIN.replace('v ', 'value ').replace('(v ', '(value ')} bin from events), kt as (select track, bin from_bin, lead(bin) over w to_bin, lead(pos) over w - pos gap from k window w as (partition by track order by pos))"
+SQL["collapsed_counts"] = f"""with {_kinds} select track, -1 from_bin, bin to_bin, count(*) cnt from k where bin is not null group by all
+union all select track, from_bin, to_bin, count(*) cnt from kt where gap = 1 and from_bin is not null and to_bin is not null group by all"""
+_end = """size as (select max(event_id) + 1 len from events), tail as (select tile, least(100, len - tile * 100) - {less} width from (select len, (len - 1) // 100 - k tile from size, range(0, 10) t(k)) where tile >= 0),
+judged as (select tile, width, coalesce(n, 0) >= width good from tail left join (select tile, sum(cnt) n from c group by tile) using (tile)),
+bad as (select tile, width from judged where tile > coalesce((select max(tile) from judged where good), -1))"""
+SQL["clean_spectrum_end"] = f"""with {_B}, c as (select tile, bin, count(*) cnt from b where bin is not null and pos < (select max(event_id) + 1 - 250 from events) group by all), {_end.format(less=0)}
+select * from c where tile not in (select tile from bad) union all select tile, 0, width from bad where width > 0"""
+SQL["clean_transition_end"] = f"""with {_T}, c as (select tile, from_bin, to_bin, count(*) cnt from st where (pos + 1) // 100 = tile and pos + 1 < (select max(event_id) + 1 - 250 from events) group by all), {_end.format(less=1)}
+select * from c where tile not in (select tile from bad) union all select tile, 0, 0, width from bad where width > 0"""
+SQL["dense_spectra"] = f"""with {_B}, c as (select tile, bin, count(*) cnt from b where bin is not null group by all), t as (select distinct tile from c)
+select tile, string_agg(coalesce(cnt, 0)::varchar, ',' order by j) counts from (select * from t, range(0, 11) r(j)) left join (select tile, bin j, cnt from c) using (tile, j) group by tile"""
+SQL["dense_matrices"] = f"""with {_T}, c as (select tile, to_bin i, from_bin j, count(*) cnt from st group by all), tt as (select distinct tile from c),
+r as (select tile, i, string_agg(coalesce(cnt, 0)::varchar, ',' order by j) x from (select * from tt, range(0, 11) a(i), range(0, 11) r(j)) left join c using (tile, i, j) group by tile, i)
+select tile, string_agg(x, ';' order by i) counts from r group by tile"""
+SQL["flat_chunks"] = f"""with {_B} select tile // 10 chunk, tile, bin, count(*) cnt from b where bin is not null and tile % 10 = 2 group by all"""
+SQL["selected_moments"] = f"with {EV}, {_moments('ev', 'tile')}, s as (select tile, {STD} from mom) select tile, round(kurt, 6) kurt, round(mean, 6) mean, round(mean, 6) again from s"
+SQL["dataset_attributes"] = f"""with {_B}, size as (select max(event_id) + 1 len from events), f as (select 'moments' feature, tile, 1 j from b group by tile union all select 'spectrum', tile, 1 from b where bin is not null group by tile)
+select 's' sm, 'all' rg, 'events' seq, 'value' track, feature, 100 as "window", min(tile) first_tile, count(*) tiles, count(*) = (any_value(len) + 99) // 100 tile, 100 window_root, 10 window_branch, any_value(len) len, 500 max_depth,
+case when feature = 'moments' then (select count(*)::double from events) end total_n, case when feature = 'moments' then (select round(sum(value), 2) from events) end total_sum,
+case when feature = 'moments' then 'none' else '0,50,100,150,200,250,300,350,400,450,500,4294967295' end bins, case when feature = 'moments' then 0 else 11 end bin_count from f, size group by feature"""
+
 READS = """reads as (select 's' || (l_suppkey % 4) sm, 'rg' || l_linenumber rg, l_returnflag || l_linestatus seq, date_diff('day', date '1995-01-01', l_shipdate::date) pos,
 date_diff('day', date '1995-01-01', l_shipdate::date) + l_quantity::integer ref_end, l_quantity::integer rlen, 7 * round(l_tax * 100)::integer mapq, l_orderkey % 401 - 200 tlen,
 round(l_discount * 100) <= 5 proper, l_partkey % 37 = 0 alone, l_partkey % 2 = 1 rev, l_suppkey % 2 = 1 mate_rev, l_linenumber = 6 secondary, l_orderkey % 10 = 0 elsewhere
@@ -88,8 +113,9 @@ SQL["strand_tracks"] = f"""with {READS}, {CLASSES} select seq, p pos, sum(case w
 {_n("not same and not outward and alone")} orient_um, {_n("not same and not outward and not alone and elsewhere")} orient_chr from pp group by all"""
 _mean = lambda x, c: f"round((1 + {_n(c, x)}) / (1 + {_n(c)}) - 1, 6)"
 SQL["mapq_tlen_tracks"] = f"with {READS}, {CLASSES} select seq, p pos, " + ", ".join(f"{_mean(x, c)} {x}{s}" for s, c in (("", "true"), ("_pp", "proper"), ("_dis", "discordant")) for x in ("mapq", "tlen")) + " from pp group by all"
-SQL["projected_tlen_tracks"] = f"""with {READS}, {CLASSES}, plain as (select seq, p, count(*) n, {_n("proper")} n_pp, {_n("discordant")} n_dis from pp group by all),
-wide as (select *, unnest(range(case when tlen < 0 then greatest(0, pos + tlen) else pos end, case when tlen > 0 then ref_end + tlen else ref_end end)) p from cls where tlen <> 0),
+SQL["projected_tlen_tracks"] = f"""with {READS}, {CLASSES}, len as (select l_returnflag || l_linestatus seq, max(date_diff('day', date '1995-01-01', l_shipdate::date) + l_quantity::integer) len from lineitem group by all),
+plain as (select seq, p, count(*) n, {_n("proper")} n_pp, {_n("discordant")} n_dis from pp group by all),
+wide as (select *, unnest(range(case when tlen < 0 then greatest(0, pos + tlen) else pos end, case when tlen > 0 then least(ref_end + tlen, len) else ref_end end)) p from cls join len using (seq) where tlen <> 0),
 c as (select seq, p, {_n("proper")} a, {_n("discordant")} b, {_n("same")} c, {_n("outward")} d from wide group by all)
 select seq, p pos, round((1 + a) / (1 + coalesce(n_pp, 0)) - 1, 6) tlen_pp_rd, round((1 + b) / (1 + coalesce(n_dis, 0)) - 1, 6) tlen_dis_rd, round((1 + c) / (1 + coalesce(n, 0)) - 1, 6) orient_same_rd,
 round((1 + d) / (1 + coalesce(n, 0)) - 1, 6) orient_out_rd from c left join plain using (seq, p)"""
@@ -180,6 +206,10 @@ SQL["coord_parse"] = f"""with {GENES} select gene, case when s % 5 = 0 then gene
 RANGES = """len as (select max(event_id) + 1 len from events), ranges as (select p_partkey range_id, p_partkey * 7919 % len s, least(len, p_partkey * 7919 % len + 100 + p_partkey * p_size * 13 % len) e from part, len)"""
 CHOICE = """rated as (select range_id, s, e, "window" w, (e - s) / "window" n from ranges, levels), chosen as (select range_id, s, e, w from rated
 qualify row_number() over (partition by range_id order by case when n <= 16 then 0 else 1 end, case when n <= 16 then abs(n - 8) else n end, w) = 1)"""
+SQL["pan_zoom"] = f"""with {RANGES}, r as (select *, 100 * floor(ceil((e - s) / 100) * 0.1 + 0.5)::bigint d, floor((e - s) / 2 + 0.5)::bigint h from ranges, len),
+z as (select *, floor(h * 0.8 + 0.5)::bigint a, floor(h * 1.2 + 0.5)::bigint b from r)
+select range_id, case when e + d <= len then s + d else s end right_start, case when e + d <= len then e + d else e end right_end, case when s - d >= 0 then s - d else s end left_start, case when s - d >= 0 then e - d else e end left_end,
+case when s + h - a >= 0 then s + h - a else s end into_start, case when s + h - a >= 0 then s + h + a else e end into_end, case when s + h - b >= 0 then s + h - b else s end out_of_start, case when s + h - b >= 0 then s + h + b else e end out_of_end from z"""
 SQL["store_round_trip"] = f"with {_pyramid(10)} select sm, \"window\", tile, {FIELDS} from pyr, (select unnest(['s', 't']) sm)"
 SQL["store_range_read"] = f"with {EV}, {_moments('ev', 'tile')} select tile, {FIELDS} from mom where tile >= 12 and tile < 88"
 SQL["store_attributes"] = f"""with {_pyramid(10)} select sm, 'all' rg, 'events' seq, 'value' track, 'moments' feature, "window", min(tile) first_tile, count(*) tiles, (select max("window") from levels) window_root,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -45,10 +47,59 @@ def haar_denoise(y: np.ndarray, value: float) -> np.ndarray:
     return low[: len(y)]
 
 
+@functools.cache
+def scaling_filter(name: str) -> np.ndarray:
+    """The orthogonal low-pass filter of `haar` or `db<N>` (2 * N taps): the root of the half-band polynomial inside the unit circle."""
+    n = 1 if name == "haar" else int(name.removeprefix("db"))
+    if not 1 <= n <= 20:
+        raise ValueError(f"no wavelet {name}")
+    inside = []
+    for y in np.roots([math.comb(n - 1 + k, k) for k in range(n)][::-1]):
+        z = np.roots([1, 4 * y - 2, 1])  # y = (2 - z - 1 / z) / 4
+        inside.append(z[np.argmin(np.abs(z))])
+    h = np.real(np.poly([-1] * n + inside))
+    return h * np.sqrt(2) / h.sum()
+
+
+def _split(x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Half as many averages and details; the ends are mirrored."""
+    taps = len(h)
+    high = h[::-1] * (-1.0) ** np.arange(taps)
+    wide = np.pad(x, taps - 1, mode="symmetric")
+    return tuple(np.convolve(wide, f[::-1], mode="valid")[1::2] for f in (h, high))
+
+
+def _join(low: np.ndarray, detail: np.ndarray, h: np.ndarray) -> np.ndarray:
+    taps, out = len(h), 0
+    high = h[::-1] * (-1.0) ** np.arange(taps)
+    for x, f in ((low, h), (detail, high)):
+        wide = np.zeros(2 * len(x))
+        wide[::2] = x
+        out = out + np.convolve(wide, f)[taps - 2 : 2 * len(x)]
+    return out
+
+
+def wavelet_denoise(y: np.ndarray, value: float, name: str = "db4") -> np.ndarray:
+    """Soft-thresholds the details of a block one up, at each level by its largest one times the block's mean * (1 - value)."""
+    h = scaling_filter(name)
+    levels = int(math.log2(len(y) / (len(h) - 1))) if len(y) >= len(h) else 0
+    if y.sum() <= 0 or levels < 1:
+        return y
+    low, details = y.astype(float) + 1, []
+    cut = low.mean() * (1 - value)
+    for _ in range(levels):
+        low, detail = _split(low, h)
+        details.append(detail)
+    for d in reversed(details):
+        d = np.sign(d) * np.maximum(np.abs(d) - cut * d.max(), 0)
+        low = _join(low[: len(d)], d, h)
+    return low[: len(y)] - 1
+
+
 def filter_signal(signal: DataFrame, keys: Sequence[str], kind: str, value: float, width: int, over: int = 0, mix: float = 1.0) -> DataFrame:
     """keys, pos, value of a signal (all positions present) filtered in blocks of `width` that overlap by `over`.
 
-    kind: 'poly' or 'haar'; mix: the share of the filtered signal in the result. A position in two blocks has the value of the later one.
+    kind: 'poly', 'haar' (of blocks filled up to a power of two) or 'db<N>'; mix: the share of the filtered signal in the result. A position in two blocks has the value of the later one.
     """
     step = width - over
     first = F.greatest(F.lit(0), F.ceil((F.col("pos") - width + 1) / step))
@@ -58,7 +109,9 @@ def filter_signal(signal: DataFrame, keys: Sequence[str], kind: str, value: floa
     def run(part):
         part = part.sort_values("pos")
         y = part["value"].to_numpy(float)
-        return part.assign(value=poly_detrend(y, value, mix) if kind == "poly" else mix * haar_denoise(y, value) + (1 - mix) * y)
+        if kind == "poly":
+            return part.assign(value=poly_detrend(y, value, mix))
+        return part.assign(value=mix * (haar_denoise(y, value) if kind == "haar" else wavelet_denoise(y, value, kind)) + (1 - mix) * y)
 
     done = blocks.groupBy(*keys, "_block").applyInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), f"pos {types['pos']}", "value double", "_block long"]))
     return done.groupBy(*keys, "pos").agg(F.max_by("value", "_block").alias("value")) if over else done.drop("_block")
@@ -72,5 +125,26 @@ def parse_spec(spec: str) -> dict[str, dict]:
         fields = rest.split(",")
         if len(fields) != 5:
             raise ValueError(f"five parameters expected: {part}")
-        out[track] = {"type": fields[0], "value": float(fields[1]), "width": int(fields[2]), "over": int(fields[3]), "mix": float(fields[4])}
+        out[track] = {"type": fields[0], "value": float(fields[1]), "width": int(float(fields[2])), "over": int(float(fields[3])), "mix": float(fields[4])}
+    return out
+
+
+#: The tracks that are filtered where nothing else is asked for, and how.
+FILTERED = ("tlen_dis_rd", "left_smap_same", "left_smap_diff", "right_smap_same", "right_smap_diff")
+DEFAULT = {"type": "poly", "value": 0.5, "width": 1_000_000_000, "over": 0, "mix": 1.0}
+
+
+def filters_for(tracks: Sequence[str], spec: str | None = None) -> dict[str, dict]:
+    """The filters of the tracks asked for: those of a specification, or else the default ones."""
+    known = {t: dict(DEFAULT) for t in FILTERED} if spec is None else parse_spec(spec)
+    return {t: f for t, f in known.items() if t in tracks}
+
+
+def filter_tracks(signal: DataFrame, keys: Sequence[str], how: dict[str, dict]) -> DataFrame:
+    """keys (with track), pos, value: each track through its filter; tracks without one stay as they are."""
+    columns = [*keys, "pos", F.col("value").cast("double").alias("value")]
+    out = signal.where(~F.col("track").isin(list(how))).select(*columns) if how else signal.select(*columns)
+    for track, f in how.items():
+        done = filter_signal(signal.where(F.col("track") == track).select(*columns), keys, f["type"], f["value"], f["width"], f["over"], f["mix"])
+        out = out.unionByName(done.select(*keys, "pos", "value"))
     return out

@@ -47,3 +47,23 @@ def lookup(names: DataFrame, genes: DataFrame) -> DataFrame:
 def search(genes: DataFrame, stub: str) -> DataFrame:
     """Genes whose name holds the stub, in any case."""
     return genes.where(F.upper("gene").contains(stub.upper()))
+
+
+def _rounded(x: Column) -> Column:
+    """To the nearest whole number, halves up."""
+    return F.floor(x + 0.5)
+
+
+def pan(start: Column, end: Column, window: Column, tiles: Column, length: Column, right: bool) -> tuple[Column, Column]:
+    """A range moved by a tenth of its windows; one that would leave the sequence stays where it is."""
+    by = window * _rounded(tiles * 0.1) * (1 if right else -1)
+    inside = (end + by <= length) if right else (start + by >= 0)
+    return F.when(inside, start + by).otherwise(start), F.when(inside, end + by).otherwise(end)
+
+
+def zoom(start: Column, end: Column, into: bool) -> tuple[Column, Column]:
+    """A range of 0.8 or 1.2 times the width around its centre; one that would begin before 0 stays as it is."""
+    half = _rounded((end - start) / 2)
+    by = _rounded(half * (0.8 if into else 1.2))
+    low, high = start + half - by, start + half + by
+    return F.when(low >= 0, low).otherwise(start), F.when(low >= 0, high).otherwise(end)

@@ -107,6 +107,12 @@ def standardized(n: str = "n") -> list[Column]:
     ]
 
 
+def selected_moments(which: Sequence[int]) -> Column:
+    """An array of some of mean, std, skew and kurt (1 to 4), in the order asked for."""
+    four = F.array(*standardized())
+    return F.transform(F.array(*map(F.lit, which)), lambda k: F.element_at(four, k)) if which else F.array().cast("array<double>")
+
+
 def window_range(scaled: bool = False) -> Column:
     spread = F.col("max") - F.col("min")
     return spread * F.col("n") if scaled else spread

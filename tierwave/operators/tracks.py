@@ -69,12 +69,19 @@ def interval_tracks(reads: DataFrame, keys: Sequence[str], names: Sequence[str],
     return runs.select(*keys, "start", "end", *(F.round(F.col(n) / FIXED, 11).alias(n) if n in shares else F.col(n) for n in names))
 
 
-def projected_tracks(reads: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, start, end and counts of reads stretched by their template length: of all classes that are reported so."""
+def projected_tracks(reads: DataFrame, keys: Sequence[str], lengths: DataFrame | None = None) -> DataFrame:
+    """keys, start, end and counts of reads stretched by their template length: of all classes that are reported so.
+
+    lengths: seq, len, where stretched reads end; a sequence that it lacks has no end.
+    """
     classes = read_classes()
-    low, high = projected("start", "end", "tlen")
     names = {"tlen_pp_rd": "proper_pair", "tlen_dis_rd": "discordant", "orient_same_rd": "orient_same", "orient_out_rd": "orient_out"}
     rows = admitted(reads).where("tlen != 0").withColumns({"start": F.col("pos"), "end": F.col("pos") + F.col("rlen")})
+    limit = None
+    if lengths is not None:
+        rows = rows.join(lengths.select("seq", F.col("len").alias("_len")), "seq", "left")
+        limit = F.greatest(F.coalesce("_len", F.lit((1 << 63) - 1)), F.col("end"))
+    low, high = projected("start", "end", "tlen", limit)
     rows = rows.select(*keys, low.alias("start"), high.alias("end"), *(classes[c].alias(n) for n, c in names.items()))
     return coverage_runs(rows, keys, list(names))
 
