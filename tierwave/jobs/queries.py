@@ -8,12 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import sql_names, text
 from ..functions.bins import bin_index, default_edges
-from ..operators import compare, duplicates, filters, intervals, lod, moments, ordered, raster, realign, sliding, spectrum, store, tracks
+from ..operators import compare, draws, duplicates, filters, intervals, lod, moments, ordered, raster, realign, sliding, spectrum, store, tracks
 from ..sources import alignments, bam, fasta, views
 from ..sources.views import KEYS
-from ..streaming.windows import stream_moments
+from ..streaming.windows import merged_moments, moments_sink, stream_moments
 
 WINDOW, BRANCH = 100, 10
 EDGES = default_edges(500)
@@ -832,3 +832,59 @@ def time_windows(spark: SparkSession, sf: str) -> DataFrame:
     events = views.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     rows = stream_moments(events, "1 hour", "10 minutes", ["event_type"], center=50.0)
     return rows.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("sum", 4).alias("sum"), "min", "max", F.round("m1", 6).alias("m1"), _root("m2", 2).alias("m2r"))
+
+
+@query
+def stream_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a stream of four files, each with rows of all hours: late rows are merged into the windows."""
+    path = store.scratch(spark)
+    events = views.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", "event_id")
+    events.repartition(4, F.col("event_id") % 4).drop("event_id").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stream.writeStream.foreachBatch(moments_sink(f"{path}/out", "1 hour", ["event_type"])).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = merged_moments(spark, f"{path}/out", ["event_type"])
+    return rows.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("sum", 4).alias("sum"), "min", "max", F.round("m1", 6).alias("m1"), _root("m2", 2).alias("m2r"))
+
+
+@query
+def weighted_pick(spark: SparkSession, sf: str) -> DataFrame:
+    """As many draws as there are parts, with replacement, of suppliers by their line items; how often each came."""
+    weights = views.table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("w"))
+    drawn = draws.pick(weights, views.table(spark, sf, "part").count(), 7, ["l_suppkey"], "w")
+    return drawn.groupBy("l_suppkey").agg(F.count("*").alias("times"), F.min("draw").alias("first"), F.sum("draw").alias("numbers"))
+
+
+@query
+def sql_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Depth by a table function in a lateral join."""
+    sql_names.register(spark)
+    reads = tracks.admitted(views.reads(spark, sf))
+    return spark.sql("SELECT seq, p.pos, count(*) AS total FROM {reads} AS r, LATERAL rasterize(r.pos, r.ref_end) AS p GROUP BY seq, p.pos", reads=reads)
+
+
+@query
+def sql_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Positions that reads have in each tile."""
+    sql_names.register(spark)
+    reads = tracks.admitted(views.reads(spark, sf))
+    return spark.sql("SELECT seq, t.tile, count(*) AS reads, sum(t.n) AS bases FROM {reads} AS r, LATERAL tiles_of(r.pos, r.ref_end, 100) AS t GROUP BY seq, t.tile", reads=reads)
+
+
+@query
+def sql_cigar(spark: SparkSession, sf: str) -> DataFrame:
+    """Deletions and clips of reads with their places."""
+    sql_names.register(spark)
+    reads = tracks.admitted(_reads_with_cigars(spark, sf))
+    return spark.sql("SELECT seq, s.op, s.start_at, s.end_at, count(*) AS n FROM {reads} AS r, LATERAL cigar_segments(r.pos, r.cigar) AS s WHERE s.op IN (2, 4, 5) GROUP BY seq, s.op, s.start_at, s.end_at", reads=reads)
+
+
+@query
+def sql_merged_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten windows in one, and what describes it, by functions of Spark SQL."""
+    sql_names.register(spark)
+    return spark.sql(
+        """WITH merged AS (SELECT tile div 10 AS tile, merge_moments(collect_list(named_struct('n', n, 'sum', sum, 'min', min, 'max', max, 'm1', m1, 'm2', m2, 'm3', m3, 'm4', m4))) AS p FROM {tiles} GROUP BY tile div 10),
+        shown AS (SELECT tile, p, standardize(p) AS s, bin_of(p.m1, array(0D, 40D, 50D, 60D, 500D)) AS bin FROM merged)
+        SELECT tile, p.n AS n, round(p.sum, 4) AS sum, p.min AS min, p.max AS max, round(s.mean, 6) AS mean, round(s.std, 6) AS std, round(s.skew, 6) AS skew, round(s.kurt, 6) AS kurt, bin FROM shown""",
+        tiles=_tiles(spark, sf),
+    )

@@ -264,3 +264,16 @@ SQL["running_coverage"] = "select event_id pos, round(sum(value) over (order by
 SQL["time_windows"] = """with e as (select time_bucket(interval '1 hour', ts) t, event_type, value v from events), a as (select t, event_type, avg(v) m1 from e group by all),
 m as (select t, event_type, count(*)::double n, sum(v) sum, min(v) as min, max(v) as max, any_value(m1) m1, sum(power(v - m1, 2)) m2 from e join a using (t, event_type) group by all)
 select strftime(t, '%Y-%m-%d %H:%M:%S') as "start", event_type, n, round(sum, 4) sum, min, max, round(m1, 6) m1, round(sqrt(m2), 4) m2r from m"""
+
+SQL["stream_merge"] = SQL["time_windows"]
+SQL["weighted_pick"] = """with w as (select l_suppkey, count(*) w from lineitem group by all), r as (select *, sum(w) over (order by md5(l_suppkey::varchar), l_suppkey) hi from w),
+d as (select k draw, ('0x' || left(md5('7/' || k), 15))::bigint % (select sum(w) from w) u from range(0, (select count(*) from part)) t(k))
+select l_suppkey, count(*) times, min(draw) as "first", sum(draw)::bigint numbers from d join r on u >= hi - w and u < hi group by all"""
+SQL["sql_coverage"] = SQL["coverage_total"]
+SQL["sql_tiles"] = f"with {READS} select seq, p // 100 tile, count(distinct i) reads, count(*) bases from (select seq, row_number() over () i, unnest(range(pos, ref_end)) p from reads) group by all"
+SQL["sql_cigar"] = """with r as (select l_returnflag || l_linestatus seq, date_diff('day', date '1995-01-01', l_shipdate::date) pos, l_quantity::bigint q, l_suppkey % 45 f, l_partkey % 45 b, l_orderkey % 50 m, l_linenumber % 4 o from lineitem where l_linenumber <> 7),
+e as (select *, case when o = 0 then 0 else m end w from r),
+s as (select seq, 4 op, pos a, pos + f z from e where f > 0 union all select seq, 5, pos + f + 2 * q + w, pos + f + 2 * q + w + b from e where b > 0 union all select seq, 2, pos + f + q, pos + f + q + m from e where o = 1 and m > 0)
+select seq, op, a start_at, z end_at, count(*) n from s group by all"""
+SQL["sql_merged_moments"] = f"""with ev as (select event_id // 1000 tile, value v from events), {_moments('ev', 'tile')}, s as (select *, {STD} from mom)
+select tile, n, round(sum, 4) sum, min, max, round(mean, 6) mean, round(std, 6) std, round(skew, 6) skew, round(kurt, 6) kurt, case when m1 < 40 then 0 when m1 < 50 then 1 when m1 < 60 then 2 when m1 < 500 then 3 end::integer bin from s"""

@@ -66,7 +66,7 @@ def merge(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _merged(parts.join(mean, list(keys)), keys)
 
 
-def _merge_few(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def merge_few(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """merge() for keys of few windows each: the mean and the sums use one shuffle."""
     over = Window.partitionBy(*keys)
     return _merged(parts.withColumn("_m", F.sum(F.col("n") * F.col("m1")).over(over) / F.sum("n").over(over)), keys)
@@ -84,7 +84,7 @@ def _merged(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def merge_tiles(moments: DataFrame, keys: Sequence[str], branch: int) -> DataFrame:
     """One level up: every `branch` tiles make one, the last from what is left."""
-    return _merge_few(moments.withColumn("tile", F.floor(F.col("tile") / branch)), [*keys, "tile"])
+    return merge_few(moments.withColumn("tile", F.floor(F.col("tile") / branch)), [*keys, "tile"])
 
 
 def merge_overlapping(moments: DataFrame, keys: Sequence[str], span: int, step: int = 1) -> DataFrame:
@@ -93,7 +93,7 @@ def merge_overlapping(moments: DataFrame, keys: Sequence[str], span: int, step:
     copies = moments.withColumn("_start", at)
     full = F.count("*").over(Window.partitionBy(*keys, "_start"))
     copies = copies.withColumn("_full", full).where(F.col("_full") == span).drop("tile", "_full").withColumnRenamed("_start", "tile")
-    return _merge_few(copies, [*keys, "tile"])
+    return merge_few(copies, [*keys, "tile"])
 
 
 def standardized(n: str = "n") -> list[Column]:

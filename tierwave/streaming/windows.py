@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bins import bin_index
-from ..operators.store import merge_into
+from ..operators import moments
+from ..operators.store import merge_into, read_table
 
 
 def stream_moments(events: DataFrame, every: str, late: str, by: Sequence[str] = (), slide: str | None = None, center: float = 0.0) -> DataFrame:
@@ -37,3 +38,35 @@ def upsert(path: str, partitions: Sequence[str], keys: Sequence[str]):
         merge_into(batch, path, partitions, keys)
 
     return write
+
+
+def moments_sink(path: str, every: str, by: Sequence[str] = ()):
+    """For foreachBatch on a stream of ts, value, by: what a batch adds to its windows is kept, however late it comes.
+
+    Each batch writes the moments of its own rows in each window, under its number; merged_moments() adds them up by the
+    closed form. A batch that is repeated after a restart replaces what it wrote before, so no row counts twice, and no
+    watermark drops any. compact() joins what old batches wrote.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        placed = batch.select(F.window("ts", every)["start"].alias("start"), *by, F.col("value"), F.lit(0).cast("bigint").alias("pos"))
+        parts = moments.tile_moments(placed, ["start", *by], 1).drop("tile")
+        parts = parts.withColumns({"day": F.date_format("start", "yyyy-MM-dd"), "batch": F.lit(number).cast("bigint")})
+        merge_into(parts, path, ["day"], ["day", "start", *by, "batch"], ["start"])
+
+    return write
+
+
+def merged_moments(spark: SparkSession, path: str, by: Sequence[str] = ()) -> DataFrame:
+    """start, by, n, sum, min, max, m1..m4 of all that moments_sink() has written."""
+    return moments.merge_few(read_table(spark, path, ["day"]), ["start", *by])
+
+
+def compact(spark: SparkSession, path: str, by: Sequence[str], before: int, to: str) -> None:
+    """Writes a table like path's to `to`, in which what batches under `before` wrote is one row a window, of batch -1.
+
+    Batches under `before` must be committed in the stream's checkpoint: they can't come again.
+    """
+    parts, keys = read_table(spark, path, ["day"]), ["day", "start", *by]
+    old = moments.merge_few(parts.where(F.col("batch") < before), keys).withColumn("batch", F.lit(-1).cast("bigint"))
+    merge_into(old.unionByName(parts.where(F.col("batch") >= before).select(*old.columns)), to, ["day"], [*keys, "batch"], ["start"])
