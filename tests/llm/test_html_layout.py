@@ -118,3 +118,41 @@ def test_query(spark):
     got = extract_text(pages).collect()
     assert sorted(tuple(r.page) for r in got) == [("", ""), ("", "a"), ("", "a")]
     assert extract_text(pages.limit(0)).count() == 0
+
+
+def test_cascade():
+    rule = "<style>{}</style><p class='a b' id=c>x<p>y"
+    for shows in (".a{display:none} .a{display:block}", "#c{display:block} .a{display:none}", ".b{display:inline!important} #c{display:none}", ".a{visibility:hidden} .b{visibility:visible}"):
+        assert text(rule.format(shows)) == "x\n\ny", shows
+    assert text(rule.format("p{display:none} .a{display:block}")) == "x" and text(rule.format("*{display:none} p{display:block}")) == ""
+    for hides in (".a{display:block} .b{display:none}", ".a{display:none!important} #c{display:block}", "#c{DISPLAY : None}", ".b{visibility:collapse}"):
+        assert text(rule.format(hides)) == "y", hides
+    assert text("<style>.a{display:none}</style><p class=a style='display:block'>x") == "x"
+    assert text("<style>.a{display:none!important}</style><p class=a style='display:block'>x") == ""
+    assert text("<style>i{display:inline}</style><i hidden>x</i><dialog style='display:block'>y</dialog>") == "x\ny"
+    assert text("<div style='visibility:hidden'>a<b style='visibility:visible'>b<i>c</i></b><p>d</div>e") == "bc\n\ne"
+    assert text("<table style='visibility:hidden'><tr><td>a<td style='visibility:visible'>b</table>") == "b"
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sampled_from(["noscript", "template", "iframe", "textarea"]), st.sampled_from(["head", "body"]), st.sampled_from([".a{display:none}", "p{visibility:hidden}", "*{display:none}"]))
+def test_sheets_that_arent_applied(around, part, rule):
+    page = f"<{part}><{around}><style>{rule}</style></{around}></{part}><p class=a>shown"
+    assert text(page).endswith("shown")
+
+
+def test_numbers():
+    assert text("<ol start=-1><li>a<li>b<li>c</ol>") == "-1. a\n0. b\n1. c"
+    assert text("<ol reversed><li>a<li>b<ol><li>i</ol><li>c</ol>") == "3. a\n2. b\n  1. i\n1. c".replace("  1.", "   1.")
+    assert text("<ol reversed start=10><li>a<li>b</ol>") == "10. a\n9. b"
+    assert text("<ol><li>a<div><li>b</div><div><li>c</div></ol>") == "1. a\n\n2. b\n\n3. c".replace("\n\n", "\n")
+    assert text("<li>x<ul><li>y</ul>") == "- x\n  - y"
+
+
+def test_large_and_broken_pages_take_linear_time():
+    import time
+
+    for page in ("<div>" * 200_000, "<b>" * 1_000 + "</i>" * 250_000, "<div>" * 20_000 + "</i>" * 200_000, "<ul><li>x" * 100_000, "<blockquote>x" * 75_000, "<table><tr><td>x" * 60_000, "<pre>x\n" * 100_000, "<table>" + "<b>x" * 150_000, "<ol reversed><li>x" * 50_000):
+        began = time.time()
+        extract(page)
+        assert time.time() - began < 60, page[:30]

@@ -1,11 +1,17 @@
 """HTML extraction: a layout-aware rendering of a page's visible text.
 
 A small tree builder reads tags and text, supplies the tags that HTML lets authors omit (ends, and rows around cells),
-ignores stray ones, and puts what stands in a table outside its cells before the table. The renderer then walks the tree: it leaves out what a browser doesn't show (head, scripts, `hidden`, display:none,
-visibility:hidden, also by simple selectors of the page's own style sheets for screens of any size, closed details and
-dialogs), collapses
-white space outside pre, separates paragraphs, lists, tables and headings by empty lines and other blocks by line ends,
-marks and indents list items, and sets table cells in aligned columns (colspan and rowspan are kept to the grid).
+ignores stray ones, and puts what stands in a table outside its cells before the table. The renderer then walks the tree:
+it leaves out what a browser doesn't show (head, scripts, `hidden`, closed details and dialogs, what is styled so),
+collapses white space outside pre, separates paragraphs, lists, tables and headings by empty lines and other blocks by
+line ends, marks, numbers and indents list items, and sets table cells in aligned columns (colspan and rowspan are kept
+to the grid).
+
+Styles are those of style attributes and of simple selectors (element, .class, #id) in the page's own sheets for screens
+of any size; sheets that a browser doesn't apply (in noscript or template) don't count. Of display and of visibility the
+declaration that is important, or else inline, or else of the more special selector, or else the last one holds. A child
+may be visible in a parent that isn't, but not in one that has no display. Reading and rendering take time in proportion
+to the page and to the text given: indents stop at 40 columns, and tables in 15 others are rendered as blocks.
 
 Cases: null and empty pages have empty text; text without tags is one paragraph; unclosed tags and comments run to the
 end; elements may be nested to any depth; a cell spans at most 1,000 columns and 65,534 rows, as in HTML; repeated rows
@@ -16,7 +22,7 @@ from __future__ import annotations
 
 import html
 import re
-import sys
+from collections import defaultdict
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -49,7 +55,11 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog div
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s]+))?")
 _PART = re.compile(r"([^{}]*)([{}])")
-_HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)\s*(!\s*important)?\s*(?=;|\Z)", re.I)
+#: Columns of indent beyond which deeper items aren't indented further.
+DEEPEST = 40
+#: Tables in tables beyond which cells are blocks, and pre in such is text as it stands.
+INSIDE = 16
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -67,23 +77,33 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def parse(page: str) -> tuple[Node, int]:
-    """The page's tree and its depth. Text is a str among the children."""
+def parse(page: str) -> Node:
+    """The page's tree. Text is a str among the children."""
     root = Node("html", {})
-    stack, at, depth = [root], 0, 1
+    stack, at = [root], 0
+    where: defaultdict[str, list[int]] = defaultdict(list)  # of each tag the places in the stack
+
+    def last(tags) -> int:
+        return max((where[t][-1] for t in tags if where[t]), default=0)
+
+    def cut(size: int) -> None:
+        while len(stack) > size:
+            where[stack.pop().tag].pop()
+
+    def open_(node: Node) -> None:
+        where[node.tag].append(len(stack))
+        stack.append(node)
 
     def close(tags, stops=()) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in stops:
-                return
+        """Ends the innermost of the tags and all in it, unless one of the stops lies further in."""
+        i = last(tags)
+        if i and i >= last(stops):
+            cut(i)
 
     def put(node: Node | str):
         """Into the open element; what may not stand there in a table goes before the table."""
         if stack[-1].tag in ("table", *SECTIONS, "tr") and (node.strip() if isinstance(node, str) else node.tag not in IN_TABLE):
-            i = max((i for i, n in enumerate(stack) if n.tag == "table"), default=0)
+            i = last(TABLE)
             if not i:
                 return stack[-1].children.append(node)
             stack[i - 1].children.insert(_place(stack[i - 1].children, stack[i]), node)
@@ -124,13 +144,13 @@ def parse(page: str) -> tuple[Node, int]:
             close(("p",), (*INNER, "button"))
         if tag in CONTEXT:
             # Ends what is open inside the table but outside cells; outside tables the tag stands where it is.
-            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in (*CONTEXT[tag], *CELLS)), 0)
+            i = last((*CONTEXT[tag], *CELLS))
             if i and stack[i].tag not in CELLS:
-                del stack[i + 1 :]
+                cut(i + 1)
                 if tag in ("td", "th") and stack[i].tag != "tr":
                     stack[i].children.append(Node("tr", {}))
-                    stack.append(stack[i].children[-1])
-        while tag == "table" and stack[-1].tag in ("table", *SECTIONS, "tr") and any(n.tag == "table" for n in stack):
+                    open_(stack[i].children[-1])
+        while tag == "table" and stack[-1].tag in ("table", *SECTIONS, "tr") and where["table"]:
             close(TABLE)
         if tag == "form" and stack[-1].tag in ("table", *SECTIONS, "tr"):
             continue
@@ -142,9 +162,8 @@ def parse(page: str) -> tuple[Node, int]:
             node.children.append(html.unescape(text) if tag in ("textarea", "title") else text)
             at = end.end() if end else len(page)
         elif tag not in VOID and not m[3].rstrip().endswith("/") or tag not in VOID and tag in BLOCK:
-            stack.append(node)
-            depth = max(depth, len(stack))
-    return root, depth
+            open_(node)
+    return root
 
 
 def _place(children: list, table: Node) -> int:
@@ -169,10 +188,25 @@ def _for_screens(rule: str) -> bool:
     return any(k in ("", "all", "screen", "only screen", "only all", "not print", "not speech") for k in kinds)
 
 
-def _hidden_by_sheets(root: Node) -> frozenset[str]:
-    """Simple selectors (element, .class, #id) that the page's style sheets hide."""
-    found = set()
-    for n in _walk(root):
+def _said(style: str) -> Iterator[tuple[str, bool, bool]]:
+    """display or visibility, whether it is off, and whether that is important, of each declaration."""
+    for name, value, important in _STYLE.findall(style):
+        yield name.lower(), value.lower() in (("none",) if name.lower() == "display" else ("hidden", "collapse")), bool(important)
+
+
+#: Of what stands in them no sheet is applied.
+NO_SHEETS = frozenset(("noscript", "template", "iframe", "noembed", "noframes", "textarea", "title", "xmp"))
+
+
+def _sheets(root: Node) -> dict[str, dict[str, tuple]]:
+    """For display and visibility: of each simple selector the strongest declaration, as (rank, off)."""
+    found: dict[str, dict[str, tuple]] = {"display": {}, "visibility": {}}
+    todo, number = [root], 0
+    while todo:
+        n = todo.pop()
+        if n.tag in NO_SHEETS:
+            continue
+        todo += [c for c in reversed(n.children) if isinstance(c, Node)]
         if n.tag != "style" or not n.children or "media" in n.attributes and not _for_screens("@media " + n.attributes["media"]):
             continue
         holds, head = [True], ""
@@ -181,10 +215,25 @@ def _hidden_by_sheets(root: Node) -> frozenset[str]:
                 head = text.rpartition(";")[2].strip()
                 holds.append(holds[-1] and (not head.startswith("@") or _for_screens(head)))
             else:
-                if len(holds) > 1 and holds.pop() and not head.startswith("@") and _HIDES.search(text):
-                    found |= {x.strip() for x in head.split(",") if re.fullmatch(r"[.#]?[\w-]+", x.strip())}
+                if len(holds) > 1 and holds.pop() and not head.startswith("@"):
+                    for name, off, important in _said(text):
+                        for x in head.split(","):
+                            x, number = x.strip(), number + 1
+                            if re.fullmatch(r"[.#]?[\w-]+|\*", x):
+                                x = x if x[0] in ".#" else x.lower()
+                                rank = (important, {".": 2, "#": 3, "*": 0}.get(x[0], 1), number)
+                                found[name][x] = max(found[name].get(x, ((False, -1, 0), False)), (rank, off))
                 head = "@"  # what ends next is a group
-    return frozenset(found)
+    return found
+
+
+class Level:
+    """A list item or quotation that lines are written in: what stands before its first line; the others have as many blanks."""
+
+    __slots__ = ("first", "used", "gap")
+
+    def __init__(self, first: str, gap: int):
+        self.first, self.used, self.gap = first, False, gap
 
 
 class Lines:
@@ -192,6 +241,8 @@ class Lines:
 
     def __init__(self):
         self.lines, self.line, self.gap, self.space = [], "", 0, False
+        self.levels, self.fresh = [], []  # fresh: the levels without a line yet, innermost last
+        self.width, self.waiting = 0, 0  # columns of indent of all levels, and of those
 
     def text(self, raw: str) -> None:
         flat = _SPACES.sub(" ", raw)
@@ -216,112 +267,200 @@ class Lines:
         if self.lines:
             self.lines += [""] * self.gap
         self.gap = 0
-        self.lines.append(line)
+        marks, width = "".join(x.first for x in self.fresh), self.width - self.waiting
+        for x in self.fresh:
+            x.used = True
+        self.fresh, self.waiting = [], 0
+        lead = " " * min(width, DEEPEST)
+        self.lines.append((lead + marks + line).rstrip(" ") if self.levels else line)
 
     def block(self, gap: int) -> None:
         self.end()
-        self.gap = max(self.gap, gap)
+        if not self.fresh or self.fresh[-1] is not self.levels[-1]:
+            self.gap = max(self.gap, gap)
+
+    def enter(self, first: str) -> None:
+        level = Level(first, self.gap)
+        self.levels.append(level)
+        self.fresh.append(level)
+        self.width += len(first)
+        self.waiting += len(first)
+
+    def leave(self) -> None:
+        self.end()
+        level = self.levels.pop()
+        self.width -= len(level.first)
+        if level.used:
+            self.gap = 0
+        else:
+            self.fresh.pop()
+            self.waiting -= len(level.first)
+            self.gap = level.gap
+
+
+class Frame:
+    """An element whose children are being rendered."""
+
+    __slots__ = ("node", "at", "pre", "seen", "closed", "list", "number", "step", "after")
+
+    def __init__(self, node: Node, pre: bool, seen: bool, above: Frame | None, after=None):
+        self.node, self.at, self.pre, self.seen, self.after = node, 0, pre, seen, after
+        self.closed = node.tag == "details" and "open" not in node.attributes
+        self.list = self if node.tag in LISTS else above.list if above else None
+        self.number, self.step = None, -1 if node.tag == "ol" and "reversed" in node.attributes else 1
+
+
+def _whole(value: str | None) -> int | None:
+    return int(value) if re.fullmatch(r"\s*[-+]?\d{1,9}\s*", value or "") else None
+
+
+def _items(n: Node) -> int:
+    """Items of a list, without those of lists in it."""
+    todo, found = [n], 0
+    while todo:
+        for c in todo.pop().children:
+            if isinstance(c, Node):
+                found += c.tag == "li"
+                if c.tag not in LISTS:
+                    todo.append(c)
+    return found
 
 
 class Renderer:
     def __init__(self, root: Node):
-        self.sheet = _hidden_by_sheets(root)
+        self.sheets, self.nested = _sheets(root), 0
+
+    def off(self, n: Node, name: str) -> bool | None:
+        """Whether display or visibility is off by the page's styles; None if they don't say."""
+        best, a = ((False, -1, 0), None), n.attributes
+        sheet = self.sheets[name]
+        if sheet:
+            for x in ("*", n.tag, *("." + c for c in a.get("class", "").split()), "#" + a.get("id", "")):
+                if x in sheet:
+                    best = max(best, sheet[x], key=lambda r: r[0])
+        if "style" in a:
+            for k, (said, off, important) in enumerate(_said(a["style"])):
+                if said == name:
+                    best = max(best, ((important, 4, k), off), key=lambda r: r[0])
+        return best[1]
 
     def hidden(self, n: Node) -> bool:
-        a = n.attributes
-        if n.tag in UNSEEN or "hidden" in a or n.tag == "dialog" and "open" not in a or n.tag == "input":
-            return True
-        if "style" in a and _HIDES.search(a["style"]):
+        if n.tag in UNSEEN or n.tag == "input":
             return True
-        s = self.sheet
-        return bool(s) and (n.tag in s or "#" + a.get("id", "") in s or any("." + c in s for c in a.get("class", "").split()))
+        off = self.off(n, "display")
+        return ("hidden" in n.attributes or n.tag == "dialog" and "open" not in n.attributes) if off is None else off
 
-    def render(self, n: Node, pre: bool = False) -> list[str]:
+    def seen(self, n: Node, above: bool) -> bool:
+        off = self.off(n, "visibility")
+        return above if off is None else not off
+
+    def render(self, n: Node, pre: bool = False, seen: bool = True) -> list[str]:
         out = Lines()
-        self.inside(n, out, pre)
+        self.nested += 1
+        self.inside(n, out, pre, seen)
+        self.nested -= 1
         out.end()
         return out.lines
 
-    def inside(self, n: Node, out: Lines, pre: bool = False) -> None:
-        number, closed = 0, n.tag == "details" and "open" not in n.attributes
-        for c in n.children:
+    def inside(self, n: Node, out: Lines, pre: bool = False, seen: bool = True) -> None:
+        frames = [Frame(n, pre, seen, None)]
+        while frames:
+            f = frames[-1]
+            if f.at == len(f.node.children):
+                frames.pop()
+                if f.after:
+                    f.after()
+                continue
+            c = f.node.children[f.at]
+            f.at += 1
             if isinstance(c, str):
-                if closed:
-                    continue
-                if pre:
-                    first, *rest = c.replace("\r\n", "\n").split("\n")
-                    out.line += first
-                    for line in rest:
-                        out.put(out.line)
-                        out.line = line
-                else:
-                    out.text(c)
+                if f.seen and not f.closed:
+                    self.say(c, out, f.pre)
                 continue
-            if self.hidden(c) or closed and c.tag != "summary":
+            if self.hidden(c) or f.closed and c.tag != "summary":
                 continue
+            seen = self.seen(c, f.seen)
             if c.tag == "br":
                 if out.line:
                     out.end()
-                else:
+                elif seen:
                     out.put("")
-            elif c.tag == "table":
+            elif c.tag == "table" and self.nested < INSIDE:
                 out.block(1)
-                for line in self.table(c):
+                for line in self.table(c, seen):
                     out.put(line)
                 out.block(1)
             elif c.tag == "hr":
                 out.block(1)
             elif c.tag == "li":
-                if "value" in c.attributes and re.fullmatch(r"-?\d{1,9}", c.attributes["value"]):
-                    number = int(c.attributes["value"])
-                elif not number:
-                    start = n.attributes.get("start", "")
-                    number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
-                self.item(c, f"{number}. " if n.tag == "ol" else "- ", out)
-                number += 1
+                self.open(frames, c, out, seen, self.mark(c, f.list), 0)
             elif c.tag in ("dd", "blockquote"):
-                self.item(c, "    ", out, int(c.tag == "blockquote"), every=True)
+                self.open(frames, c, out, seen, "    ", int(c.tag == "blockquote"))
             elif c.tag in BLOCK:
-                nested = c.tag in LISTS and n.tag in ("li", *LISTS)
-                out.block(int(c.tag in SPACED and not nested))
-                if c.tag == "pre":
-                    for line in self.pre(c):
+                gap = int(c.tag in SPACED and not (c.tag in LISTS and f.node.tag in ("li", *LISTS)))
+                out.block(gap)
+                if c.tag == "pre" and self.nested < INSIDE:
+                    for line in self.pre(c, seen):
                         out.put(line)
+                    out.block(gap)
                 else:
-                    self.inside(c, out, pre)
-                out.block(int(c.tag in SPACED and not nested))
+                    frames.append(Frame(c, f.pre or c.tag == "pre", seen, f, lambda gap=gap: out.block(gap)))
             else:
-                self.inside(c, out, pre or c.tag == "textarea")
-
-    def pre(self, n: Node) -> list[str]:
-        lines = self.render(n, True)
+                frames.append(Frame(c, f.pre or c.tag == "textarea", seen, f))
+
+    def say(self, text: str, out: Lines, pre: bool) -> None:
+        if not pre:
+            return out.text(text)
+        first, *rest = text.replace("\r\n", "\n").split("\n")
+        out.line += first
+        for line in rest:
+            out.put(out.line)
+            out.line = line
+
+    def pre(self, n: Node, seen: bool) -> list[str]:
+        lines = self.render(n, True, seen)
         return lines[1:] if lines and not lines[0] else lines
 
-    def item(self, n: Node, mark: str, out: Lines, gap: int = 0, every: bool = False) -> None:
-        out.block(gap)
-        lines = self.render(n)
-        indent = mark if every else " " * len(mark)
-        for i, line in enumerate(lines):
-            out.put(((mark if i == 0 else indent) + line).rstrip(" "))
+    def mark(self, item: Node, of: Frame | None) -> str:
+        """What stands before an item of the list around it."""
+        if of is None:
+            return "- "
+        if of.number is None:
+            start = _whole(of.node.attributes.get("start"))
+            of.number = start if start is not None else _items(of.node) if of.step < 0 else 1
+        value = _whole(item.attributes.get("value"))
+        of.number = of.number if value is None else value
+        of.number += of.step
+        return f"{of.number - of.step}. " if of.node.tag == "ol" else "- "
+
+    def open(self, frames: list[Frame], n: Node, out: Lines, seen: bool, first: str, gap: int) -> None:
+        """An item or a quotation, indented."""
         out.block(gap)
+        out.enter(first)
+
+        def after():
+            out.leave()
+            out.block(gap)
+
+        frames.append(Frame(n, False, seen, frames[-1], after))
 
-    def rows(self, n: Node) -> Iterator[tuple[Node, int]]:
-        """Rows, each with the number of rows to the end of its section."""
+    def rows(self, n: Node, seen: bool) -> Iterator[tuple[Node, int, bool]]:
+        """Rows, each with the number of rows to the end of its section, and whether it is visible."""
         own = [c for c in n.children if isinstance(c, Node) and not self.hidden(c)]
         left = sum(c.tag == "tr" for c in own)
         for c in own:
             if c.tag == "tr":
-                yield c, left
+                yield c, left, self.seen(c, seen)
                 left -= 1
             elif c.tag in SECTIONS:
-                yield from self.rows(c)
+                yield from self.rows(c, self.seen(c, seen))
 
-    def table(self, n: Node) -> list[str]:
+    def table(self, n: Node, seen: bool = True) -> list[str]:
         """Cells in columns two spaces apart, after the caption."""
         before = Node("div", {})
         before.children = [c for c in n.children if isinstance(c, Node) and c.tag == "caption"]
-        out, grid, busy = self.render(before), [], {}
-        for r, (row, left) in enumerate(self.rows(n)):
+        out, grid, busy = self.render(before, seen=seen), [], {}
+        for r, (row, left, shown) in enumerate(self.rows(n, seen)):
             line, col = {}, 0
             for cell in row.children:
                 if not isinstance(cell, Node) or cell.tag not in ("td", "th") or self.hidden(cell):
@@ -330,7 +469,7 @@ class Renderer:
                     col += 1
                 span = lambda k, c=cell: int(c.attributes[k][-6:]) if re.fullmatch(r"0*\d{1,6}", c.attributes.get(k, "")) else 1
                 wide, tall = min(span("colspan") or 1, 1_000), min(span("rowspan") or left, 65_534)
-                line[col] = (wide, self.render(cell))
+                line[col] = (wide, self.render(cell, seen=self.seen(cell, shown)))
                 for k in range(col, col + wide):
                     busy[k] = r + tall
                 col += wide
@@ -361,17 +500,12 @@ class Renderer:
 
 def extract(page: str | None) -> tuple[str, str]:
     """Title and visible text."""
-    root, depth = parse(page or "")
+    root = parse(page or "")
     title = next((_SPACES.sub(" ", "".join(c for c in n.children if isinstance(c, str))).strip() for n in _walk(root) if n.tag == "title"), "")
-    r, limit = Renderer(root), sys.getrecursionlimit()
+    r = Renderer(root)
     if r.hidden(root):
         return title, ""
-    # The renderer calls itself a few times for each level.
-    sys.setrecursionlimit(max(limit, 8 * depth + 1_000))
-    try:
-        return title, "\n".join(line.rstrip(" ") for line in r.render(root)).strip("\n")
-    finally:
-        sys.setrecursionlimit(limit)
+    return title, "\n".join(line.rstrip(" ") for line in r.render(root, seen=r.seen(root, True))).strip("\n")
 
 
 def extract_text(pages: DataFrame, column: str = "html", name: str = "page") -> DataFrame:
