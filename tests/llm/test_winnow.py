@@ -28,7 +28,7 @@ def cases(odd):
     say = lambda n, v=40: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(v)) for _ in range(n))
     items = [(i, say(n)) for i, n in enumerate([40, 13, 12, 14, 1, 60, 5])]
     items += [(20, "la " * 30), (21, None), (22, " ... "), (23, items[0][1].upper()), (None, items[1][1]), (24, "É 漢字 x"), (0, "zz yy xx")]
-    docs = [(i, t) for i, t in odd if t is None or len(t) < 1000]
+    docs = [(i, t if t is None or len(t) < 1000 else t[:4000]) for i, t in odd]
     for k in range(60):
         i, t = items[rng.randrange(7)]
         ws = t.split()
@@ -62,3 +62,39 @@ def test_empty(spark, make):
     none = spark.createDataFrame([], "item_id long, text string")
     assert judge(make([]), none).count() == 0
     assert [tuple(r) for r in judge(make([(1, "a b")]), none).select("n_words", "n_hit", "contaminated").collect()] == [(2, 0, False)]
+
+
+def test_repetitive_and_long_texts(spark, make):
+    """A text that repeats what an item repeats: every place of one fits every place of the other."""
+    bench = spark.createDataFrame([(1, "la " * 500), (2, "do re " * 300), (3, "once only " + "x y z " * 5)], "item_id long, text string")
+    docs = make([(1, "la " * 160_000), (2, "do re mi " + "re do " * 40_000), (3, "word " * 30_000), (4, "la " * 12)])
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"]), len(r.spans)) for r in judge(docs, bench).collect()}
+    assert got == {1: (160_000, 160_000, ["1"], 1), 2: (80_003, 80_000, ["2"], 1), 3: (30_000, 0, [], 0), 4: (12, 0, [], 0)}
+
+
+def test_query(spark):
+    import hashlib
+
+    from tierwave.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    read = lambda t, c: [tuple(r) for r in spark.read.parquet(f"{folder}/{t}.parquet").select(c, "text").collect()]
+    docs, items = read("documents", "doc_id"), read("benchmark", "item_id")
+    windows = {}
+    for item, t in items:
+        iw = words(t)
+        n = min(13, len(iw))
+        for i in range(len(iw) - n + 1 if n else 0):
+            windows.setdefault(tuple(iw[i : i + n]), set()).add(item)
+    want = []
+    for doc, t in docs:
+        ws, hit, found = words(t), set(), set()
+        for n in {len(w) for w in windows}:
+            for j in range(len(ws) - n + 1):
+                if ids := windows.get(tuple(ws[j : j + n])):
+                    hit |= set(range(j, j + n))
+                    found |= ids
+        listed = ",".join(sorted(str(x) for x in found))
+        want.append((doc, len(ws), len(hit), len(found), hashlib.sha256(listed.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(ws)))
+    got = sorted(map(tuple, QUERIES["op1_decontamination"](spark, folder).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()))
+    assert got == sorted(want) and any(r[5] for r in got)

@@ -1,18 +1,18 @@
 """Benchmark decontamination by winnowing (native).
 
 Texts are words. Both sides keep the rightmost minimum of every `window` consecutive hashes of `gram` words; any shared
-span of gram + window - 1 words then selects the same hash at the same place of the span on both sides. The document
-side is joined with the item side on that hash, which gives alignments (document, item, shift). Each alignment is
-extended on the full words: every run of `span` words that agree is an occurrence, so hits are exact, not hashes.
-Items shorter than the span are one window each; for each such length that the benchmark has, all grams of that length
-are fingerprints.
+span of gram + window - 1 words then selects the same hash at the same place of the span on both sides. Document hashes
+that an item has as well are kept with their places. A hit is extended to the windows of `span` words around it, which
+are compared as words with the items' windows: hits are exact, not hashes. Items shorter than the span are one window
+each; for each such length that the benchmark has, all grams of that length are fingerprints. A document's words are
+carried once, however often it repeats a passage, and a window meets each of its texts once.
 
-Where the item fingerprints are few (`broadcast_rows`, counted first) they are broadcast; beyond that the join shuffles
-document fingerprints.
+Where the items' hashes, and their windows, are few (`broadcast_rows`, counted first) they are broadcast; beyond that
+the joins shuffle the documents' hashes and windows.
 
 Cases: null and wordless texts have no words, no hits and are clean; wordless items match nothing; repeated items each
 count under their item_id, repeated documents are judged one by one; items of null
-item_id hit words but are not listed; empty tables give no rows or no hits; other columns are ignored.
+item_id hit words but are not listed; texts may have up to 268 million words; empty tables give no rows or no hits; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -76,14 +76,14 @@ def find_hits(documents: DataFrame, items: DataFrame, span: int = 13, gram: int
     """
     window = span - gram + 1
     hashed = F.transform("words", lambda w: F.xxhash64(w))
-    bench = materialize(items.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0).withColumn("item", F.monotonically_increasing_id()), "winnow-items")
+    bench = materialize(items.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0), "winnow-items")
     short = bench.where(F.size("words") < span).select(F.size("words").alias("n")).distinct()
     lengths = sorted(r["n"] for r in short.collect())  # fewer than span numbers
     own = F.when(F.size("words") < span, F.size("words")).otherwise(0)
     item_marks = (
-        fingerprints(bench.select("item", "words", hashed.alias("wh")), lengths, gram, window)
-        .select("item", own.alias("own"), F.explode("marks").alias("m"))
-        .where("m.kind = own").select("item", "m.kind", "m.hash", F.col("m.place").alias("at"))
+        fingerprints(bench.select("words", hashed.alias("wh")), lengths, gram, window)
+        .select(own.alias("own"), F.explode("marks").alias("m"))
+        .where("m.kind = own").select("m.kind", "m.hash", F.lit(True).alias("known")).distinct()
     )
     item_marks = materialize(item_marks, "winnow-marks")
 
@@ -91,36 +91,37 @@ def find_hits(documents: DataFrame, items: DataFrame, span: int = 13, gram: int
     # One row without a hash for each document, so that its word count needs no second pass over the texts.
     rows = marked.select("key", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("kind"), F.size("words").cast("bigint").alias("hash"), F.lit(0).alias("place"))), "marks")).alias("m"))
     rows = rows.select("key", "m.kind", "m.hash", "m.place")
-    small = item_marks.count() <= broadcast_rows
-    found = rows.join(F.broadcast(item_marks) if small else item_marks, ["kind", "hash"], "left").where("kind = -1 or item is not null")
-    found = materialize(found.select("key", "kind", "hash", "item", (F.col("place") - F.col("at")).alias("shift")), "winnow-found")
+    known = item_marks.count() <= broadcast_rows
+    found = rows.join(F.broadcast(item_marks) if known else item_marks, ["kind", "hash"], "left").where("kind = -1 or known")
+    found = materialize(found.select("key", "kind", "hash", "place"), "winnow-found")
     counts = found.where("kind = -1").select("key", F.col("hash").alias("n_words"))
-    shifts = found.where("kind >= 0").select("key", "item", "shift").distinct()
-
-    texts = bench.select("item", "item_id", F.col("words").alias("iw"))
-    lines = shifts.join(F.broadcast(texts) if small else texts, "item")
-    # Words of the documents that have an alignment; the others end in the semi-join.
-    keys = shifts.select("key").distinct()
-    candidates = documents.join(keys, "key", "left_semi").select("key", words_of(F.col("text")).alias("dw"))
-    runs = (
-        lines.join(candidates, "key")
-        .withColumn("w", F.least(F.size("iw"), F.lit(span)))
-        .withColumn("from", F.greatest(F.lit(0), -F.col("shift")))
-        .withColumn("to", F.least(F.size("iw"), F.size("dw") - F.col("shift")) - F.col("w"))
-        .where("`to` >= `from`")
-        .select("key", "item_id", "item", "w", F.expr("filter(sequence(`from`, `to`), i -> slice(iw, i + 1, w) = slice(dw, i + shift + 1, w))").alias("starts"), "shift")
-        .where(F.size("starts") > 0)
-        .select("key", "item_id", F.explode(F.transform("starts", lambda i: i + F.col("shift"))).alias("s"), "w")
-        .select("key", "item_id", "s", (F.col("s") + F.col("w")).alias("e"))
-    )
-    ends = runs.groupBy("key", "s").agg(F.max("e").alias("e"), F.collect_set("item_id").alias("ids"))
+
+    # A window that both sides have holds a gram that both have selected, at the same place: it begins there or up to
+    # window - 1 words before. Words of a document are carried once, with the places where its windows are to be read.
+    first = F.when(F.col("kind") == 0, F.greatest(F.lit(0), F.col("place") - (window - 1))).otherwise(F.col("place"))
+    starts = found.where("kind >= 0").select("key", F.when(F.col("kind") == 0, span).otherwise(F.col("kind")).alias("w"), F.explode(F.sequence(first, F.col("place"))).alias("s"))
+    asked = starts.groupBy("key").agg(F.collect_set(F.struct("s", "w")).alias("asked"))
+    words = documents.select("key", words_of(F.col("text")).alias("dw"))
+    read = F.transform(F.filter("asked", lambda x: x.s + x.w <= F.size("dw")), lambda x: F.struct(x.s.alias("s"), x.w.alias("w"), F.array_join(F.slice("dw", x.s + 1, x.w), " ").alias("text")))
+    windows = words.join(asked, "key").select("key", F.explode(read).alias("x")).select("key", "x.*")
+
+    own = F.least(F.size("words"), F.lit(span))
+    parts = F.transform(F.sequence(F.lit(1), F.size("words") - own + 1), lambda i: F.array_join(F.slice("words", i, own), " "))
+    texts = materialize(bench.select("item_id", F.explode(F.array_distinct(parts)).alias("text")).distinct(), "winnow-windows")
+    distinct = texts.select("text").distinct()
+    small = texts.count() <= broadcast_rows
+    share = lambda df: F.broadcast(df) if small else df
+    runs = materialize(windows.join(share(distinct), "text", "left_semi").distinct(), "winnow-hits")
+    ends = runs.groupBy("key", "s").agg((F.col("s") + F.max("w")).alias("e"))
+    listed = runs.select("key", "text").distinct().join(share(texts), "text").select("key", "item_id").distinct().groupBy("key").agg(F.collect_list("item_id").alias("ids"))
     merged = F.expr(
         "aggregate(array_sort(collect_list(struct(s, e))), cast(array() as array<struct<s:int,e:int>>), (acc, x) -> "
         "if(size(acc) > 0 and x.s <= element_at(acc, -1).e, "
         "concat(slice(acc, 1, size(acc) - 1), array(named_struct('s', element_at(acc, -1).s, 'e', greatest(element_at(acc, -1).e, x.e)))), "
         "concat(acc, array(named_struct('s', x.s, 'e', x.e)))))"
     )
-    hits = ends.groupBy("key").agg(merged.alias("spans"), F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_set("ids"))), lambda i: i.cast("string"))).alias("items"))
+    items_of = listed.select("key", F.array_sort(F.transform("ids", lambda i: i.cast("string"))).alias("items"))
+    hits = ends.groupBy("key").agg(merged.alias("spans")).join(items_of, "key", "left")
     none = F.array()
     return counts.join(hits, "key", "left").select(
         "key", "n_words",
