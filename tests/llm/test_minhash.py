@@ -69,3 +69,21 @@ def test_full_bins_meet_the_same_bins(spark):
     got = df.collect()
     assert sum((r.na == 128) != (r.nb == 128) and min(r.na, r.nb) >= 126 for r in got) >= 5
     assert max(abs(r.s - truth[r.i]) for r in got) < 0.2
+
+
+def test_columns_of_the_names_used_inside_stay(spark):
+    df = spark.createDataFrame([("a b c", 1, "x", 3)], "_w string, _h int, _O string, n int")
+    got = with_fingerprint(df, "_w", "f")
+    assert got.columns == ["_w", "_h", "_O", "n", "f"] and tuple(got.first())[:4] == ("a b c", 1, "x", 3)
+    assert got.first().f == with_fingerprint(df.select(F.col("_w").alias("t")), "t", "f").first().f
+
+
+def test_next_over_many_buckets_and_null_ids(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(400) if k % 3 else None, f"t{k}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashed = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]]))
+    want = {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
+    for per_bucket in (5, 40, 1000):
+        assert {r.text: r.next.text for r in with_next(df, ["text"], per_bucket).collect()} == want

@@ -79,3 +79,21 @@ def test_other_vocabularies_have_no_quick_encoder():
     spec = json.loads(encoder(PATH).tokenizer.to_str())
     spec["model"]["merges"].reverse()
     assert quick_encoder(spec) is None
+
+
+def test_tokens_that_merges_do_not_reach_have_no_quick_encoder():
+    """`abc` is a token, but its bytes end as a and bc: the tokenizer gives two ids, merge ranks would give one."""
+    spec = json.loads(encoder(PATH).tokenizer.to_str())
+    single = {k: v for k, v in spec["model"]["vocab"].items() if len(k) == 1}
+    letters = {k: i for i, k in enumerate(sorted(single, key=single.get))}
+
+    def made(merges):
+        vocab = letters | {a + b: len(letters) + i for i, (a, b) in enumerate(merges)}
+        return spec | {"added_tokens": [], "model": spec["model"] | {"vocab": vocab, "merges": [list(m) for m in merges]}}
+
+    assert len(letters) == 256
+    assert quick_encoder(made([("b", "c"), ("a", "b"), ("ab", "c")])) is None
+    good = made([("a", "b"), ("ab", "c"), ("b", "c")])
+    quick, slow = quick_encoder(good), Tokenizer.from_str(json.dumps(good))
+    for text in ("abc", "bc abcc", "aabbcc abab", "cab"):
+        assert quick.encode_ordinary(text) == slow.encode(text, add_special_tokens=False).ids

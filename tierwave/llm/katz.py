@@ -15,8 +15,8 @@ is one entry for each chunk, and the n-grams of a frequent history lie in many b
 aggregated map-side. Figures come back in the order of the request. The recursion then runs for each n-gram of a chunk, from short to long.
 
 Cases: null and empty texts are the end token alone; without training documents every token has probability one, as the
-unknown word is all there is; repeated rows count each; null doc_ids are training documents; an empty table gives no
-rows; other columns are ignored.
+unknown word is all there is; repeated rows count each; null doc_ids are training documents; a text is never
+split between chunks, whatever its length; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

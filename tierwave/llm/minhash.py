@@ -6,7 +6,8 @@ bin, so that a full one is always found). The low `bits` bits of every bin are p
 fingerprints agree in a share of their bins; chance agreement, 2**-bits, is corrected for.
 
 Cases: null and empty texts (no words) are one empty shingle; texts of fewer words than a shingle are one shingle;
-repeated rows have equal fingerprints; an empty table gives no rows; other columns are ignored.
+repeated rows have equal fingerprints; texts may have any length (a text's hashes are one array); an empty table gives
+no rows; with_fingerprint() keeps all other columns, whatever their names, edited_likeness() ignores them.
 """
 
 from __future__ import annotations
@@ -17,9 +18,13 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize
 
 BITS = 8
+#: Buckets of the order at most: their cuts are numbers in the plan.
+MOST_CUTS = 50_000
+#: Rows of a table that is broadcast, at most.
+BROADCAST_ROWS = 200_000
 
 
 def _orders(bins: int) -> Column:
@@ -36,6 +41,10 @@ def with_fingerprint(df: DataFrame, text: str, name: str, words: int = 5, bins:
     """df with the column `name`: the packed fingerprint of the column `text`. bins: a power of two, at most 256."""
     if bins & (bins - 1) or not 2 <= bins <= 256:
         raise ValueError("bins must be a power of two from 2 to 256")
+    own = {c: free_name(df, c) for c in df.columns if c.lower() in ("_w", "_h", "_f", "_b", "_v", "_o", "_d")}
+    if own:  # the caller's columns of the names used below
+        named = with_fingerprint(df.withColumnsRenamed(own), own.get(text, text), name, words, bins)
+        return named.withColumnsRenamed({v: c for c, v in own.items()})
     top = bins.bit_length() - 1
     words_hashed = F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
     df = df.withColumn("_w", words_hashed)
@@ -85,22 +94,25 @@ def with_next(documents: DataFrame, carry: list[str], per_bucket: int = 2_000) -
     """documents (doc_id, ...) with next: struct of the columns `carry` of the next row by descending doc_id.
 
     After the last row comes the first again. Rows of equal doc_id go by the hash of their text; null doc_ids are last.
-    The order is cut at quantiles of doc_id into buckets of about per_bucket rows, however many these are; the cuts, a
-    number for each bucket, are all that reaches the driver. A window runs in each bucket, and the first row of every
-    bucket is sent to the bucket before it as well.
+    The order is cut at quantiles of doc_id into buckets of about per_bucket rows, or of more where that would take more
+    than MOST_CUTS cuts; rows of null doc_id are cut at even steps of the hash. The cuts, a number for each bucket, are all
+    that reaches the driver. A window runs in each bucket, and the first row of every bucket is sent to the bucket before
+    it as well.
     """
-    n = documents.count()
-    bounds = quantiles(documents, n // per_bucket) if n >= 2 * per_bucket else []
-    tie = F.xxhash64("text")
+    n, missing = documents.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    bounds = quantiles(documents, min(n // per_bucket, MOST_CUTS)) if n >= 2 * per_bucket else []
+    tie, bits = F.xxhash64("text"), min(missing // per_bucket, MOST_CUTS).bit_length()
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.bitwise_not("doc_id").alias("o"), tie.alias("t"))
     bucket = F.coalesce(-at_or_after(bounds, F.col("doc_id")), F.lit(0))
-    placed = documents.withColumn("_order", order).withColumn("_bucket", F.when(F.col("doc_id").isNull(), 1).otherwise(bucket))
+    step = F.lit(1) if not bits else (1 + F.shiftrightunsigned(tie.bitwiseXOR(F.lit(-(1 << 63))), 64 - bits)).cast("int")
+    placed = documents.withColumn("_order", order).withColumn("_bucket", F.when(F.col("doc_id").isNull(), step).otherwise(bucket))
     firsts = materialize(placed.groupBy("_bucket").agg(F.min("_order").alias("_order")), "order-firsts")
     # A row for each bucket; the bucket before the first is the last.
     w = Window.orderBy("_bucket")
     last = F.last("_bucket").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     ghosts = firsts.select("_order", F.coalesce(F.lag("_bucket").over(w), last).alias("_before"))
-    rows = placed.join(F.broadcast(ghosts), "_order", "left")
+    few = len(bounds) + (1 << bits) <= BROADCAST_ROWS
+    rows = placed.join(F.broadcast(ghosts) if few else ghosts, "_order", "left")
     at = F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("g")))
     ghost = F.array(F.struct(F.col("_before").alias("b"), F.lit(True).alias("g")))
     rows = rows.select("doc_id", *carry, "_order", F.explode(F.when(F.col("_before").isNull(), at).otherwise(F.concat(at, ghost))).alias("_at"))

@@ -36,11 +36,25 @@ def _byte_names() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _reached(ranks: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -> bool:
+    """Whether the merges make each token out of its own bytes: the quick encoder takes it for granted."""
+    order = {pair: k for k, pair in enumerate(merges)}
+    for token in ranks:
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 1:
+            k, i = min((order.get((parts[i], parts[i + 1]), len(order)), i) for i in range(len(parts) - 1))
+            if k == len(order):
+                return False
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return True
+
+
 def quick_encoder(spec: dict):
-    """The same vocabulary as merge ranks, or None where the two would not be the same by construction.
+    """The same vocabulary as merge ranks, or None where the two may not give the same ids.
 
     Ids that ascend with the merges are ranks, and what two tokens join to is then always joined by its own merge, as the
-    bytes between two cuts are merged alike whatever stands around them.
+    bytes between two cuts are merged alike whatever stands around them. What is a token as a whole is never merged by the
+    quick encoder, so the merges must lead to each token; that is tried for all of them.
     """
     model, cut = spec["model"], spec["pre_tokenizer"] or {}
     whole = model["type"] == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
@@ -51,11 +65,15 @@ def quick_encoder(spec: dict):
     merged = [vocab.get(m.replace(" ", "") if isinstance(m, str) else "".join(m)) for m in model["merges"]]
     if None in merged or merged != sorted(set(merged)) or len(vocab) != 256 + len(merged) or not names.keys() <= vocab.keys() or max(map(vocab.get, names)) > min(merged):
         return None
+    ranks = {bytes(map(names.get, k)): v for k, v in vocab.items()}
+    halves = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+    if not _reached(ranks, [tuple(bytes(map(names.get, x)) for x in m) for m in halves]):
+        return None
     try:
         import tiktoken
     except ImportError:
         return None
-    return tiktoken.Encoding("pieces", pat_str=PIECES, mergeable_ranks={bytes(map(names.get, k)): v for k, v in vocab.items()}, special_tokens={})
+    return tiktoken.Encoding("pieces", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
 class Encoder:

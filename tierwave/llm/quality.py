@@ -11,7 +11,8 @@ driver: the features of each are some 30 numbers. Scoring covers whole texts of
 
 Cases: null and empty texts have the features of no text and are scored by them; labels of null quality, of null or
 unknown doc_id are left out; of repeated labels of a document the least counts; without both classes every score is 1;
-repeated rows are scored each; empty tables give no rows; other columns are ignored.
+repeated rows are scored each; texts may have any length; empty tables give no rows; a column `score` is replaced, other
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ in reach is then verified on the sets of its five-word shingles (64-bit hashes,
 
 Cases: null and wordless texts have fingerprint zero and are linked like others; texts of fewer words than a shingle
 are one shingle; repeated rows share a node; null doc_ids never name a component (one of null doc_ids only is null);
-an empty table gives no rows; other columns are ignored.
+texts may have any length; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

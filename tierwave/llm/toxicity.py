@@ -12,7 +12,8 @@ The fit uses at most `sample` labelled documents (those of least hash), so that
 
 Cases: null and empty texts have no features and the base score; labels of null toxic, of null or unknown doc_id are
 left out; repeated labels of one document count as toxic if any is; without both classes among the labels nothing is
-rejected and the severity is 0; repeated rows are scored each; empty tables give no rows; other columns are ignored.
+rejected and the severity is 0; repeated rows are scored each; a
+text of any length is read word by word; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations

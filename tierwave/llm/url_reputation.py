@@ -7,7 +7,8 @@ beta-binomial). A page is blocked if the upper posterior bound of its host's rat
 
 Cases: a null url or one without `://` has an empty host and path, fits no rule and shares the reputation of the empty
 host; pages without an outcome count in no rate; several outcomes of one page count as bad if any is bad; with no
-outcome at all every host has the neutral prior (rate 1) and is allowed; an empty table gives no rows.
+outcome at all every host has the neutral prior (rate 1) and is allowed; repeated pages are judged each and count each in
+their host's rate; urls may have any length; an empty table gives no rows; other columns stay as they are.
 """
 
 from __future__ import annotations
