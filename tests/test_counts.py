@@ -76,3 +76,26 @@ def test_projected_tracks_end_with_the_sequence(spark):
     reads = spark.createDataFrame([("c1", 10, 10, 20, 0x2, 60, 500, "c1"), ("c2", 10, 10, 20, 0x2, 60, 500, "c2")], "seq string, pos long, rlen int, ref_end long, flag int, mapq int, tlen long, mate_seq string")
     lengths = spark.createDataFrame([("c1", 100)], "seq string, len long")
     assert sorted((r.seq, r.start, r.end) for r in tracks.projected_tracks(reads, ["seq"], lengths).collect()) == [("c1", 10, 100), ("c2", 10, 520)]
+
+
+@pytest.mark.parametrize(("value", "mix"), [(0.5, 1.0), (0.0, 0.25), (0.9, 1.0)])
+def test_wide_fits_equal_those_in_one_task(spark, value, mix):
+    r = np.random.default_rng(3)
+    rows = []
+    for seq, n in (("a", 700), ("b", 350), (None, 90)):
+        y = np.where(r.random(n) < 0.2, 0, r.gamma(2, 3, n) + np.sin(np.arange(n) / 40) * 4 + 4)
+        y[:7] = y[-5:] = 0
+        rows += [(seq, k, float(v)) for k, v in enumerate(y)]
+    rows += [("zero", k, 0.0) for k in range(50)] + [("few", k, float(k < 5)) for k in range(50)] + [("minus", k, -1.0) for k in range(30)] + [("flat", k, 2.0) for k in range(40)]
+    df = spark.createDataFrame(rows, "seq string, pos long, value double").repartition(5)
+    for width in (300, 10_000):
+        got = {(x.seq, x.pos): x.value for x in filters.detrend_wide(df, ["seq"], value, width, mix).collect()}
+        want = {}
+        for seq in {x[0] for x in rows}:
+            y = np.array([x[2] for x in rows if x[0] == seq])
+            for s in range(0, len(y), width):
+                want |= {(seq, s + k): v for k, v in enumerate(filters.poly_detrend(y[s : s + width], value, mix))}
+        assert got.keys() == want.keys() and len(got) == len(rows)
+        assert max(abs(got[k] - want[k]) for k in got) < 1e-6
+    one = filters.filter_signal(df, ["seq"], "poly", value, 1_000_000_000, 0, mix)
+    assert "Pandas" not in one._jdf.queryExecution().optimizedPlan().toString().replace("MapInPandas", "") and one.count() == len(rows)

@@ -277,6 +277,14 @@ def default_filters(spark: SparkSession, sf: str) -> DataFrame:
     return filters.filter_tracks(signal, KEYS, how).select("track", "pos", F.round("value", 6).alias("value"))
 
 
+@query
+def wide_poly_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """The default filter as it is: one fit over a whole sequence, by sums."""
+    how = filters.filters_for(["tlen_dis_rd"])
+    signal = views.event_signal(spark, sf).withColumn("track", F.lit("tlen_dis_rd"))
+    return filters.filter_tracks(signal, KEYS, how).select("pos", F.round("value", 6).alias("value"))
+
+
 @query
 def db4_filter(spark: SparkSession, sf: str) -> DataFrame:
     return filters.filter_signal(views.event_signal(spark, sf), KEYS, "db4", 0.5, 512).select("pos", F.round("value", 6).alias("value"))
@@ -888,3 +896,68 @@ def sql_merged_moments(spark: SparkSession, sf: str) -> DataFrame:
         SELECT tile, p.n AS n, round(p.sum, 4) AS sum, p.min AS min, p.max AS max, round(s.mean, 6) AS mean, round(s.std, 6) AS std, round(s.skew, 6) AS skew, round(s.kurt, 6) AS kurt, bin FROM shown""",
         tiles=_tiles(spark, sf),
     )
+
+
+def _text(rows: DataFrame, path: str) -> str:
+    rows.write.text(path)
+    return path
+
+
+@query
+def sam_header(spark: SparkSession, sf: str) -> DataFrame:
+    """Sequences and groups of samples of a header made of the reads."""
+    reads, path = views.reads(spark, sf), store.scratch(spark)
+    sq = views.lengths(reads).select(F.format_string("@SQ\tSN:%s\tLN:%d", "seq", "len").alias("value"))
+    rg = reads.select("rg", "sm").distinct().select(F.format_string("@RG\tID:%s.%s\tPL:x\tSM:%s", "sm", "rg", "sm").alias("value"))
+    lines = alignments.sam_lines(spark, _text(sq.unionByName(rg), path))
+    sequences = alignments.sequence_dictionary(lines).select(F.lit("sequence").alias("kind"), F.col("seq").alias("name"), F.col("len").cast("string").alias("held"))
+    groups = alignments.groups_of_samples(alignments.read_groups(lines)).select(F.lit("sample").alias("kind"), F.col("sm").alias("name"), F.array_join("rgs", ",").alias("held"))
+    return sequences.unionByName(groups)
+
+
+@query
+def sam_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Alignment text of line items, read back."""
+    item = views.table(spark, sf, "lineitem")
+    days = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")) + 1
+    q = F.col("l_quantity").cast("int")
+    line = F.concat_ws("\t", F.concat_ws("/", "l_orderkey", "l_linenumber"), F.col("l_linenumber") * 16, F.concat("l_returnflag", "l_linestatus"), days, (F.col("l_tax") * 100).cast("int"), F.concat(q, F.lit("M2D"), F.col("l_linenumber"), F.lit("S")), F.lit("="), days, F.lit("0"), F.lit("*"), F.lit("*"), F.concat(F.lit("RG:Z:rg"), F.col("l_linenumber") % 2))
+    found = alignments.sam_reads(alignments.sam_lines(spark, _text(item.select(line.alias("value")), store.scratch(spark))), spark.createDataFrame([("rg0", "a"), ("rg1", "b")], "rg string, sm string"))
+    return found.select("name", "seq", "pos", "ref_end", "flag", "sm", "mate_seq", F.size("cigar").alias("ops"))
+
+
+@query
+def cohort_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A cohort's table made of suppliers: samples, their nations, and a run for each of their first line numbers."""
+    run = F.concat_ws(";", F.concat(F.lit("rg"), "l_linenumber"), F.lit("lib"), F.lit("ILLUMINA"), (F.col("n") / 4).cast("string"))
+    runs = views.table(spark, sf, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count("*").alias("n"))
+    lines = runs.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.array_join(F.array_sort(F.collect_list(run)), ",").alias("runs")).join(views.table(spark, sf, "supplier"), "s_suppkey")
+    return alignments.cohort(spark, _text(lines.select(F.concat_ws("\t", "s_name", F.concat(F.lit("n"), "s_nationkey"), "runs").alias("value")), store.scratch(spark)))
+
+
+@query
+def run_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """A headed table of statistics by sample and run, as arrays by sample."""
+    reads, path = views.reads(spark, sf).groupBy("sm", "rg").agg(F.sum("rlen").alias("bases"), F.max("mapq").alias("q")), store.scratch(spark)
+    names = [f"c{k}" for k in range(15)]
+    own = {"c3": "sm", "c4": F.lit("ILLUMINA"), "c5": F.lit("lib"), "c6": "rg", "c8": "bases", "c14": "q"}
+    reads.select(*((own[c] if not isinstance(own[c], str) else F.col(own[c])).alias(c) if c in own else F.lit("x").alias(c) for c in names)).write.csv(path, sep="\t", header=True)
+    found = alignments.run_statistics(spark, path, 1000.0)
+    return found.select("sample", F.explode("rgs").alias("r")).select("sample", "r.rg", "r.platform", "r.library", F.round("r.coverage", 6).alias("coverage"), F.col("r.mapq").cast("int").alias("mapq"))
+
+
+@query
+def genes_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Genes from JSON: a file for each of their sequences, two places for each gene."""
+    path = store.scratch(spark)
+    genes = views.genes(spark, sf).where("start < end")
+    place = lambda by: F.array("seq", (F.col("start") + by).cast("string"), (F.col("end") + by).cast("string"))
+    files = genes.groupBy("seq").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("gene", F.array(place(0), place(1000)))))).alias("value"))
+    files.repartition(8, "seq").select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return alignments.genes_json(spark, path)
+
+
+@query
+def fastq_records(spark: SparkSession, sf: str) -> DataFrame:
+    reads = _reads_with_bases(spark, sf).withColumns({"name": F.concat_ws(":", "seq", "pos"), "rg": F.concat(F.lit("rg"), F.col("mapq") % 3), "qual": F.repeat(F.lit("I"), F.col("rlen"))})
+    return alignments.to_fastq(reads).groupBy("rg").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("size"), F.max("value").alias("last"))

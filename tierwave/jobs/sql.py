@@ -277,3 +277,14 @@ s as (select seq, 4 op, pos a, pos + f z from e where f > 0 union all select seq
 select seq, op, a start_at, z end_at, count(*) n from s group by all"""
 SQL["sql_merged_moments"] = f"""with ev as (select event_id // 1000 tile, value v from events), {_moments('ev', 'tile')}, s as (select *, {STD} from mom)
 select tile, n, round(sum, 4) sum, min, max, round(mean, 6) mean, round(std, 6) std, round(skew, 6) skew, round(kurt, 6) kurt, case when m1 < 40 then 0 when m1 < 50 then 1 when m1 < 60 then 2 when m1 < 500 then 3 end::integer bin from s"""
+
+_R = "r as (select 's' || (l_suppkey % 4) sm, 'rg' || l_linenumber rg, l_returnflag || l_linestatus seq, date_diff('day', date '1995-01-01', l_shipdate::date) + l_quantity::integer e, l_quantity::integer n, 7 * round(l_tax * 100)::integer q from lineitem)"
+SQL["sam_header"] = f"""with {_R}, g as (select distinct sm, sm || '.' || rg id from r) select 'sequence' kind, seq as name, max(e)::varchar held from r group by seq union all select 'sample', sm, string_agg(id, ',' order by id) from g group by sm"""
+SQL["sam_text"] = """select l_orderkey || '/' || l_linenumber as name, l_returnflag || l_linestatus seq, date_diff('day', date '1995-01-01', l_shipdate::date) pos, date_diff('day', date '1995-01-01', l_shipdate::date) + l_quantity::integer + 2 ref_end,
+l_linenumber * 16 flag, case when l_linenumber % 2 = 0 then 'a' else 'b' end sm, l_returnflag || l_linestatus mate_seq, 3 ops from lineitem"""
+SQL["cohort_table"] = """select s_name sample, 'n' || s_nationkey population, 'rg' || l_linenumber rg, 'lib' library, 'ILLUMINA' platform, count(*) / 4 coverage from lineitem join supplier on s_suppkey = l_suppkey group by s_name, s_nationkey, l_linenumber"""
+SQL["run_statistics"] = f"with {_R} select sm sample, rg, 'ILLUMINA' platform, 'lib' library, round(sum(n) / 1000, 6) coverage, max(q) mapq from r group by sm, rg"
+SQL["genes_json"] = f"with {GENES} select gene, k ord, seq, s + 1000 * k as start, e + 1000 * k as end from genes, range(0, 2) t(k) where s < e".replace("as start", 'as "start"').replace("as end", 'as "end"')
+SQL["fastq_records"] = """with r as (select l_returnflag || l_linestatus seq, date_diff('day', date '1995-01-01', l_shipdate::date) pos, 'rg' || (7 * round(l_tax * 100)::integer % 3) rg,
+left(translate(md5(l_orderkey || '/' || l_linenumber), '0123456789abcdef', 'ACGTACGTACGTACGT'), l_quantity::integer) s from lineitem),
+f as (select rg, '@' || seq || ':' || pos || chr(10) || s || chr(10) || '+' || chr(10) || repeat('I', length(s)) v from r) select rg, count(*) n, sum(length(v))::bigint size, max(v) as last from f group by rg"""

@@ -96,11 +96,68 @@ def wavelet_denoise(y: np.ndarray, value: float, name: str = "db4") -> np.ndarra
     return low[: len(y)] - 1
 
 
+#: Positions of a block beyond which it isn't fitted in one task, and rows of a table that is broadcast, at most.
+WIDE, BROADCAST_ROWS = 1 << 20, 200_000
+
+
+def detrend_wide(signal: DataFrame, keys: Sequence[str], value: float, width: int, mix: float = 1.0, degree: int = 4) -> DataFrame:
+    """keys, pos, value as poly_detrend() gives them, of blocks of any width: sums, not positions, are gathered.
+
+    The least squares of a block need the sums of powers of the place and of their products with the value, aggregated
+    map-side; the equations of each block (one row) are solved, and two more passes find the spreads of fit and rest.
+    """
+    block = F.expr(f"pos div {width}L")
+    rows = signal.select(*keys, "pos", F.col("value").cast("double").alias("value"), block.alias("_block"))
+    group = [*keys, "_block"]
+
+    def met(stats: DataFrame) -> DataFrame:
+        """rows with their block's figures: a row for each block, broadcast where these are few."""
+        stats = stats.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(group)), *(c for c in stats.columns if c not in group))
+        on = functools.reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(group)))
+        return rows.join(F.broadcast(stats) if stats.count() <= BROADCAST_ROWS else stats, on).drop(*(f"_k{i}" for i in range(len(group))))
+
+    some = F.when(F.col("value") != 0, F.col("pos"))
+    ends = rows.groupBy(*group).agg(F.min(some).alias("_a"), F.max(some).alias("_z"), F.count(some).alias("_some"), F.sum("value").alias("_sum"))
+    fits = (F.col("_sum") > 0) & (F.col("_some") >= degree + 2)
+    x = F.lit(-1.0) + 2.0 * (F.col("pos") - F.col("_a")) / (F.col("_z") - F.col("_a"))
+    inner = met(ends.where(fits)).where("pos between _a and _z").withColumn("_x", x)
+    powers = [F.sum(F.pow("_x", F.lit(k))).alias(f"_x{k}") for k in range(2 * degree + 1)] + [F.sum(F.col("value") * F.pow("_x", F.lit(k))).alias(f"_y{k}") for k in range(degree + 1)]
+    sums = inner.groupBy(*group).agg(F.first("_a").alias("_a"), F.first("_z").alias("_z"), F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_std"), F.min("value").alias("_low"), F.max("value").alias("_high"), *powers)
+    kinds = {f.name: f.dataType.simpleString() for f in sums.schema}
+    kept = [*group, "_a", "_z", "_mean", "_std", "_low", "_high"]
+
+    def solve(batches):
+        for part in batches:
+            fit = [np.linalg.solve([[r[f"_x{i + j}"] for j in range(degree + 1)] for i in range(degree + 1)], [r[f"_y{i}"] - r["_std"] * value * r[f"_x{i}"] for i in range(degree + 1)]) for r in part.to_dict("records")]
+            yield part[kept].assign(_fit=[f.tolist() for f in fit])
+
+    solved = sums.mapInPandas(solve, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "_fit array<double>"]))
+    line = F.aggregate(F.reverse("_fit"), F.lit(0.0), lambda acc, c: acc * F.col("_x") + c)
+    fit = F.greatest(F.lit(0.0), F.least(line, F.col("_mean") + 5 * F.col("_std") * (1 - value)))
+
+    def fitted(stats):
+        return met(stats).where("pos between _a and _z").withColumn("_x", x).withColumn("_f", fit)
+
+    first = lambda names: [F.first(c).alias(c) for c in names]
+    figures = ["_a", "_z", "_mean", "_std", "_low", "_high", "_fit"]
+    spread = fitted(solved).groupBy(*group).agg((F.max("_f") - F.min("_f")).alias("_range"), *first(figures))
+    flat = F.greatest(F.lit(0.0), F.least(F.col("value") - F.col("_f"), F.col("_range")))
+    full = fitted(spread).groupBy(*group).agg(F.min(flat).alias("_least"), (F.max(flat) - F.min(flat)).alias("_rest"), *first([*figures, "_range"]))
+    done = fitted(full)
+    scaled = F.when(F.col("_rest") > 0, F.col("_low") + (flat - F.col("_least")) * ((F.col("_high") - F.col("_low")) / F.col("_rest"))).otherwise(F.col("value"))
+    changed = done.select(*keys, "pos", (mix * scaled + (1 - mix) * F.col("value")).alias("value"))
+    marked = met(ends.withColumn("_fits", F.coalesce(fits, F.lit(False))))
+    same = marked.where("not (_fits and pos between _a and _z)").select(*keys, "pos", "value")
+    return changed.unionByName(same)
+
+
 def filter_signal(signal: DataFrame, keys: Sequence[str], kind: str, value: float, width: int, over: int = 0, mix: float = 1.0) -> DataFrame:
     """keys, pos, value of a signal (all positions present) filtered in blocks of `width` that overlap by `over`.
 
-    kind: 'poly', 'haar' (of blocks filled up to a power of two) or 'db<N>'; mix: the share of the filtered signal in the result. A position in two blocks has the value of the later one.
+    Blocks are fitted in one task each, wide ones of 'poly' by sums (detrend_wide). kind: 'poly', 'haar' (of blocks filled up to a power of two) or 'db<N>'; mix: the share of the filtered signal in the result. A position in two blocks has the value of the later one.
     """
+    if kind == "poly" and width > WIDE and not over:
+        return detrend_wide(signal, keys, value, width, mix)
     step = width - over
     first = F.greatest(F.lit(0), F.ceil((F.col("pos") - width + 1) / step))
     blocks = signal.select(*keys, "pos", "value", F.explode(F.sequence(first, F.floor(F.col("pos") / step))).alias("_block"))
