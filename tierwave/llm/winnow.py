@@ -101,9 +101,9 @@ def find_hits(documents: DataFrame, items: DataFrame, span: int = 13, gram: int
     first = F.when(F.col("kind") == 0, F.greatest(F.lit(0), F.col("place") - (window - 1))).otherwise(F.col("place"))
     starts = found.where("kind >= 0").select("key", F.when(F.col("kind") == 0, span).otherwise(F.col("kind")).alias("w"), F.explode(F.sequence(first, F.col("place"))).alias("s"))
     asked = starts.groupBy("key").agg(F.collect_set(F.struct("s", "w")).alias("asked"))
-    words = documents.select("key", words_of(F.col("text")).alias("dw"))
+    words = documents.select("key", "text").join(asked, "key").select("key", "asked", words_of(F.col("text")).alias("dw"))  # texts are smaller than their words
     read = F.transform(F.filter("asked", lambda x: x.s + x.w <= F.size("dw")), lambda x: F.struct(x.s.alias("s"), x.w.alias("w"), F.array_join(F.slice("dw", x.s + 1, x.w), " ").alias("text")))
-    windows = words.join(asked, "key").select("key", F.explode(read).alias("x")).select("key", "x.*")
+    windows = words.select("key", F.explode(read).alias("x")).select("key", "x.*")
 
     own = F.least(F.size("words"), F.lit(span))
     parts = F.transform(F.sequence(F.lit(1), F.size("words") - own + 1), lambda i: F.array_join(F.slice("words", i, own), " "))
