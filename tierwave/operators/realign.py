@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .raster import coverage_runs
+from .store import scratch
 from .tracks import MIN_CLIP, REVERSE, I, P, S, admitted
 
 SEED, STEP, MOST, BAND = 12, 4, 64, 8
@@ -57,15 +58,21 @@ def seed_index(slices: DataFrame, width: int, k: int = SEED, step: int = STEP) -
         import pyarrow as pa
 
         for batch in batches:
+            seqs, codes, counts, places = [], [], [], []
             for row in batch.to_pylist():
                 at, code = word_codes(row["bases"].encode(), k)
                 at = at + row["start"]
                 here = (at % step == 0) & (at < row["start"] + width)
                 at, code = at[here], code[here]
                 order = np.argsort(code, kind="stable")
-                kinds, first = np.unique(code[order], return_index=True)
-                places = pa.ListArray.from_arrays(pa.array([*first, len(at)], pa.int32()), pa.array(at[order], pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([row["seq"]] * len(kinds), pa.string()), pa.array(kinds, pa.int64()), places], names=["seq", "code", "places"])
+                kinds, n = np.unique(code, return_counts=True)
+                seqs += [row["seq"]] * len(kinds)
+                for column, x in zip((codes, counts, places), (kinds, n, at[order]), strict=True):
+                    column.append(x)
+            if seqs:
+                ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(places), pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.string()), pa.array(np.concatenate(codes), pa.int64()), lists], names=["seq", "code", "places"])
 
     return longer.mapInArrow(run, "seq string, code long, places array<long>")
 
@@ -77,22 +84,31 @@ def fragment_words(fragments: DataFrame, k: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for row in batch.to_pylist():
-                forward = row["bases"].encode()
+            which, strands, places, codes = [], [], [], []
+            for i, bases in enumerate(batch.column(1).to_pylist()):
+                forward = bases.encode()
                 for strand, text in ((1, forward), (-1, forward[::-1].translate(bytes.maketrans(b"ACGT", b"TGCA")))):
                     at, code = word_codes(text, k)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["seq"]] * len(at), pa.string()), pa.array([row["bases"]] * len(at), pa.string()), pa.array([strand] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(code, pa.int64())],
-                        names=["seq", "bases", "strand", "offset", "code"],
-                    )
+                    for column, x in zip((which, strands, places, codes), (np.full(len(at), i), np.full(len(at), strand), at, code), strict=True):
+                        column.append(x)
+            if which:
+                of, strand, at, code = (np.concatenate(x) for x in (which, strands, places, codes))
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(of)) for c in batch.columns), pa.array(strand, pa.int32()), pa.array(at, pa.int64()), pa.array(code, pa.int64())], names=["seq", "bases", "strand", "offset", "code"])
 
     return fragments.select("seq", "bases").mapInArrow(run, "seq string, bases string, strand int, offset long, code long")
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: it is used several times."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def seeds(fragments: DataFrame, slices: DataFrame, width: int, k: int, step: int, most: int) -> tuple[DataFrame, DataFrame]:
     """seq, bases, strand, offset, place of words with up to `most` places; and the fragments that have frequent ones only."""
-    words, index = fragment_words(fragments, k), seed_index(slices, width, k, step)
-    known = index.join(words.select("seq", "code").distinct(), ["seq", "code"], "left_semi")
+    words, index = _kept(fragment_words(fragments, k)), seed_index(slices, width, k, step)
+    known = _kept(index.join(words.select("seq", "code").distinct(), ["seq", "code"], "left_semi"))
     counts = known.groupBy("seq", "code").agg(F.sum(F.size("places")).alias("n"))
     rare = known.join(counts.where(F.col("n") <= most), ["seq", "code"]).select("seq", "code", F.explode("places").alias("place"))
     judged = words.join(counts, ["seq", "code"]).groupBy("seq", "bases").agg(F.min("n").alias("n"))
@@ -120,13 +136,12 @@ def place(fragments: DataFrame, slices: DataFrame, width: int, step: int = STEP,
 
     Of chains with equal scores the first strand and place count; their quality is 0.
     """
-    left, k, every = fragments.select("seq", "bases").distinct(), SEED, None
-    longest = fragments.agg(F.max(F.length("bases"))).first()[0] or 0  # one figure, for the number of doublings
-    while k <= min(longest, width):
+    left, k, every = _kept(fragments.select("seq", "bases").where("bases is not null").distinct()), SEED, None
+    while k <= width and not left.isEmpty():
         found, frequent = seeds(left, slices, width, k, step, most)
         made = chains(found, k, band)
         every = made if every is None else every.unionByName(made)
-        left, k = frequent.where(F.length("bases") >= 2 * k), 2 * k
+        left, k = _kept(frequent.where(F.length("bases") >= 2 * k)), 2 * k
     if every is None:
         return fragments.sparkSession.createDataFrame([], "seq string, bases string, strand int, start long, end long, score long, mapq int")
     ranked = every.groupBy("seq", "bases").agg(F.min(F.struct((-F.col("score")).alias("_o"), (-F.col("strand")).alias("_s"), "start", "end", "strand", "score", "seeds")).alias("b"), F.array_sort(F.collect_list(-F.col("score"))).alias("_all"))
