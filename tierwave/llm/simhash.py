@@ -146,18 +146,30 @@ def bucket_links(nodes: DataFrame, distance: int = 7, segments: int = 4, similar
     return dealt.mapInArrow(run, "a long, b long").where("a != b").distinct()
 
 
+def attach(rows: DataFrame, keyed: DataFrame, key: str, total: int, share: int = 10_000, least: int = 256) -> DataFrame:
+    """rows with the columns of keyed, which has one row a key and n, the number of rows of that key; total: all rows.
+
+    Keys of more than a `share`-th of all rows (and of more than `least`) are fewer than `share`, so these rows of keyed
+    are broadcast and theirs stay where they are; only the others are dealt out by the key.
+    """
+    cut = max(least, total // share)
+    hot = F.broadcast(keyed.where(F.col("n") > cut))
+    cold = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col("n") <= cut), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """node, root (its component's smallest node) of every node of edges (a, b), by large-star and small-star steps.
 
-    Each step is a groupBy with map-side minimum and a join, written to the shared folder; it raises if `most` rounds
-    don't converge, which needs components of more than 2**most nodes.
+    Each step is a groupBy with map-side minimum and a join (hubs by attach()), written to the shared folder; it raises
+    if `most` rounds don't converge, which needs components of more than 2**most nodes.
     """
     edges = materialize(edges.select("a", "b"), "components")
-    state = None
+    state, total = None, 2 * edges.count()
     for _ in range(most):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "components-low")
+        large = attach(both, low, "a", total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         linked = large.join(low, "a")
         small = linked.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
@@ -165,18 +177,25 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 30)), F.count_distinct("a")).first()
         if state == now and now[0] == now[2]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b"), F.col("b")).distinct())
-        state = now
+        state, total = now, 2 * now[0]
     raise RuntimeError("components did not converge")
 
 
+def _least_of_components(nodes: DataFrame, name: str, root: DataFrame) -> DataFrame:
+    """nodes (of a column `name` and of first, its smallest doc_id) with root and component_id; root: node, root of the linked ones."""
+    linked = materialize(nodes.withColumnRenamed(name, "node").select("node", "first").join(root, "node"), "linked")
+    least = materialize(linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")), "linked-least")
+    placed = attach(linked.select("node", "root"), least, "root", linked.count()).select(F.col("node").alias(name), "root", "component_id")
+    return nodes.join(placed, name, "left").select(name, F.coalesce("root", name).alias("root"), F.coalesce("component_id", "first").alias("component_id"))
+
+
 def near_duplicates(documents: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id that links reach) for every row of documents."""
     prints = materialize(fingerprints(documents, words), "simhash")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     root = components(links(nodes.select("fp"), distance) if distance <= 3 else bucket_links(nodes.select("fp"), distance))
-    placed = nodes.join(root, nodes.fp == root.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(placed.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    placed = _least_of_components(nodes, "fp", root)
+    return prints.join(placed.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def _parts(text: str | None) -> list[bytes]:
@@ -199,18 +218,12 @@ def _name(parts: list[bytes]) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def verified_links(members: DataFrame, distance: int = 7, similarity: float = 0.8, shingle: int = 5, chunk: int = 1_000) -> DataFrame:
-    """Pairs a < b of nodes that connect all that chains of verified links connect.
+def _linked_in_slices(dealt: DataFrame, distance: int, similarity: float, shingle: int) -> DataFrame:
+    """Pairs a < b of verified links in each slice, enough to connect what all of the slice's would.
 
-    members: node, fp, text, root (a group that no link leaves). A link is a pair within `distance` bits whose texts'
-    sets of shingles have a Jaccard similarity of `similarity` or more. Every pair of a group within the distance is
-    verified unless links found before connect it. Groups of more than `chunk` nodes are dealt out as pairs of chunks.
+    dealt: root, i, j (the slice), node, fp, text, cluster (of nodes that are connected already), side. Rows of side 0
+    are compared with those of side 1, and rows of side 2 with each other.
     """
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / chunk).cast("int").alias("k"))
-    own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("own")
-    placed = members.join(sizes, "root").select("root", "node", "fp", "text", "k", own)
-    each = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    dealt = each.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "fp", "text")
 
     def run(batches):
         import numpy as np
@@ -218,25 +231,35 @@ def verified_links(members: DataFrame, distance: int = 7, similarity: float = 0.
 
         def pairs(rows):
             x = np.array([r[1] for r in rows], np.int64).view(np.uint64)
-            sets, up, found = [r[2] for r in rows], list(range(len(rows))), []
-
-            def top(i):
-                while up[i] != i:
-                    up[i] = up[up[i]]
-                    i = up[i]
-                return i
-
-            block = max(1, 4_000_000 // len(rows))
-            for i in range(0, len(rows), block):
-                near = np.bitwise_count(x[i : i + block, None] ^ x[None]) <= distance
+            cluster, side = (np.array([r[k] for r in rows], np.int64) for k in (3, 4))
+            first, sets, found = {}, {}, []
+            up = [first.setdefault(r[3], k) for k, r in enumerate(rows)]
+
+            def top(k):
+                while up[k] != k:
+                    up[k] = up[up[k]]
+                    k = up[k]
+                return k
+
+            def grams(k):
+                if k not in sets:
+                    sets[k] = shingles(_parts(rows[k][2]), shingle)
+                return sets[k]
+
+            left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+            block = max(1, 4_000_000 // max(1, len(right)))
+            for at in range(0, len(left), block):
+                part = left[at : at + block, None]
+                near = (np.bitwise_count(x[part] ^ x[right]) <= distance) & (cluster[part] != cluster[right])
+                near &= (side[part] != 2) | (part < right)
                 for a, b in zip(*(v.tolist() for v in np.nonzero(near)), strict=True):
-                    a += i
-                    if a >= b or (p := top(a)) == (q := top(b)):
+                    a, b = int(left[at + a]), int(right[b])
+                    if (p := top(a)) == (q := top(b)):
                         continue
-                    m, n = len(sets[a]), len(sets[b])
+                    m, n = len(grams(a)), len(grams(b))
                     if min(m, n) < similarity * max(m, n):
                         continue
-                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    both = len(np.intersect1d(grams(a), grams(b), assume_unique=True))
                     if both >= similarity * (m + n - both):
                         up[q] = p
                         found.append(sorted((rows[a][0], rows[b][0])))
@@ -244,17 +267,52 @@ def verified_links(members: DataFrame, distance: int = 7, similarity: float = 0.
 
         key, rows = None, []
         for b in batches:
-            for *k, node, fp, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for *k, node, fp, text, cluster, side in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if k != key:
                     if len(rows) > 1:
                         yield pairs(rows)
                     key, rows = k, []
-                rows.append((node, fp, shingles(_parts(text), shingle)))
+                rows.append((node, fp, text, cluster, side))
         if len(rows) > 1:
             yield pairs(rows)
 
-    dealt = dealt.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    by = ["root", "i", "j"]
+    sorted_ = dealt.select(*by, "node", "fp", "text", "cluster", "side").repartition(*by).sortWithinPartitions(*by)
+    return sorted_.mapInArrow(run, "a long, b long").distinct()
+
+
+def verified_links(members: DataFrame, distance: int = 7, similarity: float = 0.8, shingle: int = 5, chunk: int = 1_000) -> DataFrame:
+    """Pairs a < b of nodes that connect all that chains of verified links connect.
+
+    members: node, fp, text, root (the smallest node of a group that no link leaves), n (the group's nodes); a table
+    that can be read again. A link is a pair within `distance` bits whose texts' sets of shingles have a Jaccard
+    similarity of `similarity` or more. Groups are cut into slices of some `chunk` nodes. First each slice is linked,
+    together with a copy of the group's root, so that a large group of copies of one text is one cluster by then. Only
+    groups of several clusters go on: their nodes outside the largest cluster, m of n, are compared with all the others,
+    which copies m * n / chunk texts (n where m is under `chunk`) and no text of groups that are one cluster.
+    """
+    k = F.ceil(F.col("n") / chunk).cast("int")
+    slices = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), k - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), k).cast("int")))
+    once = members.select("root", F.explode(slices).alias("i"), F.lit(0).alias("j"), "node", "fp", "text", F.col("node").alias("cluster"), F.lit(2).alias("side"))
+    found = materialize(_linked_in_slices(once, distance, similarity, shingle), "simhash-slices")
+    large = members.where(F.col("n") > chunk)
+    total = large.count()
+    if not total:
+        return found
+    linked = components(found).withColumnRenamed("root", "cluster")
+    own = materialize(large.select("node", "root").join(linked, "node", "left").select("node", "root", F.coalesce("cluster", "node").alias("cluster")), "simhash-clusters")
+    counted = own.groupBy("root", "cluster").agg(F.count("*").alias("c"))
+    groups = counted.groupBy("root").agg(F.sum("c").alias("n"), F.max(F.struct("c", "cluster")).alias("top"))
+    several = materialize(groups.where("top.c < n").select("root", "n", F.col("top.cluster").alias("largest"), (F.col("n") - F.col("top.c")).alias("m")), "simhash-several")
+    placed = attach(own, several, "root", total).select("node", "cluster", "largest", "m")
+    texts = large.join(placed, "node").withColumns({"k": k, "r": F.ceil(F.col("m") / chunk).cast("int")})
+    at = {x: F.pmod(F.xxhash64("node"), F.col(x)).cast("int") for x in "kr"}
+    slot = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    every = F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda j: slot(at["k"], j, 0))
+    other = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: slot(i, at["r"], 1))
+    slots = F.when(F.col("cluster") == F.col("largest"), every).otherwise(F.concat(every, other))
+    dealt = texts.withColumn("at", F.explode(slots)).select("root", "at.i", "at.j", "node", "fp", "text", "cluster", "at.side")
+    return found.union(_linked_in_slices(dealt, distance, similarity, shingle))
 
 
 def similar(documents: DataFrame, words: int = 0, distance: int = 7, similarity: float = 0.8, shingle: int = 5, chunk: int = 1_000) -> DataFrame:
@@ -281,12 +339,13 @@ def similar(documents: DataFrame, words: int = 0, distance: int = 7, similarity:
     prints = materialize(documents.select("doc_id", "text", F.xxhash64("text")).mapInArrow(sketch, f"doc_id {of}, text_hash long, fp long, node long, size int"), "simhash")
     nodes = materialize(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("doc_id").alias("first")), "simhash-nodes")
     groups = components(bucket_links(nodes.select("fp", "node", "size"), distance, similarity=similarity))
-    texts = documents.select("text").mapInArrow(named, "node long, text string").join(groups, "node").groupBy("node", "root").agg(F.min("text").alias("text"))
-    members = materialize(texts.join(nodes.select("node", "fp"), "node"), "simhash-members")
+    sizes = materialize(groups.groupBy("root").agg(F.count("*").alias("n")), "simhash-sizes")
+    placed = attach(groups, sizes, "root", groups.count()).join(nodes.select("node", "fp"), "node")
+    texts = documents.select("text").mapInArrow(named, "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
+    members = materialize(texts.join(placed, "node"), "simhash-members")
     root = components(verified_links(members, distance, similarity, shingle, chunk))
-    placed = nodes.join(root, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(placed.join(least, "root").select("node", "root", "component_id"), "node").select("doc_id", "text_hash", "node", "root", "component_id")
+    placed = _least_of_components(nodes.select("node", "first"), "node", root)
+    return prints.join(placed, "node").select("doc_id", "text_hash", "node", "root", "component_id")
 
 
 def keep_one(documents: DataFrame, words: int = 0, distance: int = 7, similarity: float = 0.8) -> DataFrame:
