@@ -46,3 +46,15 @@ def test_empty(spark):
     some = spark.createDataFrame([("a", 1, 5, 0)], KIND)
     assert intervals.overlap_join(none, some, "seq", 64).count() == 0 and intervals.overlap_join(none, none, "seq", 64).count() == 0
     assert [tuple(r)[-2:] for r in intervals.overlap_counts(none, some, "seq").collect()] == [(0, 0)]
+
+
+def test_pairs_of_crowded_bins_are_dealt_out(spark):
+    """What straddles a bound of coarse bins meets its neighbours only, not all of its sequence; no key holds most rows."""
+    rows = [("a", 6 * k % 2400, 6 * k % 2400 + 1 + k % 50, k) for k in range(2000)]
+    df = spark.createDataFrame([*rows, ("a", 0, 2500, 2000)], KIND)
+    bins = intervals._covering(df, 8, 3)
+    assert bins.groupBy("name").count().agg(F.max("count")).first()[0] <= 2 * (intervals.FAN - 1) * 3
+    assert bins.groupBy("_j", "_c").count().agg(F.max("count")).first()[0] < 100
+    pairs = intervals.overlap_join(df, df, "seq", 64).select("name", "r_name").collect()
+    every = [*rows, ("a", 0, 2500, 2000)]
+    assert len(pairs) == len(set(pairs)) == sum(overlap(x, y) for x in every for y in every)
