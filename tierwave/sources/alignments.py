@@ -37,7 +37,10 @@ def groups_of_samples(groups: DataFrame) -> DataFrame:
 
 
 def sam_reads(lines: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """Reads in the canonical schema. ref_end is null for unmapped ones; a read without a group has rg null."""
+    """Reads in the canonical schema. ref_end is null for unmapped ones; a read without a group has rg null.
+
+    groups: rg, sm, as a header lists them: sent to every task, as a group may hold all reads.
+    """
     f = [F.get(F.split("value", "\t"), k) for k in range(11)]
     cigar = cigar_ops(f[5])
     body = lines.where(~F.col("value").startswith("@") & (F.col("value") != "")).select(
@@ -47,7 +50,7 @@ def sam_reads(lines: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     ).withColumn("rg", F.when(F.col("rg") != "", F.col("rg")))
     covers = F.aggregate("cigar", F.lit(0), lambda n, c: n + F.when(c.op.isin(0, 2, 3, 7, 8), c.len).otherwise(0))
     reads = body.withColumn("ref_end", F.when((F.col("seq") != "*") & F.col("cigar").isNotNull(), F.col("pos") + covers)).withColumn("rlen", F.when(F.col("bases") != "*", F.length("bases")).otherwise(0))
-    return reads.withColumn("sm", F.lit(None).cast("string")) if groups is None else reads.join(groups, "rg", "left")
+    return reads.withColumn("sm", F.lit(None).cast("string")) if groups is None else reads.join(F.broadcast(groups), "rg", "left")
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
