@@ -8,17 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import running_sums, with_following
+from .store import kept
 
 
 def coverage_runs(intervals: DataFrame, keys: Sequence[str], values: Sequence[str], block: int = 1 << 16) -> DataFrame:
     """keys, start, end, values: maximal stretches [start, end) between changes of the sums over covering intervals.
 
-    intervals: keys, start, end (half-open), values. Each interval is two events whatever its length.
+    intervals: keys, start, end (half-open), values. Each interval is two events whatever its length, made of one row, so
+    that what leads to the intervals is computed once; their sums by position are written once and read again.
     """
-    events = intervals.where("start < end")
-    starts = events.select(*keys, F.col("start").alias("pos"), *values, F.lit(1).cast("bigint").alias("_n"))
-    ends = events.select(*keys, F.col("end").alias("pos"), *((-F.col(v)).alias(v) for v in values), F.lit(-1).cast("bigint").alias("_n"))
-    net = starts.unionByName(ends).groupBy(*keys, "pos").agg(*(F.sum(v).alias(v) for v in [*values, "_n"]))
+    two = F.array(*(F.struct(F.col(at).cast("bigint").alias("pos"), F.lit(by).cast("bigint").alias("_n")) for at, by in (("start", 1), ("end", -1))))
+    events = intervals.select(*keys, "start", "end", *values).where("start < end").select(*keys, *values, F.explode(two).alias("_e"))
+    net = kept(events.groupBy(*keys, F.col("_e.pos").alias("pos")).agg(*(F.sum(F.col("_e._n") * F.col(v)).alias(v) for v in values), F.sum("_e._n").alias("_n")))
     levels = running_sums(net, keys, [*values, "_n"], block)
     runs = with_following(levels, keys, "end", block)
     return runs.where("_n > 0").select(*keys, F.col("pos").alias("start"), "end", *values)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .raster import coverage_runs
-from .store import scratch
+from .store import kept
 from .tracks import MIN_CLIP, REVERSE, I, P, S, admitted
 
 SEED, STEP, MOST, BAND = 12, 4, 64, 8
@@ -98,17 +98,10 @@ def fragment_words(fragments: DataFrame, k: int) -> DataFrame:
     return fragments.select("seq", "bases").mapInArrow(run, "seq string, bases string, strand int, offset long, code long")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: it is used several times."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def seeds(fragments: DataFrame, slices: DataFrame, width: int, k: int, step: int, most: int) -> tuple[DataFrame, DataFrame]:
     """seq, bases, strand, offset, place of words with up to `most` places; and the fragments that have frequent ones only."""
-    words, index = _kept(fragment_words(fragments, k)), seed_index(slices, width, k, step)
-    known = _kept(index.join(words.select("seq", "code").distinct(), ["seq", "code"], "left_semi"))
+    words, index = kept(fragment_words(fragments, k)), seed_index(slices, width, k, step)
+    known = kept(index.join(words.select("seq", "code").distinct(), ["seq", "code"], "left_semi"))
     counts = known.groupBy("seq", "code").agg(F.sum(F.size("places")).alias("n"))
     rare = known.join(counts.where(F.col("n") <= most), ["seq", "code"]).select("seq", "code", F.explode("places").alias("place"))
     judged = words.join(counts, ["seq", "code"]).groupBy("seq", "bases").agg(F.min("n").alias("n"))
@@ -136,12 +129,12 @@ def place(fragments: DataFrame, slices: DataFrame, width: int, step: int = STEP,
 
     Of chains with equal scores the first strand and place count; their quality is 0.
     """
-    left, k, every = _kept(fragments.select("seq", "bases").where("bases is not null").distinct()), SEED, None
+    left, k, every = kept(fragments.select("seq", "bases").where("bases is not null").distinct()), SEED, None
     while k <= width and not left.isEmpty():
         found, frequent = seeds(left, slices, width, k, step, most)
         made = chains(found, k, band)
         every = made if every is None else every.unionByName(made)
-        left, k = _kept(frequent.where(F.length("bases") >= 2 * k)), 2 * k
+        left, k = kept(frequent.where(F.length("bases") >= 2 * k)), 2 * k
     if every is None:
         return fragments.sparkSession.createDataFrame([], "seq string, bases string, strand int, start long, end long, score long, mapq int")
     ranked = every.groupBy("seq", "bases").agg(F.min(F.struct((-F.col("score")).alias("_o"), (-F.col("strand")).alias("_s"), "start", "end", "strand", "score", "seeds")).alias("b"), F.array_sort(F.collect_list(-F.col("score"))).alias("_all"))

@@ -32,7 +32,7 @@ def non_overlapping_count(text: Column, part: str) -> Column:
 
 
 def read_classes(has_bases: bool = False) -> dict[str, Column]:
-    """What each read adds to a track at every position of its interval."""
+    """What each read adds to a track at every position of its interval. has_bases: there are _bases, in upper case, and their number _size."""
     one = lambda c: F.when(c, 1).otherwise(0).cast("bigint")
     proper, reverse, mate_reverse, alone = _bit(PROPER), _bit(REVERSE), _bit(MATE_REVERSE), _bit(UNMAPPED_MATE)
     elsewhere = F.col("mate_seq") != F.col("seq")
@@ -48,8 +48,8 @@ def read_classes(has_bases: bool = False) -> dict[str, Column]:
         "fwd_rev_diff": F.when(reverse, -1).otherwise(1).cast("bigint"), "orient_same": one(same), "orient_out": one(out), "orient_um": one(lone), "orient_chr": one(~same & ~out & ~alone & elsewhere),
     }
     if has_bases:
-        bases, n = F.upper("bases"), F.length("bases")
-        share = lambda k: F.when(n > 0, F.round(k / n * FIXED).cast("bigint")).otherwise(0)
+        bases, n = F.col("_bases"), F.col("_size")
+        share = lambda k: F.when(n > 0, F.floor(k / n * FIXED + 0.5)).otherwise(0)
         found["gc"] = share(F.length(F.regexp_replace(bases, "[^GC]", "")))
         found |= {f"{p[0]}_{p[1]}": share(non_overlapping_count(bases, p)) for p in DINUCLEOTIDES}
     return found
@@ -62,8 +62,10 @@ def mean_with_prior(total: Column, n: Column) -> Column:
 
 def interval_tracks(reads: DataFrame, keys: Sequence[str], names: Sequence[str], has_bases: bool = False) -> DataFrame:
     """keys, start, end, names: sums over reads of what they add, as runs. Only the tracks asked for are computed."""
-    classes = read_classes(has_bases)
-    rows = admitted(reads).select(*keys, F.col("pos").alias("start"), (F.col("pos") + F.col("rlen")).alias("end"), *(classes[n].alias(n) for n in names))
+    classes, known = read_classes(has_bases), admitted(reads)
+    if has_bases:  # once a read, not once a track
+        known = known.withColumns({"_bases": F.upper("bases"), "_size": F.length("bases")})
+    rows = known.select(*keys, F.col("pos").alias("start"), (F.col("pos") + F.col("rlen")).alias("end"), *(classes[n].alias(n) for n in names))
     runs = coverage_runs(rows, keys, names)
     shares = {"gc", *(f"{p[0]}_{p[1]}" for p in DINUCLEOTIDES)}
     return runs.select(*keys, "start", "end", *(F.round(F.col(n) / FIXED, 11).alias(n) if n in shares else F.col(n) for n in names))
@@ -79,7 +81,7 @@ def projected_tracks(reads: DataFrame, keys: Sequence[str], lengths: DataFrame |
     rows = admitted(reads).where("tlen != 0").withColumns({"start": F.col("pos"), "end": F.col("pos") + F.col("rlen")})
     limit = None
     if lengths is not None:
-        rows = rows.join(lengths.select("seq", F.col("len").alias("_len")), "seq", "left")
+        rows = rows.join(F.broadcast(lengths.select("seq", F.col("len").alias("_len"))), "seq", "left")  # a row for each sequence
         limit = F.greatest(F.coalesce("_len", F.lit((1 << 63) - 1)), F.col("end"))
     low, high = projected("start", "end", "tlen", limit)
     rows = rows.select(*keys, low.alias("start"), high.alias("end"), *(classes[c].alias(n) for n, c in names.items()))
