@@ -294,3 +294,38 @@ def test_upsert_keeps_what_it_does_not_replace(spark, tmp_path):
     for i, rows in enumerate(([(1, 1, 1), (1, 2, 1)], [(1, 2, 2), (2, 1, 2)], [(2, 3, 3)])):
         write(make(rows), i)
     assert sorted((r.day, r.k, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(1, 1, 1), (1, 2, 2), (2, 1, 2), (2, 3, 3)]
+
+
+def reads_of_one_day(spark, folder, n):
+    """A table of line items: n reads of sample s0 and one of s1 at the same place."""
+    item = spark.range(n + 1).selectExpr("id as l_orderkey", "1L as l_partkey", f"if(id < {n}, 4L, 1L) as l_suppkey", "1 as l_linenumber", "5.0D as l_quantity", "0.01D as l_discount", "0.08D as l_tax", "'N' as l_returnflag", "'O' as l_linestatus", "timestamp'1996-01-01' as l_shipdate")
+    item.write.mode("overwrite").parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_fold_of_deep_coverage_is_not_cut(spark, tmp_path):
+    from tierwave.jobs.queries import QUERIES
+
+    got = QUERIES["diff_fold"](spark, reads_of_one_day(spark, tmp_path, 12_000)).collect()
+    assert {r.value for r in got} == {11_999.0} and len(got) == 5
+
+
+def test_groups_and_lengths_are_sent_not_shuffled(spark):
+    lines = spark.createDataFrame([(f"r{k}\t0\tc1\t5\t9\t3M\t=\t5\t0\tAAA\t*\tRG:Z:g{k % 2}",) for k in range(9)] + [("x\t0\tc1\t5\t9\t3M\t=\t5\t0\tAAA\t*",)], "value string")
+    groups = spark.createDataFrame([("g0", "a"), ("g1", "b")], "rg string, sm string")
+    found = alignments.sam_reads(lines, groups)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.name, r.sm) for r in found.collect()) == [*((f"r{k}", "ab"[k % 2]) for k in range(9)), ("x", None)]
+
+
+def test_intervals_are_made_once_for_both_events(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def mark(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([("c", k, k + 3, 1) for k in range(50)], "seq string, start long, end long, n long").mapInArrow(mark, "seq string, start long, end long, n long")
+    assert raster.coverage_runs(df, ["seq"], ["n"], 16).count() == 52
+    assert seen.value == 50
