@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tierwave.operators import duplicates
 from tierwave.operators.tracks import DUPLICATE
 
@@ -65,3 +67,21 @@ def test_hot_place_ties_and_lone_mates(spark):
     got = {r.name: r.flag & DUPLICATE for r in duplicates.mark(spark.createDataFrame(rows + pair, KIND)).collect()}
     assert [n for n, f in got.items() if not f] == ["p"]  # a template stands above lone reads
     assert duplicates.mark(spark.createDataFrame([], KIND)).count() == 0
+
+
+def test_templates_are_made_once_and_met_by_name(spark):
+    """Nothing is joined by place, and qualities are summed once a read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def mark(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = made(100, 7)
+    df = spark.createDataFrame(rows, KIND)
+    found = duplicates.best(duplicates._templates(df.mapInArrow(mark, df.schema), "rg"))
+    found.collect()
+    assert seen.value == len(rows)
+    odd = spark.createDataFrame([("*",), (None,), ("",), ("I#0/",), ("~",)], "q string").repartition(1)
+    assert sorted(odd.select(duplicates.quality(F.col("q")).alias("n")).collect(), key=repr) == sorted([(0,), (None,), (0,), (40 + 15,), (93,)], key=repr)

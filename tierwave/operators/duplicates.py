@@ -3,21 +3,19 @@
 A read begins at its unclipped 5' end: clips before it count as if they were aligned. A template is told by the ends and
 strands of its two reads (in the order of the reference), a lone read by its own. The best template of a place is the
 least of (quality turned round, name), an aggregate that is made map-side: a place that holds a third of all reads is
-neither sorted nor gathered. A lone read is also a copy of any template that has a read beginning there.
+neither sorted nor gathered. Who stays is written once and met by name; all others are copies. A lone read is also a copy of any template that has a read beginning there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import kept
 from .tracks import DUPLICATE, REVERSE, SECONDARY, SUPPLEMENTARY, H, S
 
 #: Fixed value: base qualities under it don't count.
 LEAST_QUALITY = 15
-SALTS = 16
 
 
 def five_prime(pos: Column, ref_end: Column, cigar: Column, reverse: Column) -> Column:
@@ -27,47 +25,58 @@ def five_prime(pos: Column, ref_end: Column, cigar: Column, reverse: Column) ->
 
 
 def quality(qual: Column) -> Column:
-    """Sum of the base qualities that count; 0 for `*`."""
-    each = F.transform(F.split(qual, ""), lambda c: F.ascii(c) - 33)
-    return F.when(qual == "*", 0).otherwise(F.aggregate(each, F.lit(0), lambda n, q: n + F.when(q >= LEAST_QUALITY, q).otherwise(0))).cast("bigint")
+    """Sum of the base qualities that count; 0 for `*`. By columns: lambdas over characters took most of the marking's time."""
 
+    @F.arrow_udf("bigint")
+    def sums(qual):
+        import numpy as np
+        import pyarrow as pa
 
-def _best(df: DataFrame, place: Sequence[str]) -> DataFrame:
-    """df with `_copy`: whether another template of the same place is better. The best of a place meets its rows in SALTS parts."""
-    best = df.groupBy(*place).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("name").alias("n"))).alias("_b"))
-    spread = best.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
-    salted = df.withColumn("_salt", F.expr(f"pmod(xxhash64(name), {SALTS})"))
-    on = [salted[c].eqNullSafe(spread[c]) for c in [*place, "_salt"]]
-    return salted.join(spread, on).select(*(salted[c] for c in df.columns), (salted["name"] != F.col("_b.n")).alias("_copy"))
+        text = qual.cast(pa.large_binary())
+        _, at, raw = text.buffers()
+        at = np.frombuffer(at, np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
+        each = np.frombuffer(raw, np.uint8)[at[0] : at[-1]].astype(np.int64) - 33 if raw is not None else np.zeros(0, np.int64)
+        each[each < LEAST_QUALITY] = 0
+        upto = np.concatenate([[0], np.cumsum(each)])[at - at[0]]
+        return pa.array(upto[1:] - upto[:-1], pa.int64(), mask=np.asarray(qual.is_null()))
 
+    return F.when(qual == "*", F.lit(0).cast("bigint")).otherwise(sums(qual))
 
-def copies(reads: DataFrame, library: str = "rg") -> DataFrame:
-    """library, name of the templates that are copies. reads: name, flag, seq, pos, ref_end, cigar, qual, library.
 
-    Of a name with more than two primary reads in a library the outer two count. A library may be null.
-    """
+def _templates(reads: DataFrame, library: str) -> DataFrame:
+    """library, name, score and the ends a_ and b_ of each template; b_ is null for a lone read."""
     bit = lambda b: F.col("flag").bitwiseAND(F.lit(b)) != 0
     primary = reads.where(F.col("ref_end").isNotNull() & ~bit(SECONDARY) & ~bit(SUPPLEMENTARY))
     end = F.struct("seq", five_prime(F.col("pos"), F.col("ref_end"), F.col("cigar"), bit(REVERSE)).cast("bigint").alias("at"), bit(REVERSE).alias("reverse"))
     one = primary.select(F.col(library).alias("library"), "name", end.alias("end"), quality(F.col("qual")).alias("q"))
-    templates = one.groupBy("library", "name").agg(F.min("end").alias("a"), F.max("end").alias("b"), F.sum("q").alias("score"), F.count("*").alias("n"))
-    flat = templates.select("library", "name", "score", "n", *(F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("seq", "at", "reverse")))
-    sides = ["a_seq", "a_at", "a_reverse", "b_seq", "b_at", "b_reverse"]
-    pairs, lone = flat.where("n > 1"), flat.where("n = 1")
-    of_pairs = _best(pairs.select("library", "name", "score", *sides), ["library", *sides])
-    begin = ["library", "a_seq", "a_at", "a_reverse"]
-    taken = pairs.select("library", F.explode(F.array(*(F.struct(*(F.col(f"{x}_{c}").alias(c) for c in ("seq", "at", "reverse"))) for x in "ab"))).alias("e")).select("library", "e.*").distinct()
-    ranked = _best(lone.select("library", "name", "score", *begin[1:]), begin)
-    there = ranked.join(taken, ranked["library"].eqNullSafe(taken["library"]) & (ranked["a_seq"] == taken["seq"]) & (ranked["a_at"] == taken["at"]) & (ranked["a_reverse"] == taken["reverse"]), "left_semi")
-    lost = of_pairs.where("_copy").select("library", "name").unionByName(ranked.where("_copy").select("library", "name")).unionByName(there.select("library", "name"))
-    return lost.distinct()
+    found = one.groupBy("library", "name").agg(F.min("end").alias("a"), F.max("end").alias("b"), F.sum("q").alias("score"), F.count("*").alias("n"))
+    return found.select("library", "name", "score", (F.col("n") > 1).alias("pair"), "a", F.when(F.col("n") > 1, F.col("b")).alias("b"))
+
+
+def best(templates: DataFrame) -> DataFrame:
+    """library, name of the templates that stay: the best of each place, of lone reads where no pair begins."""
+    won = kept(templates.groupBy("library", "pair", "a", "b").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("name").alias("n"))).alias("_b")).select("library", "pair", "a", "b", F.col("_b.n").alias("name")))
+    pairs, lone = won.where("pair"), won.where("not pair")
+    taken = pairs.select(F.col("library").alias("_library"), F.explode(F.array("a", "b")).alias("_end")).distinct()
+    free = lone.join(taken, F.col("library").eqNullSafe(F.col("_library")) & F.col("a").eqNullSafe(F.col("_end")), "left_anti")
+    return pairs.select("library", "name").unionByName(free.select("library", "name"))
+
+
+def copies(reads: DataFrame, library: str = "rg") -> DataFrame:
+    """library, name of the templates that are copies. reads: name, flag, seq, pos, ref_end, cigar, qual, library.
+
+    Of a name with more than two primary reads in a library the outer two count. A library may be null.
+    """
+    templates = _templates(reads, library)
+    stay = best(templates).select(F.col("library").alias("_library"), F.col("name").alias("_name"))
+    return templates.select("library", "name").join(stay, F.col("library").eqNullSafe(F.col("_library")) & F.col("name").eqNullSafe(F.col("_name")), "left_anti")
 
 
 def mark(reads: DataFrame, library: str = "rg") -> DataFrame:
     """reads with the duplicate bit of flag set for the primary reads of copies, and cleared for all others."""
     bit = F.col("flag").bitwiseAND(F.lit(SECONDARY | SUPPLEMENTARY)) != 0
-    lost = copies(reads, library).select(F.col("library").alias("_library"), F.col("name").alias("_name"), F.lit(True).alias("_lost"))
-    met = reads.join(lost, F.col(library).eqNullSafe(F.col("_library")) & (F.col("name") == F.col("_name")), "left")
+    stay = best(_templates(reads, library)).select(F.col("library").alias("_library"), F.col("name").alias("_name"), F.lit(True).alias("_stays"))
+    met = reads.join(stay, F.col(library).eqNullSafe(F.col("_library")) & F.col("name").eqNullSafe(F.col("_name")), "left")
     cleared = F.col("flag").bitwiseAND(F.lit(~DUPLICATE))
-    flag = F.when(F.col("_lost") & ~bit & F.col("ref_end").isNotNull(), cleared.bitwiseOR(F.lit(DUPLICATE))).otherwise(cleared)
+    flag = F.when(F.col("_stays").isNull() & ~bit & F.col("ref_end").isNotNull(), cleared.bitwiseOR(F.lit(DUPLICATE))).otherwise(cleared)
     return met.select(*(flag.alias("flag") if c == "flag" else F.col(c) for c in reads.columns))
