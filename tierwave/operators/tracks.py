@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,14 +111,42 @@ def cigar_segments(reads: DataFrame, keys: Sequence[str]) -> DataFrame:
     return found.select(*keys, "track", F.when(inserted, F.col("start") - 1).otherwise(F.col("start")).alias("start"), F.when(inserted, F.col("start")).otherwise(F.col("end")).alias("end"))
 
 
+#: Operations of CIGARs that are walked at a time.
+WALK_OPS = 500_000
+
+
 def aligned_spans(reads: DataFrame, keys: Sequence[str], ops: Sequence[int] = (M, EQ, X)) -> DataFrame:
-    """keys, start, bases: of each operation among ops where it lies in the reference, and the read's bases there."""
-    walked = admitted(reads).where(F.size("cigar") > 0).withColumn("_id", F.monotonically_increasing_id())
-    each = walked.select(*keys, "_id", "pos", "bases", F.posexplode("cigar").alias("i", "c"))
-    over = Window.partitionBy("_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    used = lambda ops_: F.coalesce(F.sum(F.when(F.col("c.op").isin(*ops_), F.col("c.len")).otherwise(0)).over(over), F.lit(0))
-    spans = each.withColumn("start", F.col("pos") + used((M, D, N, EQ, X))).withColumn("_read", used((M, I, S, EQ, X))).where(F.col("c.op").isin(*ops))
-    return spans.select(*keys, "start", F.upper(F.substr("bases", (F.col("_read") + 1).cast("int"), F.col("c.len"))).alias("bases")).where("bases != ''")
+    """keys, start, bases: of each operation among ops where it lies in the reference, and the read's bases there.
+
+    A read's operations are summed by columns where the read is: they are neither shuffled nor sorted.
+    """
+    keys, kinds = list(keys), {f.name: f.dataType.simpleString() for f in reads.schema.fields}
+
+    def walk(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            upto = np.asarray(batch.column("cigar").offsets)
+            cuts = [0, *np.searchsorted(upto - upto[0], np.arange(WALK_OPS, upto[-1] - upto[0], WALK_OPS)).tolist(), len(batch)]
+            for part in (batch.slice(a, z - a) for a, z in zip(cuts, cuts[1:], strict=False) if z > a):
+                cigar = part.column("cigar")
+                counts, each = np.diff(np.asarray(cigar.offsets)), cigar.flatten()
+                op, size = (np.asarray(each.field(c)).astype(np.int64) for c in ("op", "len"))
+                row, first = np.repeat(np.arange(len(part)), counts), np.cumsum(counts) - counts
+
+                def before(which):
+                    moved = np.where(np.isin(op, which), size, 0)
+                    sums = np.cumsum(moved) - moved
+                    return sums - np.repeat(sums[first], counts)
+
+                start = np.asarray(part.column("pos")).astype(np.int64)[row] + before((M, D, N, EQ, X))
+                begin, some = before((M, I, S, EQ, X)), np.flatnonzero(np.isin(op, ops))
+                texts, of = part.column("bases").to_pylist(), row[some]
+                bases = [texts[r][b : b + n].upper() for r, b, n in zip(of.tolist(), begin[some].tolist(), size[some].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(of)) for c in keys), pa.array(start[some], pa.int64()), pa.array(bases, pa.string())], names=[*keys, "start", "bases"])
+
+    walked = admitted(reads).where((F.size("cigar") > 0) & F.col("pos").isNotNull() & F.col("bases").isNotNull()).select(*keys, "pos", "bases", "cigar")
+    return walked.mapInArrow(walk, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", start long, bases string").where("bases != ''")
 
 
 def over_slices(spans: DataFrame, width: int) -> DataFrame:
@@ -132,14 +161,42 @@ def exact_substitutions(reads: DataFrame, reference: DataFrame, keys: Sequence[s
     """keys (with seq), pos, substitution: reads whose base differs from the reference there, inside aligned spans.
 
     reference: seq, slice, start, bases in slices of `width` bases. A span meets the slices that it lies over; only where
-    the two strings differ they are compared base by base.
+    the two strings differ they are compared base by base, by columns, and counted in each batch.
     """
+    keys, kinds = list(keys), {f.name: f.dataType.simpleString() for f in reads.schema.fields}
     cut = over_slices(aligned_spans(reads, keys), width)
     line = reference.select("seq", "slice", F.col("start").alias("_from"), F.col("bases").alias("_line"))
     there = F.substr("_line", (F.col("start") - F.col("_from") + 1).cast("int"), F.length("bases"))
     met = cut.join(line, ["seq", "slice"]).withColumn("_line", there).where("substr(bases, 1, length(_line)) != _line")
-    differs = F.filter(F.sequence(F.lit(0), F.least(F.length("bases"), F.length("_line")) - 1), lambda k: F.substr("bases", k + 1, F.lit(1)) != F.substr("_line", k + 1, F.lit(1)))
-    return met.where("_line != ''").select(*keys, "start", F.explode(differs).alias("_k")).groupBy(*keys, (F.col("start") + F.col("_k")).alias("pos")).agg(F.count("*").alias("substitution"))
+
+    def compare(batches):
+        import pyarrow as pa
+
+        def text(column):
+            raw = column.cast(pa.large_binary())
+            _, at, data = raw.buffers()
+            return np.frombuffer(at, np.int64)[raw.offset : raw.offset + len(raw) + 1], np.frombuffer(data, np.uint8)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            (at, bases), (line_at, line) = text(batch.column("bases")), text(batch.column("_line"))
+            size = np.minimum(np.diff(at), np.diff(line_at))
+            row = np.repeat(np.arange(len(batch)), size)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            differs = bases[at[row] + k] != line[line_at[row] + k]
+            row, pos = row[differs], (np.asarray(batch.column("start")).astype(np.int64)[row] + k)[differs]
+            if len(row):
+                code = np.zeros(len(batch), np.int64)
+                for c in keys:
+                    own = np.asarray(batch.column(c).dictionary_encode(null_encoding="encode").indices).astype(np.int64)
+                    code = np.unique(code * (int(own.max()) + 1) + own, return_inverse=True)[1]
+                low = int(pos.min())
+                _, one, n = np.unique(code[row] * (int(pos.max()) - low + 1) + pos - low, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row[one])) for c in keys), pa.array(pos[one], pa.int64()), pa.array(n.astype(np.int64), pa.int64())], names=[*keys, "pos", "n"])
+
+    found = met.where("_line != ''").select(*keys, "start", "bases", "_line").mapInArrow(compare, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", pos long, n long")
+    return found.groupBy(*keys, "pos").agg(F.sum("n").alias("substitution"))
 
 
 def aligned_slices(reads: DataFrame, width: int) -> DataFrame:
