@@ -124,3 +124,19 @@ def test_tracks_from_bam(spark, made):
     sam, path = made
     keys, got = ["seq"], [tracks.interval_tracks(x.withColumn("mate_seq", F.col("mate_seq")), ["seq"], ["total", "mapq"]).orderBy("seq", "start").collect() for x in (sam, bam.bam(spark, path))]
     assert got[0] == got[1] and keys
+
+
+def test_bases_are_packed_without_a_step_a_base():
+    import time
+
+    row = {"seq": "c", "mate_seq": "*", "cigar": None, "rg": None, "qual": "!~" * 500_000, "name": "r", "pos": 5, "mate_pos": None, "tlen": 0, "flag": 0, "mapq": 0, "bases": "=acmgrsvtwyhkdbn?xé" * 52_631 + "ACG" * 3 + "GT"}
+    row["bases"] = row["bases"][:999_999] + "T"
+    start = time.thread_time()
+    record = bam.encode(row, {"c": 0})
+    assert time.thread_time() - start < 0.1
+    at = 4 + 32 + 2
+    packed = np.frombuffer(record[at : at + 500_000], np.uint8)
+    want = [bam.LETTERS.find(c) if c in bam.LETTERS else 15 for c in row["bases"].upper()[:2000]]
+    assert np.stack([packed >> 4, packed & 15], 1).ravel()[:2000].tolist() == want
+    assert record[at + 500_000 : at + 500_004] == bytes([0, 93, 0, 93])
+    assert bam.encode(row | {"bases": "ACG", "qual": "*"}, {"c": 0})[at : at + 5] == bytes([0x12, 0x40, 255, 255, 255])

@@ -306,6 +306,10 @@ def decode(raw: np.ndarray, at: np.ndarray, size: np.ndarray, head: Header):
     )
 
 
+#: The code of each letter as a hexadecimal digit; what is no letter is 15, N.
+_DIGITS = bytes((b"%x" % (LETTERS.index(chr(c)) if chr(c) in LETTERS else 15))[0] for c in range(256))
+
+
 def encode(row: dict, numbers: dict[str, int]) -> bytes:
     """A record, with its length. row: the columns of a read; numbers: of the sequences."""
     ref = numbers.get(row["seq"], -1)
@@ -317,9 +321,14 @@ def encode(row: dict, numbers: dict[str, int]) -> bytes:
     if len(cigar) > 0xFFFF:
         tags += b"CGBI" + struct.pack(f"<I{len(cigar)}I", len(cigar), *cigar)
         cigar = [len(bases) << 4 | 4, covers << 4 | 3]
-    codes = [max(LETTERS.find(c), 0) if c in LETTERS else 15 for c in bases.upper()]
-    packed = bytes(a << 4 | b for a, b in zip(codes[::2], [*codes[1::2], 0][: len(codes[::2])], strict=True))
-    qual = b"\xff" * len(bases) if row["qual"] in (None, "*") else bytes(ord(c) - 33 for c in row["qual"])
+    codes = bases.upper().encode("ascii", "replace").translate(_DIGITS)
+    packed = bytes.fromhex((codes + b"0" * (len(codes) % 2)).decode())
+    qual = b"\xff" * len(bases)
+    if row["qual"] not in (None, "*"):
+        each = np.frombuffer(row["qual"].encode("latin-1"), np.uint8)
+        if each.min(initial=33) < 33:
+            raise ValueError(f"{row['name']}: base qualities begin at !")
+        qual = (each - np.uint8(33)).tobytes()
     name = (row["name"] or "*").encode() + b"\0"
     pos = -1 if row["pos"] is None else row["pos"]
     fixed = struct.pack("<iiBBHHHiiii", ref, pos, len(name), row["mapq"] or 0, bin_of(max(pos, 0), max(pos, 0) + max(covers, 1)) & 0xFFFF, len(cigar), row["flag"] or 0, len(bases), mate, -1 if row["mate_pos"] is None else row["mate_pos"], row["tlen"] or 0)
