@@ -98,3 +98,15 @@ def test_query(spark):
     want = con.sql(f"select lang, rank, phrase, a, l, r, n, score from ({SQL['op12_phrases']})").fetchall()
     assert got == sorted(want)
     assert len(got) > 100
+
+
+def test_no_phrases_through_the_driver(spark):
+    """Phrase tables are small on disk, compressed, but not in memory: no join by phrase may send them whole."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    try:
+        plan = collocations(frame(spark, ROWS), least=3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    keys = re.findall(r"(\w+) \[lang#\d+, (?:_left|_right|phrase)#\d+", "\n".join(x for x in plan.splitlines() if "Join" in x))
+    assert keys == ["SortMergeJoin"] * 3

@@ -13,7 +13,8 @@ a slot over it may have some, and the counts that matter come from ROLLUP. A tab
 a chunk of texts are counted and packed, with the words that they use, before they are shuffled by a hash of the whole
 window: a frequent word or pair is in many buckets. Merged windows are rows of words, and these go to ROLLUP.
 
-Parts of candidates, and the phrases around them, are joined by equality with salted keys; the first `top` of a language
+Parts of candidates, and the phrases around them, are joined by equality with salted keys, by sorting: they come from a
+compressed table whose size on disk would let Spark send them whole through the driver. The first `top` of a language
 are taken in two steps, so that no task sorts a whole language.
 
 Cases: null and empty texts have no words; a null language is `und`; repeated rows count each; ties are settled by
@@ -246,7 +247,7 @@ def collocations(documents: DataFrame, least: int = 30, most: int = 4, covered:
 
     cuts = candidates.select("lang", "phrase", "words", "a", F.explode(F.expr("sequence(1, k - 1)")).alias("cut"), F.expr(f"pmod(xxhash64(phrase), {SALTS})").alias("_salt"))
     sides = cuts.select("*", F.array_join(F.expr("slice(words, 1, cut)"), " ").alias("_left"), F.array_join(F.expr("slice(words, cut + 1, size(words))"), " ").alias("_right"))
-    part = phrases.where(f"k < {most}").select("lang", "phrase", "f", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("_salt"))
+    part = phrases.where(f"k < {most}").select("lang", "phrase", "f", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("_salt")).hint("merge")
     of = lambda side, name: part.select("lang", F.col("phrase").alias(side), F.col("f").alias(name), "_salt")
     known = sides.join(of("_left", "l"), ["lang", "_left", "_salt"]).join(of("_right", "r"), ["lang", "_right", "_salt"])
     score = F.expr("(cast(2000000 as decimal(7, 0)) * cast(a as decimal(19, 0))) div (cast(l as decimal(19, 0)) + cast(r as decimal(19, 0)))")
@@ -255,7 +256,7 @@ def collocations(documents: DataFrame, least: int = 30, most: int = 4, covered:
     inner = candidates.where("k > 2").select("lang", "a", F.explode(F.expr("flatten(transform(sequence(2, k - 1), n -> transform(sequence(1, k - n + 1), i -> array_join(slice(words, i, n), ' '))))")).alias("phrase"))
     around = inner.groupBy("lang", "phrase").agg(F.max("a").alias("_around"))
     hundredth = lambda c, by: F.expr(f"cast({by} as decimal(3, 0)) * cast({c} as decimal(19, 0))")
-    left = lowest.join(around, ["lang", "phrase"], "left").where(F.col("_around").isNull() | (hundredth("_around", 100) < hundredth("a", covered)))
+    left = lowest.join(around.hint("merge"), ["lang", "phrase"], "left").where(F.col("_around").isNull() | (hundredth("_around", 100) < hundredth("a", covered)))
 
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     rows = left.select("lang", "phrase", "a", "_cut.l", "_cut.r", "_cut.score")
