@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tierwave.operators import realign
 from tierwave.sources.fasta import sliced
@@ -129,3 +130,29 @@ def test_no_clips(spark):
     reads = spark.createDataFrame([("c1", 5, 35, 0, "A" * 30, [(0, 30)]), ("c1", 5, 35, 0, "*", [(4, 30), (0, 30)])], "seq string, pos long, ref_end long, flag int, bases string, cigar array<struct<op:int,len:int>>")
     slices = sliced(spark.createDataFrame([("c1", genome())], "seq string, bases string"), 256)
     assert realign.smap_tracks(reads, slices, 256, ["seq"]).count() == 0
+
+
+def test_reads_are_made_once(spark):
+    """What leads to bases and CIGARs is computed once a read: neither a filter nor the second use of clips repeats it."""
+    line = "".join(random.Random(5).choices("ACGT", k=600))
+    slices = sliced(spark.createDataFrame([("c1", line)], "seq string, bases string"), 256)
+    made = spark.sparkContext.accumulator(0)
+
+    def bases(at):
+        made.add(1)
+        return line[at : at + 30] + "N" * 10
+
+    rows = spark.range(200).select(F.lit("c1").alias("seq"), (F.col("id") + 300).alias("pos"), (F.col("id") + 340).alias("ref_end"), F.lit(0).alias("flag"), F.udf(bases, "string")((F.col("id") % 100).cast("int")).alias("bases"))
+    step = lambda op, n: F.struct(F.lit(op).alias("op"), F.lit(n).alias("len"))
+    reads = rows.withColumn("cigar", F.array(step(4, 30), step(0, 10)))
+    assert realign.smap_tracks(reads, slices, 256, ["seq"]).count() > 0
+    assert made.value == 200
+
+
+def test_reads_without_clips(spark):
+    """Null and empty CIGARs, and reads without bases or with none told, have no clips."""
+    kind = "seq string, pos long, ref_end long, flag int, bases string, cigar array<struct<op int, len int>>"
+    clip = [(4, 20), (0, 10)]
+    rows = [("c", 5, 9, 0, "A" * 30, None), ("c", 5, 9, 0, "A" * 30, []), ("c", 5, 9, 0, "*", clip), ("c", 5, 9, 0, None, clip), ("c", 5, None, 0, "A" * 30, clip), ("c", 5, 9, 0, "c" * 30, clip), ("c", 5, 9, 16, "ac" * 15, clip[::-1]), ("c", 5, 9, 0, "t" * 20, clip[:1])]
+    got = sorted(map(tuple, realign.clipped_ends(spark.createDataFrame(rows, kind), ["seq"]).collect()))
+    assert got == [("c", -1, "right", 15, "AC" * 10), ("c", 1, "left", 25, "C" * 20), ("c", 1, "left", 25, "T" * 20)]

@@ -7,7 +7,7 @@ a fragment are such, the words are doubled in length, and again, as long as the
 frequent words can't be told from its other places and would have mapping quality 0.
 
 Seeds of a fragment whose diagonals are at most `band` apart are a chain; it scores the fragment's bases that its seeds
-cover. Equal fragments are placed once.
+cover. Equal fragments are placed once. Clips are written once, for being placed and for being joined with their places.
 """
 
 from __future__ import annotations
@@ -148,21 +148,21 @@ def clipped_ends(reads: DataFrame, keys: Sequence[str], least: int = MIN_CLIP) -
     at: where the clip meets the rest of the read, by the coordinates of clip tracks (clips move on as matches do): a left
     clip's end, a right clip's start.
     """
-    size = F.size("cigar")
-    head, tail = F.element_at("cigar", 1), F.element_at("cigar", -1)
+    head, tail = F.try_element_at("cigar", F.lit(1)), F.try_element_at("cigar", F.lit(-1))
     moves = F.aggregate("cigar", F.lit(0), lambda n, c: n + F.when(c.op.isin(I, P), 0).otherwise(c.len))
     strand = F.when(F.col("flag").bitwiseAND(F.lit(REVERSE)) != 0, -1).otherwise(1)
     clip = lambda side, at, bases: F.struct(F.lit(side).alias("side"), at.cast("bigint").alias("at"), F.upper(bases).alias("bases"))
-    left = F.when((head.op == S) & (head.len >= least), clip("left", F.col("pos") + head.len, F.substr("bases", F.lit(1), head.len)))
-    right = F.when((size > 1) & (tail.op == S) & (tail.len >= least), clip("right", F.col("pos") + moves - tail.len, F.substr("bases", F.length("bases") - tail.len + 1, tail.len)))
-    rows = admitted(reads).where((size > 0) & (F.col("bases") != "*")).select(*keys, strand.alias("strand"), F.explode(F.array_compact(F.array(left, right))).alias("c"))
-    return rows.select(*keys, "strand", "c.*")
+    clipped = lambda end: (end.op == S) & (end.len >= least) & (F.col("bases") != "*")
+    left = F.when(clipped(head), clip("left", F.col("pos") + head.len, F.substr("bases", F.lit(1), head.len)))
+    right = F.when((F.size("cigar") > 1) & clipped(tail), clip("right", F.col("pos") + moves - tail.len, F.substr("bases", F.length("bases") - tail.len + 1, tail.len)))
+    # a filter by bases or CIGAR would be moved to where they are made, which would make them twice
+    return admitted(reads).select(*keys, strand.alias("strand"), F.inline(F.array(left, right))).where("side is not null")
 
 
 def realigned(reads: DataFrame, slices: DataFrame, width: int, keys: Sequence[str], min_mapq: int = 20, **how) -> DataFrame:
     """keys, side, same, start, end: stretches between a clip and where its bases fit, of clips that are placed well enough
     and further away than they are long."""
-    clips = clipped_ends(reads, keys)
+    clips = kept(clipped_ends(reads, keys))
     hit = place(clips, slices, width, **how).select("seq", "bases", F.col("strand").alias("_to"), "start", "end", "score", "mapq")
     to = F.when(F.col("_to") < 0, F.col("end")).otherwise(F.col("start"))
     shift = to - F.col("at") + 1
