@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tierwave.operators import intervals
+from tierwave.operators import intervals, tracks
 
 KIND = "seq string, start long, end long, name int"
 
@@ -58,3 +58,19 @@ def test_pairs_of_crowded_bins_are_dealt_out(spark):
     pairs = intervals.overlap_join(df, df, "seq", 64).select("name", "r_name").collect()
     every = [*rows, ("a", 0, 2500, 2000)]
     assert len(pairs) == len(set(pairs)) == sum(overlap(x, y) for x in every for y in every)
+
+
+def test_bases_are_read_once(spark):
+    """Both events of a read come from one row, whatever was needed to make it."""
+    made = spark.sparkContext.accumulator(0)
+
+    def bases(n):
+        made.add(1)
+        return "gC" * n + "A" * n
+
+    zero = F.lit(0).cast("bigint")
+    rows = spark.range(50).select(F.lit("c").alias("seq"), F.lit("c").alias("mate_seq"), F.col("id").alias("pos"), F.lit(6).alias("rlen"), (F.col("id") + 6).alias("ref_end"), F.lit(0).alias("flag"), F.lit(30).alias("mapq"), zero.alias("tlen"), F.udf(bases, "string")((F.col("id") % 3).cast("int")).alias("bases"))
+    got = tracks.interval_tracks(rows, ["seq"], ["gc", "total"], has_bases=True).collect()
+    assert made.value == 50
+    assert sum((x["end"] - x["start"]) * x["total"] for x in got) == 300
+    assert abs(sum((x["end"] - x["start"]) * x["gc"] for x in got) - 6 * 33 * 2 / 3) < 1e-6
