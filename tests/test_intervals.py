@@ -60,6 +60,20 @@ def test_pairs_of_crowded_bins_are_dealt_out(spark):
     assert len(pairs) == len(set(pairs)) == sum(overlap(x, y) for x in every for y in every)
 
 
+def test_no_key_has_all_pairs_of_a_crowded_place(spark):
+    """Many intervals over one place meet in slices: each pair once, and under no key more than some 50 of either side."""
+    left = spark.createDataFrame([("a", 64, 72, k) for k in range(600)] + [("a", 3, 5, 600)], KIND)
+    right = spark.createDataFrame([("a", 65, 67, k) for k in range(900)] + [("b", 3, 5, 900)], KIND)
+    binned = lambda df: df.withColumns({"_j": F.lit(0), "_c": F.expr("start div 8")})
+    a, b = intervals._sliced(binned(left), binned(right), "seq", 50)
+    at = ["seq", "_j", "_c", "_s", "_t"]
+    assert all(df.groupBy(*at).count().agg(F.max("count")).first()[0] < 100 for df in (a, b))
+    assert (a.count(), b.count()) == (600 * 18 + 1, 900 * 12 + 1)
+    assert a.join(b, at).count() == 600 * 900
+    pairs = intervals.overlap_join(left, right, "seq", 64, 50).select("name", "r_name").collect()
+    assert len(pairs) == len(set(pairs)) == 600 * 900
+
+
 def test_bases_are_read_once(spark):
     """Both events of a read come from one row, whatever was needed to make it."""
     made = spark.sparkContext.accumulator(0)
