@@ -140,3 +140,101 @@ def test_bases_are_packed_without_a_step_a_base():
     assert np.stack([packed >> 4, packed & 15], 1).ravel()[:2000].tolist() == want
     assert record[at + 500_000 : at + 500_004] == bytes([0, 93, 0, 93])
     assert bam.encode(row | {"bases": "ACG", "qual": "*"}, {"c": 0})[at : at + 5] == bytes([0x12, 0x40, 255, 255, 255])
+
+
+def test_columns_make_the_records_that_rows_make(spark, made):
+    """A batch's records equal those made one by one; also of letters outside ASCII, long CIGARs, nulls, and qualities of another length."""
+    import pyarrow as pa
+
+    rows = [r.asDict(recursive=True) for r in made[0].limit(500).collect()]
+    none = dict.fromkeys(rows[0])
+    plain = none | {"name": "p", "seq": "c2", "pos": 7, "mate_seq": "=", "bases": "acgtn", "qual": "!#~AB", "rg": ""}
+    long = [{"op": 0, "len": 1}, {"op": 2, "len": 1}] * 40_000
+    rows += [none, plain, plain | {"bases": "aéT", "qual": "*"}, plain | {"bases": "ACG", "qual": "\u00a1AB"}, plain | {"cigar": long}, plain | {"qual": ""}, plain | {"name": "", "mate_seq": "c1", "rg": "é"}, plain | {"seq": "other", "mapq": 255, "flag": 65535}]
+    names, kinds = [s for s, _ in SEQS], spark.createDataFrame([], bam.READ).toArrow().schema
+    for part in (rows, rows[::-1], rows[:1], []):
+        batch = pa.RecordBatch.from_pylist(part, kinds)
+        raw, sizes, ref, start, end = bam.encode_batch(batch, names)
+        want = [bam.encode(r, {n: k for k, n in enumerate(names)}) for r in part]
+        assert raw == b"".join(want) and sizes.tolist() == [len(w) for w in want]
+        covers = [sum(c["len"] for c in r["cigar"] or () if c["op"] in bam.MOVES) for r in part]
+        assert [(k, a, z) for k, a, z in zip(ref.tolist(), start.tolist(), end.tolist()) if k >= 0] == [(names.index(r["seq"]), r["pos"], r["pos"] + max(c, 1)) for r, c in zip(part, covers) if r["seq"] in names and r["pos"] is not None and r["pos"] >= 0]
+    with pytest.raises(ValueError, match="qualities"):
+        bam.encode_batch(pa.RecordBatch.from_pylist([plain, plain | {"qual": "! AB~"}], kinds), names)
+
+
+def test_groups_among_other_tags():
+    """The group's tag first, later, missing, empty, or with its letters in another tag."""
+    tags = [b"RGZg1\0", b"NMC\5RGZg2\0", b"", b"XXZRGZ\0", b"RGZ\0NMC\0", b"XBBc\2\0\0\0RGRGZg3\0", b"RGZ\xc3\xa9\0XAAq"]
+    raw, at, ends = b"", [], []
+    for tag in tags:
+        at.append(len(raw := raw + b"\0Q\0RGZ"))
+        ends.append(len(raw := raw + tag))
+    got = bam._groups(np.frombuffer(raw + b"\0", np.uint8), np.array(at), np.array(ends))
+    assert got.to_pylist() == ["g1", "g2", None, None, "", "g3", "é"]
+
+
+def test_the_index_is_that_of_each_record(made):
+    """Chunks and windows as they follow from each record's own place, over several batches."""
+    for f in bgzf.list_files(made[1], ".bam"):
+        head, found = bam.header(f), bam.index(f)
+        blocks, at, seen = bgzf.Blocks(f, head.first >> 16), head.first & 0xFFFF, []
+        while blocks.has(at, 4):
+            (size,) = struct.unpack("<i", blocks.get(at, 4))
+            assert blocks.has(at + 4, size)
+            seen.append((blocks.virtual(at), bam.decode(np.frombuffer(blocks.get(at + 4, size), np.uint8), np.array([0]), np.array([size]), head).to_pylist()[0]))
+            at += 4 + size
+        after = [v for v, _ in seen[1:]] + [blocks.size - len(bgzf.END) << 16]
+        bins, windows = [{} for _ in SEQS], [{} for _ in SEQS]
+        for (v, r), z in zip(seen, after, strict=True):
+            if r["seq"] == "*" or r["pos"] < 0:
+                continue
+            k, end = head.names.index(r["seq"]), max(r["ref_end"] or 0, r["pos"] + 1)
+            chunks = bins[k].setdefault(bam.bin_of(r["pos"], end), [])
+            if chunks and chunks[-1][1] == v:
+                chunks[-1] = chunks[-1][0], z
+            else:
+                chunks.append((v, z))
+            for w in range(r["pos"] // bam.WINDOW, (end - 1) // bam.WINDOW + 1):
+                windows[k].setdefault(w, v)
+        assert seen and [b for b, _ in found] == bins
+        assert [{w: v for w, v in enumerate(ws) if w in ours} for (_, ws), ours in zip(found, windows)] == windows
+
+
+def test_only_places_are_made_for_the_ranges(spark, tmp_path):
+    """Bases are made once a read: the ranges' bounds need sequences and positions only."""
+    made = spark.sparkContext.accumulator(0)
+
+    def bases(n):
+        made.add(1)
+        return "A" * n
+
+    rows = spark.range(60).select(F.col("id").cast("string").alias("name"), F.lit("c1").alias("seq"), (F.col("id") % 30).alias("pos"), F.udf(bases, "string")((F.col("id") % 3 + 1).cast("int")).alias("bases"))
+    bam.write_bam(rows, str(tmp_path / "r.bam"), HEAD, 5)
+    assert made.value == 60
+    files = bgzf.list_files(str(tmp_path / "r.bam"), ".bam")
+    each = [[(r["seq"], r["pos"]) for b in bam.records(f, bam.header(f).first, None, bam.header(f)) for r in b.to_pylist()] for f in files]
+    assert len(files) == 5 and sum(map(len, each)) == 60 and max(map(len, each)) <= 14
+    assert [x for e in each for x in e] == sorted(x for e in each for x in e)
+
+
+def test_tasks_decode_by_columns():
+    """A record costs some microseconds to make and to read, not a hundred (a row at a time took over 25 each)."""
+    import time
+
+    import pyarrow as pa
+
+    n = 20_000
+    one = {"name": "a/read", "flag": 0, "seq": "c1", "pos": 5, "mapq": 9, "cigar": [{"op": 4, "len": 10}, {"op": 0, "len": 30}, {"op": 2, "len": 4}], "mate_seq": "=", "mate_pos": 5, "tlen": 0, "bases": "ACGT" * 10, "qual": "*", "rg": "rg1", "ref_end": 39, "rlen": 40}
+    batch = pa.RecordBatch.from_pylist([one] * n)
+    bam.encode_batch(batch, ["c1"])
+    start = time.thread_time()
+    raw, sizes, *_ = bam.encode_batch(batch, ["c1"])
+    took = time.thread_time() - start
+    assert took / n < 10e-6, took
+    at = np.cumsum(sizes) - sizes
+    start = time.thread_time()
+    got = bam.decode(np.frombuffer(raw, np.uint8), at + 4, sizes - 4, bam.Header("", ["c1"], [900_000], 0))
+    took = time.thread_time() - start
+    assert took / n < 15e-6, took
+    assert got.num_rows == n and got.slice(n - 1).to_pylist() == [one | {"mate_seq": "c1"}]

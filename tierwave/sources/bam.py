@@ -12,6 +12,7 @@ of more than 65,535 operations are taken from their tag.
 
 from __future__ import annotations
 
+import math
 import struct
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
@@ -197,32 +198,45 @@ class BamReader(DataSourceReader):
 
 
 def records(path: str, start: int, until: int | None, head: Header, checked: bool = False, batch_bytes: int = 4 << 20):
-    """Record batches of what begins at start or later and before `until`. checked: a record must begin at `until`."""
+    """Record batches of what begins at start or later and before `until`. checked: a record must begin at `until`.
+
+    A step a record is to read its length; blocks after that of `until` are read only for a record that goes on in them.
+    """
     blocks = bgzf.Blocks(path, start >> 16)
-    at, places, sizes, done = start & 0xFFFF, [], [], False
+    at, stop, done, length = start & 0xFFFF, None, False, struct.Struct("<i").unpack_from
+    first, places, sizes = at, [], []
     while not done:
-        if not blocks.has(at, 4):
-            if checked and until is not None:
-                raise ValueError(f"{path}: no record begins at {until}; write an index to split it")
+        while (until is None or blocks.next <= until >> 16) and blocks.end() < first + batch_bytes and blocks.more():
+            pass
+        if until is not None and stop is None and blocks.next > until >> 16:
+            stop = blocks.position(until)
+        data, base, end = blocks.data, blocks.dropped, blocks.end()
+        last = end - 4 if stop is None else min(end - 4, stop - 1)
+        while at <= last and at - first < batch_bytes:
+            (size,) = length(data, at - base)
+            if size < 32:
+                raise ValueError(f"{path}: broken record at {blocks.virtual(at)}")
+            if at + 4 + size > end:
+                break
+            places.append(at + 4)
+            sizes.append(size)
+            at += 4 + size
+        if stop is not None and at >= stop:
+            if checked and at != stop:
+                raise ValueError(f"{path}: {until} isn't a record's start; write an index to split it")
             done = True
-        else:
-            here = blocks.virtual(at)
-            if until is not None and here >= until:
-                if checked and here != until:
-                    raise ValueError(f"{path}: {until} isn't a record's start; write an index to split it")
+        elif at - first < batch_bytes:
+            if not blocks.has(at, 4):
+                if checked and until is not None:
+                    raise ValueError(f"{path}: no record begins at {until}; write an index to split it")
                 done = True
-            else:
-                (size,) = struct.unpack("<i", blocks.get(at, 4))
-                if size < 32 or not blocks.has(at + 4, size):
-                    raise ValueError(f"{path}: broken record at {here}")
-                places.append(at + 4)
-                sizes.append(size)
-                at += 4 + size
-        if places and (done or at - places[0] >= batch_bytes):
-            first = places[0]
+            elif not blocks.has(at + 4, length(blocks.data, at - blocks.dropped)[0]):
+                raise ValueError(f"{path}: broken record at {blocks.virtual(at)}")
+        if places and (done or at - first >= batch_bytes):
             yield decode(np.frombuffer(blocks.get(first, at - first), np.uint8), np.array(places, np.int64) - first, np.array(sizes, np.int64), head)
             places, sizes = [], []
             blocks.drop(at)
+            first = at
 
 
 def _ragged(raw: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,6 +273,27 @@ def _tag(raw: bytes, at: int, end: int, wanted: bytes) -> tuple[int, int, int] |
     return None
 
 
+def _groups(raw: np.ndarray, at: np.ndarray, ends: np.ndarray):
+    """Values of the tag RG. Where it is the first tag, or there is none, without a step a record."""
+    import pyarrow as pa
+
+    some = np.flatnonzero(ends - at > 3)
+    first = some[(raw[at[some, None] + np.arange(3)] == np.frombuffer(b"RGZ", np.uint8)).all(1)]
+    zeros = np.flatnonzero(raw == 0)
+    counts, given = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+    stops = np.append(zeros, len(raw))[np.searchsorted(zeros, at[first] + 3)]
+    first, stops = first[stops < ends[first]], stops[stops < ends[first]]
+    counts[first], given[first] = stops - at[first] - 3, True
+    letters, offsets = _ragged(raw, at + 3, counts)
+    out = pa.compute.if_else(pa.array(given), _strings(letters, offsets), None)
+    rest = np.flatnonzero(~given & (ends > at))
+    if not len(rest):
+        return out
+    whole = raw.tobytes()
+    found = [whole[t[1] : t[2] - 1].decode() if (t := _tag(whole, a, z, b"RG")) else None for a, z in zip(at[rest].tolist(), ends[rest].tolist(), strict=True)]
+    return pa.compute.replace_with_mask(out, pa.array(~given & (ends > at)), pa.array(found, pa.string()))
+
+
 def decode(raw: np.ndarray, at: np.ndarray, size: np.ndarray, head: Header):
     """Columns of the records that begin at `at`."""
     import pyarrow as pa
@@ -268,13 +303,14 @@ def decode(raw: np.ndarray, at: np.ndarray, size: np.ndarray, head: Header):
     cigar_at = name_at + f["name"]
     packed_at = cigar_at + 4 * ops
     qual_at = packed_at + (bases + 1) // 2
-    tags_at, ends, whole = qual_at + bases, at + size, raw.tobytes()
+    tags_at, ends = qual_at + bases, at + size
 
     names = pa.array([*head.names, "*"])
     seq, mate = (names.take(pa.array(np.where(f[c] < 0, len(head.names), f[c]))) for c in ("ref", "mate_ref"))
     words, offsets = _ragged(raw, cigar_at, 4 * ops)
     codes, offsets = words.view("<u4") if len(words) else np.empty(0, np.uint32), offsets // 4
     hidden = np.flatnonzero((ops == 2) & (bases > 0))
+    whole = raw.tobytes() if len(hidden) else b""
     for k in hidden[(codes[offsets[hidden]] == (bases[hidden] << 4 | 4)) & (codes[offsets[hidden] + 1] & 15 == 3)][::-1].tolist():
         if found := _tag(whole, int(tags_at[k]), int(ends[k]), b"CG"):  # the true operations stand in a tag
             true = np.frombuffer(whole[found[1] + 5 : found[2]], "<u4")
@@ -291,16 +327,15 @@ def decode(raw: np.ndarray, at: np.ndarray, size: np.ndarray, head: Header):
     letters, letter_offsets = _ragged(_PAIRS[packed].ravel(), 2 * packed_offsets[:-1], bases)
     star = pa.array(bases == 0)
     text = pa.compute.if_else(star, "*", _strings(letters, letter_offsets))
-    quals, qual_offsets = _ragged(raw, qual_at, bases)
     missing = bases == 0
-    missing[~missing] |= quals[qual_offsets[:-1][~missing]] == 255
+    missing[~missing] |= raw[qual_at[~missing]] == 255
+    quals, qual_offsets = _ragged(raw, qual_at, np.where(missing, 0, bases))
     quality = pa.compute.if_else(pa.array(missing), "*", _strings(np.where(quals == 255, 0, quals) + 33, qual_offsets))
     name, name_offsets = _ragged(raw, name_at, f["name"].astype(np.int64) - 1)
-    groups = [whole[t[1] : t[2] - 1].decode() if (t := _tag(whole, a, z, b"RG")) else None for a, z in zip(tags_at.tolist(), ends.tolist(), strict=True)]
     return pa.RecordBatch.from_arrays(
         [
             _strings(name, name_offsets), pa.array(f["flag"].astype(np.int32)), seq, pa.array(pos), pa.array(f["mapq"].astype(np.int32)), cigar, mate, pa.array(f["mate_pos"].astype(np.int64)),
-            pa.array(f["tlen"].astype(np.int64)), text, quality, pa.array(groups, pa.string()), pa.array(pos + moved[offsets[1:]] - moved[offsets[:-1]], mask=~mapped), pa.array(bases.astype(np.int32)),
+            pa.array(f["tlen"].astype(np.int64)), text, quality, _groups(raw, tags_at, ends), pa.array(pos + moved[offsets[1:]] - moved[offsets[:-1]], mask=~mapped), pa.array(bases.astype(np.int32)),
         ],
         names=[x.split()[0] for x in READ.replace("array<struct<op: int, len: int>>", "x").split(", ")],
     )
@@ -336,6 +371,117 @@ def encode(row: dict, numbers: dict[str, int]) -> bytes:
     return struct.pack("<i", len(body)) + body
 
 
+_CODES = np.frombuffer(bytes(int(chr(c), 16) for c in _DIGITS), np.uint8)
+#: The code of each byte of bases, small letters as large ones.
+_CODES = _CODES[np.frombuffer(bytes(range(256)).upper(), np.uint8)]
+_MOVING = np.isin(np.arange(16), MOVES)
+
+
+def _letters(column) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of strings one after another, and the number of each; null has none."""
+    import pyarrow as pa
+
+    column = pa.compute.fill_null(column.cast(pa.large_string()), "")
+    _, ends, data = column.buffers()
+    offsets = np.frombuffer(ends, np.int64, len(column) + 1, 8 * column.offset) if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
+def _holding(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Rows that have one of the marked bytes; counts: bytes of each row."""
+    return np.searchsorted(np.cumsum(counts), np.flatnonzero(found), "right")
+
+
+def _put(out: np.ndarray, raw: np.ndarray, at: np.ndarray, counts: np.ndarray) -> None:
+    """Stretches that follow one another in raw, each to its place."""
+    out[np.arange(len(raw)) + np.repeat(at - np.cumsum(counts) + counts, counts)] = raw
+
+
+def _bins(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """bin_of() of each."""
+    out = np.zeros(len(start), np.int64)
+    for k, first in reversed(list(enumerate(LEVELS))):
+        own = start >> (LEAF + 3 * k)
+        out = np.where(own == (end - 1) >> (LEAF + 3 * k), first + own, out)
+    return out
+
+
+def encode_batch(batch, names: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The records of a batch as encode() makes them, one after another; their lengths, sequences, starts and ends.
+
+    Sequences are -1 where a read has no place. Rows with letters outside ASCII, with figures that a record can't hold
+    as they are, or of more operations than that, go through encode().
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows, known = len(batch), pa.array(names, pa.string())
+    column = lambda c: batch.column(c)
+    figure = lambda c, none=0: pc.fill_null(column(c).cast(pa.int64()), none).to_numpy(zero_copy_only=False)
+    number = lambda c: pc.fill_null(pc.index_in(column(c).cast(pa.string()), known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    without_star = lambda c: pc.if_else(pc.equal(column(c), "*"), "", column(c))
+    ref, pos = number("seq"), figure("pos", -1)
+    mate = np.where(pc.fill_null(pc.equal(column("mate_seq"), "="), False).to_numpy(zero_copy_only=False), ref, number("mate_seq"))
+    ops = pc.fill_null(pc.list_value_length(column("cigar")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column("cigar").flatten()
+    op, length = (pc.fill_null(pc.struct_field(flat, c).cast(pa.int64()), 0).to_numpy(zero_copy_only=False) for c in ("op", "len"))
+    sums = np.concatenate([[0], np.cumsum(np.where(_MOVING[op & 15], length, 0))])
+    ends = np.cumsum(ops)
+    covers = sums[ends] - sums[ends - ops]
+    name, name_n = _letters(pc.if_else(pc.equal(pc.fill_null(column("name"), ""), ""), "*", column("name")))
+    bases, bases_n = _letters(without_star("bases"))
+    qual, qual_n = _letters(without_star("qual"))
+    group, group_n = _letters(column("rg"))
+    grouped = column("rg").is_valid().to_numpy(zero_copy_only=False)
+    has_qual = pc.fill_null(pc.not_equal(column("qual"), "*"), False).to_numpy(zero_copy_only=False)
+    flag, mapq, mate_pos, tlen = figure("flag"), figure("mapq"), figure("mate_pos", -1), figure("tlen")
+
+    where = np.where((ref >= 0) & (pos >= 0), ref, -1), pos, pos + np.maximum(covers, 1)
+    outside = lambda x, low, high: (x < low) | (x >= high)
+    odd = (ops > 0xFFFF) | (has_qual & (qual_n != bases_n)) | outside(flag, 0, 1 << 16) | outside(mapq, 0, 1 << 8) | (name_n > 254)
+    odd |= outside(pos, -(1 << 31), 1 << 31) | outside(mate_pos, -(1 << 31), 1 << 31) | outside(tlen, -(1 << 31), 1 << 31)
+    odd[_holding(bases > 127, bases_n)] = odd[_holding((qual > 127) | (qual < 33), qual_n)] = odd[_holding(outside(length, 0, 1 << 28) | outside(op, 0, 16), ops)] = True
+    if odd.any():
+        numbers = {n: k for k, n in enumerate(names)}
+        plain, plain_size, *_ = encode_batch(batch.filter(pa.array(~odd)), names)
+        size = np.zeros(rows, np.int64)
+        size[~odd] = plain_size
+        parts, last = [], 0
+        for k, cut in zip(np.flatnonzero(odd).tolist(), np.cumsum(size)[odd].tolist(), strict=True):
+            one = encode(batch.slice(k, 1).to_pylist()[0], numbers)
+            parts += plain[last:cut], one
+            size[k], last = len(one), cut
+        return b"".join([*parts, plain[last:]]), size, *where
+
+    half = (bases_n + 1) // 2
+    name_at = 36
+    tags = np.where(grouped, group_n + 4, 0)
+    size = name_at + name_n + 1 + 4 * ops + half + bases_n + tags
+    at = np.cumsum(size) - size
+    fixed = np.zeros(rows, [("size", "<i4"), *((c, bgzf.FIXED[c].str) for c in bgzf.FIXED.names)])
+    start = np.maximum(pos, 0)
+    values = (size - 4, ref, pos, name_n + 1, mapq, _bins(start, start + np.maximum(covers, 1)) & 0xFFFF, ops, flag, bases_n, mate, mate_pos, tlen)
+    for c, v in zip(fixed.dtype.names, values, strict=True):
+        fixed[c] = v
+    out = np.full(int(size.sum()), 255, np.uint8)  # what has no qualities has 255 for each base
+    out[at[:, None] + np.arange(name_at)] = fixed.view(np.uint8).reshape(rows, name_at)
+    _put(out, name, at + name_at, name_n)
+    to = at + name_at + name_n
+    out[to] = 0
+    _put(out, (length << 4 | op).astype("<u4").view(np.uint8), to + 1, 4 * ops)
+    to = to + 1 + 4 * ops
+    even = np.zeros(2 * int(half.sum()), np.uint8)
+    _put(even, _CODES[bases], 2 * (np.cumsum(half) - half), bases_n)
+    _put(out, even[::2] << 4 | even[1::2], to, half)
+    to = to + half
+    _put(out, qual - np.uint8(33), to, qual_n)
+    to = (to + bases_n)[grouped]
+    out[to[:, None] + np.arange(3)] = np.frombuffer(b"RGZ", np.uint8)
+    _put(out, group, to + 3, group_n[grouped])
+    out[to + 3 + group_n[grouped]] = 0
+    return out.tobytes(), size, *where
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list[str]
@@ -360,55 +506,59 @@ class BamWriter(DataSourceArrowWriter):
         target = f"{folder.rstrip('/')}/_part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:12]}.bam"
         text = self.text.encode()
         start = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(self.names)) + b"".join(struct.pack("<i", len(n.encode()) + 1) + n.encode() + b"\0" + struct.pack("<i", n_) for n, n_ in zip(self.names, self.lengths, strict=True))
-        numbers, bins, windows = {n: k for k, n in enumerate(self.names)}, [defaultdict(list) for _ in self.names], [{} for _ in self.names]
-        none, place, held, waiting = 0, 0, bytearray(), []  # waiting: (record's place in held, sequence, start, end)
-        ends: list[tuple[int, int, int, int]] = []
-
-        def settle(size):
-            """Gives the records in a written block their virtual places."""
-            nonlocal waiting
-            for at, *rest in (w for w in waiting if w[0] < size):
-                ends.append((place << 16 | at, *rest))
-            waiting = [(w[0] - size, *w[1:]) for w in waiting if w[0] >= size]
-
+        bins, windows, none = [defaultdict(list) for _ in self.names], [{} for _ in self.names], 0
+        place, held, made = 0, bytearray(), 0  # made: bytes of records so far
+        places: list[int] = []  # of blocks with records; all but the last hold self.block bytes
+        runs = []  # sequences, bins, first and last bytes of records of one bin that follow one another
         with system.open_output_stream(target) as out:
 
-            def flush(all_=False):
+            def flush(least):
                 nonlocal held, place
-                while len(held) >= self.block or all_ and held:
-                    data = bytes(held[: self.block])
-                    block = bgzf.compress(data)
-                    settle(len(data))
+                at = 0
+                while len(held) - at >= least:
+                    block = bgzf.compress(bytes(held[at : at + self.block]))
                     out.write(block)
+                    places.append(place)
                     place += len(block)
-                    held = held[self.block :]
+                    at += self.block
+                del held[:at]
 
             for s in range(0, len(start), self.block):
                 block = bgzf.compress(start[s : s + self.block])
                 out.write(block)
                 place += len(block)
             for batch in iterator:
-                for row in batch.to_pylist():
-                    ref = numbers.get(row["seq"], -1)
-                    covers = sum(c["len"] for c in row["cigar"] or () if c["op"] in MOVES)
-                    waiting.append((len(held), ref, row["pos"], row["pos"] + max(covers, 1) if row["pos"] is not None else 0))
-                    held += encode(row, numbers)
-                    flush()
-            flush(True)
+                if not len(batch):
+                    continue
+                raw, sizes, ref, first, end = encode_batch(batch, self.names)
+                after = made + np.cumsum(sizes)
+                at, made = after - sizes, int(after[-1])
+                held += raw
+                flush(self.block)
+                placed = np.flatnonzero(ref >= 0)
+                none += len(ref) - len(placed)
+                leaf = np.where(ref >= 0, _bins(np.maximum(first, 0), end), -1)
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(ref) != 0) | (np.diff(leaf) != 0)]))
+                runs.append(np.stack([ref[new], leaf[new], at[new], np.append(at[new[1:]], made)])[:, ref[new] >= 0])
+                low = first[placed] // WINDOW
+                over = (end[placed] - 1) // WINDOW - low + 1
+                row = np.repeat(np.arange(len(placed)), over)
+                window = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(over) - over, over)
+                found, earliest = np.unique(ref[placed][row] << 32 | window, return_index=True)
+                for w, r in zip(found.tolist(), at[placed][row[earliest]].tolist(), strict=True):
+                    windows[w >> 32].setdefault(w & 0xFFFFFFFF, r)
+            flush(1)
             out.write(bgzf.END)
-        last = place << 16
-        for k, (at, ref, a, z) in enumerate(ends):
-            after = ends[k + 1][0] if k + 1 < len(ends) else last
-            if ref < 0 or a is None or a < 0:
-                none += 1
-                continue
-            chunks = bins[ref][bin_of(a, z)]
-            if chunks and chunks[-1][1] == at:
-                chunks[-1] = chunks[-1][0], after
-            else:
-                chunks.append((at, after))
-            for w in range(a // WINDOW, (z - 1) // WINDOW + 1):
-                windows[ref].setdefault(w, at)
+        virtual = lambda at: place << 16 if at == made else places[at // self.block] << 16 | at % self.block
+        for run in runs:
+            for ref, leaf, at, after in run.T.tolist():
+                chunks = bins[ref][leaf]
+                if chunks and chunks[-1][1] == at:
+                    chunks[-1] = chunks[-1][0], after
+                else:
+                    chunks.append((at, after))
+        bins = [{k: [(virtual(a), virtual(z)) for a, z in chunks] for k, chunks in b.items()} for b in bins]
+        windows = [{k: virtual(at) for k, at in w.items()} for w in windows]
         packed = b"BAI\1" + struct.pack("<i", len(self.names))
         for b, w in zip(bins, windows, strict=True):
             packed += struct.pack("<i", len(b)) + b"".join(struct.pack("<Ii", k, len(c)) + b"".join(struct.pack("<QQ", *x) for x in c) for k, c in sorted(b.items()))
@@ -475,9 +625,12 @@ def header_text(lengths: Sequence[tuple[str, int]], groups: Sequence[tuple[str,
 def write_bam(reads: DataFrame, path: str, text: str, partitions: int | None = None) -> None:
     """A folder of sorted files with their indexes. reads: the columns of bam(); others are made or ignored.
 
-    Reads are dealt out by ranges of the sequence's place in the header and the position, so each file is sorted. `text`
-    is the header; its sequences are a bounded list.
+    Reads are dealt out by ranges of the sequence's place in the header and the position, so each file is sorted. The
+    ranges' bounds are quantiles of these two alone: no other column of the reads is made to find them. `text` is the
+    header; its sequences are a bounded list.
     """
+    from pyspark.ml.feature import Bucketizer  # not for tasks, which import this module
+
     spark = reads.sparkSession
     spark.dataSource.register(BamDataSource)
     names = [x.split("\t")[1][3:] for x in text.splitlines() if x.startswith("@SQ")]
@@ -486,5 +639,13 @@ def write_bam(reads: DataFrame, path: str, text: str, partitions: int | None = N
     row = reads.select(*((F.col(c) if c in reads.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()))
     placed = row.withColumn("_order", F.when(order == 0, len(names) + 1).otherwise(order))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = placed.repartitionByRange(n, "_order", "pos").sortWithinPartitions("_order", "pos", "name").drop("_order")
+    keyed = placed.withColumn("_at", (F.col("_order") * (1 << 32) + F.coalesce("pos", F.lit(-1)) + 1).cast("double"))
+    shares = [k / n for k in range(1, n)]
+    found = keyed.agg(F.percentile_approx("_at", shares, 50 * n)).first()[0] if shares else None  # a figure for each file
+    bounds = [-math.inf, *sorted(set(found or ())), math.inf]
+    if len(bounds) > 2:
+        keyed = Bucketizer(splits=bounds, inputCol="_at", outputCol="_file").transform(keyed)
+    else:
+        keyed = keyed.withColumn("_file", F.lit(0))
+    dealt = keyed.repartitionById(len(bounds) - 1, F.col("_file").cast("int")).sortWithinPartitions("_order", "pos", "name").select(*kinds)
     dealt.write.format("bam").mode("append").option("header", text).save(path)
