@@ -641,7 +641,9 @@ def write_bam(reads: DataFrame, path: str, text: str, partitions: int | None = N
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = placed.withColumn("_at", (F.col("_order") * (1 << 32) + F.coalesce("pos", F.lit(-1)) + 1).cast("double"))
     shares = [k / n for k in range(1, n)]
-    found = keyed.agg(F.percentile_approx("_at", shares, 50 * n)).first()[0] if shares else None  # a figure for each file
+    sketch = F.kll_sketch_agg_double("_at", min(65535, 200 + 40 * n))
+    quantiles = F.when(F.count("*") > 0, F.kll_sketch_get_quantile_double(sketch, F.array(*map(F.lit, shares))))
+    found = keyed.agg(quantiles).first()[0] if shares else None  # a figure for each file
     bounds = [-math.inf, *sorted(set(found or ())), math.inf]
     if len(bounds) > 2:
         keyed = Bucketizer(splits=bounds, inputCol="_at", outputCol="_file").transform(keyed)
