@@ -218,6 +218,16 @@ def test_only_places_are_made_for_the_ranges(spark, tmp_path):
     assert [x for e in each for x in e] == sorted(x for e in each for x in e)
 
 
+def test_files_have_bounded_reads(spark, made, tmp_path, monkeypatch):
+    """More reads make more files than shuffle partitions, so that what a task sorts stays bounded."""
+    monkeypatch.setattr(bam, "FILE", 200)
+    bam.write_bam(made[0], str(tmp_path / "f.bam"), HEAD)
+    files = bgzf.list_files(str(tmp_path / "f.bam"), ".bam")
+    placed = [sum(b.num_rows for b in bam.records(f, bam.header(f).first, None, bam.header(f))) for f in files[:-1]]  # those without a place stay together
+    assert len(files) > 8 and max(placed) <= 300
+    assert shown(bam.bam(spark, str(tmp_path / "f.bam"))) == shown(made[0])
+
+
 def test_tasks_decode_by_columns():
     """A record costs some microseconds to make and to read, not a hundred (a row at a time took over 25 each)."""
     import time

@@ -30,6 +30,8 @@ READ = "name string, flag int, seq string, pos long, mapq int, cigar array<struc
 LETTERS, MOVES = "=ACMGRSVTWYHKDBN", (0, 2, 3, 7, 8)
 #: Compressed bytes of a split.
 SPLIT = 32 << 20
+#: Reads of a file, about: a task sorts them.
+FILE = 1 << 19
 #: Fixed values of the index: a leaf bin's width, the first bin of each level, the pseudo-bin of counts, a window's width.
 LEAF, LEVELS, PSEUDO, WINDOW = 14, (4681, 585, 73, 9, 1, 0), 37450, 1 << 14
 _PAIRS = np.frombuffer("".join(a + b for a in LETTERS for b in LETTERS).encode(), np.uint8).reshape(256, 2)
@@ -626,7 +628,8 @@ def write_bam(reads: DataFrame, path: str, text: str, partitions: int | None = N
     """A folder of sorted files with their indexes. reads: the columns of bam(); others are made or ignored.
 
     Reads are dealt out by ranges of the sequence's place in the header and the position, so each file is sorted. The
-    ranges' bounds are quantiles of these two alone: no other column of the reads is made to find them. `text` is the
+    ranges' bounds are quantiles of these two alone: no other column of the reads is made to find them. Without
+    `partitions` there are as many files as shuffle partitions, or more for more than FILE reads a file. `text` is the
     header; its sequences are a bounded list.
     """
     from pyspark.ml.feature import Bucketizer  # not for tasks, which import this module
@@ -640,11 +643,12 @@ def write_bam(reads: DataFrame, path: str, text: str, partitions: int | None = N
     placed = row.withColumn("_order", F.when(order == 0, len(names) + 1).otherwise(order))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = placed.withColumn("_at", (F.col("_order") * (1 << 32) + F.coalesce("pos", F.lit(-1)) + 1).cast("double"))
-    shares = [k / n for k in range(1, n)]
-    sketch = F.kll_sketch_agg_double("_at", min(65535, 200 + 40 * n))
-    quantiles = F.when(F.count("*") > 0, F.kll_sketch_get_quantile_double(sketch, F.array(*map(F.lit, shares))))
-    found = keyed.agg(quantiles).first()[0] if shares else None  # a figure for each file
-    bounds = [-math.inf, *sorted(set(found or ())), math.inf]
+    count, sketch = keyed.agg(F.count("*"), F.kll_sketch_agg_double("_at", min(65535, max(2048, 10 * n)))).first()
+    n, found = partitions or max(n, count // FILE), ()
+    if count and n > 1:
+        shares = F.array(*(F.lit(k / n) for k in range(1, n)))
+        found = spark.createDataFrame([(bytes(sketch),)], "s binary").select(F.kll_sketch_get_quantile_double("s", shares)).first()[0]  # a figure for each file
+    bounds = [-math.inf, *sorted(set(found)), math.inf]
     if len(bounds) > 2:
         keyed = Bucketizer(splits=bounds, inputCol="_at", outputCol="_file").transform(keyed)
     else:
